@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality, sp_codec, token_counts
+from . import langid, packing, quality, simhash, sp_codec, token_counts, toxicity
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.codec_report(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_piece_codec": op3_piece_codec,
+        "op4_toxicity": op4_toxicity,
+        "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
         "op9_language_id": op9_language_id,
         "op10_quality_rules": op10_quality_rules,

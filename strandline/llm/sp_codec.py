@@ -14,6 +14,8 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -237,29 +239,39 @@ class PieceCodec:
 
     # -- encoding -----------------------------------------------------------------
 
-    def encode_all(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text: ids, with the first and the end byte of each one's source span."""
-        out: list = [None] * len(texts)
-        block: list[tuple[int, list[str]]] = []
+    def encode_iter(self, texts: list[str | None], block_chars: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text in turn: ids, with the first and the end byte of each one's source span."""
+        block: list[str] = []
         held = 0
-        for k, text in enumerate(texts):
-            words = None
-            if text and self.simple and BLANK not in text:
-                words = text.replace("\n", " \n").split(" ")
-            if words is None or "" in words:
-                out[k] = self._encode_one(text or "")
-                continue
-            block.append((k, words))
-            held += len(text)
-            if held > 4_000_000:
-                self._encode_words(block, out)
+        for text in texts:
+            block.append(text or "")
+            held += len(block[-1])
+            if held >= block_chars:
+                yield from self._encode_block(block)
                 block, held = [], 0
-        if block:
-            self._encode_words(block, out)
-        return out
+        yield from self._encode_block(block)
+
+    def _encode_block(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        split = [t.replace("\n", " \n").split(" ") if t and self.simple and BLANK not in t else None for t in texts]
+        split = [None if words is None or "" in words else words for words in split]
+        cache = self.cache
+        cache.make_room()
+        new = list({w for words in split if words for w in words if w not in cache})
+        self.learn(new)
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                yield self._encode_one(text)
+                continue
+            ids = np.frombuffer(b"".join(map(cache.__getitem__, words)), "<i4")
+            sizes = self.source_size[ids]
+            ends = np.cumsum(sizes, dtype=np.int32) - np.int32(1)  # the blank in front has no source byte
+            begins = ends - sizes
+            begins[0] = 0
+            yield ids, begins, ends
+        cache.drop_long(new)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.encode_all([text])[0]
+        return next(self.encode_iter([text]))
 
     def _encode_one(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not text:
@@ -303,20 +315,6 @@ class PieceCodec:
                 self.cache[w] = raw[last:end]
             last = end
 
-    def _encode_words(self, block: list[tuple[int, list[str]]], out: list) -> None:
-        cache = self.cache
-        cache.make_room()
-        new = list({w for _, words in block for w in words if w not in cache})
-        self.learn(new)
-        for k, words in block:
-            ids = np.frombuffer(b"".join(map(cache.__getitem__, words)), "<i4")
-            sizes = self.source_size[ids]
-            ends = np.cumsum(sizes, dtype=np.int32) - np.int32(1)  # the blank in front has no source byte
-            begins = ends - sizes
-            begins[0] = 0
-            out[k] = ids, begins, ends
-        cache.drop_long(new)
-
     # -- decoding -----------------------------------------------------------------
 
     def decode(self, ids) -> str:
@@ -432,7 +430,7 @@ def _encoder(path: str | None):
     c = codec(path)
 
     def run(texts: list[str | None]) -> pa.StructArray:
-        found = c.encode_all(texts)
+        found = list(c.encode_iter(texts))
         ids, begins, ends = zip(*found, strict=True) if found else ((), (), ())
         return struct_array(ids=_lists(list(ids)), begins=_lists(list(begins)), ends=_lists(list(ends)))
 
@@ -458,18 +456,28 @@ def with_decoded(df: DataFrame, ids_col: str, out: str = "decoded", path: str |
     return add_struct(df, [ids_col], out, "text string", _decoder, path)
 
 
+def _digester(path: str | None):
+    c = codec(path)
+    decimal = [str(k) for k in range(len(c.pieces))]
+
+    def run(texts: list[str | None]) -> pa.StructArray:
+        n, ids_sha, text_sha, last = [], [], [], []
+        for ids, _, ends in c.encode_iter(texts):
+            n.append(len(ids))
+            ids_sha.append(sha256(",".join([decimal[k] for k in ids.tolist()]).encode()).hexdigest())
+            text_sha.append(sha256(c.decode_fast(ids).encode()).hexdigest())
+            last.append(int(ends[-1]) if len(ends) else 0)
+        return struct_array(n=pa.array(n, pa.int64()), ids_sha=pa.array(ids_sha, pa.string()), text_sha=pa.array(text_sha, pa.string()), last=pa.array(last, pa.int64()))
+
+    return run
+
+
 def codec_report(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and source_bytes (where the last span ends).
 
-    Every whole text is encoded with spans, its ids decoded again, and both digested.
+    Every whole text is encoded with spans, its ids are decoded again, and both
+    digested where they arise: id arrays don't travel.
     """
     narrow = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
-    coded = with_pieces(narrow, "body", "p", path).select("doc_id", F.col("p.ids").alias("ids"), F.try_element_at("p.ends", F.lit(-1)).alias("last"))
-    back = with_decoded(coded, "ids", "d", path)
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("d.text"), 256).alias("decoded_sha256"),
-        F.coalesce("last", F.lit(0)).cast("long").alias("source_bytes"),
-    )
+    found = add_struct(narrow, ["body"], "d", "n long, ids_sha string, text_sha string, last long", _digester, path)
+    return found.select("doc_id", F.col("d.n").alias("n_tokens"), F.col("d.ids_sha").alias("ids_sha256"), F.col("d.text_sha").alias("decoded_sha256"), F.col("d.last").alias("source_bytes"))
