@@ -30,6 +30,11 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def plain_word(word: str) -> bool:
+    """Lower-case Latin-1 letters only: normalising changes nothing, and all of it is one pre-token."""
+    return word.isalpha() and word == word.lower() and max(word) <= "\xff"
+
+
 class WordTokenizer:
     """Ids of whole texts by the tokenizer library, one call for each new word.
 
@@ -38,13 +43,19 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
         (self.mark,) = self.library.encode(MARK, add_special_tokens=False).ids
-        self.cache = BoundedCache()
+        # For plain words, what normalises and cuts texts would find nothing to do.
+        self.simple = Tokenizer.from_file(path)
+        self.simple.normalizer = normalizers.Sequence([])
+        self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.closes = np.zeros(self.library.get_vocab_size(), bool)
+        self.closes[[k for t, k in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        self.cache = BoundedCache(limit=900_000)
 
     def encode(self, texts: list[str | None], closing: int, block_chars: int = 4_000_000) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the closing id."""
@@ -58,24 +69,47 @@ class WordTokenizer:
         yield from self._encode_block(block, closing)
 
     def learn(self, words: list[str], joined: int = 2048) -> None:
-        """Encode new words, many to a call, with a mark between any two.
-
-        The mark is a control character: a pre-token and an id of its own, so the
-        places of that id tell the words apart.
-        """
-        plain = [w for w in words if MARK not in w]
-        for at in range(0, len(plain), joined):
-            some = plain[at : at + joined]
-            found = self.library.encode_batch_fast([f" {MARK} ".join([*some, ""])], add_special_tokens=False)[0]
-            ids = np.array(found.ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark)
-            raw, last = ids.tobytes(), 0
-            for w, end in zip(some, (4 * ends).tolist(), strict=True):
-                self.cache[w] = raw[last:end]
-                last = end + 4
+        """Encode new words: a word in lower case and without its last stop or comma is looked up first."""
+        cache, parts, simple, other = self.cache, [], {}, {}
         for w in words:
+            # Special strings are matched as written, so words that may hold one stay as they are.
+            base = w.lower() if w.isascii() and "<" not in w else w
+            tail = base[-1:]
+            if tail in (".", ",") and base[-2:-1].isalpha() and base[-2] <= "\xff":
+                base = base[:-1]
+            else:
+                tail = ""
+            parts.append((base, tail))
+            if base not in cache:
+                (simple if plain_word(base) else other)[base] = None
+        for tail in (".", ","):
+            if tail not in cache:
+                other[tail] = None
+        names = list(simple)
+        for at in range(0, len(names), joined):
+            ids = self.ids_of(self.simple, " ".join(names[at : at + joined]))
+            self.put(names[at : at + joined], ids, np.flatnonzero(self.closes[ids]) + 1, 0)
+        names = [w for w in other if MARK not in w]
+        for at in range(0, len(names), joined):
+            # A mark is a pre-token and an id of its own: the places of that id tell the words apart.
+            ids = self.ids_of(self.library, f" {MARK} ".join([*names[at : at + joined], ""]))
+            self.put(names[at : at + joined], ids, np.flatnonzero(ids == self.mark), 1)
+        for w in other:
             if MARK in w:
-                self.cache[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                cache[w] = self.ids_of(self.library, w).tobytes()
+        for w, (base, tail) in zip(words, parts, strict=True):
+            cache[w] = cache[base] + cache[tail] if tail else cache[base]
+
+    @staticmethod
+    def ids_of(library, text: str) -> np.ndarray:
+        return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def put(self, words: list[str], ids: np.ndarray, ends: np.ndarray, skip: int) -> None:
+        """Keep each word's ids, which end where ``ends`` says; ``skip`` ids part two words."""
+        raw, last = ids.tobytes(), 0
+        for w, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.cache[w] = raw[last:end]
+            last = end + 4 * skip
 
     def _encode_block(self, texts: list[list[str]], closing: int) -> Iterator[bytes]:
         cache = self.cache
