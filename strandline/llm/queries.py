@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality, simhash, sp_codec, token_counts, toxicity
-from .common import table
+from . import ann, langid, packing, quality, sharding, simhash, sp_codec, token_counts, toxicity, warc
+from .common import new_table_path, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_report(table(spark, sf_dir, "documents"))
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.codec_report(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"), new_table_path(spark, "warc"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
 
@@ -41,14 +53,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_multi_index": op2_multi_index,
         "op3_piece_codec": op3_piece_codec,
         "op4_toxicity": op4_toxicity,
         "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
+        "op7_sharding": op7_sharding,
+        "op8_warc": op8_warc,
         "op9_language_id": op9_language_id,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
+#: Rows of op8_warc: of equal payloads of 1000 bytes and more, all but the largest page_id are revisits.
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages
+), f AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS first FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": WARC_SQL}
