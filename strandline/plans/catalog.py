@@ -1,10 +1,19 @@
-"""All queries over the sequence operators, with the SQL that gives the same rows."""
+"""All queries over the sequence operators, with the SQL that gives the same rows.
+
+Queries whose recurrences have no SQL stand without: tests hold those against
+brute force.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bases
+from ..operators import align, analytics, cigar, kmers, simulate, suffix
+from . import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "kmer_rare_shared"
@@ -12,6 +21,87 @@ FLAGSHIP = "kmer_rare_shared"
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
+DNA = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
+#: K-mers of a table's texts in SQL.
+KMERS = "SELECT {id} AS seq_id, i AS pos, substring(text, i + 1, {k}) AS kmer FROM {table}, LATERAL (SELECT unnest(range(0, greatest(0, length(text) - {k} + 1))) AS i)"
+STEPS = """
+s AS (
+  SELECT l_orderkey AS aln_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS ord,
+         CAST(l_quantity AS BIGINT) AS len, substr('MXID', CAST(l_linenumber % 4 + 1 AS INT), 1) AS op
+  FROM lineitem
+), t AS (
+  SELECT *, x1 - dx AS x0, y1 - dy AS y0 FROM (
+    SELECT *, sum(dx) OVER w AS x1, sum(dy) OVER w AS y1 FROM (
+      SELECT *, CASE WHEN op = 'I' THEN 0 ELSE len END AS dx, CASE WHEN op = 'D' THEN 0 ELSE len END AS dy FROM s
+    ) WINDOW w AS (PARTITION BY aln_id ORDER BY ord)
+  )
+)
+"""
+PAIRS = "p AS (SELECT a.item_id AS pair_id, a.text AS first, b.text AS second FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
+RANKED = f"""
+{PAIRS}, sides AS (
+  SELECT pair_id, 1 AS side, first AS seq FROM p UNION ALL SELECT pair_id, 2, second FROM p
+), suf AS (
+  SELECT pair_id, side, i AS pos, substring(seq, i + 1) AS suffix FROM sides, LATERAL (SELECT unnest(range(0, length(seq))) AS i)
+), ranked AS (
+  SELECT *, row_number() OVER w - 1 AS r, lead(suffix) OVER w AS after FROM suf WINDOW w AS (PARTITION BY pair_id ORDER BY suffix, side, pos)
+), sa AS (
+  SELECT pair_id, side, pos, r, CASE WHEN after IS NULL THEN 0 ELSE
+    coalesce(list_min(list_filter(range(1, least(length(suffix), length(after)) + 1), lambda i: suffix[i] <> after[i])) - 1, least(length(suffix), length(after))) END AS lcp
+  FROM ranked
+)
+"""
+FIRST_LENGTHS = "fl AS (SELECT pair_id, length(first) AS n_first FROM p)"
+
+
+def _width_sql(w: int) -> str:
+    return f"""
+SELECT pair_id, {w} AS w, m, {w} - m AS n, r AS clas, unnest(list_zip(sides, poss)) AS q, low + 1 AS min_len, cur AS max_len FROM (
+  SELECT *, greatest(least(before, cur), least(behind, cur)) AS low FROM (
+    SELECT pair_id, r,
+      min(lcp) OVER (PARTITION BY pair_id ORDER BY r ROWS BETWEEN CURRENT ROW AND {w - 2} FOLLOWING) AS cur,
+      coalesce(lag(lcp) OVER (PARTITION BY pair_id ORDER BY r), 0) AS before,
+      coalesce(lead(lcp, {w - 1}) OVER (PARTITION BY pair_id ORDER BY r), 0) AS behind,
+      sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) OVER f AS m, count(*) OVER f AS held, list(side) OVER f AS sides, list(pos) OVER f AS poss
+    FROM sa WINDOW f AS (PARTITION BY pair_id ORDER BY r ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)
+  ) WHERE held = {w}
+) WHERE cur > low AND least(m, {w} - m) >= 1 AND greatest(m, {w} - m) <= {(w + 1) // 2}
+"""
+
+
+WIDEST = 4
+HITS = f"""
+{RANKED}, {FIRST_LENGTHS}, every AS ({" UNION ALL ".join(_width_sql(w) for w in range(2, WIDEST + 1))}),
+hits AS (
+  SELECT e.pair_id, e.w, CAST(m AS INT) AS m, CAST(n AS INT) AS n, clas, CAST(q[1] AS INT) AS side, CAST(q[2] AS BIGINT) AS pos, min_len, max_len
+  FROM every e JOIN fl USING (pair_id) WHERE e.w <= 2 * least(n_first, 50)
+  QUALIFY e.w = min(e.w) OVER (PARTITION BY e.pair_id)
+)
+"""
+INTERVALS = f"""
+{HITS}, placed AS (
+  SELECT h.*, n_first, CASE WHEN side = 1 THEN pos ELSE pos + n_first + 1 END AS p FROM hits h JOIN fl USING (pair_id)
+), ends AS (
+  SELECT pair_id, n_first, m, n, p + min_len AS en, max(p) AS p, arg_max(clas, p) AS clas, arg_max(max_len, p) AS max_len FROM placed GROUP BY pair_id, n_first, m, n, p + min_len
+), kept AS (
+  SELECT pair_id, n_first, m, n, min(p) AS p, arg_min(clas, p) AS clas, max(en) - min(p) AS len FROM ends GROUP BY pair_id, n_first, m, n, p + max_len
+), iv AS (
+  SELECT pair_id, m, n, clas, arg_min(len, p) AS len,
+    list_sort(coalesce(list(p) FILTER (p < n_first), [])) AS first_starts, list_sort(coalesce(list(p - n_first - 1) FILTER (p >= n_first), [])) AS second_starts
+  FROM kept GROUP BY pair_id, m, n, clas
+)
+"""
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
@@ -19,3 +109,489 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+# -- sequences --------------------------------------------------------------------
+
+
+@query("seq_normalise", f"SELECT doc_id, CAST(length({DNA}) AS BIGINT) AS n, md5({DNA}) AS letters, md5(translate({DNA}, 'ACGT', '0123')) AS digits FROM documents")
+def seq_normalise(spark, sf_dir):
+    d = tables.document_dna(spark, sf_dir)
+    return d.select(F.col("seq_id").alias("doc_id"), F.length("seq").cast("long").alias("n"), F.md5("seq").alias("letters"), F.md5(bases.digits(F.col("seq"))).alias("digits"))
+
+
+@query("seq_revcomp", f"SELECT doc_id, md5(reverse(translate({DNA}, 'ACGT', 'TGCA'))) AS other_strand FROM documents")
+def seq_revcomp(spark, sf_dir):
+    return tables.document_dna(spark, sf_dir).select(F.col("seq_id").alias("doc_id"), F.md5(bases.reverse_complement(F.col("seq"))).alias("other_strand"))
+
+
+@query("seq_valid", f"SELECT doc_id, NOT regexp_matches(text, '[^ACGTacgt]') AS text_valid, starts_with({DNA}, 'AC') AS ac_first, ends_with({DNA}, 'T') AS t_last, substring({DNA}, 3, 2) = 'GA' AS ga_third FROM documents")
+def seq_valid(spark, sf_dir):
+    d = tables.documents(spark, sf_dir).withColumn("dna", bases.dna_letters(F.col("seq")))
+    return d.select(F.col("seq_id").alias("doc_id"), bases.only_bases(F.col("seq")).alias("text_valid"), F.startswith("dna", F.lit("AC")).alias("ac_first"), F.endswith("dna", F.lit("T")).alias("t_last"), bases.occurs_at(F.col("dna"), 2, F.lit("GA")).alias("ga_third"))
+
+
+@query("seq_homopolymer", f"""
+WITH d AS (SELECT doc_id, {DNA} AS s FROM documents)
+SELECT doc_id, md5(coalesce(array_to_string(list_transform(list_filter(range(1, length(s) + 1), lambda i: i = 1 OR s[i] <> s[i - 1]), lambda i: s[i]), ''), '')) AS collapsed FROM d
+""")
+def seq_homopolymer(spark, sf_dir):
+    return tables.document_dna(spark, sf_dir).select(F.col("seq_id").alias("doc_id"), F.md5(bases.compress_runs(F.col("seq"))).alias("collapsed"))
+
+
+@query("seq_prefix", """
+WITH p AS (SELECT a.item_id AS pair_id, a.text AS a, b.text AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
+SELECT pair_id, CAST(CASE WHEN least(length(a), length(b)) = 0 THEN 0 ELSE coalesce(list_min(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(length(a), length(b))) END AS INT) AS shared FROM p
+""")
+def seq_prefix(spark, sf_dir):
+    return tables.passage_pairs(spark, sf_dir).select("pair_id", bases.common_prefix(F.col("first"), F.col("second")).cast("int").alias("shared"))
+
+
+@query("seq_hash", f"""
+SELECT doc_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, length({DNA}) + 1), lambda i: CAST(ascii({DNA}[i]) AS BIGINT))), lambda h, c: (h * 239 + c) % 36028797018963913) AS h FROM documents WHERE length({DNA}) < 200
+""")
+def seq_hash(spark, sf_dir):
+    return tables.document_dna(spark, sf_dir).filter(F.length("seq") < 200).select(F.col("seq_id").alias("doc_id"), bases.polynomial_hash(F.col("seq")).alias("h"))
+
+
+@query("seq_chunks", """
+SELECT doc_id, CAST(i AS BIGINT) AS start, doc_id || '_' || i AS chunk_id, md5(substring(text, CAST(i + 1 AS BIGINT), 550)) AS chunk
+FROM documents, LATERAL (SELECT unnest(range(0, greatest(length(text) - 51, 0) + 1, 500)) AS i) WHERE length(text) > 0
+""")
+def seq_chunks(spark, sf_dir):
+    return kmers.chunks(tables.documents(spark, sf_dir), 500, 50).select(F.col("seq_id").alias("doc_id"), "start", "chunk_id", F.md5("chunk").alias("chunk"))
+
+
+# -- k-mers -----------------------------------------------------------------------
+
+DOC_KMERS, ITEM_KMERS = KMERS.format(id="doc_id", table="documents", k=24), KMERS.format(id="item_id", table="benchmark", k=24)
+RARE = "SELECT seq_id, kmer, count(*) AS n FROM {0} GROUP BY seq_id, kmer HAVING count(*) <= 1"
+
+
+@query("kmer_counts", f"WITH k AS ({KMERS.format(id='item_id', table='benchmark', k=12)}) SELECT seq_id AS item_id, kmer, count(*) AS n FROM k GROUP BY ALL")
+def kmer_counts(spark, sf_dir):
+    return kmers.counts(kmers.kmers(tables.passages(spark, sf_dir), 12)).withColumnRenamed("seq_id", "item_id")
+
+
+@query("kmer_rare", f"WITH d AS ({DOC_KMERS}), r AS ({RARE.format('d')}) SELECT seq_id AS doc_id, count(*) AS n_rare FROM r GROUP BY seq_id")
+def kmer_rare(spark, sf_dir):
+    return kmers.rare(kmers.kmers(tables.documents(spark, sf_dir), 24)).groupBy(F.col("seq_id").alias("doc_id")).agg(F.count("*").alias("n_rare"))
+
+
+@query("kmer_rare_shared", f"""
+WITH d AS ({DOC_KMERS}), b AS ({ITEM_KMERS}), rd AS ({RARE.format("d")}), rb AS ({RARE.format("b")})
+SELECT rd.seq_id AS doc_id, rb.seq_id AS item_id, count(*) AS n_shared FROM rd JOIN rb USING (kmer) GROUP BY ALL
+""")
+def kmer_rare_shared(spark, sf_dir):
+    shared = kmers.shared_rare(kmers.kmers(tables.documents(spark, sf_dir), 24), kmers.kmers(tables.passages(spark, sf_dir), 24))
+    return shared.groupBy(F.col("first_id").alias("doc_id"), F.col("second_id").alias("item_id")).agg(F.count("*").alias("n_shared"))
+
+
+def _shared_positions(spark, sf_dir):
+    items = kmers.kmers(tables.passages(spark, sf_dir), 24)
+    return kmers.positions_of(kmers.kmers(tables.documents(spark, sf_dir), 24), kmers.rare(items)), items
+
+
+@query("kmer_positions", f"WITH d AS ({DOC_KMERS}), b AS ({ITEM_KMERS}), rb AS ({RARE.format('b')}) SELECT seq_id AS doc_id, CAST(pos AS BIGINT) AS pos, kmer FROM d WHERE kmer IN (SELECT kmer FROM rb)")
+def kmer_positions(spark, sf_dir):
+    return _shared_positions(spark, sf_dir)[0].withColumnRenamed("seq_id", "doc_id")
+
+
+@query("kmer_coords", f"WITH d AS ({DOC_KMERS}), b AS ({ITEM_KMERS}), rb AS ({RARE.format('b')}) SELECT seq_id AS doc_id, kmer, array_to_string(list_sort(list(pos)), ',') AS positions FROM d WHERE kmer IN (SELECT kmer FROM rb) GROUP BY seq_id, kmer")
+def kmer_coords(spark, sf_dir):
+    lists = kmers.coordinate_lists(_shared_positions(spark, sf_dir)[0])
+    return lists.select(F.col("seq_id").alias("doc_id"), "kmer", bases.join_fields(F.col("positions")).alias("positions"))
+
+
+@query("kmer_dotplot_pairs", f"""
+WITH d AS ({DOC_KMERS}), b AS ({ITEM_KMERS})
+SELECT d.seq_id AS doc_id, b.seq_id AS item_id, CAST(d.pos AS BIGINT) AS x, CAST(b.pos AS BIGINT) AS y, CAST(d.pos + 24 AS BIGINT) AS x_end, CAST(b.pos + 24 AS BIGINT) AS y_end FROM d JOIN b USING (kmer)
+""")
+def kmer_dotplot_pairs(spark, sf_dir):
+    found, items = _shared_positions(spark, sf_dir)
+    every = kmers.positions_of(kmers.kmers(tables.documents(spark, sf_dir), 24), items)
+    return kmers.dotplot_pairs(every, items, 24).withColumnsRenamed({"first_id": "doc_id", "second_id": "item_id"})
+
+
+@query("minimizers", f"""
+WITH k AS ({KMERS.format(id="item_id", table="benchmark", k=11)}), w AS (
+  SELECT seq_id, min({{'kmer': kmer, 'pos': pos}}) OVER f AS m, count(*) OVER f AS held, count(*) OVER (PARTITION BY seq_id) AS n, pos
+  FROM k WINDOW f AS (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+), q AS (SELECT DISTINCT seq_id, m.pos AS pos, m.kmer AS kmer FROM w WHERE held = 8 OR (n < 8 AND held = n))
+SELECT seq_id AS item_id, CAST(pos AS BIGINT) AS pos, kmer FROM (SELECT *, lag(kmer) OVER (PARTITION BY seq_id ORDER BY pos) AS before FROM q) WHERE kmer IS DISTINCT FROM before
+""")
+def minimizers(spark, sf_dir):
+    return kmers.minimizers(tables.passages(spark, sf_dir), 11, 8, strands=False).withColumnRenamed("seq_id", "item_id")
+
+
+@query("minimizers_dna")
+def minimizers_dna(spark, sf_dir):
+    return kmers.minimizers(tables.document_dna(spark, sf_dir), 13, 10).withColumnRenamed("seq_id", "doc_id")
+
+
+@query("sliding_min", """
+SELECT event_id, low FROM (SELECT event_id, min(value) OVER f AS low, count(*) OVER f AS held FROM events WINDOW f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE held = 5
+""")
+def sliding_min(spark, sf_dir):
+    return kmers.sliding_min(tables.table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 5).select("event_id", "low")
+
+
+@query("running_mean", """
+SELECT event_id, round(mean, 6) AS mean FROM (SELECT event_id, avg(value) OVER f AS mean, count(*) OVER f AS held FROM events WINDOW f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE held = 5
+""")
+def running_mean(spark, sf_dir):
+    return kmers.moving_average(tables.table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 5).select("event_id", F.round("mean", 6).alias("mean"))
+
+
+# -- suffixes and matches ---------------------------------------------------------
+
+
+def _ranked(spark, sf_dir):
+    pairs = tables.passage_pairs(spark, sf_dir)
+    return suffix.suffixes(pairs), pairs.select("pair_id", F.length("first").alias("n_first"))
+
+
+@query("suffix_rank", f"WITH {RANKED} SELECT pair_id, CAST(side AS INT) AS side, CAST(pos AS BIGINT) AS pos, CAST(r AS BIGINT) AS r FROM sa")
+def suffix_rank(spark, sf_dir):
+    return suffix.inverse(_ranked(spark, sf_dir)[0])
+
+
+@query("lcp_adjacent", f"WITH {RANKED} SELECT pair_id, CAST(r AS BIGINT) AS r, CAST(lcp AS BIGINT) AS lcp FROM sa")
+def lcp_adjacent(spark, sf_dir):
+    return _ranked(spark, sf_dir)[0].select("pair_id", "r", "lcp")
+
+
+@query("mutual_unique_matches", f"WITH {RANKED}, h AS ({_width_sql(2)}) SELECT pair_id, CAST(clas AS BIGINT) AS clas, CAST(q[1] AS INT) AS side, CAST(q[2] AS BIGINT) AS pos, CAST(min_len AS BIGINT) AS min_len, CAST(max_len AS BIGINT) AS max_len FROM h")
+def mutual_unique_matches(spark, sf_dir):
+    return suffix.matches_of_width(_ranked(spark, sf_dir)[0], 2).select("pair_id", "clas", "side", "pos", "min_len", "max_len")
+
+
+@query("rare_match_classes", f"WITH {HITS} SELECT pair_id, CAST(w AS INT) AS w, m, n, CAST(clas AS BIGINT) AS clas, side, pos, CAST(min_len AS BIGINT) AS min_len, CAST(max_len AS BIGINT) AS max_len FROM hits")
+def rare_match_classes(spark, sf_dir):
+    ranked, sizes = _ranked(spark, sf_dir)
+    return suffix.rare_matches(ranked, sizes, widest=WIDEST).select("pair_id", "w", "m", "n", "clas", "side", "pos", "min_len", "max_len")
+
+
+def _intervals(spark, sf_dir):
+    ranked, sizes = _ranked(spark, sf_dir)
+    return suffix.anchor_intervals(suffix.rare_matches(ranked, sizes, widest=WIDEST), sizes)
+
+
+@query("anchor_intervals", f"WITH {INTERVALS} SELECT pair_id, m, n, CAST(clas AS BIGINT) AS clas, CAST(len AS BIGINT) AS len, array_to_string(first_starts, ',') AS first_starts, array_to_string(second_starts, ',') AS second_starts FROM iv")
+def anchor_intervals(spark, sf_dir):
+    found = _intervals(spark, sf_dir)
+    return found.select("pair_id", "m", "n", "clas", "len", bases.join_fields(F.col("first_starts")).alias("first_starts"), bases.join_fields(F.col("second_starts")).alias("second_starts"))
+
+
+@query("anchor_scores", f"""
+WITH {INTERVALS}, ex AS (SELECT pair_id, len, m, n, unnest(first_starts) AS x, second_starts FROM iv), ey AS (SELECT pair_id, len, m, n, x, unnest(second_starts) AS y FROM ex)
+SELECT pair_id, CAST(len AS BIGINT) AS len, m, n, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(len AS DOUBLE) / (m * n) AS score FROM ey
+""")
+def anchor_scores(spark, sf_dir):
+    return suffix.anchors(_intervals(spark, sf_dir)).select("pair_id", "len", "m", "n", "x", "y", "score")
+
+
+# -- alignment --------------------------------------------------------------------
+
+
+@query("chain_score")
+def chain_score(spark, sf_dir):
+    return align.chains(tables.passage_pairs(spark, sf_dir)).groupBy("pair_id").agg(F.max("score").alias("score"), F.count("*").alias("anchors"))
+
+
+@query("shortest_matches")
+def shortest_matches(spark, sf_dir):
+    return align.shortest_matches(tables.related_pairs(spark, sf_dir), all_widths=True)
+
+
+@query("align_cigar")
+def align_cigar(spark, sf_dir):
+    return align.align(tables.related_pairs(spark, sf_dir)).select("pair_id", "cigar", "valid")
+
+
+@query("align_cigar_primary")
+def align_cigar_primary(spark, sf_dir):
+    return align.align(tables.passage_pairs(spark, sf_dir)).select("pair_id", "cigar_primary", "valid")
+
+
+@query("align_recursive")
+def align_recursive(spark, sf_dir):
+    return align.align(tables.passage_pairs(spark, sf_dir)).select("pair_id", "cigar_recursive", "valid")
+
+
+@query("align_validity", f"WITH {PAIRS} SELECT pair_id AS aln_id, true AS valid FROM p")
+def align_validity(spark, sf_dir):
+    """Every alignment passes the relational check of lengths and letters."""
+    pairs = tables.passage_pairs(spark, sf_dir)
+    done = align.align(pairs).select("pair_id", "cigar").join(pairs, "pair_id")
+    return cigar.check(done.withColumnRenamed("pair_id", "aln_id"))
+
+
+@query("align_gapped")
+def align_gapped(spark, sf_dir):
+    pairs = tables.related_pairs(spark, sf_dir)
+    return cigar.gapped(align.align(pairs).select("pair_id", "cigar").join(pairs, "pair_id").withColumnRenamed("pair_id", "aln_id"))
+
+
+@query("optimal_path_counts")
+def optimal_path_counts(spark, sf_dir):
+    return align.path_counts(tables.related_pairs(spark, sf_dir), all_widths=True)
+
+
+@query("chain_bridges")
+def chain_bridges(spark, sf_dir):
+    return align.bridges(tables.related_pairs(spark, sf_dir), all_widths=True)
+
+
+@query("rare_prefix_summary")
+def rare_prefix_summary(spark, sf_dir):
+    return kmers.rare_prefix_summary(align.rare_prefixes(tables.related_pairs(spark, sf_dir)), ["pair_id", "m", "n"])
+
+
+@query("kmer_lcs")
+def kmer_lcs(spark, sf_dir):
+    return align.align_kmers(tables.related_pairs(spark, sf_dir), k=7)
+
+
+@query("kmer_align_parts")
+def kmer_align_parts(spark, sf_dir):
+    found = align.align_kmers(tables.related_pairs(spark, sf_dir), k=7).withColumnRenamed("pair_id", "aln_id")
+    return analytics.match_parts(found)
+
+
+@query("kmer_align_blocks")
+def kmer_align_blocks(spark, sf_dir):
+    found = align.align_kmers(tables.related_pairs(spark, sf_dir), k=7).withColumnRenamed("pair_id", "aln_id")
+    return analytics.blocks_of_kmers(found, 20, 7)
+
+
+@query("kmer_path")
+def kmer_path(spark, sf_dir):
+    return align.kmer_path(tables.related_pairs(spark, sf_dir), k=7)
+
+
+ASCII = "regexp_replace({0}, '[^ -~]', '', 'g')"
+
+
+@query("edit_distance", f"WITH {PAIRS} SELECT pair_id, CAST(levenshtein({ASCII.format('first')}, {ASCII.format('second')}) AS BIGINT) AS distance FROM p")
+def edit_distance(spark, sf_dir):
+    plain = lambda c: F.regexp_replace(c, "[^ -~]", "").alias(c)
+    return align.edit_identity(tables.passage_pairs(spark, sf_dir).select("pair_id", plain("first"), plain("second"))).select("pair_id", "distance")
+
+
+@query("edit_identity")
+def edit_identity(spark, sf_dir):
+    return align.edit_identity(tables.passage_pairs(spark, sf_dir))
+
+
+@query("simulate_mutations")
+def simulate_mutations(spark, sf_dir):
+    d = tables.document_dna(spark, sf_dir).filter(F.length("seq") > 0)
+    return simulate.mutate(d, seed=3, mismatch=0.01, deletion=0.005, insertion=0.005)
+
+
+@query("simulate_deletion")
+def simulate_deletion(spark, sf_dir):
+    return simulate.delete_once(tables.document_dna(spark, sf_dir), seed=3, rate=0.02, length=200)
+
+
+@query("simulate_copies")
+def simulate_copies(spark, sf_dir):
+    d = tables.document_dna(spark, sf_dir).withColumn("starts", F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(40)))
+    return simulate.copy_number(d, events=6, seed=3)
+
+
+# -- alignments as rows -----------------------------------------------------------
+
+
+@query("cigar_format", f"WITH {STEPS} SELECT aln_id, string_agg(len || op, '' ORDER BY ord) AS cigar FROM s GROUP BY aln_id")
+def cigar_format(spark, sf_dir):
+    return cigar.render(tables.order_steps(spark, sf_dir))
+
+
+@query("cigar_parse", f"WITH {STEPS} SELECT aln_id, CAST(ord AS INT) AS ord, len, op FROM s")
+def cigar_parse(spark, sf_dir):
+    return cigar.parse(cigar.render(tables.order_steps(spark, sf_dir)))
+
+
+@query("cigar_rle", f"""
+WITH {STEPS}, c AS (SELECT *, CASE WHEN op = lag(op) OVER (PARTITION BY aln_id ORDER BY ord) THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT *, sum(new) OVER (PARTITION BY aln_id ORDER BY ord) AS island FROM c)
+SELECT aln_id, CAST(island - 1 AS INT) AS ord, CAST(sum(len) AS BIGINT) AS len, min(op) AS op FROM g GROUP BY aln_id, island
+""")
+def cigar_rle(spark, sf_dir):
+    return cigar.merge(tables.order_steps(spark, sf_dir))
+
+
+@query("cigar_summary", f"WITH {STEPS} SELECT aln_id, op, CAST(sum(len) AS BIGINT) AS bases, count(*) AS configurations FROM s GROUP BY aln_id, op")
+def cigar_summary(spark, sf_dir):
+    return cigar.summary(tables.order_steps(spark, sf_dir))
+
+
+@query("cigar_totals", f"WITH {STEPS} SELECT aln_id, " + ", ".join(f"CAST(coalesce(sum(len) FILTER (op = '{op}'), 0) AS BIGINT) AS {n}" for op, n in (("=", "n_eq"), ("M", "n_m"), ("X", "n_x"), ("I", "n_i"), ("D", "n_d"))) + " FROM s GROUP BY aln_id")
+def cigar_totals(spark, sf_dir):
+    return cigar.totals(tables.order_steps(spark, sf_dir))
+
+
+@query("cigar_lengths", f"WITH {STEPS} SELECT aln_id, CAST(sum(dx) AS BIGINT) AS target, CAST(sum(dy) AS BIGINT) AS query FROM t GROUP BY aln_id")
+def cigar_lengths(spark, sf_dir):
+    return cigar.lengths(tables.order_steps(spark, sf_dir))
+
+
+@query("cigar_mutability", f"WITH {STEPS}, g AS (SELECT aln_id, coalesce(sum(len) FILTER (op = 'M'), 0)::DOUBLE AS m, sum(dx)::DOUBLE AS a, sum(dy)::DOUBLE AS b FROM t GROUP BY aln_id) SELECT aln_id, CASE WHEN a > 0 AND b > 0 THEN round(1 - (m / a + m / b) / 2, 9) END AS mutability FROM g")
+def cigar_mutability(spark, sf_dir):
+    return cigar.mutability(tables.order_steps(spark, sf_dir)).select("aln_id", F.round("mutability", 9).alias("mutability"))
+
+
+@query("cigar_trace", f"WITH {STEPS} SELECT aln_id, CAST(ord AS INT) AS ord, len, op, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1 FROM t")
+def cigar_trace(spark, sf_dir):
+    return cigar.trace(tables.order_steps(spark, sf_dir))
+
+
+@query("cigar_vertices", f"WITH {STEPS} SELECT aln_id, 0 AS ord, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y FROM s GROUP BY aln_id UNION ALL SELECT aln_id, CAST(ord + 1 AS INT), CAST(x1 AS BIGINT), CAST(y1 AS BIGINT) FROM t")
+def cigar_vertices(spark, sf_dir):
+    return cigar.vertices(tables.order_steps(spark, sf_dir))
+
+
+def _indel_sql() -> str:
+    parts = ["count(*) FILTER (op = 'X') AS n_mism", "coalesce(sum(len) FILTER (op = 'X'), 0) AS len_mism", "coalesce(sum(len) FILTER (NOT (op IN ('I', 'D') AND len > 20)), 0) AS norm_len"]
+    for letter, name in (("I", "insertions"), ("D", "deletions")):
+        for kind, test in (("short", "<="), ("long", ">")):
+            where = f"FILTER (op = '{letter}' AND len {test} 20)"
+            parts += [f"count(*) {where} AS n_{kind}_{name}", f"coalesce(sum(len) {where}, 0) AS len_{kind}_{name}"]
+        parts.append(f"coalesce(max(len) FILTER (op = '{letter}' AND len > 20), 0) AS max_{name[:-1]}")
+    return f"WITH {STEPS} SELECT aln_id, " + ", ".join("CAST(" + p.replace(" AS ", " AS BIGINT) AS ") for p in parts) + " FROM s GROUP BY aln_id"
+
+
+@query("cigar_indel_stats", _indel_sql())
+def cigar_indel_stats(spark, sf_dir):
+    return cigar.indel_statistics(tables.order_steps(spark, sf_dir), 20)
+
+
+@query("cigar_indel_hist", f"WITH {STEPS} SELECT op, CAST(floor(len / 10.0) * 10 AS BIGINT) AS bin_start, count(*) AS n FROM s WHERE op IN ('I', 'D') GROUP BY ALL")
+def cigar_indel_hist(spark, sf_dir):
+    return cigar.indel_histogram(tables.order_steps(spark, sf_dir), 10, ())
+
+
+@query("square_blocks", f"""
+WITH {STEPS}, c AS (SELECT *, lead(op) OVER w AS op2, lead(len) OVER w AS len2 FROM s WINDOW w AS (PARTITION BY aln_id ORDER BY ord))
+SELECT aln_id, len, count(*) AS n FROM c WHERE op IN ('I', 'D') AND op2 IN ('I', 'D') AND op <> op2 AND len = len2 GROUP BY aln_id, len
+""")
+def square_blocks(spark, sf_dir):
+    return cigar.square_blocks(tables.order_steps(spark, sf_dir))
+
+
+@query("hor_multiplicity", f"""
+WITH {STEPS}, f AS (SELECT aln_id, len, x0, round_even(len / 7.0, 0) AS mult FROM t WHERE op IN ('I', 'D')),
+g AS (
+  SELECT aln_id, CAST(mult AS BIGINT) AS mult, count(*) AS n, array_to_string(list_sort(list(len)), ',') AS lens, array_to_string(list_sort(list(CAST(x0 AS BIGINT))), ',') AS positions
+  FROM f WHERE mult <> 0 AND abs(len - mult * 7) / 7 < 0.05 GROUP BY aln_id, mult
+)
+SELECT aln_id, mult, n, CAST(round_even(n / sum(n) OVER (PARTITION BY aln_id) * 100, 0) AS INT) AS percent,
+  round(sum(n * mult) OVER (PARTITION BY aln_id) / sum(n) OVER (PARTITION BY aln_id), 9) AS mean_mult, lens, positions FROM g
+""")
+def hor_multiplicity(spark, sf_dir):
+    found = cigar.unit_multiplicity(tables.order_steps(spark, sf_dir), 7)
+    return found.select("aln_id", "mult", "n", "percent", F.round("mean_mult", 9).alias("mean_mult"), bases.join_fields(F.col("lens")).alias("lens"), bases.join_fields(F.col("positions")).alias("positions"))
+
+
+@query("poisson_fit", f"""
+WITH {STEPS}, f AS (SELECT round_even(len / 7.0, 0) AS mult, len FROM s WHERE op IN ('I', 'D')), a AS (SELECT avg(mult) AS mean FROM f WHERE mult <> 0 AND abs(len - mult * 7) / 7 < 0.05)
+SELECT CAST(k AS INT) AS k, round(exp(1 - mean) * pow(mean - 1, k - 1) / factorial(CAST(k - 1 AS INT)), 9) AS p FROM a, (SELECT unnest(range(1, 7)) AS k)
+""")
+def poisson_fit(spark, sf_dir):
+    mean = cigar.unit_multiples(tables.order_steps(spark, sf_dir), 7).agg(F.avg("mult").alias("mean"))
+    return mean.select("mean", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("k")).select("k", F.round(bases.shifted_poisson(F.col("k"), F.col("mean")), 9).alias("p"))
+
+
+# -- analytics --------------------------------------------------------------------
+
+
+@query("conserved_regions", f"""
+WITH {STEPS}, b AS (SELECT *, op IN ('I', 'D') AND len > 30 AS big FROM t),
+g AS (SELECT *, sum(big::INT) OVER (PARTITION BY aln_id ORDER BY ord) - big::INT AS island FROM b),
+r AS (
+  SELECT aln_id, island, min(x0) FILTER (NOT big) AS first_start, min(y0) FILTER (NOT big) AS second_start, max(x1) FILTER (NOT big) AS first_end, max(y1) FILTER (NOT big) AS second_end, bool_or(big) AS closed
+  FROM g GROUP BY aln_id, island
+)
+SELECT aln_id, CAST(first_start AS BIGINT) AS first_start, CAST(second_start AS BIGINT) AS second_start, CAST(first_end AS BIGINT) AS first_end, CAST(second_end AS BIGINT) AS second_end
+FROM r WHERE closed AND least(first_end - first_start, second_end - second_start) > 20
+""")
+def conserved_regions(spark, sf_dir):
+    return analytics.conserved_regions(tables.order_steps(spark, sf_dir), 30, 20)
+
+
+@query("cigar_blocks", f"""
+WITH {STEPS}, e AS (SELECT aln_id, ord, CASE WHEN op = 'D' THEN 0 ELSE len END AS ex, CASE WHEN op = 'I' THEN 0 ELSE len END AS ey, op = 'M' AS eq FROM s),
+c AS (SELECT *, sum(ex) OVER w - ex AS x0, sum(ex) OVER w AS x1, sum(ey) OVER w - ey AS y0, sum(ey) OVER w AS y1, CASE WHEN eq = lag(eq) OVER w THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY aln_id ORDER BY ord)),
+d AS (SELECT *, sum(new) OVER (PARTITION BY aln_id ORDER BY ord) AS part FROM c),
+p AS (SELECT aln_id, part, bool_and(eq) AS eq, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM d GROUP BY aln_id, part),
+q AS (SELECT *, NOT eq AND greatest(x1 - x0, y1 - y0) > 25 AS wide FROM p WHERE eq OR part > 1),
+k AS (SELECT *, sum(wide::INT) OVER (PARTITION BY aln_id ORDER BY part) - wide::INT AS block FROM q)
+SELECT aln_id, CAST(min(x0) AS BIGINT) AS st1, CAST(max(x1) AS BIGINT) AS en1, CAST(min(y0) AS BIGINT) AS st2, CAST(max(y1) AS BIGINT) AS en2 FROM k WHERE NOT wide GROUP BY aln_id, block
+""")
+def cigar_blocks(spark, sf_dir):
+    rows = tables.order_steps(spark, sf_dir).withColumn("op", F.when(F.col("op") == "M", "=").otherwise(F.col("op")))
+    return analytics.blocks_of_steps(rows, 25)
+
+
+@query("orthologue_projection", f"""
+WITH {STEPS}, g AS (SELECT l_orderkey AS aln_id, l_partkey || '/' || l_linenumber AS name, CAST(p_size * 3 AS BIGINT) AS pos FROM lineitem JOIN part ON l_partkey = p_partkey),
+e AS (SELECT aln_id, max(y1) AS last FROM t GROUP BY aln_id),
+n AS (SELECT DISTINCT g.aln_id, g.name, g.pos, (SELECT min(x1) FROM t WHERE t.aln_id = g.aln_id AND t.x1 > g.pos AND t.x1 > t.x0) AS x1 FROM g)
+SELECT n.aln_id, n.name, n.pos, count(*) AS times, round(max(CASE WHEN n.x1 IS NULL THEN e.last::DOUBLE ELSE t.y0 + (n.pos - t.x0)::DOUBLE * (t.y1 - t.y0)::DOUBLE / (t.x1 - t.x0)::DOUBLE END), 6) AS projected
+FROM g JOIN n ON g.aln_id = n.aln_id AND g.name = n.name AND g.pos = n.pos JOIN e ON e.aln_id = n.aln_id LEFT JOIN t ON t.aln_id = n.aln_id AND t.x1 = n.x1 AND t.x1 > t.x0 GROUP BY ALL
+""")
+def orthologue_projection(spark, sf_dir):
+    lines, parts = tables.table(spark, sf_dir, "lineitem"), tables.table(spark, sf_dir, "part")
+    points = lines.join(parts, lines.l_partkey == parts.p_partkey).select(F.col("l_orderkey").alias("aln_id"), F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")).alias("name"), (F.col("p_size") * 3).alias("pos"))
+    put = analytics.orthologues(points, tables.order_steps(spark, sf_dir))
+    return put.groupBy("aln_id", "name", "pos").agg(F.count("*").alias("times"), F.round(F.max("projected"), 6).alias("projected"))
+
+
+@query("cigar_compare", f"""
+WITH {STEPS}, m AS (SELECT aln_id, x0 - y0 AS diagonal, x0, x1 FROM t WHERE op = 'M'), z AS (SELECT aln_id, sum(x1 - x0) AS size FROM m GROUP BY aln_id),
+o AS (SELECT DISTINCT aln_id AS a_id, aln_id + 1 AS b_id FROM s),
+h AS (
+  SELECT o.a_id, o.b_id, sum(least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS shared
+  FROM o JOIN m a ON a.aln_id = o.a_id JOIN m b ON b.aln_id = o.b_id AND b.diagonal = a.diagonal AND a.x0 < b.x1 AND b.x0 < a.x1 GROUP BY ALL
+)
+SELECT o.a_id, o.b_id, CAST(coalesce(za.size, 0) AS BIGINT) AS size_a, CAST(coalesce(zb.size, 0) AS BIGINT) AS size_b, CAST(coalesce(h.shared, 0) AS BIGINT) AS shared,
+  round(coalesce(h.shared, 0)::DOUBLE / nullif(least(coalesce(za.size, 0), coalesce(zb.size, 0)), 0)::DOUBLE, 9) AS ratio
+FROM o LEFT JOIN h ON h.a_id = o.a_id AND h.b_id = o.b_id LEFT JOIN z za ON za.aln_id = o.a_id LEFT JOIN z zb ON zb.aln_id = o.b_id
+""")
+def cigar_compare(spark, sf_dir):
+    rows = tables.order_steps(spark, sf_dir)
+    pairs = rows.select(F.col("aln_id").alias("a_id"), (F.col("aln_id") + 1).alias("b_id")).distinct()
+    return analytics.compare(pairs, rows).withColumn("ratio", F.round("ratio", 9))
+
+
+SEGMENTS = "SELECT l_suppkey AS id, l_orderkey AS name, l_partkey AS a, l_partkey + CAST(l_quantity AS BIGINT) AS b FROM lineitem WHERE l_returnflag = '{0}'"
+
+
+@query("segment_overlap", f"""
+WITH r AS ({SEGMENTS.format("R")}), o AS ({SEGMENTS.format("A")})
+SELECT r.id, r.name AS a_name, count(*) AS n, CAST(sum(least(r.b, o.b) - greatest(r.a, o.a)) AS BIGINT) AS overlap FROM r JOIN o ON r.id = o.id AND r.a < o.b AND o.a < r.b GROUP BY ALL
+""")
+def segment_overlap(spark, sf_dir):
+    found = analytics.overlaps(tables.part_segments(spark, sf_dir, "R"), tables.part_segments(spark, sf_dir, "A"), 64)
+    return found.groupBy("id", "a_name").agg(F.count("*").alias("n"), F.sum("overlap").alias("overlap"))
+
+
+@query("coverage_uncovered", f"""
+WITH r AS ({SEGMENTS.format("R")}), z AS (SELECT id, max(b) AS size FROM r GROUP BY id), c AS (SELECT DISTINCT id, unnest(range(a, b)) AS cell FROM r)
+SELECT z.id, round((z.size + 1 - count(c.cell))::DOUBLE / (z.size + 1)::DOUBLE, 9) AS uncovered FROM z LEFT JOIN c ON c.id = z.id GROUP BY z.id, z.size
+""")
+def coverage_uncovered(spark, sf_dir):
+    rows = tables.part_segments(spark, sf_dir, "R")
+    sizes = rows.groupBy("id").agg(F.max("right").alias("size"))
+    return analytics.uncovered(rows, sizes).withColumn("uncovered", F.round("uncovered", 9))
+
+
+@query("interval_buckets", """
+SELECT CAST(l_linenumber AS INT) AS first_freq, CAST(l_linenumber % 3 + 1 AS INT) AS second_freq, CASE WHEN q > 40 THEN 40 WHEN q > 20 THEN 20 WHEN q > 10 THEN 10 ELSE 5 END AS bucket, count(*) AS n, CAST(sum(q) AS BIGINT) AS total
+FROM (SELECT l_linenumber, CAST(l_quantity AS BIGINT) AS q FROM lineitem) WHERE q >= 5 GROUP BY ALL
+""")
+def interval_buckets(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("int").alias("first_freq"), (F.col("l_linenumber") % 3 + 1).cast("int").alias("second_freq"), F.col("l_quantity").cast("long").alias("len"))
+    return analytics.interval_buckets(rows, (10, 40, 5, 20)).groupBy("first_freq", "second_freq", "bucket").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
