@@ -53,8 +53,7 @@ class MultiIndex:
         return len(self.books[0])
 
     def distances(self, vectors: np.ndarray) -> list[np.ndarray]:
-        half = self.books[0].shape[1]
-        return [((h**2).sum(1)[:, None] - 2 * h @ c.T + (c**2).sum(1)) for h, c in zip((vectors[:, :half], vectors[:, half:]), self.books, strict=True)]
+        return [((h**2).sum(1)[:, None] - 2 * h @ c.T + (c**2).sum(1)) for h, c in zip(halves(vectors), self.books, strict=True)]
 
     def cells(self, vectors: np.ndarray) -> np.ndarray:
         a, b = self.distances(vectors)
@@ -81,6 +80,12 @@ class MultiIndex:
         return out
 
 
+def halves(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves; the second of a single component is a zero."""
+    half = (vectors.shape[1] + 1) // 2
+    return vectors[:, :half], vectors[:, half:] if vectors.shape[1] > half else np.zeros((len(vectors), 1))
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors**2).sum(1))[:, None]
 
@@ -99,10 +104,9 @@ def k_means(points: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarr
 
 def fit(sample: np.ndarray, entries: int, neighbours: int, recall: float = 0.97, queries: int = 200) -> MultiIndex:
     """Codebooks and walk for an index of ``entries`` vectors, from unit vectors of a sample."""
-    half = max(1, sample.shape[1] // 2)
     k = int(np.clip(2 ** round(np.log2(max(4.0, entries / 64)) / 2), 2, 64))
     k = min(k, len(sample))
-    books = tuple(k_means(h if h.shape[1] else np.zeros((len(sample), 1)), k, s) for s, h in enumerate((sample[:, :half], sample[:, half:])))
+    books = tuple(k_means(h, k, s) for s, h in enumerate(halves(sample)))
     index = MultiIndex(books, np.zeros(k * k, np.int64))
     if len(sample) <= 4 * neighbours + 4:
         return MultiIndex(books, walk=entries + 1)

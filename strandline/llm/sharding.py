@@ -13,7 +13,7 @@ row counts between them give each row its place without a global sort. Rows are
 exchanged once. The driver sees boundaries and their counts only, a number that
 follows shards and cuts, not rows.
 
-Null texts have no bytes; a missing doc_id sorts first. Rows alike in text and
+Null texts have no bytes and lie with the empty ones; a missing doc_id sorts first. Rows alike in text and
 doc_id share a key and stay in one shard. An empty table gives no rows.
 """
 
@@ -120,7 +120,7 @@ def shard(df: DataFrame, shards: int = 16, text_col: str = "text", id_col: str =
     names = {n: free_name(df, n) for n in ("size", "shard", "slot")}
     h, i, piece, place = (free_name(df, f"sharding_{n}") for n in ("h", "i", "piece", "place"))
     keyed = df.withColumn(names["size"], (F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + 1).cast("long"))
-    keyed = keyed.withColumn(h, F.xxhash64(F.col(f"`{text_col}`"))).withColumn(i, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-LOW)))
+    keyed = keyed.withColumn(h, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).withColumn(i, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-LOW)))
     keys = cut(keyed.select(F.col(h).alias("h"), F.col(i).alias("i"), F.col(names["size"]).alias("size")), "keys")
     n, total, least, most = keys.agg(F.count("*"), F.sum("size"), F.min("i"), F.max("i")).first()
     fine = int(np.clip((n or 0) // (shards * ROWS_OF_A_CUT), 4, 1024))

@@ -39,6 +39,8 @@ from .components import connected_components, local_components
 
 DISTANCE = 3
 SAMPLE = 2000
+#: Keys that one fingerprint may probe in a partition; larger thresholds aren't considered.
+MOST_KEYS = 1024
 #: Rows under one key that a single task compares.
 BLOCK = 4096
 
@@ -121,7 +123,7 @@ def allocate(sample: np.ndarray, total: int, distance: int = DISTANCE, most: int
     apart = sample[i] != sample[j] if n else np.zeros(0, bool)
     x = sample[i[apart]] ^ sample[j[apart]] if n else np.zeros(0, np.uint64)
     best = None
-    for m in range(1, most + 1):
+    for m in range(2, most + 1):
         groups = correlated_groups(sample, m) if n > 1 else tuple(tuple(range(k, 64, m)) for k in range(m))
         budget = distance - m + 1
         cost: list[dict[int, float]] = []
@@ -131,6 +133,8 @@ def allocate(sample: np.ndarray, total: int, distance: int = DISTANCE, most: int
             of: dict[int, float] = {-1: 0.0}
             for t in range(distance + 1):
                 even = sum(comb(len(g), k) for k in range(t + 1))
+                if even > MOST_KEYS:
+                    break
                 share = max(float((near <= t).mean()) if len(x) else 0.0, even / 2.0 ** len(g))
                 of[t] = 40.0 * total * (even + (t > 0)) + share * total * total
             cost.append(of)
@@ -165,8 +169,9 @@ def probes(distinct: DataFrame, plan: Partitioning) -> DataFrame:
             continue
         mask = F.lit(signed(sum(1 << b for b in group)))
         own = F.col("fp").bitwiseAND(mask)
-        flips = F.array(*[F.struct(own.bitwiseXOR(F.lit(signed(f))).alias("key"), F.lit(f == 0).alias("home")) for f in key_masks(group, t)])
-        parts.append(distinct.select(F.lit(p).alias("part"), F.explode(flips).alias("e"), "fp").select("part", "e.key", "e.home", "fp"))
+        flips = F.array(*[F.lit(signed(f)) for f in key_masks(group, t)])
+        each = distinct.select("fp", F.explode(flips).alias("flip"))
+        parts.append(each.select(F.lit(p).alias("part"), own.bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") == 0).alias("home"), "fp"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

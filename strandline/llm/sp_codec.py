@@ -280,7 +280,8 @@ class PieceCodec:
         norm, origin = self.normalise(text)
         words = re.findall(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+", norm.decode()) if self.by_word else [norm.decode()]
         ids, sizes = self._to_ids([p for w in words for p in self.merge(w)])
-        ends = np.cumsum(np.array(sizes, np.int64))
+        sizes = np.array(sizes, np.int64)
+        ends = np.cumsum(sizes)
         begin, end = origin[ends - sizes], origin[ends]
         return np.array(ids, np.int32), begin.astype(np.int32), np.maximum(begin, end).astype(np.int32)
 
@@ -336,8 +337,9 @@ class PieceCodec:
             if front and (some or any(out)):
                 front = False
             if front and cut_front and piece.startswith(BLANK):
-                out.append(text.lstrip(" ") if self.trim else text[1:])
-                some = not self.trim or bool(out[-1])
+                # Where extra blanks are removed, the next piece is in front as well while nothing is written.
+                out.append(text[1:])
+                some = not self.trim
             else:
                 out.append(text)
         if raw:
