@@ -36,7 +36,7 @@ from .common import BoundedCache, add_struct, even_sample, free_name, struct_arr
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2500, 5000, 30_000
 BUCKETS = 1 << 16
 CHAIN = 512
-EDGES = string.punctuation + "¡¿«»„“”‘’…–—"
+EDGES = string.whitespace + string.punctuation + "¡¿«»„“”‘’…–—"
 FIELDS = "score double, spans array<struct<start:long,end:long>>"
 
 
