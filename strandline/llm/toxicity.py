@@ -36,6 +36,8 @@ from .common import BoundedCache, add_struct, even_sample, free_name, struct_arr
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2500, 5000, 30_000
 BUCKETS = 1 << 16
 CHAIN = 512
+#: Tokens under this marginal don't add to a document's evidence: long clean texts have many of them.
+LIKELY = 0.5
 EDGES = string.whitespace + string.punctuation + "¡¿«»„“”‘’…–—"
 FIELDS = "score double, spans array<struct<start:long,end:long>>"
 
@@ -273,7 +275,7 @@ class ToxicScorer:
 
     def evidence(self, text: str) -> tuple[float, float]:
         p, _ = self.marginals([chunks_of(text)])
-        return (float(np.log1p(p.sum())), float(p.max())) if len(p) else (0.0, 0.0)
+        return (float(np.log1p(p[p >= LIKELY].sum())), float(p.max())) if len(p) else (0.0, 0.0)
 
     def score_all(self, texts: list[str | None], block_chars: int = 4_000_000) -> list[tuple[float, list[dict]]]:
         if self.model.weights is None:
@@ -292,7 +294,7 @@ class ToxicScorer:
         split = [chunks_of(t) for t in texts]
         p, counts = self.marginals(split)
         starts = np.cumsum(counts) - counts
-        total, most = np.add.reduceat(p, starts), np.maximum.reduceat(p, starts)
+        total, most = np.add.reduceat(np.where(p >= LIKELY, p, 0.0), starts), np.maximum.reduceat(p, starts)
         a, b, c = self.model.head
         scores = 1 / (1 + np.exp(-np.clip(a + b * np.log1p(total) + c * most, -30, 30)))
         spans: list[list[dict]] = [[] for _ in texts]
