@@ -103,7 +103,7 @@ def parser() -> argparse.ArgumentParser:
         p = command(name, run, text)
         p.add_argument("--first", required=True)
         p.add_argument("--second", required=True)
-        p.add_argument("--many", action="store_true", help="files hold many records, paired by the order of their ids")
+        p.add_argument("--many", action="store_true", help="files hold many records, paired by id")
         if name == "align":
             p.add_argument("--max-count", "--max_count", type=int, default=50)
             for flag in ("debug", "force_highfreq_search", "no_paths", "bridges"):

@@ -79,6 +79,26 @@ def push_right(h: Column, letter: Column, base: int = 239, modulus: int = HASH_M
     return (h * base + F.ascii(letter)) % modulus
 
 
+def push_left(h: Column, letter: Column, size: int, base: int = 239, modulus: int = HASH_MODULUS) -> Column:
+    """Hash of a sequence of ``size`` letters with one more letter before it."""
+    return (h + F.ascii(letter) * F.lit(pow(base, size, modulus))) % modulus
+
+
+def shift_right(h: Column, gone: Column, new: Column, size: int, base: int = 239, modulus: int = HASH_MODULUS) -> Column:
+    """Hash of the next window of ``size`` letters: ``gone`` leaves at the left, ``new`` comes at the right."""
+    rest = (h + modulus - F.ascii(gone) * F.lit(pow(base, size - 1, modulus)) % modulus) % modulus
+    return push_right(rest, new, base, modulus)
+
+
+def shift_left(h: Column, gone: Column, new: Column, size: int, base: int = 239, modulus: int = HASH_MODULUS) -> Column:
+    """Hash of the window before: ``gone`` leaves at the right, ``new`` comes at the left. The inverse of the base undoes a step."""
+    rest = (h + modulus - F.ascii(gone)) % modulus
+    # The kept letters are rest / base: times the inverse of the base, bit by bit, as the whole product is no long.
+    bits = F.array(*[F.lit(int(b)) for b in f"{pow(base, -1, modulus):b}"])
+    kept = F.aggregate(bits, F.lit(0).cast("long"), lambda acc, bit: (acc * 2 + rest * bit) % modulus)
+    return push_left(kept, new, size - 1, base, modulus)
+
+
 def canonical(kmer: Column) -> Column:
     """The lesser of a k-mer and its reverse complement."""
     return F.least(kmer, reverse_complement(kmer))

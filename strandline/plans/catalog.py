@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from ..operators import align, analytics, cigar, kmers, simulate, suffix
+from ..operators import align, analytics, cigar, kmers, simulate, suffix, traces
 from . import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,6 +224,29 @@ def minimizers(spark, sf_dir):
     return kmers.minimizers(tables.passages(spark, sf_dir), 11, 8, strands=False).withColumnRenamed("seq_id", "item_id")
 
 
+@query("kmer_canonical", f"""
+WITH d AS (SELECT doc_id, {DNA} AS text FROM documents), k AS ({KMERS.format(id="doc_id", table="d", k=6)}),
+c AS (SELECT kmer, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS word FROM k)
+SELECT word, CAST(list_reduce(list_transform(range(1, 7), lambda i: strpos('ACGT', word[i]) - 1), lambda a, b: a * 4 + b) AS BIGINT) AS value, count(*) AS n, count(*) FILTER (kmer = word) AS n_forward FROM c GROUP BY word
+""")
+def kmer_canonical(spark, sf_dir):
+    found = kmers.kmers(tables.document_dna(spark, sf_dir), 6).select("kmer", bases.canonical(F.col("kmer")).alias("word"))
+    counted = found.groupBy("word").agg(F.count("*").alias("n"), F.count_if(bases.is_canonical(F.col("kmer"))).alias("n_forward"))
+    return counted.select("word", bases.base4_value(F.col("word")).alias("value"), "n", "n_forward")
+
+
+@query("kmer_hash_steps", "SELECT item_id, length(text) - 11 AS n, length(text) - 11 AS right_steps, length(text) - 11 AS left_steps FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark) WHERE length(text) >= 13")
+def kmer_hash_steps(spark, sf_dir):
+    """Hashes that follow from their neighbours', one step to the right and one to the left: all of them."""
+    plain = tables.passages(spark, sf_dir).withColumn("seq", F.regexp_replace("seq", "[^ -~]", "")).filter(F.length("seq") >= 13)
+    # Words of one letter more hold both neighbours.
+    rows = kmers.kmers(plain, 12).select("seq_id", F.substring("kmer", 1, 11).alias("a"), F.substring("kmer", 2, 11).alias("b"), F.substring("kmer", 1, 1).alias("x"), F.substring("kmer", 12, 1).alias("y"))
+    a, b = bases.polynomial_hash(F.col("a")), bases.polynomial_hash(F.col("b"))
+    right = bases.shift_right(a, F.col("x"), F.col("y"), 11) == b
+    left = bases.shift_left(b, F.col("y"), F.col("x"), 11) == a
+    return rows.groupBy(F.col("seq_id").alias("item_id")).agg(F.count("*").alias("n"), F.count_if(right).alias("right_steps"), F.count_if(left).alias("left_steps"))
+
+
 @query("minimizers_dna")
 def minimizers_dna(spark, sf_dir):
     return kmers.minimizers(tables.document_dna(spark, sf_dir), 13, 10).withColumnRenamed("seq_id", "doc_id")
@@ -578,6 +601,30 @@ def segment_overlap(spark, sf_dir):
     return found.groupBy("id", "a_name").agg(F.count("*").alias("n"), F.sum("overlap").alias("overlap"))
 
 
+@query("segment_relations", f"""
+WITH r AS ({SEGMENTS.format("R")}), o AS ({SEGMENTS.format("A")})
+SELECT r.id, r.name, r.a AS a_left, o.a AS b_left, r.b AS a_right, o.b AS b_right, greatest(0, o.a - r.b, r.a - o.b) AS gap, 1000000 - r.b AS flipped_left, 1000000 - r.a AS flipped_right FROM r JOIN o USING (id, name)
+""")
+def segment_relations(spark, sf_dir):
+    a, b = (tables.part_segments(spark, sf_dir, flag).withColumnsRenamed({"left": f"{p}_left", "right": f"{p}_right"}) for flag, p in (("R", "a"), ("A", "b")))
+    both = a.join(b, ["id", "name"]).withColumn("size", F.lit(1_000_000).cast("long"))
+    left, right = analytics.flip_segment("a_left", "a_right", "size")
+    return both.select("*", analytics.gap_between("a_left", "a_right", "b_left", "b_right").alias("gap"), left.alias("flipped_left"), right.alias("flipped_right")).drop("size")
+
+
+@query("plot_segments")
+def plot_segments(spark, sf_dir):
+    return traces.match_segments(align.shortest_matches(tables.related_pairs(spark, sf_dir)))
+
+
+@query("plot_genes")
+def plot_genes(spark, sf_dir):
+    pairs = tables.related_pairs(spark, sf_dir)
+    steps = cigar.parse(align.align(pairs), "pair_id")
+    genes = pairs.select(F.col("pair_id").alias("aln_id"), F.explode(F.sequence(F.lit(0), F.length("first"), F.lit(50))).alias("pos")).withColumn("gene", F.concat(F.lit("g"), F.col("pos").cast("string")))
+    return traces.gene_marks(genes, steps).unionByName(traces.gene_marks(genes, steps, 2))
+
+
 @query("coverage_uncovered", f"""
 WITH r AS ({SEGMENTS.format("R")}), z AS (SELECT id, max(b) AS size FROM r GROUP BY id), c AS (SELECT DISTINCT id, unnest(range(a, b)) AS cell FROM r)
 SELECT z.id, round((z.size + 1 - count(c.cell))::DOUBLE / (z.size + 1)::DOUBLE, 9) AS uncovered FROM z LEFT JOIN c ON c.id = z.id GROUP BY z.id, z.size

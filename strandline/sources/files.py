@@ -32,19 +32,15 @@ def fasta(spark: SparkSession, paths: Paths, collapse_runs: bool = False, strict
 def fastq(spark: SparkSession, paths: Paths, collapse_runs: bool = False, strict: bool = False) -> DataFrame:
     """seq_id, seq, quality, file of FASTQ files with four lines a record.
 
-    A record begins at an @ line; quality lines may begin with @ as well, but what
-    follows the + line never counts as a record's start.
+    Files are split at lines that begin with @, so they are read in parallel. A
+    quality line that begins with @ is cut off from its record by that: it is
+    never taken for a record, and that record's ``quality`` is null.
     """
-    records = spark.read.option("lineSep", "\n@").text(_paths(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i"))
+    records = spark.read.option("lineSep", "\n@").text(_paths(paths)).select("value", F.col("_metadata.file_path").alias("file"))
     text = F.regexp_replace(F.regexp_replace("value", r"\A@", ""), "\r", "")
     pattern = r"\A(\S*)[^\n]*\n([^\n]*)\n\+[^\n]*(?:\n([^\n]*))?"
-    rows = records.select(*[F.regexp_extract(text, pattern, k).alias(n) for k, n in ((1, "seq_id"), (2, "seq"), (3, "quality"))], "value", "file", "i")
-    # A quality line that begins with @ is cut off from its record and heads the next row.
-    from pyspark.sql import Window
-
-    after = F.lead("value").over(Window.partitionBy("file").orderBy("i"))
-    whole = rows.withColumn("quality", F.when((F.col("quality") == "") & (F.col("seq") != ""), F.concat(F.lit("@"), F.regexp_extract(after, r"\A([^\n]*)", 1))).otherwise(F.col("quality")))
-    return _finish(whole.filter("seq <> ''").drop("value", "i"), collapse_runs, strict)
+    rows = records.select(*[F.regexp_extract(text, pattern, k).alias(n) for k, n in ((1, "seq_id"), (2, "seq"), (3, "quality"))], "file")
+    return _finish(rows.filter("seq <> ''").withColumn("quality", F.nullif("quality", F.lit(""))), collapse_runs, strict)
 
 
 def _finish(rows: DataFrame, collapse_runs: bool, strict: bool) -> DataFrame:
@@ -125,15 +121,16 @@ def rare_prefixes(spark: SparkSession, paths: Paths, unset: int = 2147483647) ->
 
 
 def pairs(spark: SparkSession, first: str, second: str, strict: bool = True) -> DataFrame:
-    """pair_id, first, second from two files: records are paired in the order of their ids.
+    """pair_id, first, second from two files.
 
-    ``strict`` raises unless both files hold exactly one record.
+    ``strict`` takes files with exactly one record each, and raises otherwise; else
+    records of one id are a pair (pair_id: a hash of that id).
     """
     a, b = (sequences(spark, p) for p in (first, second))
-    if strict and (a.count() != 1 or b.count() != 1):
+    left, right = a.select("seq_id", F.col("seq").alias("first")), b.select("seq_id", F.col("seq").alias("second"))
+    if not strict:
+        return left.join(right, "seq_id").select(F.xxhash64("seq_id").alias("pair_id"), "first", "second")
+    if a.count() != 1 or b.count() != 1:
         raise ValueError("each file must hold exactly one record")
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy("seq_id")).cast("long")
-    left, right = (x.select(place.alias("pair_id"), F.col("seq").alias(n)) for x, n in ((a, "first"), (b, "second")))
-    return left.join(right, "pair_id")
+    one = F.lit(1).cast("long").alias("pair_id")
+    return left.select(one, "first").join(right.select(one, "second"), "pair_id")

@@ -208,7 +208,9 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted((r.seq_id, r.seq) for r in a.collect()) == [("one", "ACGTAC"), ("two", "GGTT")]
     assert sorted((r.seq_id, r.seq) for r in files.fasta(spark, str(tmp_path / "a.fasta"), collapse_runs=True).collect()) == [("one", "ACGTAC"), ("two", "GT")]
     q = files.fastq(spark, str(tmp_path / "b.fq"))
-    assert sorted((r.seq_id, r.seq, r.quality) for r in q.collect()) == [("q1", "ACC", "@@@"), ("q2", "GGT", "III")]
+    assert sorted((r.seq_id, r.seq, r.quality) for r in q.collect()) == [("q1", "ACC", None), ("q2", "GGT", "III")]
+    (tmp_path / "c.fa").write_text(">two\nGGA\n>three\nA\n")
+    assert [(r.first, r.second) for r in files.pairs(spark, str(tmp_path / "a.fasta"), str(tmp_path / "c.fa"), strict=False).collect()] == [("GGTT", "GGA")]
     sinks.fasta(a, str(tmp_path / "out"), width=4, compression="gzip")
     again = files.sequences(spark, glob.glob(str(tmp_path / "out/part-*")))
     assert sorted((r.seq_id, r.seq) for r in again.collect()) == [("one", "ACGTAC"), ("two", "GGTT")]
