@@ -17,6 +17,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,8 +107,9 @@ class ByteBpeCounter:
         """Cut a text where no pre-token reaches across, and what to add to its chunks' counts.
 
         A chunk that begins with a line end stands as it is; all others follow a blank.
-        Texts with other white space are cut into their pre-tokens, marked with a
-        line end that the first number takes off again.
+        Texts with other white space are cut into their pre-tokens, marked with two
+        line ends (never side by side in other chunks), of which one counts and is
+        taken off again by the first number.
         """
         add, out = 0, []
         parts = [text]
@@ -118,7 +120,7 @@ class ByteBpeCounter:
             if ODD_SPACE.search(part):
                 found = self.cut(part)
                 add -= len(found)
-                out += ["\n\0" + p for p in found]
+                out += ["\n\n" + p for p in found]
             else:
                 add -= 1
                 out += ("\n" + part).replace("\n", " \n").split(" ")[1:]
@@ -126,7 +128,7 @@ class ByteBpeCounter:
 
     def learn(self, chunks: list[str]) -> None:
         """Count the chunks that the cache lacks."""
-        cut = [["\n", c[2:]] if c[:2] == "\n\0" else self.cut(c if c[:1] == "\n" else " " + c) for c in chunks]
+        cut = [["\n", c[2:]] if c[:2] == "\n\n" else self.cut(c if c[:1] == "\n" else " " + c) for c in chunks]
         words = list({p for ps in cut for p in ps})
         n = dict(zip(words, self.merged_sizes(words), strict=True)) if words else {}
         for c, ps in zip(chunks, cut, strict=True):
@@ -148,7 +150,7 @@ class ByteBpeCounter:
         cache.make_room()
         self.cut = pretokens(all(map(is_western, texts))).findall
         cut = [self.chunks(t) for t in texts]
-        new = list({c for _, chunks in cut for c in chunks if c not in cache})
+        new = [c for c in set(chain.from_iterable(chunks for _, chunks in cut)) if c not in cache]
         self.learn(new)
         counts = [add + sum(map(cache.__getitem__, chunks)) for add, chunks in cut]
         cache.drop_long(new)
