@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def plain_word(word: str) -> bool:
-    """Lower-case Latin-1 letters only: normalising changes nothing, and all of it is one pre-token."""
-    return word.isalpha() and word == word.lower() and max(word) <= "\xff"
+def plain_letters(word: str) -> bool:
+    """Latin-1 letters only: in lower case, normalising leaves them and all are one pre-token."""
+    return word.isalpha() and (word.isascii() or max(word) <= "\xff")
 
 
 class WordTokenizer:
@@ -69,19 +70,18 @@ class WordTokenizer:
         yield from self._encode_block(block, closing)
 
     def learn(self, words: list[str], joined: int = 2048) -> None:
-        """Encode new words: a word in lower case and without its last stop or comma is looked up first."""
+        """Encode new words. Those of plain letters are looked up in lower case and without a last stop or comma."""
         cache, parts, simple, other = self.cache, [], {}, {}
         for w in words:
-            # Special strings are matched as written, so words that may hold one stay as they are.
-            base = w.lower() if w.isascii() and "<" not in w else w
-            tail = base[-1:]
-            if tail in (".", ",") and base[-2:-1].isalpha() and base[-2] <= "\xff":
-                base = base[:-1]
+            tail = w[-1:]
+            base = w[:-1] if tail in (".", ",") else w
+            if plain_letters(base):
+                base = base.lower()
+                parts.append((w, base, tail if len(base) < len(w) else ""))
+                if base not in cache:
+                    simple[base] = None
             else:
-                tail = ""
-            parts.append((base, tail))
-            if base not in cache:
-                (simple if plain_word(base) else other)[base] = None
+                other[w] = None
         for tail in (".", ","):
             if tail not in cache:
                 other[tail] = None
@@ -97,7 +97,7 @@ class WordTokenizer:
         for w in other:
             if MARK in w:
                 cache[w] = self.ids_of(self.library, w).tobytes()
-        for w, (base, tail) in zip(words, parts, strict=True):
+        for w, base, tail in parts:
             cache[w] = cache[base] + cache[tail] if tail else cache[base]
 
     @staticmethod
@@ -114,7 +114,7 @@ class WordTokenizer:
     def _encode_block(self, texts: list[list[str]], closing: int) -> Iterator[bytes]:
         cache = self.cache
         cache.make_room()
-        new = list({w for words in texts for w in words if w not in cache})
+        new = [w for w in set(chain.from_iterable(texts)) if w not in cache]
         self.learn(new)
         end = closing.to_bytes(4, "little")
         out = [b"".join(map(cache.__getitem__, words)) + end for words in texts]

@@ -16,6 +16,7 @@ import re
 import struct
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -256,7 +257,7 @@ class PieceCodec:
         split = [None if words is None or "" in words else words for words in split]
         cache = self.cache
         cache.make_room()
-        new = list({w for words in split if words for w in words if w not in cache})
+        new = [w for w in set(chain.from_iterable(filter(None, split))) if w not in cache]
         self.learn(new)
         for text, words in zip(texts, split, strict=True):
             if words is None:

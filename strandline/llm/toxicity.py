@@ -24,6 +24,7 @@ from __future__ import annotations
 import string
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -255,7 +256,7 @@ class ToxicScorer:
         """Of all chunks of all texts, and how many chunks each text has."""
         cache = self.cache
         cache.make_room()
-        new = list({c for chunks in texts for c in chunks if c not in cache})
+        new = [c for c in set(chain.from_iterable(texts)) if c not in cache]
         for k in range(0, len(new), 20_000):
             self.learn(new[k : k + 20_000])
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
