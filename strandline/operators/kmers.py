@@ -47,9 +47,15 @@ def rare(found: DataFrame, most: int = 1) -> DataFrame:
 
 
 def shared_rare(a: DataFrame, b: DataFrame, most: int = 1) -> DataFrame:
-    """first_id, second_id, kmer: k-mers that are rare in both sequences of a pair."""
-    left = rare(a, most).select(F.col("seq_id").alias("first_id"), "kmer")
+    """first_id, second_id, kmer: k-mers that are rare in both sequences of a pair. ``b`` is the smaller side.
+
+    Only k-mers that are rare somewhere in ``b`` are counted in ``a``: the semi-join
+    comes before the grouping, so with a small ``b`` (which adaptive execution
+    then broadcasts) the k-mers of ``a`` are thinned where they are read.
+    """
     right = rare(b, most).select(F.col("seq_id").alias("second_id"), "kmer")
+    wanted = a.join(right.select("kmer").distinct(), "kmer", "left_semi")
+    left = rare(wanted, most).select(F.col("seq_id").alias("first_id"), "kmer")
     return left.join(right, "kmer").select("first_id", "second_id", "kmer")
 
 
