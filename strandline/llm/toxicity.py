@@ -22,7 +22,9 @@ texts get the share of toxic rows in it (0 without any) and there are no spans.
 from __future__ import annotations
 
 import string
+from array import array
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import chain
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import BoundedCache, add_struct, even_sample, free_name, struct_array
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2500, 5000, 30_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 20_000
 BUCKETS = 1 << 16
 CHAIN = 512
 #: Tokens under this marginal don't add to a document's evidence: long clean texts have many of them.
@@ -60,6 +62,16 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(x, 3) % BUCKETS for x in names]
 
 
+def feature_arrays(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all words in a row, and the place of the word that each belongs to."""
+    flat, counts = array("l"), array("l")
+    for w in words:
+        found = features(w)
+        flat.extend(found)
+        counts.append(len(found))
+    return np.repeat(np.arange(len(counts)), np.frombuffer(counts, np.int64)) if counts else np.zeros(0, np.int64), np.array(flat, np.int64)
+
+
 def chunks_of(text: str) -> list[str]:
     """Blank-separated; the first word of a line keeps the line end."""
     return text.replace("\n", " \n").split(" ")
@@ -151,17 +163,12 @@ def mine_seeds(docs: list[set[str]], toxic: list[bool], z_least: float = 5.0, ra
     """Words and prefixes whose documents are toxic far beyond chance."""
     n1 = sum(toxic)
     n0 = len(toxic) - n1
-    with_mark: Counter = Counter()
-    toxic_with: Counter = Counter()
-    for words, label in zip(docs, toxic, strict=True):
-        found = {m for w in words for m in marks(w)}
-        with_mark.update(found)
-        if label:
-            toxic_with.update(found)
+    toxic_with = Counter(m for words, label in zip(docs, toxic, strict=True) if label for m in {m for w in words for m in marks(w)})
+    # Only marks of several toxic documents can be seeds: all others needn't be held.
+    toxic_with = {m: k for m, k in toxic_with.items() if k >= 4}
+    with_mark = Counter(m for words in docs for m in {m for w in words for m in marks(w) if m in toxic_with})
     seeds = set()
     for m, k1 in toxic_with.items():
-        if k1 < 4:
-            continue
         k = with_mark[m]
         expected = k * n1 / (n0 + n1)
         if (k1 - expected) / np.sqrt(expected + 1) >= z_least and (k1 / n1) / ((k - k1 + 1) / (n0 + 1)) >= ratio:
@@ -176,16 +183,15 @@ def fit(texts: list[str], toxic: list[bool], rounds: int = 50) -> ToxicModel:
     texts, toxic = [texts[k] for k in keep], [toxic[k] for k in keep]
     if not any(toxic) or all(toxic):
         return constant
-    split = [chunks_of(t) for t in texts]
-    seeds = mine_seeds([{w for c in cs if (w := core(c))} for cs in split], toxic)
+    seeds = mine_seeds([{w for c in chunks_of(t) if (w := core(c))} for t in texts], toxic)
     if not seeds:
         return constant
     number: dict[str, int] = {}
-    tokens, truth, sizes = [], [], []
+    tokens, truth, sizes = array("l"), array("b"), array("l")
     hits = {}
     rng = np.random.default_rng(4)
-    for chunks, label in zip(split, toxic, strict=True):
-        at = 0
+    for text, label in zip(texts, toxic, strict=True):
+        chunks, at = chunks_of(text), 0
         for n in chain_sizes(chunks):
             words = [core(c) for c in chunks[at : at + n]]
             at += n
@@ -196,13 +202,11 @@ def fit(texts: list[str], toxic: list[bool], rounds: int = 50) -> ToxicModel:
                 y[k] = label and hits[w]
             # Chains with seeds, in documents of either class, and some of the others.
             if any(hits[w] for w in words) or rng.random() < 0.1:
-                tokens += [number.setdefault(w, len(number)) for w in words]
-                truth += y
+                tokens.extend(number.setdefault(w, len(number)) for w in words)
+                truth.extend(y)
                 sizes.append(n)
     words = list(number)
-    lists = [features(w) for w in words]
-    owner = np.repeat(np.arange(len(words)), [len(x) for x in lists])
-    flat = np.fromiter((f for x in lists for f in x), np.int64, len(owner))
+    owner, flat = feature_arrays(words)
     tokens, truth, sizes = np.array(tokens, np.int64), np.array(truth, float), np.array(sizes, np.int64)
     first = np.cumsum(sizes) - sizes
     inner = np.ones(len(tokens), bool)
@@ -247,9 +251,7 @@ class ToxicScorer:
 
     def learn(self, chunks: list[str]) -> None:
         weights, bias = self.model.weights, self.model.bias
-        lists = [features(core(c)) for c in chunks]
-        owner = np.repeat(np.arange(len(chunks)), [len(x) for x in lists])
-        flat = np.fromiter((f for x in lists for f in x), np.int64, len(owner))
+        owner, flat = feature_arrays(map(core, chunks))
         self.cache.update(zip(chunks, (np.bincount(owner, weights[flat], len(chunks)) + bias).tolist(), strict=True))
 
     def marginals(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
