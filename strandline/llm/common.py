@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -120,15 +120,29 @@ def repository_root() -> str:
     return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def even_sample(df: DataFrame, label_col: str, key_col: str, per_label: int, seed: int = 11) -> DataFrame:
+#: Labels that a sample can be even over.
+MOST_LABELS = 10_000
+
+
+def even_sample(df: DataFrame, label_col: str, key_col: str, per_label: int | Callable[[int], int], seed: int = 11, condition: Column | None = None) -> DataFrame:
     """At most ``per_label`` rows of each label, picked by a hash of ``key_col``.
 
-    Labels are counted first; rows are then thinned by their hash to about twice
-    what is wanted, so that only a bounded number reaches the exact limit. Rows
-    with equal keys stay or go together until that limit.
+    Labels are counted first, without any other column. Rows are then thinned by
+    their hash to about twice what is wanted, before ``condition`` is looked at, and
+    only that bounded number is shuffled to find the exact limit. ``per_label`` may
+    be a function of how many labels there are. Rows with equal keys stay or go
+    together until the limit.
     """
-    sizes = df.groupBy(label_col).count()
-    rank = F.pmod(F.xxhash64(F.lit(seed), F.col(key_col)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    thin = df.withColumn("_rank", rank).join(sizes, label_col).filter(F.col("_rank") * F.col("count") < 2.0 * per_label + 20)
+    sizes = df.filter(F.col(label_col).isNotNull()).groupBy(label_col).count().limit(MOST_LABELS + 1).collect()
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    if not sizes:
+        return df.limit(0)
+    most = per_label(len(sizes)) if callable(per_label) else per_label
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[label_col], (2.0 * most + 20) / r["count"])])
+    rank = F.pmod(F.xxhash64(F.lit(seed), F.col(key_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    thin = df.withColumn("_rank", rank).filter(F.col("_rank") < F.element_at(share, F.col(label_col)))
+    if condition is not None:
+        thin = thin.filter(condition)
     order = Window.partitionBy(label_col).orderBy("_rank", key_col)
-    return thin.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= per_label).drop("_rank", "_place", "count")
+    return thin.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= most).drop("_rank", "_place")

@@ -199,9 +199,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     The driver receives the profiles of the sample only: ``sample`` x ``BUCKETS`` numbers at most.
     """
     rows = df.select(F.col(f"`{key_col}`").alias("key"), F.col(f"`{text_col}`").alias("body"), F.col(f"`{lang_col}`").alias("label"))
-    rows = rows.filter(F.col("label").isNotNull() & F.col("body").rlike(r"\p{L}"))
-    n = max(1, rows.select("label").distinct().count())
-    picked = even_sample(rows, "label", "key", max(20, sample // n))
+    picked = even_sample(rows, "label", "key", lambda n: max(20, sample // n), condition=F.col("body").rlike(r"\p{L}"))
     found = add_struct(picked.select("body", "label"), ["body"], "p", "profile array<float>", _profiler).select("label", "p.profile").toArrow()
     if not found.num_rows:
         return None
