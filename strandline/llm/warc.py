@@ -39,8 +39,10 @@ RECORD = "file string, offset long, record_type string, page_id long, uri string
 def with_revisits(df: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least: int = 1000) -> DataFrame:
     """page_id, url, payload, size, digest, refers_to (null: a response).
 
-    Only digests and ids are grouped, with partial sums; a payload that very many
-    rows share is a skewed key of a plain join, which adaptive execution splits.
+    Only digests and ids are grouped, with partial sums. The repeated payloads are
+    written as a table, so Spark knows its size: if small it is sent to the rows,
+    and no payload is shuffled; else a payload that very many rows share is a
+    skewed key of a plain join, which adaptive execution splits.
     """
     rows = df.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"),
@@ -51,7 +53,7 @@ def with_revisits(df: DataFrame, id_col: str = "page_id", payload_col: str = "ht
     # Equal by length, SHA-1 and a second hash: payloads of one SHA-1 alone can be forged.
     rows = rows.withColumn("same", F.when(F.col("size") >= least, F.concat_ws("/", "size", "digest", F.xxhash64("payload"))))
     first = rows.filter("same is not null").groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(first, "same", "left")
+    joined = rows.join(cut(first, "repeated"), "same", "left")
     return joined.withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("same", "first")
 
 
