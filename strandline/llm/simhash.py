@@ -229,7 +229,8 @@ def links(distinct: DataFrame, plan: Partitioning, distance: int = DISTANCE, blo
     rows = probes(distinct, plan)
     crowded = rows.groupBy("part", "key").count().filter(F.col("count") > block)
     crowded = crowded.select("part", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    joined = rows.join(crowded, ["part", "key"], "left")
+    # As a written table its size is known: when small, as it mostly is, the join needs no shuffle.
+    joined = rows.join(cut(crowded, "crowded"), ["part", "key"], "left")
     mine = F.pmod(F.xxhash64(F.lit(23), "fp"), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.lit(1 << 15) + F.greatest(x, mine))
     dealt = joined.select("part", "key", "home", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(meets)).alias("cell"))
