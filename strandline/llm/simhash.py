@@ -312,5 +312,6 @@ def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """
     found = near_duplicates(df, text_col, id_col, distance)
     stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stay")).distinct()
+    stay = cut(stay, "stay")
     named = df.join(stay, F.col(f"`{id_col}`") == F.col("__stay"), "inner").drop("__stay").dropDuplicates([id_col])
     return named.unionByName(df.filter(F.col(f"`{id_col}`").isNull()))
