@@ -53,6 +53,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows hold whole texts here: fewer of them go to Python at a time, unless the session says how many."""
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, str(rows))
+
+
 def add_struct(df: DataFrame, inputs: list[str], out: str, ddl: str, factory: Callable, *args) -> DataFrame:
     """Append a struct column computed batch by batch in Arrow.
 
@@ -78,6 +85,7 @@ def add_struct(df: DataFrame, inputs: list[str], out: str, ddl: str, factory: Ca
         def evaluate(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
             return run(batches)
 
+    modest_batches(df.sparkSession)
     udf = F.arrow_udf(evaluate, returnType=ddl).asNondeterministic()
     return df.withColumn(out, udf(*[F.col(f"`{c}`") for c in inputs]))
 
@@ -97,7 +105,7 @@ def free_name(df: DataFrame, wanted: str) -> str:
 class BoundedCache(dict):
     """A dict for results by word; emptied when it holds ``limit`` entries."""
 
-    def __init__(self, limit: int = 500_000, longest: int = 256):
+    def __init__(self, limit: int = 400_000, longest: int = 256):
         super().__init__()
         self.limit, self.longest = limit, longest
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, cut
+from .common import BoundedCache, cut, modest_batches
 
 #: Parts words in one call to the library.
 MARK = "\x01"
@@ -56,7 +56,7 @@ class WordTokenizer:
         self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.closes = np.zeros(self.library.get_vocab_size(), bool)
         self.closes[[k for t, k in self.library.get_vocab().items() if t.endswith("</w>")]] = True
-        self.cache = BoundedCache(limit=900_000)
+        self.cache = BoundedCache(limit=700_000)
 
     def encode(self, texts: list[str | None], closing: int, block_chars: int = 4_000_000) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the closing id."""
@@ -142,6 +142,7 @@ def token_pieces(df: DataFrame, capacity: int = 4096, closing: int = 2, text_col
     ``salt`` is a hash of the id and of the row's place in its task: it scatters
     rows evenly even where they are all alike.
     """
+    modest_batches(df.sparkSession)
     narrow = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
     span = 4 * capacity
     schema = PIECE + (", ids array<int>" if keep_ids else "")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, modest_batches
 from .components import connected_components, local_components
 
 DISTANCE = 3
@@ -71,6 +71,7 @@ def simhash(text: str | None, width: int = 3) -> int:
 
 def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id and ``fp``, the fingerprint as a signed long, for every row."""
+    modest_batches(df.sparkSession)
     narrow = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
