@@ -154,6 +154,12 @@ def seq_hash(spark, sf_dir):
     return tables.document_dna(spark, sf_dir).filter(F.length("seq") < 200).select(F.col("seq_id").alias("doc_id"), bases.polynomial_hash(F.col("seq")).alias("h"))
 
 
+@query("seq_hash_all")
+def seq_hash_all(spark, sf_dir):
+    """Hashes of all documents, however long: the SQL of ``seq_hash`` has only those under 200 letters."""
+    return tables.document_dna(spark, sf_dir).select(F.col("seq_id").alias("doc_id"), bases.polynomial_hash(F.col("seq")).alias("h"))
+
+
 @query("seq_chunks", """
 SELECT doc_id, CAST(i AS BIGINT) AS start, doc_id || '_' || i AS chunk_id, md5(substring(text, CAST(i + 1 AS BIGINT), 550)) AS chunk
 FROM documents, LATERAL (SELECT unnest(range(0, greatest(length(text) - 51, 0) + 1, 500)) AS i) WHERE length(text) > 0

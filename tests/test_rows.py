@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandline import cli
 from strandline.functions import bases
 from strandline.operators import align, analytics, cigar, kernels, kmers, simulate, suffix, traces
+from strandline.plans import catalog
 from strandline.sources import files, sinks
 from strandline.streaming import pairs as stream
 
@@ -150,6 +151,18 @@ def test_relational_matches_equal_kernels(spark):
             assert sorted(mine.get(k, [])) == kernels.anchors_of(kernels.match_intervals(a, b)), (a, b)
 
 
+def test_long_documents_are_hashed(spark, tmp_path):
+    rng = random.Random(9)
+    texts = ["", "xyz", "acgt", "".join(rng.choices("ACGTN ", k=260)), "".join(rng.choices("ACGT", k=20_000))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.h for r in catalog.queries()["seq_hash_all"](spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        h = 0
+        for c in text.upper():
+            h = (h * 239 + ord(c)) % bases.HASH_MODULUS if c in "ACGT" else h
+        assert found[k] == h
+
+
 def test_ranks_by_doubling(spark):
     text = "banana$bandana"
     letters = spark.createDataFrame([(1, k, ord(c)) for k, c in enumerate(text)], "pair_id int, pos long, code int")
