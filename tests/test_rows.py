@@ -151,6 +151,28 @@ def test_relational_matches_equal_kernels(spark):
             assert sorted(mine.get(k, [])) == kernels.anchors_of(kernels.match_intervals(a, b)), (a, b)
 
 
+def test_wide_matches_are_found(spark, tmp_path):
+    """Passages of repeated text, whose least width with a match is over 4."""
+    apart = lambda n, k: "".join("a" + chr(k + i) for i in range(n))
+    texts = ["ab" * 7, "ab" * 6, apart(3, 0x4E00), apart(3, 0x5E00), apart(50, 0x6E00), apart(50, 0x7E00), apart(51, 0x8E00), apart(51, 0x9000), "", "q"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    hits, mine, widths = {}, {}, set()
+    for r in run("rare_match_classes"):
+        hits.setdefault(r.pair_id, set()).add((r.m, r.n, r.side, r.pos, r.min_len, r.max_len))
+    for r in run("anchor_scores"):
+        mine.setdefault(r.pair_id, []).append((r.x, r.y, r.len, r.m, r.n))
+    for k, (a, b) in enumerate(zip(texts, texts[1:], strict=False)):
+        want = set()
+        for (m, n), p, _, low, high in kernels.rare_matches(a, b):
+            widths.add(m + n)
+            want |= {(m, n, 1 + (q > len(a)), q - (q > len(a)) * (len(a) + 1), lo, hi) for q, lo, hi in zip(p.tolist(), low.tolist(), high.tolist(), strict=True)}
+        assert hits.get(k, set()) == want
+        assert sorted(mine.get(k, [])) == kernels.anchors_of(kernels.match_intervals(a, b))
+    assert {6, 100} <= widths and max(widths) <= 101
+    assert {r.pair_id for r in run("anchor_intervals")} == set(mine)
+
+
 def test_long_documents_are_hashed(spark, tmp_path):
     rng = random.Random(9)
     texts = ["", "xyz", "acgt", "".join(rng.choices("ACGTN ", k=260)), "".join(rng.choices("ACGT", k=20_000))]
