@@ -1,7 +1,9 @@
 """Toxic spans by a linear-chain conditional random field, and document scores.
 
-Tokens are blank-separated words, in lower case and without punctuation at the
-ends; a chain is a sentence or line of them, of 512 tokens at most. A token's
+Tokens are words, parted by white space of any kind or by punctuation (other than
+``*@#$``, which mask letters), in lower case and without punctuation at the ends.
+What is over 40 characters long without a parting is read in windows of 40, each
+overlapping the one before by half, so no part of a text goes unscored; a chain is a sentence or line of them, of 512 tokens at most. A token's
 features are its word, its prefixes and its character 4-grams, hashed; each has
 one weight for the state "toxic". Three transition weights join neighbours.
 
@@ -21,7 +23,9 @@ texts get the share of toxic rows in it (0 without any) and there are no spans.
 
 from __future__ import annotations
 
+import re
 import string
+import sys
 from array import array
 from collections import Counter
 from collections.abc import Iterable
@@ -41,7 +45,14 @@ BUCKETS = 1 << 16
 CHAIN = 512
 #: Tokens under this marginal don't add to a document's evidence: long clean texts have many of them.
 LIKELY = 0.5
-EDGES = string.whitespace + string.punctuation + "¡¿«»„“”‘’…–—"
+#: Characters that masked words have inside; they part tokens over ``LONGEST`` only.
+MASKS = "*@#$"
+LONGEST, STRIDE = 40, 20
+EDGES = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()) + string.punctuation + "¡¿«»„“”‘’…–—·•、。，：；？！（）「」『』《》"
+_JOINTS = "".join(map(re.escape, sorted(set(EDGES) - set(MASKS))))
+#: A core, with the joints before it; the last one has what follows too.
+PIECE = re.compile(f"[{_JOINTS}]*[^{_JOINTS}]+(?:[{_JOINTS}]+$)?")
+UNMASKED = re.compile(rf"[{_JOINTS}{re.escape(MASKS)}]*[^{_JOINTS}{re.escape(MASKS)}]+(?:[{_JOINTS}{re.escape(MASKS)}]+$)?")
 FIELDS = "score double, spans array<struct<start:long,end:long>>"
 
 
@@ -57,8 +68,8 @@ def marks(word: str) -> list[str]:
 def features(word: str) -> list[int]:
     if not word:
         return []
-    padded = f"<{word[:40]}>"
-    names = marks(word[:40]) + [padded[k : k + 4] for k in range(len(padded) - 3)]
+    padded = f"<{word}>"
+    names = marks(word) + [padded[k : k + 4] for k in range(len(padded) - 3)]
     return [xxhash.xxh32_intdigest(x, 3) % BUCKETS for x in names]
 
 
@@ -72,11 +83,59 @@ def feature_arrays(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(counts)), np.frombuffer(counts, np.int64)) if counts else np.zeros(0, np.int64), np.array(flat, np.int64)
 
 
-def chunks_of(text: str) -> list[str]:
+def places(chunk: str) -> list[tuple[int, int]]:
+    """Where the tokens of a blank-separated chunk are; together they cover it."""
+    out = []
+    for piece in PIECE.finditer(chunk):
+        a, b = piece.span()
+        if len(core(piece.group())) <= LONGEST:
+            out.append((a, b))
+            continue
+        for part in UNMASKED.finditer(chunk, a, b):
+            lead = len(part.group()) - len(part.group().lstrip(EDGES))
+            start, end = part.start() + lead, part.end()
+            least = start + len(part.group().strip(EDGES))
+            cuts = list(range(start, max(start + 1, least - STRIDE), STRIDE)) if least - start > LONGEST else [start]
+            out += [(part.start() if s == start else s, end if s == cuts[-1] else s + LONGEST) for s in cuts]
+    return out or [(0, len(chunk))]
+
+
+class _Parts(BoundedCache):
+    """Tokens by blank-separated chunk."""
+
+    def __missing__(self, chunk: str) -> tuple[str, ...]:
+        found = places(chunk)
+        out = (chunk,) if len(found) == 1 else tuple(chunk[a:b] for a, b in found)
+        if len(chunk) <= self.longest:
+            self[chunk] = out
+        return out
+
+
+_PARTS = _Parts(100_000)
+
+
+def blank_chunks(text: str) -> list[str]:
     """Blank-separated; the first word of a line keeps the line end."""
     return text.replace("\n", " \n").split(" ")
 
 
+def chunks_of(text: str) -> list[str]:
+    """All tokens, with the punctuation around them."""
+    _PARTS.make_room()
+    return list(chain.from_iterable(map(_PARTS.__getitem__, blank_chunks(text))))
+
+
+def starts_of(text: str) -> list[int]:
+    """Where each token of ``chunks_of`` starts."""
+    out, at = [], 0
+    for chunk in blank_chunks(text):
+        # Every chunk but the first follows one character, which a line end's chunk has as its own.
+        at -= chunk[:1] == "\n"
+        out += [at + a for a, _ in places(chunk)]
+        at += len(chunk) + 1
+    return out
+
+
 def chain_sizes(chunks: list[str]) -> list[int]:
     """Lengths of the chains that the chunks form."""
     sizes, n = [], 0
@@ -304,15 +363,14 @@ class ToxicScorer:
         offending = np.flatnonzero(p >= 0.5)
         owner = np.searchsorted(starts, offending, side="right") - 1
         for k in np.unique(owner).tolist():
-            chunks = split[k]
-            # Every chunk but the first follows one character, which a line end's chunk has as its own.
-            lengths = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
-            at = np.cumsum(lengths) - lengths
-            at -= np.cumsum(np.fromiter((x[:1] == "\n" for x in chunks), np.int64, len(chunks)))
+            chunks, at, known = split[k], starts_of(texts[k]), spans[k]
             for t in (offending[owner == k] - starts[k]).tolist():
                 word = core(chunks[t])
-                start = int(at[t]) + chunks[t].lower().find(word)
-                spans[k].append({"start": start, "end": start + len(word)})
+                start = at[t] + chunks[t].lower().find(word)
+                if known and start < known[-1]["end"]:  # overlapping windows
+                    known[-1]["end"] = start + len(word)
+                else:
+                    known.append({"start": start, "end": start + len(word)})
         return list(zip(scores.tolist(), spans, strict=True))
 
 

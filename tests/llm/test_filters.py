@@ -158,6 +158,29 @@ def test_spans_count_lines_and_marks(tagger):
     assert score > 0.7 > low and none == [] and 0 <= empty < 0.7
 
 
+@pytest.mark.parametrize("joint", ["\t", "\u00a0", "\u3000", ",", "/", "-", "_", "*", "'"])
+def test_words_joined_otherwise_are_scored(tagger, joint):
+    clean = words(random.Random(5), 60).split()
+    text = joint.join([*clean, "vexal", "grumdo", *clean])
+    (score, spans), (low, none) = toxicity.ToxicScorer(tagger[2]).score_all([text, joint.join(clean * 2)])
+    assert [text[s["start"] : s["end"]] for s in spans] == ["vexal", "grumdo"] and score > 0.7 > low and none == []
+
+
+def test_tokens_cover_the_text(tagger):
+    rng = random.Random(5)
+    for k in range(2000):
+        text = "".join(rng.choices("aé b\n\t ,/.*@-日!" if k % 2 else "abcdefgh*", k=rng.randint(0, 300)))
+        tokens, starts = toxicity.chunks_of(text), toxicity.starts_of(text)
+        assert all(text[a : a + len(t)] == t and len(toxicity.core(t)) <= toxicity.LONGEST for t, a in zip(tokens, starts, strict=True))
+        covered = {c for t, a in zip(tokens, starts, strict=True) for c in range(a, a + len(t))}
+        assert covered >= {c for c, x in enumerate(text) if x not in " \n"}
+    # Without a blank or mark there are windows, and the last of them counts.
+    scorer = toxicity.ToxicScorer(tagger[2])
+    ends = ["an" * 100 + w for w in ("", "grumdogrumti")]
+    least, most = (scorer.evidence(t)[1] for t in ends)
+    assert least < 0.5 < most
+
+
 def test_copies_teach_nothing():
     rng = random.Random(4)
     copied = words(rng, 60)
