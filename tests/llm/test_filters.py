@@ -66,6 +66,23 @@ def test_compression_bands():
     assert not verdict and outside > 0.5
 
 
+@pytest.mark.parametrize("size", [350, 400, 512, 513, 700, 1024, 1025, 2048, 2049, 4096, 5120, 8192, 12_000])
+def test_noise_of_all_lengths_goes(size):
+    rng = random.Random(size)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for letters in (base64, "".join(map(chr, range(33, 127)))):
+        for k in (5, 6, 9, 12):
+            noise = " ".join("".join(rng.choices(letters, k=k)) for _ in range(size // (k + 1) + 1))[:size]
+            if len(noise.split()) >= 50:
+                assert not RULES.judge(noise)[5] and not RULES.judge(noise)[6], (letters, k)
+
+
+def test_clean_documents_stay(spark):
+    texts = [r.text for r in spark.read.parquet(f"{LARGE}/documents.parquet").select("text").collect()]
+    found = [RULES.judge(t) for t in texts]
+    assert sum(not f[5] for f in found) > 8000 and all(f[6] for f in found if not f[5])
+
+
 def test_chunks_cover_the_text():
     bands = quality.Bands(chunk=100, chunk_band=(0.0, 9.0), whole=((float("inf"), 0.0, 99.0),))
     rules = quality.QualityRules(bands, 1, 100)
