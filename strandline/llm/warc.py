@@ -19,7 +19,7 @@ share the largest page_id of equal payloads are all responses.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +30,7 @@ from .common import cut, drop_cut
 MAGIC = b"WARC/1.1\r\n"
 CLOSE = "\r\n\r\n"
 RANGE = 16 << 20
-#: A record's header must end within so many bytes.
+#: So many bytes are read for a record's header at first; more if it is longer.
 HEADER = 64 << 10
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "file string, offset long, record_type string, page_id long, uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -90,29 +90,50 @@ def _open(uri: str):
     return store.open_input_file(path)
 
 
-def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
-    """Named fields of the header at ``at``, and where its block begins."""
+def parse_header(data: bytes, at: int, short: bool = False) -> tuple[dict[str, str], int] | bool | None:
+    """Named fields of the header at ``at``, and where its block begins; None if it is no header.
+
+    With ``short``, ``data`` isn't all of the file: False says that more of it is needed.
+    """
+    unknown = False if short else None
     if data[at : at + len(MAGIC)] != MAGIC:
-        return None
-    end = data.find(b"\r\n\r\n", at, at + HEADER)
-    if end < 0:
-        return None
+        return unknown if MAGIC.startswith(data[at : at + len(MAGIC)]) else None
     fields: dict[str, str] = {}
-    for line in data[at + len(MAGIC) : end].decode("utf-8", "replace").split("\r\n"):
-        name, colon, value = line.partition(":")
+    at += len(MAGIC)
+    while (end := data.find(b"\r\n", at)) > at:
+        name, colon, value = data[at:end].decode("utf-8", "replace").partition(":")
         if not colon:
             return None
         fields[name.strip().lower()] = value.strip()
+        at = end + 2
+    if end < 0:
+        return unknown
     if not fields.get("content-length", "").isdigit():
         return None
-    return fields, end + 4
+    return fields, end + 2
 
 
-def find_candidates(data: bytes, base: int, limit: int) -> dict[int, int]:
-    """Offset of each place under ``limit`` that looks like a record, and its successor's."""
+def read_header(f, at: int, size: int) -> tuple[bytes, tuple[dict[str, str], int] | None]:
+    """What was read from ``at`` on, and its header: as much as that takes."""
+    data, parsed, want = b"", False, HEADER
+    while parsed is False:
+        f.seek(at + len(data))
+        data += f.read(min(want, size - at) - len(data))
+        parsed = parse_header(data, 0, at + len(data) < size)
+        want *= 2
+    return data, parsed
+
+
+def find_candidates(data: bytes, base: int, limit: int, more: Callable[[int], tuple[dict[str, str], int] | None] | None = None) -> dict[int, int]:
+    """Offset of each place under ``limit`` that looks like a record, and its successor's.
+
+    ``more`` parses the header at an offset of the file, for headers that ``data`` doesn't hold to their end.
+    """
     out, at = {}, data.find(MAGIC)
     while 0 <= at < limit:
-        parsed = parse_header(data, at)
+        parsed = parse_header(data, at, more is not None)
+        if parsed is False:
+            parsed = more(base + at)
         if parsed:
             fields, body = parsed
             out[base + at] = base + body + int(fields["content-length"]) + 4
@@ -149,7 +170,12 @@ def chain_links(ranges: DataFrame, width: int) -> DataFrame:
                 with _open(file) as f:
                     f.seek(start)
                     data = f.read(min(width + HEADER, size - start))
-                leaves = exits(find_candidates(data, start, width))
+
+                    def more(at: int, f=f, start=start, size=size) -> tuple[dict[str, str], int] | None:
+                        parsed = read_header(f, at, size)[1]
+                        return parsed and (parsed[0], at - start + parsed[1])
+
+                    leaves = exits(find_candidates(data, start, width, more if start + len(data) < size else None))
                 n = len(leaves)
                 yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array([part] * n, pa.int64()), pa.array(list(leaves), pa.int64()), pa.array(list(leaves.values()), pa.int64())], names=["file", "part", "offset", "leaves"])
 
@@ -188,6 +214,7 @@ def read(spark: SparkSession, path: str, width: int = RANGE) -> DataFrame:
     Payloads are what follows the HTTP header of a block; revisits have none.
     ``payload_bytes`` is the length of the full payload, from the HTTP header.
     A file whose start is no record has no records; a record cut short at a file's end is left out.
+    Anything else than a record where the chain of records leads is an error.
     """
     files = files_of(spark, path)
     entries = verified_entries(chain_links(ranges_of(files, width), width))
@@ -209,9 +236,7 @@ def read(spark: SparkSession, path: str, width: int = RANGE) -> DataFrame:
                 with _open(file) as f:
                     size = f.size()
                     while at < min(end, size):
-                        f.seek(at)
-                        data = f.read(min(HEADER, size - at))
-                        parsed = parse_header(data, 0)
+                        data, parsed = read_header(f, at, size)
                         if not parsed:
                             break
                         fields, body = parsed
@@ -231,6 +256,11 @@ def read(spark: SparkSession, path: str, width: int = RANGE) -> DataFrame:
                         if held > 8 << 20:
                             yield out(rows)
                             rows, held = [], 0
+                    # Where no record is, the next range's task has nothing to start from.
+                    if at < size:
+                        data, parsed = read_header(f, at, size)
+                        if parsed is None and data.strip() and parse_header(data, 0, True) is None:
+                            raise ValueError(f"no record at offset {at} of {file}")
                 if rows:
                     yield out(rows)
 

@@ -72,6 +72,25 @@ def test_records_without_a_chain_are_rejected(spark, tmp_path):
         assert sorted(map(tuple, rows)) == [("cut.warc", 1, 0), ("good.warc", 1, 0), ("good.warc", 3, len(outer))]
 
 
+@pytest.mark.parametrize("width", [512, 70_000, warc.RANGE])
+def test_long_addresses(spark, tmp_path, width):
+    rows = [(1, "http://x/1", "one"), (2, "data:" + "é" * 50_000, "two"), (3, "data:" + "x" * 300_000, "three"), (4, "http://x/4", "four")]
+    warc.write(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "a"))
+    found = warc.read(spark, str(tmp_path / "a"), width).collect()
+    assert sorted((r.page_id, r.uri, r.payload.decode()) for r in found) == rows
+
+
+@pytest.mark.parametrize("width", [64, 1 << 20])
+def test_a_chain_that_leads_nowhere_is_an_error(spark, tmp_path, width):
+    body = "HTTP/1.1 200 OK\r\n\r\nbody"
+    record = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+    (tmp_path / "bad.warc").write_text(record + "junk" * 40 + record, newline="")
+    with pytest.raises(Exception, match=f"no record at offset {len(record)}"):
+        warc.read(spark, str(tmp_path), width).collect()
+    (tmp_path / "bad.warc").write_text(record + record[:40], newline="")
+    assert warc.read(spark, str(tmp_path), width).count() == 1
+
+
 def test_exits_follow_chains():
     assert warc.exits({0: 10, 10: 25, 25: 90, 12: 25, 30: 31}) == {0: 90, 10: 90, 25: 90, 12: 90, 30: 31}
 
