@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, modest_batches
+from .common import add_struct, cut, drop_cut, free_name, modest_batches, struct_array
 from .components import connected_components, local_components
 
 DISTANCE = 3
@@ -281,7 +281,7 @@ def links(distinct: DataFrame, plan: Partitioning, distance: int = DISTANCE, blo
 
 
 def group_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``fp`` and ``component_id`` (least doc_id of its group) for each distinct fingerprint of ``fps``."""
+    """``fp``, ``component_id`` (least doc_id of its group) and ``root`` (its group) for each distinct fingerprint of ``fps``."""
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
     total = distinct.count()
     order = F.xxhash64(F.lit(29), "fp")
@@ -292,7 +292,7 @@ def group_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     joined = cut(joined, "groups")
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    out = cut(joined.join(least, "root").select("fp", "component_id"), "components")
+    out = cut(joined.join(least, "root").select("fp", "component_id", "root"), "components")
     for done in (distinct, roots, joined):
         drop_cut(done)
     return out
@@ -305,14 +305,34 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return fps.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _fingerprint_struct():
+    def run(texts: list[str | None]) -> pa.StructArray:
+        return struct_array(fp=pa.array(np.array([simhash(t) for t in texts], np.uint64).view(np.int64)))
+
+    return run
+
+
 def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``df`` with the least doc_id of their group, one for each group.
+    """One row of ``df`` for each group: of its least doc_id, the one with the least (signed) fingerprint.
 
-    Rows that share a doc_id count as one document. Rows without a doc_id can't
-    stand for a group and are all kept.
+    A doc_id that stands on rows of different groups can so stay more than once. Rows
+    without a doc_id can't stand for a group and are all kept.
     """
-    found = near_duplicates(df, text_col, id_col, distance)
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stay")).distinct()
-    stay = cut(stay, "stay")
-    named = df.join(stay, F.col(f"`{id_col}`") == F.col("__stay"), "inner").drop("__stay").dropDuplicates([id_col])
-    return named.unionByName(df.filter(F.col(f"`{id_col}`").isNull()))
+    fps = cut(fingerprints(df, text_col, id_col), "simhash")
+    found = fps.join(group_fingerprints(fps, distance), "fp").filter(F.col("doc_id") == F.col("component_id"))
+    stay = found.groupBy("root").agg(F.min("doc_id").alias("__stay"), F.min("fp").alias("__fp"))
+    stay = cut(stay.select("__stay", "__fp"), "stay")
+    mixed = fps.groupBy(F.col("doc_id").alias("__stay")).agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least <> most")
+    mixed = cut(stay.join(mixed.select("__stay"), "__stay", "left_semi"), "mixed")
+    own = F.col(f"`{id_col}`")
+    key = own == F.col("__stay")
+    nameless = df.filter(own.isNull())
+    if not mixed.limit(1).count():
+        return df.join(stay.select("__stay"), key, "inner").drop("__stay").dropDuplicates([id_col]).unionByName(nameless)
+    # Only rows of a doc_id with several fingerprints need theirs to be told apart.
+    plain = df.join(stay.join(mixed, "__stay", "left_anti").select("__stay"), key, "inner").drop("__stay").dropDuplicates([id_col])
+    name = free_name(df, "simhash_of_row")
+    several = add_struct(df.join(mixed.select("__stay").distinct(), key, "left_semi"), [text_col], name, "fp long", _fingerprint_struct)
+    several = several.withColumn(name, F.col(f"`{name}`.fp"))
+    several = several.join(mixed, key & (F.col(f"`{name}`") == F.col("__fp")), "inner").drop("__stay", "__fp").dropDuplicates([id_col, name]).drop(name)
+    return plain.unionByName(several).unionByName(nameless)

@@ -114,6 +114,18 @@ def test_keep_one_of_each(spark):
     assert simhash.keep_one_of_each(documents(spark, [])).count() == simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_repeated_doc_ids_keep_all_groups(spark):
+    rng = random.Random(12)
+    texts = [words(rng, 60) for _ in range(6)]
+    # 7 stands on rows of three groups; 3 has the least id of one of them.
+    rows = [(3, 0), (7, 0), (7, 1), (7, 2), (8, 1), (9, 3), (9, 3), (10, 4), (11, 4), (10, 5), (12, 5)]
+    for _ in range(2):
+        rng.shuffle(rows)
+        df = documents(spark, [(d, texts[t], "en", "s", 0) for d, t in rows])
+        kept = sorted((r.doc_id, texts.index(r.text)) for r in simhash.keep_one_of_each(df).collect())
+        assert kept == [(3, 0), (7, 1), (7, 2), (9, 3), (10, 4), (10, 5)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(-9, 9), st.integers(-9, 9)), min_size=1, max_size=20))
 def test_local_components(edges):
