@@ -74,6 +74,13 @@ def polynomial_hash(seq: Column, base: int = 239, modulus: int = HASH_MODULUS) -
     return F.aggregate(letters, F.lit(0).cast("long"), lambda h, c: (h * base + F.ascii(c)) % modulus)
 
 
+def _code_times(letter: Column, factor: int, modulus: int) -> Column:
+    """The letter's code times ``factor``, by 7 bits of the code at a time: the whole product is no long for codes over 255."""
+    code, by = F.ascii(letter).cast("long"), F.lit(factor)
+    part = lambda k: F.shiftright(code, k).bitwiseAND(F.lit(127)) * by % modulus
+    return ((part(14) * 128 + part(7)) % modulus * 128 + part(0)) % modulus
+
+
 def push_right(h: Column, letter: Column, base: int = 239, modulus: int = HASH_MODULUS) -> Column:
     """Hash of a sequence with one more letter at its end."""
     return (h * base + F.ascii(letter)) % modulus
@@ -81,12 +88,12 @@ def push_right(h: Column, letter: Column, base: int = 239, modulus: int = HASH_M
 
 def push_left(h: Column, letter: Column, size: int, base: int = 239, modulus: int = HASH_MODULUS) -> Column:
     """Hash of a sequence of ``size`` letters with one more letter before it."""
-    return (h + F.ascii(letter) * F.lit(pow(base, size, modulus))) % modulus
+    return (h + _code_times(letter, pow(base, size, modulus), modulus)) % modulus
 
 
 def shift_right(h: Column, gone: Column, new: Column, size: int, base: int = 239, modulus: int = HASH_MODULUS) -> Column:
     """Hash of the next window of ``size`` letters: ``gone`` leaves at the left, ``new`` comes at the right."""
-    rest = (h + modulus - F.ascii(gone) * F.lit(pow(base, size - 1, modulus)) % modulus) % modulus
+    rest = (h + modulus - _code_times(gone, pow(base, size - 1, modulus), modulus)) % modulus
     return push_right(rest, new, base, modulus)
 
 

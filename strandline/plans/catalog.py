@@ -246,14 +246,24 @@ def kmer_canonical(spark, sf_dir):
 def kmer_hash_steps(spark, sf_dir):
     """Hashes that follow from their neighbours', one step to the right and one to the left: all of them."""
     plain = tables.passages(spark, sf_dir).withColumn("seq", F.regexp_replace("seq", "[^ -~]", "")).filter(F.length("seq") >= 13)
+    return _hash_steps(plain)
+
+
+def _hash_steps(seqs):
     # Words of one letter more hold both neighbours.
-    rows = kmers.kmers(plain, 12).select("seq_id", F.substring("kmer", 1, 11).alias("a"), F.substring("kmer", 2, 11).alias("b"), F.substring("kmer", 1, 1).alias("x"), F.substring("kmer", 12, 1).alias("y"))
+    rows = kmers.kmers(seqs, 12).select("seq_id", F.substring("kmer", 1, 11).alias("a"), F.substring("kmer", 2, 11).alias("b"), F.substring("kmer", 1, 1).alias("x"), F.substring("kmer", 12, 1).alias("y"))
     a, b = bases.polynomial_hash(F.col("a")), bases.polynomial_hash(F.col("b"))
     right = bases.shift_right(a, F.col("x"), F.col("y"), 11) == b
     left = bases.shift_left(b, F.col("y"), F.col("x"), 11) == a
     return rows.groupBy(F.col("seq_id").alias("item_id")).agg(F.count("*").alias("n"), F.count_if(right).alias("right_steps"), F.count_if(left).alias("left_steps"))
 
 
+@query("kmer_hash_steps_all")
+def kmer_hash_steps_all(spark, sf_dir):
+    """The same on whole passages: the SQL of ``kmer_hash_steps`` has only their plain letters, and 13 at least."""
+    return _hash_steps(tables.passages(spark, sf_dir))
+
+
 @query("minimizers_dna")
 def minimizers_dna(spark, sf_dir):
     return kmers.minimizers(tables.document_dna(spark, sf_dir), 13, 10).withColumnRenamed("seq_id", "doc_id")

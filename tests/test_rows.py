@@ -173,6 +173,21 @@ def test_wide_matches_are_found(spark, tmp_path):
     assert {r.pair_id for r in run("anchor_intervals")} == set(mine)
 
 
+def test_whole_passages_are_hashed_and_compared(spark, tmp_path):
+    texts = ["été naïf ÀÉ 日本語 straße", "ete naif AE nihongo strasse", "😀é" * 6, "é" * 11, "", "abc"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    steps = {r.item_id: (r.n, r.right_steps, r.left_steps) for r in catalog.queries()["kmer_hash_steps_all"](spark, str(tmp_path)).collect()}
+    assert steps == {k: (len(t) - 11,) * 3 for k, t in enumerate(texts) if len(t) > 11}
+    far = {r.pair_id: r.distance for r in catalog.queries()["edit_identity"](spark, str(tmp_path)).collect()}
+    for k, (a, b) in enumerate(zip(texts, texts[1:], strict=False)):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        assert far[k] == row[-1]
+
+
 def test_long_documents_are_hashed(spark, tmp_path):
     rng = random.Random(9)
     texts = ["", "xyz", "acgt", "".join(rng.choices("ACGTN ", k=260)), "".join(rng.choices("ACGT", k=20_000))]
