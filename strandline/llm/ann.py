@@ -229,9 +229,16 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                 for r, cs in enumerate(visited[at : at + 256]):
                     seen[r, [slot[c] for c in cs if c in slot]] = True
                 rough = np.where(seen[:, where], q @ x.T / lengths, -np.inf)
+                length_q = np.sqrt((q**2).sum(1))
                 best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
                 for r in range(len(q)):
-                    cand = best[r][np.isfinite(rough[r, best[r]])]
+                    # All that tie with the last one that counts, multiples of one vector say, however many.
+                    top = np.sort(rough[r, best[r]])[::-1]
+                    last = top[min(k, n - 1)]
+                    cand = best[r]
+                    if np.isfinite(last) and top[-1] >= last - 1e-12 * length_q[r]:
+                        cand = np.flatnonzero(rough[r] >= last - 1e-12 * length_q[r])
+                    cand = cand[np.isfinite(rough[r, cand])]
                     # Scores of the few that count are summed one by one, alike for all.
                     exact = np.einsum("ij,j->i", x[cand], q[r]) / (lengths[cand] * np.sqrt((q[r] ** 2).sum()))
                     found = sorted((-s, i) for s, c in zip(exact.tolist(), cand.tolist(), strict=True) for i in ids[c])[: k + 1]

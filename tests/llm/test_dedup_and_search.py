@@ -194,6 +194,15 @@ def test_copies_tie_by_id(spark):
         assert mine == [k for k in range(6) if k != q][:5]
 
 
+def test_multiples_tie_by_id(spark):
+    """More entries of one cosine than are looked at in the first place."""
+    rows = [(k, [2.0 ** (k * 7 % 60 - 30), 2.0 ** (k * 7 % 60 - 29)]) for k in range(60)] + [(k, [-1.0, 0.5]) for k in range(60, 100)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    for q in (0, 50):
+        mine = [r.vec_id for r in found.filter(f"query_id = {q}").orderBy("rank").collect()]
+        assert mine == [k for k in range(6) if k != q][:5]
+
+
 def test_few_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted((r.query_id, r.vec_id) for r in ann.search(few).collect()) == [(0, 1), (0, 50), (50, 0), (50, 1)]
