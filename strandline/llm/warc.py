@@ -13,7 +13,8 @@ they leave it, and pointer jumping over these exits (doubling: rounds grow with
 the logarithm of the ranges in a file) tells which of them the file's start
 reaches. The records from there on are then read, range by range.
 
-Null payloads are empty. Rows without a page_id sort below all others; rows that
+Payloads of any size are read whole, one at a time in memory. An empty table gives
+archives without records, and no rows. Null payloads are empty. Rows without a page_id sort below all others; rows that
 share the largest page_id of equal payloads are all responses.
 """
 
@@ -32,6 +33,8 @@ CLOSE = "\r\n\r\n"
 RANGE = 16 << 20
 #: So many bytes are read for a record's header at first; more if it is longer.
 HEADER = 64 << 10
+#: Bytes that are read at a time when records are.
+BLOCK = 4 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "file string, offset long, record_type string, page_id long, uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -124,6 +127,35 @@ def read_header(f, at: int, size: int) -> tuple[bytes, tuple[dict[str, str], int
     return data, parsed
 
 
+class Forward:
+    """A file that is read once from front to back, in blocks, by someone who looks at any place from the last one on."""
+
+    def __init__(self, f, size: int, end: int, block: int = BLOCK):
+        self.f, self.size, self.end, self.block = f, size, end, block
+        self.base, self.data = 0, b""
+
+    def at(self, place: int, n: int) -> bytes:
+        """``n`` bytes from ``place`` on, or as many as the file has."""
+        have = self.base + len(self.data)
+        if place + n > have and have < self.size:
+            kept = self.data[place - self.base :] if self.base <= place < have else b""
+            start = place + len(kept)
+            # No block reaches over the range's end but for what is asked for.
+            want = max(n - len(kept), min(self.block, self.end - start))
+            self.f.seek(start)
+            self.base, self.data = place, kept + self.f.read(min(want, self.size - start))
+        return self.data[place - self.base : place - self.base + n]
+
+    def header(self, place: int) -> tuple[dict[str, str], int] | None:
+        """The header at ``place`` and its length, however long; None if there is none."""
+        n, parsed = 2048, False
+        while parsed is False:
+            data = self.at(place, n)
+            parsed = parse_header(data, 0, place + len(data) < self.size)
+            n *= 4
+        return parsed
+
+
 def find_candidates(data: bytes, base: int, limit: int, more: Callable[[int], tuple[dict[str, str], int] | None] | None = None) -> dict[int, int]:
     """Offset of each place under ``limit`` that looks like a record, and its successor's.
 
@@ -160,6 +192,11 @@ def ranges_of(files: DataFrame, width: int) -> DataFrame:
     return files.select("file", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / width))).alias("part"))
 
 
+def dealt(rows: DataFrame, most: int = 50_000) -> DataFrame:
+    """Rows that stand for ranges, one to a task: they are few bytes, so adaptive execution would put them all together."""
+    return rows.repartition(max(1, min(most, rows.count())))
+
+
 def chain_links(ranges: DataFrame, width: int) -> DataFrame:
     """file, part, offset, leaves: each candidate and where its chain leaves its range."""
 
@@ -179,7 +216,7 @@ def chain_links(ranges: DataFrame, width: int) -> DataFrame:
                 n = len(leaves)
                 yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array([part] * n, pa.int64()), pa.array(list(leaves), pa.int64()), pa.array(list(leaves.values()), pa.int64())], names=["file", "part", "offset", "leaves"])
 
-    return ranges.repartition("file", "part").mapInArrow(scan, "file string, part long, offset long, leaves long")
+    return dealt(ranges).mapInArrow(scan, "file string, part long, offset long, leaves long")
 
 
 def verified_entries(links: DataFrame, rounds: int = 64) -> DataFrame:
@@ -235,18 +272,16 @@ def read(spark: SparkSession, path: str, width: int = RANGE) -> DataFrame:
                 end, rows, held = (part + 1) * width, [], 0
                 with _open(file) as f:
                     size = f.size()
+                    bytes_of = Forward(f, size, min(end, size))
                     while at < min(end, size):
-                        data, parsed = read_header(f, at, size)
+                        parsed = bytes_of.header(at)
                         if not parsed:
                             break
                         fields, body = parsed
                         length = int(fields["content-length"])
                         if at + body + length > size:
                             break
-                        block = data[body : body + length]
-                        if len(block) < length:
-                            f.seek(at + body)
-                            block = f.read(length)
+                        block = bytes_of.at(at + body, length)
                         head, _, payload = block.partition(b"\r\n\r\n")
                         full = next((int(x[15:]) for x in head.split(b"\r\n") if x[:15].lower() == b"content-length:"), len(payload))
                         kind = fields.get("warc-type")
@@ -257,14 +292,14 @@ def read(spark: SparkSession, path: str, width: int = RANGE) -> DataFrame:
                             yield out(rows)
                             rows, held = [], 0
                     # Where no record is, the next range's task has nothing to start from.
-                    if at < size:
-                        data, parsed = read_header(f, at, size)
-                        if parsed is None and data.strip() and parse_header(data, 0, True) is None:
+                    if at < size and bytes_of.header(at) is None:
+                        data = bytes_of.at(at, HEADER)
+                        if data.strip() and parse_header(data, 0, True) is None:
                             raise ValueError(f"no record at offset {at} of {file}")
                 if rows:
                     yield out(rows)
 
-    return entries.repartition("file", "part").mapInArrow(records, RECORD)
+    return dealt(entries).mapInArrow(records, RECORD)
 
 
 def archive_report(pages: DataFrame, path: str, width: int = RANGE) -> DataFrame:
