@@ -4,21 +4,26 @@ Unit vectors are cut into two halves; each half has a codebook of K centroids,
 so a vector lies in one of K x K cells. A query ranks the centroids of either
 half by distance and walks over pairs of them, least summed distance first,
 with a heap (the multi-sequence walk), until the cells it has passed hold a
-given share of the index. The entries of those cells are scored exactly.
+given number of entries. The entries there are scored exactly.
 
-Codebooks are fitted on at most ``SAMPLE`` vectors. The share to walk over is
-calibrated on them too: the least one that finds ``recall`` of the true
-neighbours of sampled queries. Every vector is indexed.
+K follows the number of entries; codebooks are fitted on a bounded sample. How
+far to walk is calibrated on the index itself: some queries are compared with
+every entry (a fixed number of queries, one pass), and the walk is the least one
+that finds ``recall`` of their true neighbours.
 
-Equal vectors are one entry with their k + 1 least ids: of more than that many
-copies, none but these can be among k nearest, as ties go to smaller ids.
-Entries are dealt into buckets of bounded size, cell by cell, large cells over
-several buckets; a bucket that many queries visit is copied for blocks of them.
+Every row that takes part is an entry, with one exception that changes nothing:
+of more than k + 1 equal vectors none but the k + 1 least ids can be among the k
+nearest, as ties go to smaller ids, so only those are entered.
+
+Entries are dealt into buckets of bounded bytes, cell by cell, large cells over
+several buckets. A bucket is scored whole by the queries that walk over any of
+its cells; one that many queries visit is copied for blocks of them. Vectors are
+shuffled once, into their buckets, and a query's goes to each bucket it visits.
 
 Vectors that are null, zero, or hold null or non-finite components take no part,
 nor do vectors of another length than most, nor rows without an id. An id that
-occurs with several vectors is a candidate with each. Fewer candidates than k:
-all of them. An empty table gives no rows.
+occurs on several rows is a candidate with each. Fewer candidates than k: all of
+them. An empty table gives no rows. Very long vectors make small buckets.
 """
 
 from __future__ import annotations
@@ -32,12 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut
 
-SAMPLE = 8192
-#: Entries of a bucket, and queries that one copy of it serves.
-BUCKET, SERVED = 4096, 8192
-RESULT = "query_id long, vec_id long, score double"
+#: Vectors that codebooks are fitted on: so many for each centroid, and at least and at most so many.
+PER_CENTROID, SAMPLE, MOST_SAMPLE = 32, 8192, 32_768
+#: Centroids of a half, at most, and entries of a cell that K aims at.
+MOST_CENTROIDS, CELL = 1024, 64
+#: Queries that the walk is calibrated on.
+CALIBRATION = 100
+#: Bytes of a bucket's vectors, and queries that one copy of it serves.
+BUCKET_BYTES, SERVED = 8 << 20, 8192
+RESULT = "query long, vec_id long, score double"
 
 
 @dataclass(frozen=True)
@@ -102,30 +112,28 @@ def k_means(points: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarr
     return centres
 
 
-def fit(sample: np.ndarray, entries: int, neighbours: int, recall: float = 0.97, queries: int = 200) -> MultiIndex:
-    """Codebooks and walk for an index of ``entries`` vectors, from unit vectors of a sample."""
-    k = int(np.clip(2 ** round(np.log2(max(4.0, entries / 64)) / 2), 2, 64))
-    k = min(k, len(sample))
-    books = tuple(k_means(h, k, s) for s, h in enumerate(halves(sample)))
-    index = MultiIndex(books, np.zeros(k * k, np.int64))
-    if len(sample) <= 4 * neighbours + 4:
-        return MultiIndex(books, walk=entries + 1)
-    cell = index.cells(sample)
-    counts = np.bincount(cell, minlength=k * k)
-    some = np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int)
-    near = sample[some] @ sample.T
-    near[np.arange(len(some)), some] = -2
-    top = np.argpartition(-near, neighbours, axis=1)[:, :neighbours]
-    a, b = index.distances(sample[some])
-    # How many entries are passed before the cell of each true neighbour is done.
+def centroids(entries: int) -> int:
+    """K for an index of so many entries: cells of about ``CELL``."""
+    return int(np.clip(2 ** round(np.log2(max(4.0, entries / CELL)) / 2), 2, MOST_CENTROIDS))
+
+
+def fit(sample: np.ndarray, entries: int) -> MultiIndex:
+    """Codebooks for an index of ``entries`` vectors, from unit vectors of a sample."""
+    k = min(centroids(entries), len(sample))
+    return MultiIndex(tuple(k_means(h, k, s) for s, h in enumerate(halves(sample))), np.zeros(k * k, np.int64))
+
+
+def calibrate(model: MultiIndex, queries: np.ndarray, cells: list[np.ndarray], recall: float, total: int) -> int:
+    """Entries to walk over so that ``recall`` of the queries' true neighbours, which are in ``cells``, are passed."""
     needed = []
-    for q in range(len(some)):
-        order = np.argsort((a[q][:, None] + b[q][None, :]).ravel(), kind="stable")
-        passed = np.zeros(k * k, np.int64)
-        passed[order] = np.cumsum(counts[order])
-        needed.append(passed[cell[top[q]]])
-    share = np.quantile(np.concatenate(needed), recall) / len(sample)
-    return MultiIndex(books, walk=int(np.ceil(share * entries)) + neighbours + 1)
+    for a, b, own in zip(*model.distances(queries), cells, strict=True):
+        order = np.argsort((a[:, None] + b[None, :]).ravel(), kind="stable")
+        passed = np.zeros(model.k**2, np.int64)
+        # A walk that is to reach a cell must not be over when all cells before it are passed.
+        passed[order] = np.cumsum(model.counts[order]) - model.counts[order] + 1
+        needed.append(passed[own])
+    needed = np.concatenate([np.zeros(0, np.int64), *needed])
+    return int(np.quantile(needed, recall, method="higher")) if len(needed) else total
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -135,8 +143,8 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
 
 
-def deal_cells(counts: np.ndarray, bucket: int = BUCKET) -> tuple[np.ndarray, np.ndarray, int]:
-    """First bucket of each cell, how many buckets it spreads over, and how many there are."""
+def deal_cells(counts: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bucket of each cell, and how many buckets it spreads over."""
     first, spread = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
     at, held = 0, 0
     for c, n in enumerate(counts.tolist()):
@@ -147,7 +155,7 @@ def deal_cells(counts: np.ndarray, bucket: int = BUCKET) -> tuple[np.ndarray, np
             at, held = at + int(spread[c]), 0
         else:
             held += n
-    return first, spread, at + 1
+    return first, spread
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -155,102 +163,136 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50, recall: float = 0.97) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest found for each row whose id ``every`` divides."""
-    spark = df.sparkSession
-    good = usable(df, id_col, vector_col)
-    common = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if common is None:
-        return empty
-    good = good.filter(F.size("v") == common.n)
-    # Of equal vectors, the k + 1 least ids: cut down before the shuffle, as the limit is known.
+def entered(good: DataFrame, k: int) -> DataFrame:
+    """id and v of the entries: all rows, but of more than k + 1 equal vectors only those with the least ids.
+
+    Vectors are counted by a hash, so only rows of hashes that occur so often, mostly
+    none, are shuffled to be compared.
+    """
+    keyed = good.withColumn("h", F.xxhash64("v"))
+    crowded = cut(keyed.groupBy("h").count().filter(F.col("count") > k + 1).select("h"), "crowded")
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    entries = good.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    entries = cut(entries.select(F.col("ids")[0].alias("entry"), "ids", "v"), "entries")
-    total = entries.count()
-    sampled = entries.select("v").orderBy(F.xxhash64(F.lit(31), "v"), "entry").limit(SAMPLE).toArrow()
-    model = fit(unit(_matrix(sampled.column("v"))), total, k, recall)
+    few = keyed.join(crowded, "h", "left_semi").withColumn("place", place).filter(F.col("place") <= k + 1)
+    return keyed.join(crowded, "h", "left_anti").select("id", "v").unionByName(few.select("id", "v"))
+
+
+def nearest_of_batches(batches: Iterator[pa.RecordBatch], queries: np.ndarray, own: list[int], k: int) -> Iterator[pa.RecordBatch]:
+    """q, cell, score: the ``k`` best of each batch of placed entries for each unit vector of ``queries``."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        score = queries @ unit(_matrix(batch.column("v"))).T
+        score[np.array(own)[:, None] == batch.column("id").to_numpy()[None, :]] = -2.0
+        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        q = np.repeat(np.arange(len(queries)), top.shape[1])
+        cell = batch.column("cell").to_numpy()[top.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(cell), pa.array(score[q, top.ravel()])], names=["q", "cell", "score"])
+
+
+def build(good: DataFrame, dim: int, k: int, recall: float) -> tuple[DataFrame, MultiIndex]:
+    """Entries with their cells, as a table, and the calibrated index."""
+    total = good.count()
+    size = int(np.clip(PER_CENTROID * centroids(total), SAMPLE, MOST_SAMPLE))
+    rank = F.pmod(F.xxhash64(F.lit(31), "v", "id"), F.lit(1 << 40))
+    # Thinned to about twice what is wanted, or each task would send as many as that.
+    thin = good.filter(rank < int((1 << 40) * min(1.0, (2 * size + 100) / max(1, total))))
+    sampled = thin.select("id", "v").orderBy(rank, "id").limit(size).toArrow()
+    sample = unit(_matrix(sampled.column("v")))
+    model = fit(sample, total)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell = model.cells(unit(_matrix(batch.column("v")))) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
 
-    placed = cut(entries.mapInArrow(assign, "entry long, ids array<long>, v array<double>, cell long"), "cells")
+    placed = cut(entered(good, k).mapInArrow(assign, "id long, v array<double>, cell long"), "cells")
     counts = np.zeros(model.k**2, np.int64)
     for r in placed.groupBy("cell").count().collect():  # K x K numbers at most
         counts[r["cell"]] = r["count"]
-    model = MultiIndex(model.books, counts, model.walk)
-    first, spread, _ = deal_cells(counts)
+    model = MultiIndex(model.books, counts)
+    some = np.linspace(0, len(sample) - 1, min(CALIBRATION, len(sample))).astype(int)
+    asked, own = sample[some], [sampled.column("id")[int(n)].as_py() for n in some]
+    best = placed.mapInArrow(lambda batches: nearest_of_batches(batches, asked, own, k), "q long, cell long, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "cell")
+    best = best.filter("score > -2").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("q", "cell").toArrow()
+    q, cell = best.column("q").to_numpy(), best.column("cell").to_numpy()
+    walk = calibrate(model, asked, [cell[q == n] for n in range(len(some))], recall, int(counts.sum()))
+    # However near the neighbours are, enough entries for k of them and the query itself.
+    return placed, MultiIndex(model.books, counts, max(walk, 2 * k + 2))
+
+
+def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50, recall: float = 0.97, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest found for each row whose id ``every`` divides."""
+    spark = df.sparkSession
+    good = usable(df, id_col, vector_col)
+    common = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if common is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    good = good.filter(F.size("v") == common.n)
+    placed, model = build(good, common.n, k, recall)
+    first, spread = deal_cells(model.counts, max(64, bucket_bytes // (8 * common.n)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["entry", "v", "bucket", "visits"]
         for batch in batches:
             rows: list[tuple] = []
             vectors = batch.column("v").to_pylist()
             distances = model.distances(unit(_matrix(batch.column("v")))) if vectors else ()
-            for q, v, a, b in zip(batch.column("entry").to_pylist(), vectors, *distances, strict=True):
-                by_bucket: dict[int, list[int]] = {}
-                for cell in model.visited(a, b, model.walk):
-                    for s in range(int(spread[cell])):
-                        by_bucket.setdefault(int(first[cell]) + s, []).append(cell)
-                rows += [(q, v, bucket, cells) for bucket, cells in by_bucket.items()]
-            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
-            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
+            for q, v, a, b in zip(batch.column("query").to_pylist(), vectors, *distances, strict=True):
+                cells = np.array(model.visited(a, b, model.walk), np.int64)
+                wide = cells[spread[cells] > 1].tolist()
+                buckets = {*first[cells].tolist(), *(int(first[c]) + s for c in wide for s in range(int(spread[c])))}
+                rows += [(q, v, bucket) for bucket in sorted(buckets)]
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query", "v", "bucket"])
+
+    # Equal vectors ask once, for the least of their ids.
     asked = good.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v")
-    asked_vectors = asked.select("v").distinct()
-    asking = placed.join(asked_vectors, "v", "left_semi").select("entry", "v")
-    visits = cut(asking.mapInArrow(walk, "entry long, v array<double>, bucket long, visits array<long>"), "visits")
-    # As many copies of a bucket as its visitors need; one row for each bucket.
-    copies = visits.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / SERVED).cast("int").alias("copies"))
-    visiting = visits.join(copies, "bucket").withColumn("copy", F.pmod(F.xxhash64(F.lit(37), "entry"), F.col("copies")).cast("int")).drop("copies")
-    bucket_of = F.element_at(F.array(*[F.lit(int(x)) for x in first]), F.col("cell").cast("int") + 1)
-    spread_of = F.element_at(F.array(*[F.lit(int(x)) for x in spread]), F.col("cell").cast("int") + 1)
-    bucketed = placed.withColumn("bucket", (bucket_of + F.pmod(F.xxhash64(F.lit(41), "entry"), spread_of)).cast("long"))
-    stored = bucketed.join(copies, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "ids", "cell", "v")
+    asking = cut(asked.groupBy("v").agg(F.min("query_id").alias("query")), "asking")
+    visits = cut(asking.mapInArrow(walk, "query long, v array<double>, bucket long"), "visits")
+    # As many copies of a bucket as its visitors need. As a written table its size is known to the joins.
+    copies = cut(visits.groupBy("bucket").agg(F.ceil(F.count("*") / SERVED).alias("copies")), "copies")
+    visiting = visits.join(copies, "bucket").withColumn("copy", F.pmod(F.xxhash64(F.lit(37), "query"), F.col("copies"))).drop("copies")
+
+    def bucket_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for cells, salts in batches:
+            cell = cells.to_numpy()
+            yield pa.array(first[cell] + salts.to_numpy() % spread[cell])
+
+    dealt = F.arrow_udf(bucket_of, returnType="long")
+    bucketed = placed.withColumn("bucket", dealt("cell", F.pmod(F.xxhash64(F.lit(41), "id", "v"), F.lit(1 << 40))))
+    stored = bucketed.join(copies, "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), "id", "v")
 
     def rerank(key: tuple[pa.Scalar, ...], queries: pa.Table, bucket: pa.Table) -> pa.Table:
         out: list[pa.Table] = []
         if queries.num_rows and bucket.num_rows:
-            x, cells = _matrix(bucket.column("v")), bucket.column("cell").to_numpy()
+            x, ids = _matrix(bucket.column("v")), bucket.column("id").to_numpy()
             lengths = np.sqrt((x**2).sum(1))
-            ids = bucket.column("ids").to_pylist()
-            own, where = np.unique(cells, return_inverse=True)
-            slot = {c: n for n, c in enumerate(own.tolist())}
             n = min(2 * k + 6, len(x))
-            entry, visited = queries.column("entry").to_pylist(), queries.column("visits").to_pylist()
-            all_q = _matrix(queries.column("v"))
+            entry, all_q = queries.column("query").to_pylist(), _matrix(queries.column("v"))
             for at in range(0, len(all_q), 256):
                 q = all_q[at : at + 256]
-                seen = np.zeros((len(q), len(own)), bool)
-                for r, cs in enumerate(visited[at : at + 256]):
-                    seen[r, [slot[c] for c in cs if c in slot]] = True
-                rough = np.where(seen[:, where], q @ x.T / lengths, -np.inf)
                 length_q = np.sqrt((q**2).sum(1))
+                rough = (q @ x.T) / lengths / length_q[:, None]
                 best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
                 for r in range(len(q)):
                     # All that tie with the last one that counts, multiples of one vector say, however many.
-                    top = np.sort(rough[r, best[r]])[::-1]
-                    last = top[min(k, n - 1)]
-                    cand = best[r]
-                    if np.isfinite(last) and top[-1] >= last - 1e-12 * length_q[r]:
-                        cand = np.flatnonzero(rough[r] >= last - 1e-12 * length_q[r])
-                    cand = cand[np.isfinite(rough[r, cand])]
+                    cand, top = best[r], np.sort(rough[r, best[r]])[::-1]
+                    last = top[min(k, n - 1)] - 1e-12
+                    if top[-1] >= last:
+                        cand = np.flatnonzero(rough[r] >= last)
                     # Scores of the few that count are summed one by one, alike for all.
-                    exact = np.einsum("ij,j->i", x[cand], q[r]) / (lengths[cand] * np.sqrt((q[r] ** 2).sum()))
-                    found = sorted((-s, i) for s, c in zip(exact.tolist(), cand.tolist(), strict=True) for i in ids[c])[: k + 1]
-                    out.append(pa.table({"query_id": [entry[at + r]] * len(found), "vec_id": [i for _, i in found], "score": [-s for s, _ in found]}))
-        kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+                    exact = np.einsum("ij,j->i", x[cand], q[r]) / (lengths[cand] * length_q[r])
+                    found = np.lexsort((ids[cand], -exact))[: k + 1]
+                    out.append(pa.table({"query": [entry[at + r]] * len(found), "vec_id": ids[cand[found]], "score": exact[found]}))
+        kind = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         return pa.concat_tables([t.cast(kind) for t in out]) if out else kind.empty_table()
 
     near = visiting.groupBy("bucket", "copy").cogroup(stored.groupBy("bucket", "copy")).applyInArrow(rerank, RESULT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).drop("place").withColumnRenamed("query_id", "entry")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    near = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).drop("place")
     # Back from distinct vectors to the rows that ask; a row is not its own neighbour.
-    who = asked.join(placed.select("v", "entry"), "v").select("query_id", "entry")
-    each = who.join(near, "entry").filter(F.col("query_id") != F.col("vec_id"))
+    who = asked.join(asking, "v").select("query_id", "query")
+    each = who.join(near, "query").filter(F.col("query_id") != F.col("vec_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
