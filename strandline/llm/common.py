@@ -1,48 +1,72 @@
-"""Shared plumbing: shared-folder tables, batch evaluation, bounded caches."""
+"""Shared plumbing: shared-folder tables, batch evaluation, memory bounds of workers."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Paths of the intermediate tables that this driver has written and not yet deleted.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (plain local runs) a temporary folder of
-    the driver's machine is set and used.
+    Only a session that runs in one process (master ``local``) may lack that
+    setting: it gets a temporary folder. On any cluster the lack is an error, as a
+    folder of the driver's machine isn't the executors'.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.sparkContext.setCheckpointDir(found)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandline-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there."""
+    """A path in the shared folder for something that ``release`` deletes."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    # With its scheme, as workers read some tables without Spark.
+    path = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if path.startswith("file:/") and not path.startswith("file:///"):
+        path = "file://" + path.removeprefix("file:")
+    _written.append(path)
+    return path
+
+
+def cut(df: DataFrame, name: str = "cut", by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders of column ``by`` if given, and read it back: the lineage ends there."""
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strandline_path = path
     return out
 
 
+def path_of(df: DataFrame) -> str | None:
+    """Where ``cut`` has put a table."""
+    return getattr(df, "_strandline_path", None)
+
+
 def drop_cut(df: DataFrame | None) -> None:
     """Delete a table made by ``cut`` that nothing reads any more."""
-    path = getattr(df, "_strandline_path", None)
+    path = path_of(df)
     if path:
         delete_path(df.sparkSession, path)
 
@@ -51,29 +75,73 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _written:
+        _written.remove(path)
 
 
-def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Rows hold whole texts here: fewer of them go to Python at a time, unless the session says how many."""
-    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if spark.conf.get(name, usual) == usual:
-        spark.conf.set(name, str(rows))
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate tables and archives written so far (from the ``since``-th that is still there).
+
+    Operators return DataFrames that read them, so call this when those results are
+    written or no longer wanted.
+    """
+    for path in _written[since:]:
+        delete_path(spark, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, as a table in the shared folder; the tables that making it took are deleted."""
+    had = len(_written)
+    made = make()
+    before = _written[had:]
+    out = cut(made, name)
+    for path in before:
+        if path in _written:
+            delete_path(spark, path)
+    return out
+
+
+#: Bytes of a batch that are turned into Python values at a time.
+SLICE = 4 << 20
+
+
+def slices(columns: list[pa.Array], most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Row ranges that cover the columns of a batch; one holds ``most`` bytes of text, or a single row.
+
+    Spark bounds a batch by rows and by ``spark.sql.execution.arrow.maxBytesPerBatch``;
+    Python's own values take several times an array's room, and most operators make more of them.
+    """
+    n = len(columns[0])
+    sizes = np.full(n, 64, np.int64)
+    for c in columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
+            sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(c.type):
+            sizes += 8 * pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < n:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, end
+        at = end
 
 
 def add_struct(df: DataFrame, inputs: list[str], out: str, ddl: str, factory: Callable, *args) -> DataFrame:
     """Append a struct column computed batch by batch in Arrow.
 
     ``factory(*args)`` is called once per task and returns a function from
-    lists of Python values (one per input column) to a ``pyarrow.StructArray``
-    with the fields of ``ddl``. All other columns of ``df`` pass through
-    untouched, whatever their names are.
+    lists of Python values (one per input column, for a slice of a batch) to a
+    ``pyarrow.StructArray`` with the fields of ``ddl``. All other columns of ``df``
+    pass through untouched, whatever their names are.
     """
 
     def run(batches: Iterator) -> Iterator[pa.Array]:
         f = factory(*args)
         for batch in batches:
-            columns = batch if isinstance(batch, tuple) else (batch,)
-            yield f(*[c.to_pylist() for c in columns])
+            columns = list(batch) if isinstance(batch, tuple) else [batch]
+            for a, b in slices(columns):
+                yield f(*[c.slice(a, b - a).to_pylist() for c in columns])
 
     if len(inputs) == 1:
 
@@ -85,7 +153,6 @@ def add_struct(df: DataFrame, inputs: list[str], out: str, ddl: str, factory: Ca
         def evaluate(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
             return run(batches)
 
-    modest_batches(df.sparkSession)
     udf = F.arrow_udf(evaluate, returnType=ddl).asNondeterministic()
     return df.withColumn(out, udf(*[F.col(f"`{c}`") for c in inputs]))
 
@@ -102,22 +169,67 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def table_rows_of(df: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """``df`` with columns for the file of each row and its place there.
+
+    A table that Spark reads from Parquet files, filtered or not, has them; anything
+    else is written to the shared folder and read back.
+    """
+    for found in (lambda: df, lambda: cut(df, "rows")):
+        table = found()
+        try:
+            hidden = table.metadataColumn("_metadata")
+            file, place = hidden["file_path"], hidden["row_index"]
+            table.select(file, place).schema  # noqa: B018
+            return table, file, place
+        except AnalysisException:
+            continue
+    raise ValueError("the shared folder's tables have no row numbers")
+
+
 class BoundedCache(dict):
-    """A dict for results by word; emptied when it holds ``limit`` entries."""
+    """A dict for results by word that is emptied when it has taken about ``limit`` bytes.
+
+    An entry counts for its word's and its value's characters or bytes and the
+    room that Python needs for any entry.
+    """
+
+    ENTRY = 220
 
-    def __init__(self, limit: int = 400_000, longest: int = 256):
+    def __init__(self, limit: int = 64 << 20, longest: int = 256):
         super().__init__()
-        self.limit, self.longest = limit, longest
+        self.limit, self.longest, self.held = limit, longest, 0
 
     def make_room(self) -> None:
-        if len(self) > self.limit:
+        """Call between, never within, the uses of what is looked up together."""
+        if self.held > self.limit:
             self.clear()
 
-    def drop_long(self, keys) -> None:
-        """Forget long keys: few texts share them, and they would take the room of many."""
-        for k in keys:
-            if len(k) > self.longest:
-                self.pop(k, None)
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+    def entered(self, keys: list[str]) -> None:
+        """Say which keys were added. Long ones are forgotten: few texts share them, and they would take the room of many."""
+        long = [k for k in keys if len(k) > self.longest]
+        for k in long:
+            self.pop(k, None)
+        self.held += self.ENTRY * len(keys) + 5 * (sum(map(len, keys)) - sum(map(len, long)))
+
+
+_held: dict[tuple, object] = {}
+
+
+def worker_state(key: tuple, make: Callable):
+    """Tables and caches that a Python worker keeps from one task to the next, for one operator at a time.
+
+    Workers outlive stages. When the next operator's tasks come, what the last one held is let go.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,22 +240,21 @@ def repository_root() -> str:
     return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-#: Labels that a sample can be even over.
-MOST_LABELS = 10_000
+#: Labels that a sample can be even over; beyond that, those with the most rows.
+MOST_LABELS = 1000
 
 
-def even_sample(df: DataFrame, label_col: str, key_col: str, per_label: int | Callable[[int], int], seed: int = 11, condition: Column | None = None) -> DataFrame:
+def even_sample(df: DataFrame, label_col: str, key_col: str, per_label: int | Callable[[int], int], seed: int = 11, condition: Column | None = None, most_labels: int = MOST_LABELS) -> DataFrame:
     """At most ``per_label`` rows of each label, picked by a hash of ``key_col``.
 
-    Labels are counted first, without any other column. Rows are then thinned by
-    their hash to about twice what is wanted, before ``condition`` is looked at, and
-    only that bounded number is shuffled to find the exact limit. ``per_label`` may
-    be a function of how many labels there are. Rows with equal keys stay or go
+    Labels are counted first, without any other column; of more than ``most_labels``
+    those with the most rows take part (of equals, the first in order). Rows are then
+    thinned by their hash to about twice what is wanted, before ``condition`` is looked
+    at, and only that bounded number is shuffled to find the exact limit. ``per_label``
+    may be a function of how many labels there are. Rows with equal keys stay or go
     together until the limit.
     """
-    sizes = df.filter(F.col(label_col).isNotNull()).groupBy(label_col).count().limit(MOST_LABELS + 1).collect()
-    if len(sizes) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
+    sizes = df.filter(F.col(label_col).isNotNull()).groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(most_labels).collect()
     if not sizes:
         return df.limit(0)
     most = per_label(len(sizes)) if callable(per_label) else per_label

@@ -9,23 +9,30 @@ flagged as ambiguous.
 The classifiers are fitted on at most ``SAMPLE`` texts in all, an even number
 for each language, chosen by a hash. Prediction reads whole texts. Texts that
 are null or have no letter are ``und`` with score 0; so is everything if there
-is nothing to learn from. Rows without a doc_id count as held out.
+is nothing to learn from. Rows without a doc_id count as held out. Languages that
+tie in loss go to the first by name. Repeated rows are scored alike, and count
+once each in the sample; an empty table gives no rows. Very long texts, and words,
+are read a block at a time.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, add_struct, even_sample, struct_array
+from .common import BoundedCache, add_struct, even_sample, struct_array, worker_state
 
 SAMPLE = 3000
+#: Texts to learn a language from, at least.
+LEAST = 5
 BUCKETS = 4096
 LETTERS = regex.compile(r"\p{L}+")
 PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
@@ -45,41 +52,87 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     return max((c for c in tries if (np.abs(c.sum(0)) < n).all()), key=gap)
 
 
-def gram_buckets(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all 1- to 3-grams of the chunks' letter runs, row by row, and each chunk's number of places.
+def grams_at(codes: np.ndarray) -> np.ndarray:
+    """Buckets of the 1- to 3-grams that begin at each place but the last two, row by row.
 
-    Runs are set between blanks; grams reach over a blank at their ends only.
-    Places that hold no gram point to the bucket past the last.
+    Code 32 parts runs of letters, and grams reach over it at their ends only; 10
+    ends a chunk. Places that hold no gram point to the bucket past the last.
     """
-    forms = [" " + " ".join(LETTERS.findall(c)) + " \n" for c in chunks]
-    codes = np.frombuffer("".join(forms).encode("utf-32-le"), "<u4").astype(np.uint64)
-    sizes = np.fromiter(map(len, forms), np.int64, len(forms))
-    padded = np.concatenate([codes, np.full(2, 10, np.uint64)])
-    inside = padded > 32
-    end = padded == 10
-    n = len(codes)
-    a, b, c = padded[:n], padded[1 : n + 1], padded[2 : n + 2]
+    n = len(codes) - 2
+    inside, end = codes > 32, codes == 10
+    a, b, c = codes[:n], codes[1 : n + 1], codes[2:]
     one = a * PRIMES[0]
-    two = one + b * PRIMES[1] + np.uint64(7)
-    three = one + b * PRIMES[1] + c * PRIMES[2] + np.uint64(13)
+    two = one + b * PRIMES[1]
+    three = two + c * PRIMES[2] + np.uint64(13)
     fold = lambda h: ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % BUCKETS
     none = np.int64(BUCKETS)
-    grams = np.stack([
+    return np.stack([
         np.where(inside[:n], fold(one), none),
-        np.where(~end[:n] & ~end[1 : n + 1] & (inside[:n] | inside[1 : n + 1]), fold(two), none),
-        np.where(~end[:n] & inside[1 : n + 1] & ~end[2 : n + 2], fold(three), none),
+        np.where(~end[:n] & ~end[1 : n + 1] & (inside[:n] | inside[1 : n + 1]), fold(two + np.uint64(7)), none),
+        np.where(~end[:n] & inside[1 : n + 1] & ~end[2:], fold(three), none),
     ])
-    return grams, sizes
 
 
-def words_of(text: str) -> list[str]:
-    return text.lower().replace("\n", " ").split(" ")
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+
+
+def gram_buckets(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``grams_at`` for the chunks' letter runs, set between blanks, and each chunk's number of places."""
+    forms = [" " + " ".join(LETTERS.findall(c)) + " \n" for c in chunks]
+    return grams_at(code_points("".join(forms) + "\n\n")), np.fromiter(map(len, forms), np.int64, len(forms))
+
+
+def grams_of_long(chunk: str, window: int = 1 << 16) -> Iterator[np.ndarray]:
+    """``gram_buckets`` of one chunk of any length, a window of its letters at a time."""
+    held = " "
+    for run in LETTERS.finditer(chunk):
+        for at in range(run.start(), run.end(), window):
+            held += chunk[at : min(at + window, run.end())]
+            if len(held) > window:
+                yield grams_at(code_points(held))
+                held = held[-2:]
+        held += " "
+    # A chunk without a letter has two blanks, as in ``gram_buckets``.
+    yield grams_at(code_points(held + (" " if held == " " else "") + "\n\n\n"))
+
+
+#: Words over this length are read a window at a time, and aren't kept.
+LONG = 256
+
+
+def parts_of(text: str, block: int = 1 << 18) -> Iterator[tuple[list[str], str | None]]:
+    """The blank- or line-separated words of a text in lower case: some short ones, or one long one, at a time."""
+    for start, end in word_blocks(text, block):
+        words = text[start:end].lower().replace("\n", " ").split(" ")
+        if len(max(words, key=len)) <= LONG:
+            yield words, None
+            continue
+        yield [w for w in words if len(w) <= LONG], None
+        for w in words:
+            if len(w) > LONG:
+                yield [], w
+
+
+def word_blocks(text: str, block: int) -> Iterator[tuple[int, int]]:
+    """Ranges that cover a text but for the blanks and line ends between them; of about ``block`` characters, or one word."""
+    at = 0
+    while at < len(text):
+        end = at + block
+        if end < len(text):
+            found = [k for k in (text.find(" ", end), text.find("\n", end)) if k >= 0]
+            end = min(found, default=len(text))
+        yield at, min(end, len(text))
+        at = end + 1
 
 
 def profile(text: str) -> np.ndarray:
     """Share of each bucket among a text's grams."""
-    grams, _ = gram_buckets(words_of(text))
-    count = np.bincount(grams.ravel(), minlength=BUCKETS + 1)[:BUCKETS].astype(np.float32)
+    count = np.zeros(BUCKETS + 1)
+    for words, long in parts_of(text):
+        for grams in grams_of_long(long) if long else (gram_buckets(words)[0],):
+            count += np.bincount(grams.ravel(), minlength=BUCKETS + 1)
+    count = count[:BUCKETS].astype(np.float32)
     return count / max(1.0, float(count.sum()))
 
 
@@ -91,6 +144,10 @@ class LanguageModel:
     bias: np.ndarray
     margin: float = 0.5  # least difference of losses that is not ambiguous
 
+    def digest(self) -> str:
+        """Equal for equal models."""
+        return xxhash.xxh3_128_hexdigest(repr((self.languages, self.margin)).encode() + self.code.tobytes() + self.weights.tobytes() + self.bias.tobytes())
+
 
 def fit(texts: list[np.ndarray], langs: list[str], rounds: int = 120, scale: float = 60.0) -> LanguageModel | None:
     """Logistic classifiers of all bits at once, by full-batch Adam."""
@@ -126,40 +183,41 @@ class LanguageScorer:
         self.rows[:BUCKETS, :bits] = model.weights
         self.rows[:BUCKETS, bits] = 1
         self.cache = BoundedCache()
-        self.sums = np.zeros((1 << 16, bits + 1))
+        #: Words whose sums take as many bytes as the cache may.
+        self.most = max(1024, self.cache.limit // (8 * (bits + 1) + self.cache.ENTRY))
+        self.sums = np.zeros((1024, bits + 1))
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         at = len(self.cache)
-        grams, sizes = gram_buckets(chunks)
+        grams, sizes = gram_buckets(words)
         starts = np.cumsum(sizes) - sizes
         found = sum(np.add.reduceat(self.rows[g], starts, axis=0) for g in grams)
-        while at + len(chunks) > len(self.sums):
+        while at + len(words) > len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        self.sums[at : at + len(chunks)] = found
-        self.cache.update(zip(chunks, range(at, at + len(chunks)), strict=True))
+        self.sums[at : at + len(words)] = found
+        self.cache.update(zip(words, range(at, at + len(words)), strict=True))
 
     def total(self, words: list[str]) -> np.ndarray:
+        """Sum over some words, none of them long."""
+        if len(self.cache) > self.most:
+            self.cache.clear()
         cache = self.cache
-        new = list({w for w in words if w not in cache})
-        if new:
-            for k in range(0, len(new), 50_000):
-                if len(cache) + 50_000 > cache.limit:
-                    # Room is made between, never within, the words of one sum.
-                    break
-                self.learn(new[k : k + 50_000])
-        try:
-            at = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            grams, _ = gram_buckets(words)
-            return sum(self.rows[g].sum(0) for g in grams)
-        return self.sums[at].sum(0)
+        new = [w for w in set(words) if w not in cache]
+        for k in range(0, len(new), 8192):
+            self.learn(new[k : k + 8192])
+        return self.sums[np.fromiter(map(cache.__getitem__, words), np.int64, len(words))].sum(0)
 
     def score(self, text: str | None) -> tuple[str, float, bool]:
         if not text or self.model is None:
             return "und", 0.0, False
-        if len(self.cache) > self.cache.limit // 2:
-            self.cache.clear()
-        total = self.total(words_of(text))
+        total = np.zeros(self.rows.shape[1])
+        for words, long in parts_of(text):
+            if long:
+                for grams in grams_of_long(long):
+                    for g in grams:
+                        total += self.rows[g].sum(0)
+            elif words:
+                total += self.total(words)
         n = total[-1]
         if n < 0.5:
             return "und", 0.0, False
@@ -179,7 +237,7 @@ class LanguageScorer:
 
 
 def _factory(model: LanguageModel | None):
-    scorer = LanguageScorer(model)
+    scorer = worker_state(("language", model and model.digest()), lambda: LanguageScorer(model))
 
     def run(texts: list[str | None]) -> pa.StructArray:
         found = scorer.score_all(texts)
@@ -196,10 +254,12 @@ def _profiler():
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample: int = SAMPLE) -> LanguageModel | None:
     """Fit on a bounded even sample of the rows of ``df`` that have a language and a text.
 
-    The driver receives the profiles of the sample only: ``sample`` x ``BUCKETS`` numbers at most.
+    The driver receives the profiles of the sample only: ``sample`` x ``BUCKETS`` numbers at most,
+    the same number of texts for each language. Of more than ``sample`` / ``LEAST`` languages, those
+    with the most rows are learned.
     """
     rows = df.select(F.col(f"`{key_col}`").alias("key"), F.col(f"`{text_col}`").alias("body"), F.col(f"`{lang_col}`").alias("label"))
-    picked = even_sample(rows, "label", "key", lambda n: max(20, sample // n), condition=F.col("body").rlike(r"\p{L}"))
+    picked = even_sample(rows, "label", "key", lambda n: sample // n, condition=F.col("body").rlike(r"\p{L}"), most_labels=max(1, sample // LEAST))
     found = add_struct(picked.select("body", "label"), ["body"], "p", "profile array<float>", _profiler).select("label", "p.profile").toArrow()
     if not found.num_rows:
         return None

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, cut, modest_batches
+from .common import BoundedCache, cut, slices, worker_state
 
 #: Parts words in one call to the library.
 MARK = "\x01"
@@ -56,9 +56,9 @@ class WordTokenizer:
         self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.closes = np.zeros(self.library.get_vocab_size(), bool)
         self.closes[[k for t, k in self.library.get_vocab().items() if t.endswith("</w>")]] = True
-        self.cache = BoundedCache(limit=700_000)
+        self.cache = BoundedCache(limit=96 << 20)
 
-    def encode(self, texts: list[str | None], closing: int, block_chars: int = 4_000_000) -> Iterator[bytes]:
+    def encode(self, texts: list[str | None], closing: int, block_chars: int = 1_000_000) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the closing id."""
         block, held = [], 0
         for text in texts:
@@ -118,22 +118,17 @@ class WordTokenizer:
         self.learn(new)
         end = closing.to_bytes(4, "little")
         out = [b"".join(map(cache.__getitem__, words)) + end for words in texts]
-        cache.drop_long(new)
+        cache.entered(new)
         yield from out
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str | None) -> WordTokenizer:
     """The worker's tokenizer; without a path, the installed 49k word vocabulary."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return worker_state(("words", path), lambda: WordTokenizer(path))
 
 
 def token_pieces(df: DataFrame, capacity: int = 4096, closing: int = 2, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -142,26 +137,25 @@ def token_pieces(df: DataFrame, capacity: int = 4096, closing: int = 2, text_col
     ``salt`` is a hash of the id and of the row's place in its task: it scatters
     rows evenly even where they are all alike.
     """
-    modest_batches(df.sparkSession)
     narrow = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
     span = 4 * capacity
     schema = PIECE + (", ids array<int>" if keep_ids else "")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, row = tokenizer(path), 0
+        names = [f.split(" ")[0] for f in schema.split(", ")]
+        kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())] * keep_ids
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[tuple] = []
-            for doc, data in zip(ids, tok.encode(texts, closing), strict=True):
-                row += 1
-                for at in range(0, len(data), span):
-                    piece = data[at : at + span]
-                    salt = xxhash.xxh64_intdigest(f"{doc}/{row}/{at}", 17) >> 1
-                    rows.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4, salt) + ((np.frombuffer(piece, "<i4"),) if keep_ids else ()))
-            columns = list(zip(*rows, strict=True)) or [()] * (6 + keep_ids)
-            kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())] * keep_ids
-            names = [f.split(" ")[0] for f in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            for a, b in slices([batch.column(1)]):
+                ids, texts = (batch.column(k).slice(a, b - a).to_pylist() for k in (0, 1))
+                rows: list[tuple] = []
+                for doc, data in zip(ids, tok.encode(texts, closing), strict=True):
+                    row += 1
+                    for at in range(0, len(data), span):
+                        piece = data[at : at + span]
+                        salt = xxhash.xxh64_intdigest(f"{doc}/{row}/{at}", 17) >> 1
+                        rows.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4, salt) + ((np.frombuffer(piece, "<i4"),) if keep_ids else ()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return narrow.mapInArrow(cut_up, schema)
 

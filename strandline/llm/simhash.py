@@ -18,7 +18,9 @@ very many rows is dealt into blocks, and each pair of blocks is a task's work.
 
 Null or empty texts have the fingerprint 0 and are linked like any other. Rows
 without a doc_id get their group's least doc_id, or null if the group has none.
-Repeated rows share a group.
+Repeated rows share a group. An empty table gives no rows; other columns play no
+part, whatever their names. A very long text is hashed whole, in memory that is a
+few times its size.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_struct, cut, drop_cut, free_name, modest_batches, struct_array
+from .common import cut, drop_cut, path_of, slices, table_rows_of
 from .components import connected_components, local_components
 
 DISTANCE = 3
@@ -69,17 +71,20 @@ def simhash(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long, for every row."""
-    modest_batches(df.sparkSession)
-    narrow = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
+def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", *also: Column) -> DataFrame:
+    """doc_id, ``fp`` (the fingerprint as a signed long) and the columns ``also`` for every row."""
+    narrow = df.select(F.col(f"`{text_col}`").alias("body"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), *also)
+    kept = [f for f in narrow.schema.fields if f.name != "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([simhash(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            texts, found = batch.column(0), []
+            for a, b in slices([texts]):
+                found += [simhash(t) for t in texts.slice(a, b - a).to_pylist()]
+            fp = pa.array(np.array(found, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], fp], names=[*batch.schema.names[1:], "fp"])
 
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    return narrow.mapInArrow(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], "fp long"]))
 
 
 @dataclass(frozen=True)
@@ -229,12 +234,12 @@ def links(distinct: DataFrame, plan: Partitioning, distance: int = DISTANCE, blo
     """a, b: links whose components are those of all fingerprints within ``distance``."""
     rows = probes(distinct, plan)
     crowded = rows.groupBy("part", "key").count().filter(F.col("count") > block)
-    crowded = crowded.select("part", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    crowded = crowded.select("part", "key", F.ceil(F.col("count") / block).alias("blocks"))
     # As a written table its size is known: when small, as it mostly is, the join needs no shuffle.
     joined = rows.join(cut(crowded, "crowded"), ["part", "key"], "left")
-    mine = F.pmod(F.xxhash64(F.lit(23), "fp"), F.col("blocks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.lit(1 << 15) + F.greatest(x, mine))
-    dealt = joined.select("part", "key", "home", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(meets)).alias("cell"))
+    mine = F.pmod(F.xxhash64(F.lit(23), "fp"), F.col("blocks"))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.lit(1 << 31) + F.greatest(x, mine))
+    dealt = joined.select("part", "key", "home", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(meets)).alias("cell"))
     order = ["part", "key", "cell"]
     dealt = dealt.repartition(*order).sortWithinPartitions(*order)
 
@@ -269,7 +274,7 @@ def links(distinct: DataFrame, plan: Partitioning, distance: int = DISTANCE, blo
             if at:
                 waiting += check([x[:at] for x in now])
             held = [x[at:] for x in now]
-            if waiting > 2_000_000:
+            if waiting > 250_000:
                 yield flush()
                 waiting = 0
         if held is not None:
@@ -281,18 +286,18 @@ def links(distinct: DataFrame, plan: Partitioning, distance: int = DISTANCE, blo
 
 
 def group_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``fp``, ``component_id`` (least doc_id of its group) and ``root`` (its group) for each distinct fingerprint of ``fps``."""
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
+    """``fp``, ``component_id`` (least doc_id of its group), ``root`` (its group) and ``rows`` (that have it) for each distinct fingerprint of ``fps``."""
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "fingerprints")
     total = distinct.count()
     order = F.xxhash64(F.lit(29), "fp")
     sample = np.array([r.fp for r in distinct.select("fp").orderBy(order, "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     plan = allocate(sample, total, distance)
     edges = links(distinct.select("fp"), plan, distance)
     roots = cut(connected_components(edges), "roots")
-    joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", "rows", F.coalesce("root", "fp").alias("root"))
     joined = cut(joined, "groups")
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    out = cut(joined.join(least, "root").select("fp", "component_id", "root"), "components")
+    out = cut(joined.join(least, "root").select("fp", "component_id", "root", "rows"), "components")
     for done in (distinct, roots, joined):
         drop_cut(done)
     return out
@@ -305,34 +310,65 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return fps.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _fingerprint_struct():
-    def run(texts: list[str | None]) -> pa.StructArray:
-        return struct_array(fp=pa.array(np.array([simhash(t) for t in texts], np.uint64).view(np.int64)))
+class _Gone:
+    """In a worker: which rows of a file go. ``path`` has their places, in a folder for each share of the files."""
 
-    return run
+    def __init__(self, path: str):
+        self.path, self.file, self.rows = path, None, np.zeros(0, np.int64)
+
+    def open(self, file: str, share: int) -> None:
+        from pyarrow import dataset, fs
+
+        store, root = fs.FileSystem.from_uri(f"{self.path}/share={share}")
+        self.file, self.rows = file, np.zeros(0, np.int64)
+        if store.get_file_info(root).type == fs.FileType.Directory:
+            found = dataset.dataset(root, filesystem=store, format="parquet").to_table(columns=["place"], filter=dataset.field("file") == file)
+            self.rows = np.unique(found.column("place").to_numpy())
+
+    def stays(self, file: str, share: int, places: np.ndarray) -> np.ndarray:
+        if file != self.file:
+            self.open(file, share)
+        at = np.searchsorted(self.rows, places)
+        return np.append(self.rows, -1)[at] != places
 
 
 def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """One row of ``df`` for each group: of its least doc_id, the one with the least (signed) fingerprint.
+    """One row of ``df`` for each group: that of the least doc_id.
 
-    A doc_id that stands on rows of different groups can so stay more than once. Rows
-    without a doc_id can't stand for a group and are all kept.
+    Of several such rows the one with the least (signed) fingerprint stays, and of
+    those that are alike in both the first by file and place. Rows of one doc_id and
+    unlike texts are rows of their own groups. Rows without a doc_id can't stand for a
+    group and are all kept. A null text is an empty one.
+
+    No text is shuffled: rows are known by file and place in it, what goes is a table
+    of such places, and each task of the last scan looks up those of its own files. A
+    ``df`` that isn't read from files right away is written to the shared folder first.
     """
-    fps = cut(fingerprints(df, text_col, id_col), "simhash")
-    found = fps.join(group_fingerprints(fps, distance), "fp").filter(F.col("doc_id") == F.col("component_id"))
-    stay = found.groupBy("root").agg(F.min("doc_id").alias("__stay"), F.min("fp").alias("__fp"))
-    stay = cut(stay.select("__stay", "__fp"), "stay")
-    mixed = fps.groupBy(F.col("doc_id").alias("__stay")).agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least <> most")
-    mixed = cut(stay.join(mixed.select("__stay"), "__stay", "left_semi"), "mixed")
-    own = F.col(f"`{id_col}`")
-    key = own == F.col("__stay")
-    nameless = df.filter(own.isNull())
-    if not mixed.limit(1).count():
-        return df.join(stay.select("__stay"), key, "inner").drop("__stay").dropDuplicates([id_col]).unionByName(nameless)
-    # Only rows of a doc_id with several fingerprints need theirs to be told apart.
-    plain = df.join(stay.join(mixed, "__stay", "left_anti").select("__stay"), key, "inner").drop("__stay").dropDuplicates([id_col])
-    name = free_name(df, "simhash_of_row")
-    several = add_struct(df.join(mixed.select("__stay").distinct(), key, "left_semi"), [text_col], name, "fp long", _fingerprint_struct)
-    several = several.withColumn(name, F.col(f"`{name}`.fp"))
-    several = several.join(mixed, key & (F.col(f"`{name}`") == F.col("__fp")), "inner").drop("__stay", "__fp").dropDuplicates([id_col, name]).drop(name)
-    return plain.unionByName(several).unionByName(nameless)
+    df, file, place = table_rows_of(df)
+    fps = cut(fingerprints(df, text_col, id_col, file.alias("file"), place.alias("place")), "simhash")
+    groups = group_fingerprints(fps.select("doc_id", "fp"), distance)
+    # Groups of one row, most of them, need no more looking at.
+    alone = groups.groupBy("root").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("root")
+    members = cut(fps.filter("doc_id is not null").join(groups.join(alone, "root", "left_semi").select("fp", "root"), "fp"), "members")
+    rank = F.struct("doc_id", "fp", "file", "place")
+    stay = members.groupBy("root").agg(F.min(rank).alias("best")).select("best.file", "best.place")
+    shares = max(1, min(4096, len(df.inputFiles()) // 8))
+    share = F.pmod(F.xxhash64("file"), F.lit(shares)).cast("int")
+    gone = members.join(stay, ["file", "place"], "left_anti").select("file", "place", share.alias("share"))
+    gone = cut(gone.repartition("share", "file").sortWithinPartitions("share", "file", "place"), "gone", by="share")
+    for done in (members, groups, fps):
+        drop_cut(done)
+    where = path_of(gone)
+
+    def stays(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        of = _Gone(where)
+        for files, shares_, places in batches:
+            runs, places = files.dictionary_encode(), places.to_numpy()
+            code = runs.indices.to_numpy()
+            names, own = runs.dictionary.to_pylist(), shares_.to_numpy()
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            keep = [of.stays(names[code[a]], int(own[a]), places[a:b]) for a, b in zip(starts, [*starts[1:], len(code)], strict=True)]
+            yield pa.array(np.concatenate([np.zeros(0, bool), *keep]))
+
+    keep = F.arrow_udf(stays, returnType="boolean")
+    return df.filter(keep(file, F.pmod(F.xxhash64(file), F.lit(shares)).cast("int"), place))

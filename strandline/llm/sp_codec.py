@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, add_struct, struct_array
+from .common import BoundedCache, add_struct, struct_array, worker_state
 from .ragged import PairTable, merge_rows
 
 #: The sign that stands for a blank in pieces. Fixed value.
@@ -104,7 +104,7 @@ class PieceCodec:
         # Blanks begin words in all pieces, and line ends join nothing: words can be merged one by one.
         self.by_word = not any(BLANK in p.lstrip(BLANK) for p in longer) and "\n" not in inside
         self.simple = self.by_word and self.map is None and self.dummy and self.escape and not self.trim and not self.suffix
-        self.cache = BoundedCache(limit=300_000)
+        self.cache = BoundedCache()
         self._tables()
 
     def _tables(self) -> None:
@@ -240,7 +240,7 @@ class PieceCodec:
 
     # -- encoding -----------------------------------------------------------------
 
-    def encode_iter(self, texts: list[str | None], block_chars: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def encode_iter(self, texts: list[str | None], block_chars: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text in turn: ids, with the first and the end byte of each one's source span."""
         block: list[str] = []
         held = 0
@@ -269,7 +269,7 @@ class PieceCodec:
             begins = ends - sizes
             begins[0] = 0
             yield ids, begins, ends
-        cache.drop_long(new)
+        cache.entered(new)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return next(self.encode_iter([text]))
@@ -410,18 +410,13 @@ def replace_invalid(raw: bytes) -> str:
     return "".join(out)
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(path: str | None) -> PieceCodec:
     """The worker's codec; without a path, the installed 32k piece model."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("piece_bpe_32k.model")
-    if path not in _codecs:
-        _codecs[path] = PieceCodec(path)
-    return _codecs[path]
+    return worker_state(("pieces", path), lambda: PieceCodec(path))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:

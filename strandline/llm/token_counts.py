@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, add_struct, struct_array
+from .common import BoundedCache, add_struct, struct_array, worker_state
 from .ragged import PairTable, merge_rows
 
 #: Unicode white space. Fixed values.
@@ -134,7 +134,7 @@ class ByteBpeCounter:
         for c, ps in zip(chunks, cut, strict=True):
             self.cache[c] = sum(map(n.__getitem__, ps))
 
-    def count(self, texts: list[str | None], block_chars: int = 4_000_000) -> list[int]:
+    def count(self, texts: list[str | None], block_chars: int = 1_000_000) -> list[int]:
         counts: list[int] = []
         block, held = [], 0
         for text in texts:
@@ -153,22 +153,17 @@ class ByteBpeCounter:
         new = [c for c in set(chain.from_iterable(chunks for _, chunks in cut)) if c not in cache]
         self.learn(new)
         counts = [add + sum(map(cache.__getitem__, chunks)) for add, chunks in cut]
-        cache.drop_long(new)
+        cache.entered(new)
         return counts
 
 
-_counters: dict[str, ByteBpeCounter] = {}
-
-
 def counter(path: str | None) -> ByteBpeCounter:
     """The worker's counter; without a path, the installed 50k byte-level vocabulary."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    if path not in _counters:
-        _counters[path] = ByteBpeCounter(path)
-    return _counters[path]
+    return worker_state(("byte_bpe", path), lambda: ByteBpeCounter(path))
 
 
 def _factory(path: str | None):
