@@ -28,7 +28,7 @@ import string
 import sys
 from array import array
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -38,10 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, add_struct, even_sample, free_name, struct_array
+from .common import BoundedCache, add_struct, cut, even_sample, free_name, struct_array, worker_state
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 20_000
-BUCKETS = 1 << 16
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
+CHARS_TOXIC, CHARS_CLEAN = 8_000_000, 16_000_000
+BUCKET_BITS = 16
+BUCKETS = 1 << BUCKET_BITS
+POLYNOMIAL = np.uint64(0x9E3779B97F4A7C55)
 CHAIN = 512
 #: Tokens under this marginal don't add to a document's evidence: long clean texts have many of them.
 LIKELY = 0.5
@@ -52,6 +55,8 @@ EDGES = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()) +
 _JOINTS = "".join(map(re.escape, sorted(set(EDGES) - set(MASKS))))
 #: A core, with the joints before it; the last one has what follows too.
 PIECE = re.compile(f"[{_JOINTS}]*[^{_JOINTS}]+(?:[{_JOINTS}]+$)?")
+#: Where a token begins inside a blank-separated chunk: at joints that have cores on both sides.
+INNER = re.compile(f"(?<=[^{_JOINTS}])(?=[{_JOINTS.replace(re.escape(' '), '')}]+[^{_JOINTS}])")
 UNMASKED = re.compile(rf"[{_JOINTS}{re.escape(MASKS)}]*[^{_JOINTS}{re.escape(MASKS)}]+(?:[{_JOINTS}{re.escape(MASKS)}]+$)?")
 FIELDS = "score double, spans array<struct<start:long,end:long>>"
 
@@ -65,22 +70,44 @@ def marks(word: str) -> list[str]:
     return ["=" + word] + ["^" + word[:k] for k in range(3, min(8, len(word)) + 1)]
 
 
-def features(word: str) -> list[int]:
-    if not word:
-        return []
-    padded = f"<{word}>"
-    names = marks(word) + [padded[k : k + 4] for k in range(len(padded) - 3)]
-    return [xxhash.xxh32_intdigest(x, 3) % BUCKETS for x in names]
-
-
 def feature_arrays(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all words in a row, and the place of the word that each belongs to."""
-    flat, counts = array("l"), array("l")
-    for w in words:
-        found = features(w)
-        flat.extend(found)
-        counts.append(len(found))
-    return np.repeat(np.arange(len(counts)), np.frombuffer(counts, np.int64)) if counts else np.zeros(0, np.int64), np.array(flat, np.int64)
+    """Features of all words, and for each the place of the word that it belongs to.
+
+    A word's features are itself, its prefixes of 3 to 8 letters, and the 4-grams of
+    it with a mark at either end; each kind is a polynomial of code points, mixed into
+    ``BUCKETS``. An empty word has none.
+    """
+    words = list(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    real = np.flatnonzero(sizes)
+    n = sizes[real]
+    if not len(real):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.frombuffer("".join([f"<{words[k]}>" for k in real.tolist()]).encode("utf-32-le"), "<u4").astype(np.uint64)
+    first = np.cumsum(n + 2) - n - 1  # of each word proper
+    power = np.cumprod(np.full(int(n.max()) + 2, POLYNOMIAL, np.uint64))
+
+    def bucket(h: np.ndarray, kind: int) -> np.ndarray:
+        h = (h + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        return (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+    at = np.arange(len(codes)) - np.repeat(first - 1, n + 2)
+    whole = np.add.reduceat(codes * power[at], first - 1)
+    owners, found = [real], [bucket(whole, 1)]
+    prefix = np.zeros(len(n), np.uint64)
+    for k in range(1, min(8, int(n.max())) + 1):
+        enough = np.flatnonzero(n >= k)
+        prefix[enough] += codes[first[enough] + k - 1] * power[k]
+        if k >= 3:
+            owners.append(real[enough])
+            found.append(bucket(prefix[enough], 2 * k))
+    gram = np.flatnonzero(at <= np.repeat(n, n + 2) - 2)
+    if len(gram):
+        h = codes[gram] * power[0] + codes[gram + 1] * power[1] + codes[gram + 2] * power[2] + codes[gram + 3] * np.uint64(0x165667B19E3779F9)
+        owners.append(np.repeat(real, n + 2)[gram])
+        found.append(bucket(h, 3))
+    return np.concatenate(owners), np.concatenate(found)
 
 
 def places(chunk: str) -> list[tuple[int, int]]:
@@ -100,29 +127,20 @@ def places(chunk: str) -> list[tuple[int, int]]:
     return out or [(0, len(chunk))]
 
 
-class _Parts(BoundedCache):
-    """Tokens by blank-separated chunk."""
-
-    def __missing__(self, chunk: str) -> tuple[str, ...]:
-        found = places(chunk)
-        out = (chunk,) if len(found) == 1 else tuple(chunk[a:b] for a, b in found)
-        if len(chunk) <= self.longest:
-            self[chunk] = out
-        return out
-
-
-_PARTS = _Parts(100_000)
-
-
 def blank_chunks(text: str) -> list[str]:
     """Blank-separated; the first word of a line keeps the line end."""
     return text.replace("\n", " \n").split(" ")
 
 
 def chunks_of(text: str) -> list[str]:
-    """All tokens, with the punctuation around them."""
-    _PARTS.make_room()
-    return list(chain.from_iterable(map(_PARTS.__getitem__, blank_chunks(text))))
+    """All tokens, with the punctuation around them: what ``places`` gives for each blank-separated chunk."""
+    found = INNER.sub(" ", text.replace("\n", " \n")).split(" ")
+    if len(max(found, key=len)) <= LONGEST:
+        return found
+    out: list[str] = []
+    for piece in found:
+        out += [piece] if len(piece) <= LONGEST else [piece[a:b] for a, b in places(piece)]
+    return out
 
 
 def starts_of(text: str) -> list[int]:
@@ -158,6 +176,11 @@ class ToxicModel:
     trans: tuple[float, float, float] = (0.0, 0.0, 0.0)  # clean-toxic, toxic-clean, toxic-toxic
     head: tuple[float, float, float] = (0.0, 0.0, 0.0)  # constant, log(1 + expected tokens), largest marginal
 
+    def digest(self) -> str:
+        """Equal for equal models."""
+        whole = (b"" if self.weights is None else self.weights.tobytes()) + repr((self.bias, self.trans, self.head)).encode()
+        return xxhash.xxh3_128_hexdigest(whole)
+
 
 def forward_backward(emission: np.ndarray, sizes: np.ndarray, trans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of "toxic" for all tokens of many chains at once.
@@ -210,7 +233,8 @@ def without_copies(texts: list[str], seeds: int = 4) -> list[int]:
     keep = []
     for k, text in enumerate(texts):
         words = text.lower().split()
-        h = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
+        digest = xxhash.xxh64_intdigest
+        h = np.array([digest(f"{a} {b} {c}") for a, b, c in zip(words, words[1:], words[2:], strict=False)] or [digest(" ".join(words))], np.uint64)
         least = {(s, int((h * np.uint64(2 * s + 0x9E3779B97F4A7C15) ^ (h >> np.uint64(31 - s))).min())) for s in range(seeds)}
         if not least & seen:
             keep.append(k)
@@ -287,7 +311,9 @@ def fit(texts: list[str], toxic: list[bool], rounds: int = 50) -> ToxicModel:
         theta -= 0.25 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model = ToxicModel(theta[:BUCKETS].astype(np.float32), float(theta[BUCKETS]), tuple(theta[BUCKETS + 1 :].tolist()))
     scorer = ToxicScorer(model)
-    x = np.array([[1.0, *scorer.evidence(t)] for t in texts])
+    found = [scorer.evidence([chunks_of(t) for t in block])[:2] for block in scorer.blocks(texts)]
+    total, most = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    x = np.stack([np.ones(len(texts)), total, most], axis=1)
     return ToxicModel(model.weights, model.bias, model.trans, fit_head(x, np.array(toxic, float)))
 
 
@@ -321,61 +347,68 @@ class ToxicScorer:
         for k in range(0, len(new), 20_000):
             self.learn(new[k : k + 20_000])
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        emission = np.fromiter((e for chunks in texts for e in map(cache.__getitem__, chunks)), float, int(counts.sum()))
+        emission = np.fromiter(map(cache.__getitem__, chain.from_iterable(texts)), float, int(counts.sum()))
         sizes = np.array([n for chunks in texts for n in chain_sizes(chunks)], np.int64)
-        cache.drop_long(new)
+        cache.entered(new)
         if not len(sizes):
             return np.zeros(0), counts
-        # A chain whose every token is plainly clean has marginals of about nothing: no need to run it.
+        # A toxic run of n tokens is at most exp(sum of its emissions and transitions) likely: where no
+        # token is above ``least``, all runs over a token together are under 2e-5, and the chain needn't be run.
+        ct, tc, tt = self.model.trans
+        least = min(-12.0 - max(ct, 0.0) - max(tc, 0.0), -1.0 - tt)
         starts = np.cumsum(sizes) - sizes
-        live = np.maximum.reduceat(emission, starts) > -12.0
+        live = np.maximum.reduceat(emission, starts) > least
         out = np.zeros(len(emission))
         if live.any():
             keep = np.repeat(live, sizes)
             out[keep] = forward_backward(emission[keep], sizes[live], self.model.trans)[0]
         return out, counts
 
-    def evidence(self, text: str) -> tuple[float, float]:
-        p, _ = self.marginals([chunks_of(text)])
-        return (float(np.log1p(p[p >= LIKELY].sum())), float(p.max())) if len(p) else (0.0, 0.0)
+    def evidence(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the texts that the chunks are from: log(1 + expected toxic tokens), the largest marginal, and all marginals."""
+        p, counts = self.marginals(split)
+        starts = np.cumsum(counts) - counts
+        return np.log1p(np.add.reduceat(np.where(p >= LIKELY, p, 0.0), starts)), np.maximum.reduceat(p, starts), p
 
-    def score_all(self, texts: list[str | None], block_chars: int = 4_000_000) -> list[tuple[float, list[dict]]]:
-        if self.model.weights is None:
-            return [(min(1.0, max(0.0, self.model.head[0])), [])] * len(texts)
-        out: list[tuple[float, list[dict]]] = []
+    def blocks(self, texts: list[str | None], block_chars: int = 1_000_000) -> Iterator[list[str]]:
         block, held = [], 0
         for text in texts:
             block.append(text or "")
             held += len(block[-1])
             if held >= block_chars:
-                out += self._score_block(block)
+                yield block
                 block, held = [], 0
-        return out + (self._score_block(block) if block else [])
+        if block:
+            yield block
+
+    def score_all(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
+        if self.model.weights is None:
+            return [(min(1.0, max(0.0, self.model.head[0])), [])] * len(texts)
+        return [x for block in self.blocks(texts) for x in self._score_block(block)]
 
     def _score_block(self, texts: list[str]) -> list[tuple[float, list[dict]]]:
         split = [chunks_of(t) for t in texts]
-        p, counts = self.marginals(split)
-        starts = np.cumsum(counts) - counts
-        total, most = np.add.reduceat(np.where(p >= LIKELY, p, 0.0), starts), np.maximum.reduceat(p, starts)
+        total, most, p = self.evidence(split)
         a, b, c = self.model.head
-        scores = 1 / (1 + np.exp(-np.clip(a + b * np.log1p(total) + c * most, -30, 30)))
+        scores = 1 / (1 + np.exp(-np.clip(a + b * total + c * most, -30, 30)))
         spans: list[list[dict]] = [[] for _ in texts]
+        starts = np.cumsum([0, *map(len, split)])
         offending = np.flatnonzero(p >= 0.5)
         owner = np.searchsorted(starts, offending, side="right") - 1
         for k in np.unique(owner).tolist():
             chunks, at, known = split[k], starts_of(texts[k]), spans[k]
             for t in (offending[owner == k] - starts[k]).tolist():
-                word = core(chunks[t])
-                start = at[t] + chunks[t].lower().find(word)
+                # Edges are looked for in the text itself: some letters are longer in lower case.
+                start, end = at[t] + len(chunks[t]) - len(chunks[t].lstrip(EDGES)), at[t] + len(chunks[t].rstrip(EDGES))
                 if known and start < known[-1]["end"]:  # overlapping windows
-                    known[-1]["end"] = start + len(word)
+                    known[-1]["end"] = end
                 else:
-                    known.append({"start": start, "end": start + len(word)})
+                    known.append({"start": start, "end": end})
         return list(zip(scores.tolist(), spans, strict=True))
 
 
 def _factory(model: ToxicModel):
-    scorer = ToxicScorer(model)
+    scorer = worker_state(("toxicity", model.digest()), lambda: ToxicScorer(model))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(texts: list[str | None]) -> pa.StructArray:
@@ -386,13 +419,23 @@ def _factory(model: ToxicModel):
     return run
 
 
+def within(sizes: list[int], most: int) -> list[int]:
+    """Places of the items that are taken in turn while they fit into ``most``; one that doesn't is passed over."""
+    out, held = [], 0
+    for k, n in enumerate(sizes):
+        if held + n <= most:
+            out.append(k)
+            held += n
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> ToxicModel:
     """Fit on a bounded sample of labelled documents outside the held-out fold.
 
     At most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labels are picked, evenly by a hash, and
-    sent to the documents (a broadcast of that many ids); documents over
-    ``SAMPLE_CHARS`` characters aren't learned from. The driver gets no more than
-    that many texts of that length.
+    sent to the documents (a broadcast of that many ids). Of the documents found, whole
+    ones of any length are taken in the order of the hash while all taken of a class
+    have no more than ``CHARS_TOXIC`` or ``CHARS_CLEAN`` characters. The driver gets those.
     """
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("label"))
     known = known.filter(F.col("label").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % folds != held)).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -400,12 +443,19 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) ->
     order = F.xxhash64(F.lit(3), "doc_id")
     toxic = picked.filter("label = 1").orderBy(order, "doc_id").limit(SAMPLE_TOXIC)
     ids = toxic.unionByName(picked.filter("label = 0")).toArrow()
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame(ids) if ids.num_rows else None
-    if chosen is None:
+    if not ids.num_rows:
         return fit([], [])
-    bodies = docs.select("doc_id", F.col("text").alias("body")).filter(F.length("body") <= SAMPLE_CHARS)
+    chosen = docs.sparkSession.createDataFrame(ids)
+    bodies = docs.select("doc_id", F.col("text").alias("body")).filter("body is not null")
     found = bodies.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("body").alias("body"))
+    found = cut(found, "labelled")
+    sizes = found.select("doc_id", "label", F.length("body").alias("n")).orderBy(order, "doc_id").collect()  # as many as were picked
+    taken: list[int] = []
+    for label, most in ((1, CHARS_TOXIC), (0, CHARS_CLEAN)):
+        of = [r for r in sizes if r.label == label]
+        taken += [of[k].doc_id for k in within([r.n for r in of], most)]
+    if len(taken) < len(sizes):
+        found = found.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in taken], found.select("doc_id").schema)), "doc_id", "left_semi")
     sample = found.toArrow().sort_by("doc_id")
     return fit(sample.column("body").to_pylist(), [bool(x) for x in sample.column("label").to_pylist()])
 

@@ -194,7 +194,7 @@ def test_tokens_cover_the_text(tagger):
     # Without a blank or mark there are windows, and the last of them counts.
     scorer = toxicity.ToxicScorer(tagger[2])
     ends = ["an" * 100 + w for w in ("", "grumdogrumti")]
-    least, most = (scorer.evidence(t)[1] for t in ends)
+    least, most = scorer.evidence([toxicity.chunks_of(t) for t in ends])[1]
     assert least < 0.5 < most
 
 
