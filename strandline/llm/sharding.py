@@ -10,11 +10,12 @@ allows; only a hash that outweighs it is cut inside, by doc_id.
 
 There are several cuts in a shard: they bound what one task sorts, and the exact
 row counts between them give each row its place without a global sort. Rows are
-exchanged once. The driver sees boundaries and their counts only, a number that
-follows shards and cuts, not rows.
+exchanged once. The driver sees boundaries and their counts only: one for some
+100,000 rows.
 
 Null texts have no bytes and lie with the empty ones; a missing doc_id sorts first. Rows alike in text and
-doc_id share a key and stay in one shard. An empty table gives no rows.
+doc_id share a key and stay in one shard. An empty table gives no rows. Texts travel
+with their rows, however long; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, free_name
+from .common import cut, drop_cut, free_name, struct_array
 
 #: Keys are one number: the hash (made unsigned) in the upper 64 bits, the doc_id in the lower.
 LOW = 1 << 63
@@ -123,7 +124,7 @@ def shard(df: DataFrame, shards: int = 16, text_col: str = "text", id_col: str =
     keyed = keyed.withColumn(h, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).withColumn(i, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-LOW)))
     keys = cut(keyed.select(F.col(h).alias("h"), F.col(i).alias("i"), F.col(names["size"]).alias("size")), "keys")
     n, total, least, most = keys.agg(F.count("*"), F.sum("size"), F.min("i"), F.max("i")).first()
-    fine = int(np.clip((n or 0) // (shards * ROWS_OF_A_CUT), 4, 1024))
+    fine = max(4, (n or 0) // (shards * ROWS_OF_A_CUT))
     cuts = splitters(keys, total, (least + LOW, most + LOW + 1), shards * fine, tolerance * total / shards) if n else [END - 1] * (shards * fine - 1)
     cuts = [min(c, END - 1) for c in cuts]
 
@@ -132,18 +133,25 @@ def shard(df: DataFrame, shards: int = 16, text_col: str = "text", id_col: str =
             yield pa.array(slots(cuts, hashes.to_numpy(), numbers.to_numpy()), pa.int64())
 
     put = F.arrow_udf(assign, returnType="long")
+    # As many counts as there are pieces: one for some 100,000 rows.
     # Rows before each piece, within its shard.
     rows = np.zeros(shards * fine, np.int64)
     for r in keys.groupBy(put("h", "i").alias("piece")).count().collect():
         rows[r["piece"]] = r["count"]
     before = (np.cumsum(rows) - rows).reshape(shards, fine)
-    before = (before - before[:, :1]).ravel().tolist()
+    before = (before - before[:, :1]).ravel()
     drop_cut(keys)
-    dealt = keyed.withColumn(piece, put(h, i))
-    within = F.row_number().over(Window.partitionBy(piece).orderBy(h, i)) - 1
-    offset = F.element_at(F.array(*[F.lit(x) for x in before]), (F.col(piece) + 1).cast("int"))
-    out = dealt.withColumn(place, within).withColumn(names["shard"], F.floor(F.col(piece) / fine).cast("int"))
-    return out.withColumn(names["slot"], (offset + F.col(place)).cast("long")).drop(h, i, piece, place)
+
+    def locate(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for hashes, numbers in batches:
+            at = slots(cuts, hashes.to_numpy(), numbers.to_numpy())
+            yield struct_array(piece=pa.array(at, pa.int64()), before=pa.array(before[at], pa.int64()))
+
+    dealt = keyed.withColumn(piece, F.arrow_udf(locate, returnType="piece long, before long")(h, i))
+    number = F.col(f"{piece}.piece")
+    within = F.row_number().over(Window.partitionBy(number).orderBy(h, i)) - 1
+    out = dealt.withColumn(place, within).withColumn(names["shard"], F.floor(number / fine).cast("int"))
+    return out.withColumn(names["slot"], (F.col(f"{piece}.before") + F.col(place)).cast("long")).drop(h, i, piece, place)
 
 
 def shard_report(df: DataFrame, shards: int = 16) -> DataFrame:
