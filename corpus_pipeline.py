@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and returns a table that is written and
 read again before the next one. All but the last return the columns of
 ``documents``; a stage's decisions hold for those after it.
+
+In all stages a null text is an empty one. Empty texts fail the quality rules, so
+later stages see none when run in turn. Repeated rows are judged alike until near-dedup,
+where one row of a doc_id and text stays; rows without a doc_id pass near-dedup. Texts
+are read whole, whatever their length, and no limit cuts a table. An empty table
+passes through as one. Columns beside doc_id and text, of any name, are carried along
+up to packing, which returns its own.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import packing, quality, simhash, toxicity
-from strandline.llm.common import cut, table
+from strandline.llm.common import drop_cut, settled, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, over all documents of ``sf_dir``."""
+    """The stages in turn, over all documents of ``sf_dir``.
+
+    Each stage's table is deleted when the next one is written; the last of them and what
+    the result reads go with ``strandline.llm.common.release``.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        before = docs
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        drop_cut(before)
     return STAGES[-1][1](spark, docs, sf_dir)
