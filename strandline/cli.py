@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import logging
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import align, analytics, cigar, simulate, traces
@@ -16,22 +16,35 @@ LOG = logging.getLogger("strandline")
 
 def _align(spark: SparkSession, a: argparse.Namespace) -> None:
     pairs = files.pairs(spark, a.first, a.second, strict=not a.many)
+    if a.many:
+        _name_pairs(pairs, a.output_dir)
     found = align.align(pairs, a.max_count, a.force_highfreq_search)
-    sinks.matches(align.shortest_matches(pairs, a.max_count, a.force_highfreq_search), f"{a.output_dir}/shortest_matches")
+    sinks.matches(align.shortest_matches(pairs, a.max_count, a.force_highfreq_search), f"{a.output_dir}/shortest_matches", ids=a.many)
     for column in ("cigar_primary", "cigar_recursive", "cigar"):
-        sinks.cigars(found, f"{a.output_dir}/{column}", column)
+        sinks.cigars(found, f"{a.output_dir}/{column}", column, ids=a.many)
     if a.debug:
-        sinks.rare_prefixes(align.rare_prefixes(pairs, a.max_count, a.force_highfreq_search), f"{a.output_dir}/min_rare_prefixes")
+        sinks.rare_prefixes(align.rare_prefixes(pairs, a.max_count, a.force_highfreq_search), f"{a.output_dir}/min_rare_prefixes", ids=a.many)
     if a.no_paths:
-        sinks.path_counts(align.path_counts(pairs, a.max_count, a.force_highfreq_search), f"{a.output_dir}/no_paths")
+        sinks.path_counts(align.path_counts(pairs, a.max_count, a.force_highfreq_search), f"{a.output_dir}/no_paths", ids=a.many)
     if a.bridges:
-        sinks.bridges(align.bridges(pairs, a.max_count, a.force_highfreq_search), f"{a.output_dir}/bridges")
+        sinks.bridges(align.bridges(pairs, a.max_count, a.force_highfreq_search), f"{a.output_dir}/bridges", ids=a.many)
+
+
+def _name_pairs(pairs: DataFrame, output_dir: str) -> None:
+    """Which record each pair_id of the other outputs stands for."""
+    pairs.select("pair_id", "seq_id").write.csv(f"{output_dir}/pairs", sep="\t", header=True)
 
 
 def _kmer_align(spark: SparkSession, a: argparse.Namespace) -> None:
-    found = align.align_kmers(files.pairs(spark, a.first, a.second, strict=not a.many), a.k_mer_size, a.max_rare_freq)
-    sinks.kmer_alignment(found.orderBy("pair_id", "ord"), f"{a.output_dir}/glob_alignment")
-    sinks.blocks(analytics.blocks_of_kmers(found.withColumnRenamed("pair_id", "aln_id"), a.tol_gap, a.k_mer_size), f"{a.output_dir}/blocks")
+    pairs = files.pairs(spark, a.first, a.second, strict=not a.many)
+    if a.many:
+        _name_pairs(pairs, a.output_dir)
+    found = align.align_kmers(pairs, a.k_mer_size, a.max_rare_freq)
+    sinks.kmer_alignment(found.orderBy("pair_id", "ord"), f"{a.output_dir}/glob_alignment", ids=a.many)
+    if a.indexed:
+        sinks.indexed_alignment(found, f"{a.output_dir}/glob_align", ids=a.many)
+    blocks = analytics.blocks_of_kmers(found.withColumnRenamed("pair_id", "aln_id"), a.tol_gap, a.k_mer_size)
+    sinks.blocks(blocks, f"{a.output_dir}/blocks", id_col="aln_id" if a.many else None)
 
 
 def _steps(spark: SparkSession, paths: list[str]):
@@ -57,7 +70,8 @@ def _compare(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _blocks(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.blocks(analytics.blocks_of_steps(_steps(spark, a.input), a.tol_gap), f"{a.output_dir}/blocks", header=True)
+    found = analytics.blocks_of_steps(_steps(spark, a.input), a.tol_gap)
+    sinks.blocks(found, f"{a.output_dir}/blocks", header=True, id_col="aln_id" if len(a.input) > 1 else None)
 
 
 def _conserved(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -112,6 +126,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("-k", "--k-mer-size", type=int, default=10)
             p.add_argument("--max-rare-freq", type=int, default=1)
             p.add_argument("--tol-gap", type=int, default=100)
+            p.add_argument("--indexed", action="store_true", help="also write k-mers with their numbers")
     p = command("histogram", _histogram, "indel lengths, rates and unit multiples of CIGAR files")
     p.add_argument("-i", "--input", nargs="+", required=True)
     p.add_argument("-l", "--hor-len", type=int)

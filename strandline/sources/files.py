@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import compress_runs, split_fields
@@ -14,6 +14,21 @@ def _paths(paths: Paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+def _records(spark: SparkSession, paths: Paths, sep: str) -> DataFrame:
+    """value, file, and (block, at): the order of the records in a file."""
+    rows = spark.read.option("lineSep", "\n" + sep).text(_paths(paths))
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    return rows.select(F.regexp_replace("value", "\r", "").alias("text"), *meta)
+
+
+def _fasta(spark: SparkSession, paths: Paths, collapse_runs: bool, strict: bool) -> DataFrame:
+    records = _records(spark, paths, ">")
+    header = F.regexp_extract("text", r"\A>?([^\n]*)", 1)
+    body = F.regexp_replace(F.regexp_replace(F.regexp_extract("text", r"(?s)\A[^\n]*\n(.*)\z", 1), r"(?s)\n\s*\n.*\z", ""), r"\s+", "")
+    rows = records.select(F.regexp_extract(F.trim(header), r"\A(\S*)", 1).alias("seq_id"), body.alias("seq"), "file", "block", "at").filter("seq_id <> '' or seq <> ''")
+    return _finish(rows, collapse_runs, strict)
+
+
 def fasta(spark: SparkSession, paths: Paths, collapse_runs: bool = False, strict: bool = False) -> DataFrame:
     """seq_id, seq, file of FASTA files, gzipped or not.
 
@@ -21,26 +36,43 @@ def fasta(spark: SparkSession, paths: Paths, collapse_runs: bool = False, strict
     line; case stays. With ``collapse_runs`` runs of a letter are one. ``strict``
     raises when a sequence holds anything but A, C, G, T.
     """
-    records = spark.read.option("lineSep", "\n>").text(_paths(paths)).select("value", F.col("_metadata.file_path").alias("file"))
-    text = F.regexp_replace(F.regexp_replace("value", r"\A>", ""), "\r", "")
-    header = F.regexp_extract(text, r"\A([^\n]*)", 1)
-    body = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"(?s)\A[^\n]*\n(.*)\z", 1), r"(?s)\n\s*\n.*\z", ""), r"\s+", "")
-    rows = records.select(F.regexp_extract(F.trim(header), r"\A(\S*)", 1).alias("seq_id"), body.alias("seq"), "file").filter("seq_id <> '' or seq <> ''")
-    return _finish(rows, collapse_runs, strict)
+    return _fasta(spark, paths, collapse_runs, strict).drop("block", "at")
+
+
+def _fastq(spark: SparkSession, paths: Paths, collapse_runs: bool, strict: bool) -> DataFrame:
+    records = _records(spark, paths, "@")
+    # Header, sequence lines, a plus line, then qualities as far as they go.
+    pattern = r"(?s)\A@?(\S*)[^\n]*\n([^+\n][^\n]*(?:\n[^+\n][^\n]*)*)\n\+[^\n]*(?:\n(.*))?\z"
+    parts = [F.regexp_extract("text", pattern, k) for k in (1, 2, 3)]
+    squeeze = lambda c: F.regexp_replace(c, r"\s+", "")
+    rows = records.select(F.rlike("text", F.lit(pattern)).alias("head"), parts[0].alias("seq_id"), squeeze(parts[1]).alias("seq"), squeeze(parts[2]).alias("quality"), squeeze("text").alias("rest"), "file", "block", "at")
+    whole = F.col("head") & (F.length("quality") >= F.length("seq"))
+    fields = ["seq_id", "seq", "quality", "file", "block", "at"]
+    # What a quality line that begins with @ has parted: heads without all their qualities, and the rest of these.
+    loose = rows.filter(~whole)
+    order = Window.partitionBy("file", "block").orderBy("at")
+    loose = loose.withColumn("n", F.sum(F.col("head").cast("long")).over(order))
+    # The first rests of a block belong to the last head of the blocks before it.
+    ends = loose.groupBy("file", "block").agg(F.max("n").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "block", F.last(F.when(F.col("n") > 0, F.struct("block", "n")), ignorenulls=True).over(before).alias("earlier"))
+    owner = F.when(F.col("n") > 0, F.struct("block", "n")).otherwise(F.col("earlier"))
+    piece = F.struct("block", "at", "head", "seq_id", "seq", F.when(F.col("head"), F.col("quality")).otherwise(F.concat(F.lit("@"), F.col("rest"))).alias("quality"))
+    joined = loose.join(ends, ["file", "block"]).groupBy("file", owner.alias("owner")).agg(F.sort_array(F.collect_list(piece)).alias("p")).filter(F.col("p")[0]["head"])
+    joined = joined.select(F.col("p")[0]["seq_id"].alias("seq_id"), F.col("p")[0]["seq"].alias("seq"), F.array_join(F.transform("p", lambda x: x["quality"]), "").alias("quality"), "file", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["at"].alias("at"))
+    found = rows.filter(whole).select(fields).unionByName(joined.select(fields))
+    return _finish(found.withColumn("quality", F.nullif("quality", F.lit(""))), collapse_runs, strict)
 
 
 def fastq(spark: SparkSession, paths: Paths, collapse_runs: bool = False, strict: bool = False) -> DataFrame:
-    """seq_id, seq, quality, file of FASTQ files with four lines a record.
+    """seq_id, seq, quality, file of FASTQ files; sequences and qualities may run over several lines.
 
     Files are split at lines that begin with @, so they are read in parallel. A
-    quality line that begins with @ is cut off from its record by that: it is
-    never taken for a record, and that record's ``quality`` is null.
+    quality line that begins with @ is parted from its record by that. Only such
+    parts are shuffled, by file block, and joined again: qualities go on until they
+    are as long as the sequence. A record cut short keeps what it has (null: nothing).
     """
-    records = spark.read.option("lineSep", "\n@").text(_paths(paths)).select("value", F.col("_metadata.file_path").alias("file"))
-    text = F.regexp_replace(F.regexp_replace("value", r"\A@", ""), "\r", "")
-    pattern = r"\A(\S*)[^\n]*\n([^\n]*)\n\+[^\n]*(?:\n([^\n]*))?"
-    rows = records.select(*[F.regexp_extract(text, pattern, k).alias(n) for k, n in ((1, "seq_id"), (2, "seq"), (3, "quality"))], "file")
-    return _finish(rows.filter("seq <> ''").withColumn("quality", F.nullif("quality", F.lit(""))), collapse_runs, strict)
+    return _fastq(spark, paths, collapse_runs, strict).drop("block", "at")
 
 
 def _finish(rows: DataFrame, collapse_runs: bool, strict: bool) -> DataFrame:
@@ -51,17 +83,18 @@ def _finish(rows: DataFrame, collapse_runs: bool, strict: bool) -> DataFrame:
 
 
 def sequences(spark: SparkSession, paths: Paths, **options) -> DataFrame:
-    """seq_id, seq, file of a list of files, each read by its ending; of equal ids the one of the last file counts."""
-    by_kind: dict[str, list[str]] = {"fasta": [], "fastq": []}
-    for p in _paths(paths):
-        name = p.lower().removesuffix(".gz")
-        by_kind["fastq" if name.endswith((".fastq", ".fq")) else "fasta"].append(p)
-    parts = [read(spark, ps, **options).select("seq_id", "seq", "file") for read, ps in ((fasta, by_kind["fasta"]), (fastq, by_kind["fastq"])) if ps]
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rank = F.lit(-1)
+    """seq_id, seq, file of a list of files, each read by its ending.
+
+    Of equal ids the one of the last path counts; within a path that of the last
+    file by name, and within a file the last record.
+    """
+    rows = None
     for k, p in enumerate(_paths(paths)):
-        rank = F.when(F.col("file").endswith(p.rsplit("/", 1)[-1]), k).otherwise(rank)
-    return rows.groupBy("seq_id").agg(F.max_by(F.struct("seq", "file"), rank).alias("s")).select("seq_id", "s.seq", "s.file")
+        read = _fastq if p.lower().removesuffix(".gz").endswith((".fastq", ".fq")) else _fasta
+        part = read(spark, p, options.get("collapse_runs", False), options.get("strict", False))
+        part = part.select("seq_id", "seq", "file", F.struct(F.lit(k).alias("k"), "file", "block", "at").alias("rank"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("seq_id").agg(F.max_by(F.struct("seq", "file"), "rank").alias("s")).select("seq_id", "s.seq", "s.file")
 
 
 def cigars(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -85,8 +118,9 @@ def bridges(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def path_counts(spark: SparkSession, paths: Paths) -> DataFrame:
-    names = ["start_1", "start_2", "len", "n_opt_paths_fwd", "n_opt_paths_rev", "n_count", "m_count"]
-    return spark.read.csv(_paths(paths), header=True, schema=", ".join(f"{n} long" for n in names))
+    """Path counts of anchors; counts are of any size, so they stay strings of digits."""
+    kinds = {"start_1": "long", "start_2": "long", "len": "long", "n_opt_paths_fwd": "string", "n_opt_paths_rev": "string", "n_count": "long", "m_count": "long"}
+    return spark.read.csv(_paths(paths), header=True, schema=", ".join(f"{n} {t}" for n, t in kinds.items()))
 
 
 def genes(spark: SparkSession, paths: Paths, colour: str = "gray") -> DataFrame:
@@ -124,12 +158,12 @@ def pairs(spark: SparkSession, first: str, second: str, strict: bool = True) ->
     """pair_id, first, second from two files.
 
     ``strict`` takes files with exactly one record each, and raises otherwise; else
-    records of one id are a pair (pair_id: a hash of that id).
+    records of one id are a pair: seq_id is that id, and pair_id a hash of it.
     """
     a, b = (sequences(spark, p) for p in (first, second))
     left, right = a.select("seq_id", F.col("seq").alias("first")), b.select("seq_id", F.col("seq").alias("second"))
     if not strict:
-        return left.join(right, "seq_id").select(F.xxhash64("seq_id").alias("pair_id"), "first", "second")
+        return left.join(right, "seq_id").select(F.xxhash64("seq_id").alias("pair_id"), "first", "second", "seq_id")
     if a.count() != 1 or b.count() != 1:
         raise ValueError("each file must hold exactly one record")
     one = F.lit(1).cast("long").alias("pair_id")
