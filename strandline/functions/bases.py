@@ -57,10 +57,10 @@ def occurs_at(seq: Column, offset, other: Column) -> Column:
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of what both begin with; null if either is null."""
-    least = F.least(F.length(a), F.length(b))
-    differ = F.filter(F.sequence(F.lit(1), least), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    shared = F.when(least == 0, 0).otherwise(F.coalesce(F.try_element_at(differ, F.lit(1)) - 1, least))
-    return F.when(a.isNotNull() & b.isNotNull(), shared)
+    bits = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    # The longest equal prefix, a binary digit of its length at a time: prefixes of equal prefixes are equal.
+    longer = lambda n, bit: F.when((n + bit <= F.least(F.length(a), F.length(b))) & (F.substring(a, F.lit(1), n + bit) == F.substring(b, F.lit(1), n + bit)), n + bit).otherwise(n)
+    return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(bits, F.lit(0), longer))
 
 
 def base4_value(seq) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +30,36 @@ def _map_pairs(pairs: DataFrame, schema: str, kinds: list[pa.DataType], rows_of:
                     columns = [[pair] * len(found), *map(list, zip(*found, strict=True))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *kinds], strict=True)], names=names)
 
+    return _dealt(pairs, spread).mapInArrow(run, "pair_id long, " + schema)
+
+
+def _dealt(pairs: DataFrame, spread: bool = True) -> DataFrame:
+    """pair_id, first, second: few, heavy rows, dealt over all tasks whatever files they came in.
+
+    The number of partitions is given, or adaptive execution would merge them again:
+    a pair is few bytes and much work.
+    """
     narrow = pairs.select(F.col("pair_id").cast("long"), F.col("first").cast("string"), F.col("second").cast("string"))
-    if spread:
-        # Few, heavy rows: deal them over all tasks whatever files they came in.
-        narrow = narrow.repartition("pair_id")
-    return narrow.mapInArrow(run, "pair_id long, " + schema)
+    if not spread:
+        return narrow
+    spark = pairs.sparkSession
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return narrow.repartition(partitions, "pair_id")
+
+
+def map_columns(pairs: DataFrame, schema: str, columns_of: Callable[[str, str], list[np.ndarray]]) -> DataFrame:
+    """Like rows of a function on pairs, but as arrays: a batch for each pair."""
+    names = ["pair_id", *[f.strip().split(" ")[0] for f in _fields(schema)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                pair, a, b = (batch.column(c)[k].as_py() for c in range(3))
+                found = [pa.array(c) for c in columns_of(a or "", b or "")]
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array([pair] * len(found[0]), pa.int64()), *found], names=names)
+
+    return _dealt(pairs).mapInArrow(run, "pair_id long, " + schema)
 
 
 def _fields(schema: str) -> list[str]:

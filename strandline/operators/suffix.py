@@ -1,8 +1,9 @@
-"""Suffixes, common prefixes and rare matches of sequence pairs, as window queries.
+"""Suffix ranks, common prefixes and rare matches of sequence pairs as rows.
 
-The readable form of what the kernels do for long pairs: suffixes are rows with a
-side and a rank, and a match is a window of ranks. Ends of sequences sort first,
-so no sentinel letters are needed and texts may hold any character.
+Ranks come from the suffix kernel, pair by pair, in memory that is linear in the
+pair; no suffix is ever a string of its own. What follows from ranks is relational:
+a match is a window of them. Ends of sequences sort first, the first side's before
+the second's, so no sentinel letters are needed and texts may hold any character.
 """
 
 from __future__ import annotations
@@ -14,24 +15,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import common_prefix
 from . import kernels
+from .align import map_columns
 
-ORDER = ["suffix", "side", "pos"]
 HIT = "pair_id long, w int, m int, n int, clas long, side int, pos long, min_len long, max_len long"
 HIT_NAMES = [f.split(" ")[0] for f in HIT.split(", ")]
 HIT_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def suffixes(pairs: DataFrame) -> DataFrame:
-    """pair_id, side (1, 2), pos, suffix, r (rank from 0 in the pair) and lcp with the next rank (0 at the end)."""
-    sides = [pairs.select("pair_id", F.lit(k).alias("side"), F.col(c).alias("seq")) for k, c in ((1, "first"), (2, "second"))]
-    rows = sides[0].unionByName(sides[1]).filter(F.length("seq") > 0)
-    rows = rows.select("pair_id", "side", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("pos"))
-    rows = rows.select("pair_id", "side", F.col("pos").cast("long").alias("pos"), F.substring(F.col("seq"), F.col("pos") + 1, F.length("seq")).alias("suffix"))
-    ranks = Window.partitionBy("pair_id").orderBy(*ORDER)
-    rows = rows.withColumn("r", F.row_number().over(ranks).cast("long") - 1).withColumn("after", F.lead("suffix").over(ranks))
-    return rows.withColumn("lcp", F.coalesce(common_prefix(F.col("suffix"), F.col("after")), F.lit(0)).cast("long")).drop("after")
+    """pair_id, side (1, 2), pos, r (rank of the suffix there, from 0 in the pair) and lcp with the next rank (0 at the end)."""
+
+    def columns(a: str, b: str) -> list[np.ndarray]:
+        codes = kernels.codes_of(a, b, 0)
+        order = kernels.suffix_order(codes)
+        # The ends sort first and have nothing in common with others.
+        lcp = np.append(kernels.common_prefixes(codes, order), 0)[2:]
+        order = order[2:]
+        side = np.where(order < len(a), 1, 2).astype(np.int32)
+        return [side, np.where(side == 1, order, order - len(a) - 1), np.arange(len(order)), lcp]
+
+    return map_columns(pairs, "side int, pos long, r long, lcp long", columns)
 
 
 def inverse(ranked: DataFrame) -> DataFrame:
