@@ -148,16 +148,12 @@ def seq_prefix(spark, sf_dir):
     return tables.passage_pairs(spark, sf_dir).select("pair_id", bases.common_prefix(F.col("first"), F.col("second")).cast("int").alias("shared"))
 
 
-@query("seq_hash", f"""
-SELECT doc_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, length({DNA}) + 1), lambda i: CAST(ascii({DNA}[i]) AS BIGINT))), lambda h, c: (h * 239 + c) % 36028797018963913) AS h FROM documents WHERE length({DNA}) < 200
-""")
-def seq_hash(spark, sf_dir):
-    return tables.document_dna(spark, sf_dir).filter(F.length("seq") < 200).select(F.col("seq_id").alias("doc_id"), bases.polynomial_hash(F.col("seq")).alias("h"))
+#: The polynomial hash of a list of letters in SQL.
+HASH = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform({0}, lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 239 + c) % 36028797018963913)"
 
 
-@query("seq_hash_all")
-def seq_hash_all(spark, sf_dir):
-    """Hashes of all documents, however long: the SQL of ``seq_hash`` has only those under 200 letters."""
+@query("seq_hash", f"SELECT doc_id, {HASH.format('letters')} AS h FROM (SELECT doc_id, list_filter(string_split({DNA}, ''), lambda c: c <> '') AS letters FROM documents)")
+def seq_hash(spark, sf_dir):
     return tables.document_dna(spark, sf_dir).select(F.col("seq_id").alias("doc_id"), bases.polynomial_hash(F.col("seq")).alias("h"))
 
 
@@ -242,26 +238,18 @@ def kmer_canonical(spark, sf_dir):
     return counted.select("word", bases.base4_value(F.col("word")).alias("value"), "n", "n_forward")
 
 
-@query("kmer_hash_steps", "SELECT item_id, length(text) - 11 AS n, length(text) - 11 AS right_steps, length(text) - 11 AS left_steps FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark) WHERE length(text) >= 13")
+@query("kmer_hash_steps", f"""
+WITH w AS (SELECT item_id, i, length(text) AS n, {HASH.format("string_split(substring(text, CAST(i + 1 AS BIGINT), 11), '')")} AS h FROM benchmark, LATERAL (SELECT unnest(range(0, greatest(0, length(text) - 10))) AS i))
+SELECT item_id, max(n) - 11 AS n, CAST(sum(h) FILTER (i > 0) AS VARCHAR) AS after_sum, CAST(sum(h) FILTER (i < n - 11) AS VARCHAR) AS before_sum FROM w WHERE n >= 12 GROUP BY item_id
+""")
 def kmer_hash_steps(spark, sf_dir):
-    """Hashes that follow from their neighbours', one step to the right and one to the left: all of them."""
-    plain = tables.passages(spark, sf_dir).withColumn("seq", F.regexp_replace("seq", "[^ -~]", "")).filter(F.length("seq") >= 13)
-    return _hash_steps(plain)
-
-
-def _hash_steps(seqs):
+    """Hashes of 11-letter windows that follow from their neighbours', one step to the right and one to the left: their sums."""
     # Words of one letter more hold both neighbours.
-    rows = kmers.kmers(seqs, 12).select("seq_id", F.substring("kmer", 1, 11).alias("a"), F.substring("kmer", 2, 11).alias("b"), F.substring("kmer", 1, 1).alias("x"), F.substring("kmer", 12, 1).alias("y"))
-    a, b = bases.polynomial_hash(F.col("a")), bases.polynomial_hash(F.col("b"))
-    right = bases.shift_right(a, F.col("x"), F.col("y"), 11) == b
-    left = bases.shift_left(b, F.col("y"), F.col("x"), 11) == a
-    return rows.groupBy(F.col("seq_id").alias("item_id")).agg(F.count("*").alias("n"), F.count_if(right).alias("right_steps"), F.count_if(left).alias("left_steps"))
-
-
-@query("kmer_hash_steps_all")
-def kmer_hash_steps_all(spark, sf_dir):
-    """The same on whole passages: the SQL of ``kmer_hash_steps`` has only their plain letters, and 13 at least."""
-    return _hash_steps(tables.passages(spark, sf_dir))
+    rows = kmers.kmers(tables.passages(spark, sf_dir), 12).select("seq_id", F.substring("kmer", 1, 11).alias("a"), F.substring("kmer", 2, 11).alias("b"), F.substring("kmer", 1, 1).alias("x"), F.substring("kmer", 12, 1).alias("y"))
+    after = bases.shift_right(bases.polynomial_hash(F.col("a")), F.col("x"), F.col("y"), 11)
+    before = bases.shift_left(bases.polynomial_hash(F.col("b")), F.col("y"), F.col("x"), 11)
+    total = lambda c: F.sum(c.cast("decimal(20,0)")).cast("string")
+    return rows.groupBy(F.col("seq_id").alias("item_id")).agg(F.count("*").alias("n"), total(after).alias("after_sum"), total(before).alias("before_sum"))
 
 
 @query("minimizers_dna")
@@ -333,9 +321,27 @@ def anchor_scores(spark, sf_dir):
 # -- alignment --------------------------------------------------------------------
 
 
-@query("chain_score")
+#: A chain's score grows by an anchor at a time, the best way to each anchor at each length.
+CHAINS = f"""
+WITH RECURSIVE {INTERVALS}, ex AS (SELECT pair_id, len, m, n, unnest(first_starts) AS x, second_starts FROM iv), ey AS (SELECT pair_id, len, m, n, x, unnest(second_starts) AS y FROM ex),
+a AS MATERIALIZED (SELECT pair_id, x, y, len, CAST(len AS DOUBLE) / (m * n) AS score FROM ey),
+c AS (
+  SELECT pair_id, x + len AS x_end, y + len AS y_end, score FROM a
+  UNION ALL
+  SELECT a.pair_id, a.x + a.len, a.y + a.len, max(c.score) + a.score FROM c JOIN a ON c.pair_id = a.pair_id AND c.x_end <= a.x AND c.y_end <= a.y GROUP BY a.pair_id, a.x, a.y, a.len, a.score
+)
+SELECT pair_id, max(score) AS score FROM c GROUP BY pair_id
+"""
+
+
+@query("chain_score", CHAINS)
 def chain_score(spark, sf_dir):
-    return align.chains(tables.passage_pairs(spark, sf_dir)).groupBy("pair_id").agg(F.max("score").alias("score"), F.count("*").alias("anchors"))
+    return align.chains(tables.passage_pairs(spark, sf_dir)).groupBy("pair_id").agg(F.max("score").alias("score"))
+
+
+@query("chain_anchors")
+def chain_anchors(spark, sf_dir):
+    return align.chains(tables.passage_pairs(spark, sf_dir))
 
 
 @query("shortest_matches")
@@ -358,12 +364,13 @@ def align_recursive(spark, sf_dir):
     return align.align(tables.passage_pairs(spark, sf_dir)).select("pair_id", "cigar_recursive", "valid")
 
 
-@query("align_validity", f"WITH {PAIRS} SELECT pair_id AS aln_id, true AS valid FROM p")
+@query("align_validity", f"WITH {PAIRS} SELECT pair_id AS aln_id, CAST(length(first) AS BIGINT) AS target, CAST(length(second) AS BIGINT) AS query, true AS valid FROM p")
 def align_validity(spark, sf_dir):
-    """Every alignment passes the relational check of lengths and letters."""
+    """Every alignment uses up both sequences, by its own steps, and passes the relational check of letters."""
     pairs = tables.passage_pairs(spark, sf_dir)
-    done = align.align(pairs).select("pair_id", "cigar").join(pairs, "pair_id")
-    return cigar.check(done.withColumnRenamed("pair_id", "aln_id"))
+    done = align.align(pairs).select(F.col("pair_id").alias("aln_id"), "cigar")
+    checked = cigar.check(done.join(pairs.withColumnRenamed("pair_id", "aln_id"), "aln_id"))
+    return checked.join(cigar.lengths(cigar.parse(done)), "aln_id").select("aln_id", "target", "query", "valid")
 
 
 @query("align_gapped")
@@ -392,6 +399,33 @@ def kmer_lcs(spark, sf_dir):
     return align.align_kmers(tables.related_pairs(spark, sf_dir), k=7)
 
 
+RELATED = """
+p AS (
+  SELECT item_id AS pair_id, text AS first, translate(substring(text, 1, 2 * t) || substring(text, t + 1, t) || substring(text, 2 * t + 1), 'q,', 'k;') AS second
+  FROM (SELECT *, CAST(floor(length(text) / 3) AS BIGINT) AS t FROM benchmark)
+)
+"""
+
+
+@query("kmer_lcs_length", f"""
+WITH RECURSIVE {RELATED}, f AS ({KMERS.format(id="pair_id", table="(SELECT pair_id, first AS text FROM p)", k=7)}), g AS ({KMERS.format(id="pair_id", table="(SELECT pair_id, second AS text FROM p)", k=7)}),
+one AS (SELECT seq_id, kmer, min(pos) AS x FROM f GROUP BY ALL HAVING count(*) = 1), two AS (SELECT seq_id, kmer, min(pos) AS y FROM g GROUP BY ALL HAVING count(*) = 1),
+o AS MATERIALIZED (SELECT seq_id AS pair_id, list(y ORDER BY x) AS ys FROM one JOIN two USING (seq_id, kmer) GROUP BY seq_id),
+-- The least ends of increasing runs of each length, as words are added one by one.
+r AS (
+  SELECT pair_id, 1 AS k, CAST([] AS BIGINT[]) AS ends FROM o
+  UNION ALL
+  SELECT r.pair_id, k + 1, list_concat(list_filter(ends, lambda e: e < ys[k]), [CAST(ys[k] AS BIGINT)], list_slice(list_filter(ends, lambda e: e > ys[k]), 2, len(ends) + 1))
+  FROM r JOIN o ON r.pair_id = o.pair_id WHERE k <= len(ys)
+)
+SELECT r.pair_id, CAST(len(ys) AS BIGINT) AS shared, CAST(len(ends) AS BIGINT) AS matched FROM r JOIN o ON r.pair_id = o.pair_id WHERE k = len(ys) + 1
+""")
+def kmer_lcs_length(spark, sf_dir):
+    """Words that occur once on either side, and how many of them align."""
+    found = align.align_kmers(tables.related_pairs(spark, sf_dir), k=7)
+    return found.groupBy("pair_id").agg(F.count("left").alias("shared"), F.count_if(F.col("left").isNotNull() & F.col("right").isNotNull()).alias("matched"))
+
+
 @query("kmer_align_parts")
 def kmer_align_parts(spark, sf_dir):
     found = align.align_kmers(tables.related_pairs(spark, sf_dir), k=7).withColumnRenamed("pair_id", "aln_id")
@@ -409,13 +443,13 @@ def kmer_path(spark, sf_dir):
     return align.kmer_path(tables.related_pairs(spark, sf_dir), k=7)
 
 
-ASCII = "regexp_replace({0}, '[^ -~]', '', 'g')"
+#: DuckDB's distance is one of bytes: every letter outside ASCII becomes a control character of its own.
+ODD = "odd AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS letters, coalesce(string_agg(chr(CAST(k AS INT)), '' ORDER BY c), '') AS stand_ins FROM (SELECT c, row_number() OVER (ORDER BY c) AS k FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM benchmark) WHERE unicode(c) > 127))"
 
 
-@query("edit_distance", f"WITH {PAIRS} SELECT pair_id, CAST(levenshtein({ASCII.format('first')}, {ASCII.format('second')}) AS BIGINT) AS distance FROM p")
+@query("edit_distance", f"WITH {PAIRS}, {ODD} SELECT pair_id, CAST(levenshtein(translate(first, letters, stand_ins), translate(second, letters, stand_ins)) AS BIGINT) AS distance FROM p, odd")
 def edit_distance(spark, sf_dir):
-    plain = lambda c: F.regexp_replace(c, "[^ -~]", "").alias(c)
-    return align.edit_identity(tables.passage_pairs(spark, sf_dir).select("pair_id", plain("first"), plain("second"))).select("pair_id", "distance")
+    return align.edit_identity(tables.passage_pairs(spark, sf_dir)).select("pair_id", "distance")
 
 
 @query("edit_identity")

@@ -3,6 +3,7 @@
 import glob
 import random
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -176,8 +177,10 @@ def test_wide_matches_are_found(spark, tmp_path):
 def test_whole_passages_are_hashed_and_compared(spark, tmp_path):
     texts = ["été naïf ÀÉ 日本語 straße", "ete naif AE nihongo strasse", "😀é" * 6, "é" * 11, "", "abc"]
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    steps = {r.item_id: (r.n, r.right_steps, r.left_steps) for r in catalog.queries()["kmer_hash_steps_all"](spark, str(tmp_path)).collect()}
-    assert steps == {k: (len(t) - 11,) * 3 for k, t in enumerate(texts) if len(t) > 11}
+    steps = {r.item_id: (r.n, int(r.after_sum), int(r.before_sum)) for r in catalog.queries()["kmer_hash_steps"](spark, str(tmp_path)).collect()}
+    plain = lambda word: reduce(lambda h, c: (h * 239 + ord(c)) % bases.HASH_MODULUS, word, 0)
+    hashes = {k: [plain(t[i : i + 11]) for i in range(len(t) - 10)] for k, t in enumerate(texts) if len(t) > 11}
+    assert steps == {k: (len(h) - 1, sum(h[1:]), sum(h[:-1])) for k, h in hashes.items()}
     far = {r.pair_id: r.distance for r in catalog.queries()["edit_identity"](spark, str(tmp_path)).collect()}
     for k, (a, b) in enumerate(zip(texts, texts[1:], strict=False)):
         row = list(range(len(b) + 1))
@@ -192,7 +195,7 @@ def test_long_documents_are_hashed(spark, tmp_path):
     rng = random.Random(9)
     texts = ["", "xyz", "acgt", "".join(rng.choices("ACGTN ", k=260)), "".join(rng.choices("ACGT", k=20_000))]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    found = {r.doc_id: r.h for r in catalog.queries()["seq_hash_all"](spark, str(tmp_path)).collect()}
+    found = {r.doc_id: r.h for r in catalog.queries()["seq_hash"](spark, str(tmp_path)).collect()}
     for k, text in enumerate(texts):
         h = 0
         for c in text.upper():
@@ -258,7 +261,7 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted((r.seq_id, r.seq) for r in a.collect()) == [("one", "ACGTAC"), ("two", "GGTT")]
     assert sorted((r.seq_id, r.seq) for r in files.fasta(spark, str(tmp_path / "a.fasta"), collapse_runs=True).collect()) == [("one", "ACGTAC"), ("two", "GT")]
     q = files.fastq(spark, str(tmp_path / "b.fq"))
-    assert sorted((r.seq_id, r.seq, r.quality) for r in q.collect()) == [("q1", "ACC", None), ("q2", "GGT", "III")]
+    assert sorted((r.seq_id, r.seq, r.quality) for r in q.collect()) == [("q1", "ACC", "@@@"), ("q2", "GGT", "III")]
     (tmp_path / "c.fa").write_text(">two\nGGA\n>three\nA\n")
     assert [(r.first, r.second) for r in files.pairs(spark, str(tmp_path / "a.fasta"), str(tmp_path / "c.fa"), strict=False).collect()] == [("GGTT", "GGA")]
     sinks.fasta(a, str(tmp_path / "out"), width=4, compression="gzip")
@@ -309,3 +312,70 @@ def test_stream_of_pairs(spark, tmp_path):
     assert query.awaitTermination(120) and query.exception() is None
     done = spark.read.parquet(str(tmp_path / "out"))
     assert done.count() == 5 and done.filter("valid").count() == 5
+
+
+def test_fastq_with_any_quality(spark, tmp_path):
+    """Qualities that begin with @ or +, wrapped lines, a record cut short; small file blocks part them all over."""
+    rng = random.Random(14)
+    want, lines = {}, []
+    for k in range(400):
+        n = rng.randint(1, 90)
+        seq, quality = "".join(rng.choices("ACGT", k=n)), "".join(rng.choices("@+IJ#", k=n))
+        if k % 3 == 0:
+            quality = "@" + quality[1:]
+        want[f"r{k}"] = (seq, quality)
+        lines += [f"@r{k} about", seq, "+", quality]
+    (tmp_path / "a.fastq").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = files.fastq(spark, str(tmp_path / "a.fastq"))
+        assert found.rdd.getNumPartitions() > 4
+        assert {r.seq_id: (r.seq, r.quality) for r in found.collect()} == want and found.count() == len(want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "b.fq").write_text("@w wrapped\nACGT\nAC\n+w\nIIII\n@I\n@x\r\nGG\r\n+\r\n@@\r\n@cut\nTTT\n+\nI")
+    assert sorted(tuple(r)[:3] for r in files.fastq(spark, str(tmp_path / "b.fq")).collect()) == [("cut", "TTT", "I"), ("w", "ACGTAC", "IIII@I"), ("x", "GG", "@@")]
+
+
+def test_last_of_equal_ids(spark, tmp_path):
+    for folder, seq in (("one", "AAA"), ("two", "CCC")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same name.fasta").write_text(f">s\nG\n>s\n{seq}\n")
+    paths = [str(tmp_path / f / "same name.fasta") for f in ("one", "two")]
+    assert [r.seq for r in files.sequences(spark, paths).collect()] == ["CCC"]
+    assert [r.seq for r in files.sequences(spark, paths[::-1]).collect()] == ["AAA"]
+
+
+def test_outputs_of_many_pairs(spark, tmp_path):
+    rng = random.Random(3)
+    seqs = {f"s{k}": "".join(rng.choices("ACGT", k=300)) for k in range(3)}
+    (tmp_path / "a.fasta").write_text("".join(f">{k}\n{s}\n" for k, s in seqs.items()))
+    (tmp_path / "b.fasta").write_text("".join(f">{k}\n{s[:100] + s[110:]}\n" for k, s in seqs.items()))
+    where = ["--many", "--first", str(tmp_path / "a.fasta"), "--second", str(tmp_path / "b.fasta")]
+    run = lambda *argv: (lambda a: a.run(spark, a))(cli.parser().parse_args(argv))
+    run("align", "-o", f"{tmp_path}/out", *where, "--bridges", "--no_paths")
+    run("kmer-align", "-o", f"{tmp_path}/k", *where, "--indexed")
+    ids = {int(r.pair_id): r.seq_id for r in spark.read.csv(f"{tmp_path}/out/pairs", sep="\t", header=True).collect()}
+    assert sorted(ids.values()) == sorted(seqs)
+    for line in spark.read.text(f"{tmp_path}/out/cigar").collect():
+        pair, text = line.value.split("\t")
+        s = seqs[ids[int(pair)]]
+        assert kernels.is_valid([(int(n), op) for n, op in re.findall(r"(\d+)(.)", text)], s, s[:100] + s[110:])
+    for name in ("shortest_matches", "no_paths"):
+        rows = spark.read.csv(f"{tmp_path}/out/{name}", sep="\t" if name == "shortest_matches" else ",", header=True)
+        assert rows.columns[0] == "pair_id" and {int(r.pair_id) for r in rows.collect()} == set(ids)
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/out/bridges").collect()]
+    assert sinks.BRIDGES_COMMENT in lines and "pair_id,start_1,start_2,end_1,end_2" in lines
+    indexed = [r.value.split(" ", 1) for r in spark.read.text(f"{tmp_path}/k/glob_align").collect()]
+    assert {int(i) for i, _ in indexed} == set(ids)
+    for pair in ids:
+        first = [re.match(r"\((\d+), (\d+)\)|-", text).groups() for i, text in indexed if int(i) == pair]
+        numbers = sorted((int(n), int(p)) for n, p in first if n)
+        assert [n for n, _ in numbers] == list(range(len(numbers))) and [p for _, p in numbers] == sorted(p for _, p in numbers)
+
+
+def test_counts_of_any_size_are_read_back(spark, tmp_path):
+    big = str(3**60)
+    df = spark.createDataFrame([(1, 2, 3, big, big, 1, 2)], "start_1 long, start_2 long, len long, n_opt_paths_fwd string, n_opt_paths_rev string, n_count long, m_count long")
+    sinks.path_counts(df, f"{tmp_path}/counts")
+    assert files.path_counts(spark, f"{tmp_path}/counts").first().n_opt_paths_fwd == big
