@@ -1,7 +1,9 @@
-"""Pair merging over ragged numpy arrays: many short symbol rows at once."""
+"""Pair merging over ragged numpy arrays: many short symbol rows at once, or a long one."""
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 NO_RANK = np.int64(1 << 40)
@@ -89,3 +91,55 @@ def merge_rows(symbols: np.ndarray, sizes: np.ndarray, pairs: PairTable, one_at_
         at = np.repeat(first[r] - (np.cumsum(n) - n), n) + np.arange(len(s))
         out[at] = s
     return left, out
+
+
+def merge_long(symbols: np.ndarray, pairs: PairTable) -> np.ndarray:
+    """The surviving symbols of one row of any length: as ``merge_rows``, in n log n steps.
+
+    Places of pairs are listed by rank, and a round looks only at those of the lowest.
+    """
+    none, n = len(pairs.keys), len(symbols)
+    symbols = np.append(symbols.astype(np.int64), -1)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    live = np.ones(n + 1, bool)
+    live[n] = False
+    waiting: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def offer(at: np.ndarray) -> None:
+        entry = pairs.find(symbols[at], symbols[after[at]])
+        at, rank = at[entry < none], pairs.rank[entry[entry < none]]
+        if not len(at):
+            return
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        starts = np.flatnonzero(np.diff(rank, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rank)], strict=True):
+            r = int(rank[a])
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(heap, r)
+            waiting[r].append(at[a:b])
+
+    offer(np.arange(n - 1))
+    while heap:
+        r = heapq.heappop(heap)
+        hit = np.unique(np.concatenate(waiting.pop(r)))
+        hit = hit[live[hit]]
+        entry = pairs.find(symbols[hit], symbols[after[hit]])
+        hit, entry = hit[pairs.rank[entry] == r], entry[pairs.rank[entry] == r]
+        if not len(hit):
+            continue
+        # Overlapping hits: every other one, from the left.
+        run = np.flatnonzero(np.append(True, after[hit[:-1]] != hit[1:]))
+        within = np.arange(len(hit)) - np.repeat(run, np.diff(run, append=len(hit)))
+        hit, entry = hit[within % 2 == 0], entry[within % 2 == 0]
+        gone = after[hit]
+        symbols[hit] = pairs.product[entry]
+        live[gone] = False
+        symbols[gone] = -1
+        after[hit] = after[gone]
+        before[after[hit]] = hit
+        left = before[hit]
+        offer(np.unique(np.concatenate([hit, left[left >= 0]])))
+    return symbols[:n][live[:n]]

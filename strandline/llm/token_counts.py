@@ -4,9 +4,11 @@ Texts are cut into pre-tokens. The distinct pre-tokens that a batch brings are
 held as one ragged numpy array (flat symbols plus row sizes). In each round
 every row finds its lowest-rank pair and all rows apply theirs at the same
 time; rows without a pair left are done and their surviving symbols counted.
-A text's count is the sum over its pre-tokens.
+A text's count is the sum over its pre-tokens. A pre-token of thousands of bytes is
+merged by itself, with the places of its pairs listed by rank.
 
-Nulls and empty texts have 0 tokens. Repeated rows are counted one by one.
+Texts are read whole; a very long one takes memory in proportion. An empty table
+gives an empty report. Nulls and empty texts have 0 tokens. Repeated rows are counted one by one.
 Special tokens written out in a text count as one token each, the default of
 the tokenizer library.
 """
@@ -26,7 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, add_struct, struct_array, worker_state
-from .ragged import PairTable, merge_rows
+from .ragged import PairTable, merge_long, merge_rows
+
+#: Bytes of a pre-token from which it is merged by itself.
+LONG = 2048
 
 #: Unicode white space. Fixed values.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -98,8 +103,13 @@ class ByteBpeCounter:
         self.cache = BoundedCache()
 
     def merged_sizes(self, words: list[str]) -> list[int]:
-        """Tokens of each pre-token, by the array method."""
+        """Tokens of each pre-token, by the array method; one over ``LONG`` bytes is an array of its own."""
         raw = [w.encode("utf-8") for w in words]
+        if max(map(len, raw), default=0) > LONG:
+            short = iter(self.merged_sizes([w for w, b in zip(words, raw, strict=True) if len(b) <= LONG]))
+            return [next(short) if len(b) <= LONG else len(merge_long(self.start[np.frombuffer(b, np.uint8)], self.pairs)) for b in raw]
+        if not raw:
+            return []
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         return merge_rows(self.start[np.frombuffer(b"".join(raw), np.uint8)], sizes, self.pairs)[0].tolist()
 

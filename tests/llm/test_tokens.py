@@ -1,6 +1,7 @@
 """Token counts and the piece codec against their libraries; packing as a whole."""
 
 import random
+import time
 import zlib
 from hashlib import sha256
 
@@ -200,3 +201,25 @@ def test_empty_tables(spark):
 def test_ids_can_be_kept(spark):
     rows = packing.token_pieces(documents(spark), 64, keep_ids=True).filter("doc_id = 0").collect()
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+
+
+def test_long_pretokens_merge_as_the_library_does():
+    rng = random.Random(21)
+    count = token_counts.counter(None)
+    texts = ["a" * n for n in (2049, 5000, 4097)] + ["ab" * 3001, "abc" * 2000 + "d", "日本" * 1500, "é" * 2500]
+    texts += ["".join(rng.choices(a, k=rng.randint(2049, 9000))) for a in ("ab", "etaoinshr", "xyzé日") for _ in range(4)]
+    assert count.count(texts) == [len(BYTES.encode(t, add_special_tokens=False).ids) for t in texts]
+    began = time.perf_counter()
+    long = "".join(rng.choices("etaoinshrdlu", k=400_000))
+    assert count.count([long]) == [len(BYTES.encode(long, add_special_tokens=False).ids)]
+    assert time.perf_counter() - began < 60
+
+
+def test_both_ways_to_encode_give_equal_spans():
+    """Words laid end to end, and the general path through ``normalise``."""
+    rng = random.Random(22)
+    codec = sp_codec.codec(None)
+    texts = [" ".join("".join(rng.choices("abcdefgh é日😀.,-'1\n", k=rng.randint(1, 12))).replace(" ", "") or "x" for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    for text, fast in zip(texts, codec.encode_iter(texts), strict=True):
+        for a, b in zip(fast, codec._encode_one(text), strict=True):
+            assert a.tolist() == b.tolist(), text
