@@ -8,7 +8,8 @@ independent tasks, so the work is linear in the corpus and a lost executor
 costs its groups only. Padding is what the last, loosest bins of a group leave.
 
 Null texts count as empty: one piece that holds the closing id. Repeated rows
-are packed as often as they occur. An empty table gives no pieces.
+are packed as often as they occur. An empty table gives no pieces. A very long text
+is many full pieces; its ids are held in memory at once.
 """
 
 from __future__ import annotations

@@ -7,8 +7,12 @@ the band a text repeats itself; above it, it is noise (keys, encoded data). The
 same goes for chunks: a text goes if too large a share of its bytes lies in
 chunks outside their band.
 
+Chunks are judged in texts of over 5,120 bytes only: shorter ones are a chunk or so
+themselves, and have the band of the whole text alone.
+
 Null and empty texts have zero counts and fail the base rules. Everything is
-computed row by row over whole texts, so repeated rows get equal verdicts.
+computed row by row over whole texts, however long, so repeated rows get equal
+verdicts. An empty table gives no rows; columns of any name pass through.
 """
 
 from __future__ import annotations

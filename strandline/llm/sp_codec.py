@@ -6,7 +6,13 @@ of the result, the byte of the source it came from. Merging runs on the
 normalised text; the record then projects every piece back to its span of
 source bytes. Decoding joins the pieces, byte pieces included.
 
-Nulls and empty texts have no ids and decode to an empty text.
+Models without a character map, as the installed one, need no look-up: there a text
+of single blanks is cut into words and the words' pieces are laid end to end, with the
+spans that the general path gives.
+
+Nulls and empty texts have no ids and decode to an empty text. Repeated rows are
+encoded alike, once each; an empty table gives no rows. A very long text is encoded
+whole, in memory in proportion.
 """
 
 from __future__ import annotations

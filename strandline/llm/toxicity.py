@@ -3,7 +3,8 @@
 Tokens are words, parted by white space of any kind or by punctuation (other than
 ``*@#$``, which mask letters), in lower case and without punctuation at the ends.
 What is over 40 characters long without a parting is read in windows of 40, each
-overlapping the one before by half, so no part of a text goes unscored; a chain is a sentence or line of them, of 512 tokens at most. A token's
+overlapping the one before by half, so no part of a text goes unscored; a chain is a
+sentence or line of them, of 512 tokens at most. A token's
 features are its word, its prefixes and its character 4-grams, hashed; each has
 one weight for the state "toxic". Three transition weights join neighbours.
 
@@ -19,6 +20,8 @@ marginal, and the tokens with a marginal of one half or more are its spans.
 Nulls and empty texts score what a document without toxic tokens scores. Rows
 without a doc_id count as held out. If the sample lacks one of the classes, all
 texts get the share of toxic rows in it (0 without any) and there are no spans.
+Repeated rows score alike; of labels that differ for one doc_id the largest counts, and
+of its texts the least. An empty table gives no rows. Very long texts are tagged whole.
 """
 
 from __future__ import annotations
