@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few_files
 
 #: Vectors that codebooks are fitted on: so many for each centroid, and at least and at most so many.
 PER_CENTROID, SAMPLE, MOST_SAMPLE = 32, 8192, 32_768
@@ -163,14 +163,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def entered(good: DataFrame, k: int) -> DataFrame:
+def entered(good: DataFrame, k: int, files: int) -> DataFrame:
     """id and v of the entries: all rows, but of more than k + 1 equal vectors only those with the least ids.
 
     Vectors are counted by a hash, so only rows of hashes that occur so often, mostly
     none, are shuffled to be compared.
     """
     keyed = good.withColumn("h", F.xxhash64("v"))
-    crowded = cut(keyed.groupBy("h").count().filter(F.col("count") > k + 1).select("h"), "crowded")
+    crowded = cut(keyed.groupBy("h").count().filter(F.col("count") > k + 1).select("h"), "crowded", files=files)
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     few = keyed.join(crowded, "h", "left_semi").withColumn("place", place).filter(F.col("place") <= k + 1)
     return keyed.join(crowded, "h", "left_anti").select("id", "v").unionByName(few.select("id", "v"))
@@ -205,7 +205,7 @@ def build(good: DataFrame, dim: int, k: int, recall: float) -> tuple[DataFrame,
             cell = model.cells(unit(_matrix(batch.column("v")))) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
 
-    placed = cut(entered(good, k).mapInArrow(assign, "id long, v array<double>, cell long"), "cells")
+    placed = cut(entered(good, k, few_files(good.sparkSession, total)).mapInArrow(assign, "id long, v array<double>, cell long"), "cells")
     counts = np.zeros(model.k**2, np.int64)
     for r in placed.groupBy("cell").count().collect():  # K x K numbers at most
         counts[r["cell"]] = r["count"]
@@ -248,10 +248,11 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
     # Equal vectors ask once, for the least of their ids.
     asked = good.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v")
-    asking = cut(asked.groupBy("v").agg(F.min("query_id").alias("query")), "asking")
+    files = few_files(spark, placed.count())
+    asking = cut(asked.groupBy("v").agg(F.min("query_id").alias("query")), "asking", files=files)
     visits = cut(asking.mapInArrow(walk, "query long, v array<double>, bucket long"), "visits")
     # As many copies of a bucket as its visitors need. As a written table its size is known to the joins.
-    copies = cut(visits.groupBy("bucket").agg(F.ceil(F.count("*") / SERVED).alias("copies")), "copies")
+    copies = cut(visits.groupBy("bucket").agg(F.ceil(F.count("*") / SERVED).alias("copies")), "copies", files=files)
     visiting = visits.join(copies, "bucket").withColumn("copy", F.pmod(F.xxhash64(F.lit(37), "query"), F.col("copies"))).drop("copies")
 
     def bucket_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

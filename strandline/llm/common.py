@@ -48,10 +48,20 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "cut", by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder, in folders of column ``by`` if given, and read it back: the lineage ends there."""
+def few_files(spark: SparkSession, rows: int, rows_of_a_file: int = 250_000) -> int:
+    """Files for a narrow table of at most ``rows`` rows: as many as it needs, no more than a shuffle has partitions."""
+    return max(8, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_of_a_file)))
+
+
+def cut(df: DataFrame, name: str = "cut", by: str | None = None, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders of column ``by`` if given, and read it back: the lineage ends there.
+
+    ``files`` merges partitions for the write. Small tables want that: some stores
+    start a process for each file that an executor creates.
+    """
     spark = df.sparkSession
     path = new_table_path(spark, name)
+    df = df.coalesce(files) if files else df
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

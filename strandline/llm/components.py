@@ -27,16 +27,17 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
         label = new
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, files: int | None = None) -> DataFrame:
     """``node`` and ``root``, the least node of its component, for each node of ``edges`` (a, b longs).
 
     Large-star and small-star steps in turn, until the edges stay as they are and
     every node points at its root: a number of rounds that grows with the
     logarithm of the graph. Each round's edges, no more than the first ones, are a
     table in the shared folder. A node with very many neighbours is a skewed key
-    of a join with one row for each node, which adaptive execution splits.
+    of a join with one row for each node, which adaptive execution splits. The result
+    reads the last round's table, of at most ``files`` files if given.
     """
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", files=files)
     before = None
     for _ in range(rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -46,11 +47,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large, "edges")
+        large = cut(large, "edges", files=files)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         # A larger node's smaller neighbours, and the node itself, all go to the least of them.
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        new = cut(small.filter("a <> b").distinct(), "edges")
+        new = cut(small.filter("a <> b").distinct(), "edges", files=files)
         drop_cut(now)
         drop_cut(large)
         now = new

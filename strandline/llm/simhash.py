@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, path_of, slices, table_rows_of
+from .common import cut, drop_cut, few_files, path_of, slices, table_rows_of
 from .components import connected_components, local_components
 
 DISTANCE = 3
@@ -230,13 +230,13 @@ def verify_sorted(starts: np.ndarray, fp: np.ndarray, home: np.ndarray, distance
     return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
 
-def links(distinct: DataFrame, plan: Partitioning, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, plan: Partitioning, distance: int = DISTANCE, block: int = BLOCK, files: int | None = None) -> DataFrame:
     """a, b: links whose components are those of all fingerprints within ``distance``."""
     rows = probes(distinct, plan)
     crowded = rows.groupBy("part", "key").count().filter(F.col("count") > block)
     crowded = crowded.select("part", "key", F.ceil(F.col("count") / block).alias("blocks"))
     # As a written table its size is known: when small, as it mostly is, the join needs no shuffle.
-    joined = rows.join(cut(crowded, "crowded"), ["part", "key"], "left")
+    joined = rows.join(cut(crowded, "crowded", files=files), ["part", "key"], "left")
     mine = F.pmod(F.xxhash64(F.lit(23), "fp"), F.col("blocks"))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.lit(1 << 31) + F.greatest(x, mine))
     dealt = joined.select("part", "key", "home", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(meets)).alias("cell"))
@@ -287,19 +287,18 @@ def links(distinct: DataFrame, plan: Partitioning, distance: int = DISTANCE, blo
 
 def group_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``fp``, ``component_id`` (least doc_id of its group), ``root`` (its group) and ``rows`` (that have it) for each distinct fingerprint of ``fps``."""
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "fingerprints")
+    files = few_files(fps.sparkSession, fps.count())
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "fingerprints", files=files)
     total = distinct.count()
     order = F.xxhash64(F.lit(29), "fp")
     sample = np.array([r.fp for r in distinct.select("fp").orderBy(order, "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     plan = allocate(sample, total, distance)
-    edges = links(distinct.select("fp"), plan, distance)
-    roots = cut(connected_components(edges), "roots")
+    edges = links(distinct.select("fp"), plan, distance, files=files)
+    roots = connected_components(edges, files=files)
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", "rows", F.coalesce("root", "fp").alias("root"))
-    joined = cut(joined, "groups")
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    out = cut(joined.join(least, "root").select("fp", "component_id", "root", "rows"), "components")
-    for done in (distinct, roots, joined):
-        drop_cut(done)
+    out = cut(joined.join(least, "root").select("fp", "component_id", "root", "rows"), "components", files=files)
+    drop_cut(distinct)
     return out
 
 
@@ -349,13 +348,14 @@ def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     groups = group_fingerprints(fps.select("doc_id", "fp"), distance)
     # Groups of one row, most of them, need no more looking at.
     alone = groups.groupBy("root").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("root")
-    members = cut(fps.filter("doc_id is not null").join(groups.join(alone, "root", "left_semi").select("fp", "root"), "fp"), "members")
+    files = few_files(df.sparkSession, fps.count())
+    members = cut(fps.filter("doc_id is not null").join(groups.join(alone, "root", "left_semi").select("fp", "root"), "fp"), "members", files=files)
     rank = F.struct("doc_id", "fp", "file", "place")
     stay = members.groupBy("root").agg(F.min(rank).alias("best")).select("best.file", "best.place")
     shares = max(1, min(4096, len(df.inputFiles()) // 8))
     share = F.pmod(F.xxhash64("file"), F.lit(shares)).cast("int")
     gone = members.join(stay, ["file", "place"], "left_anti").select("file", "place", share.alias("share"))
-    gone = cut(gone.repartition("share", "file").sortWithinPartitions("share", "file", "place"), "gone", by="share")
+    gone = cut(gone.repartition(files, "share", "file").sortWithinPartitions("share", "file", "place"), "gone", by="share", files=files)
     for done in (members, groups, fps):
         drop_cut(done)
     where = path_of(gone)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, few_files
 
 MAGIC = b"WARC/1.1\r\n"
 CLOSE = "\r\n\r\n"
@@ -222,24 +222,25 @@ def chain_links(ranges: DataFrame, width: int) -> DataFrame:
 def verified_entries(links: DataFrame, rounds: int = 64) -> DataFrame:
     """file, part, offset: the first record in each range that the file's start reaches."""
     links = cut(links, "links")
+    files = few_files(links.sparkSession, links.count())
     # Only the file's start and places at which some chain enters a range can be entries.
     targets = links.select("file", F.col("leaves").alias("offset")).distinct()
     entry = links.join(targets, ["file", "offset"], "left_semi").unionByName(links.filter("offset = 0")).distinct()
     entry = entry.select("file", "part", "offset", F.col("leaves").alias("next"), (F.col("offset") == 0).alias("reached"))
-    now = cut(entry, "jumps")
+    now = cut(entry, "jumps", files=files)
     for _ in range(rounds):
         jump = now.select("file", F.col("offset").alias("next"), F.col("next").alias("after"))
         hit = now.filter("reached").select("file", F.col("next").alias("offset"), F.lit(True).alias("hit")).distinct()
         step = now.join(jump, ["file", "next"], "left").join(hit, ["file", "offset"], "left")
         # A pointer past the last entry stays where it is.
-        new = cut(step.select("file", "part", "offset", F.coalesce("after", "next").alias("next"), (F.col("reached") | F.coalesce("hit", F.lit(False))).alias("reached"), F.col("after").isNotNull().alias("moved")), "jumps")
+        new = cut(step.select("file", "part", "offset", F.coalesce("after", "next").alias("next"), (F.col("reached") | F.coalesce("hit", F.lit(False))).alias("reached"), F.col("after").isNotNull().alias("moved")), "jumps", files=files)
         drop_cut(now)
         now = new
         if not now.filter("moved").limit(1).count():
             break
     else:
         raise RuntimeError("pointers have not settled")
-    out = cut(now.filter("reached").groupBy("file", "part").agg(F.min("offset").alias("offset")), "entries")
+    out = cut(now.filter("reached").groupBy("file", "part").agg(F.min("offset").alias("offset")), "entries", files=files)
     drop_cut(now)
     drop_cut(links)
     return out
