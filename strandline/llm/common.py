@@ -6,7 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -198,10 +198,11 @@ def table_rows_of(df: DataFrame) -> tuple[DataFrame, Column, Column]:
 
 
 class BoundedCache(dict):
-    """A dict for results by word that is emptied when it has taken about ``limit`` bytes.
+    """A dict for results by word that holds about ``limit`` bytes, in two generations.
 
-    An entry counts for its word's and its value's characters or bytes and the
-    room that Python needs for any entry.
+    When half of them are taken, what there is becomes the old generation, and the old
+    one goes; words that are met again come back from it. An entry counts for its word's
+    and its value's characters or bytes and the room that Python needs for any entry.
     """
 
     ENTRY = 220
@@ -209,15 +210,28 @@ class BoundedCache(dict):
     def __init__(self, limit: int = 64 << 20, longest: int = 256):
         super().__init__()
         self.limit, self.longest, self.held = limit, longest, 0
+        self.old: dict = {}
 
     def make_room(self) -> None:
         """Call between, never within, the uses of what is looked up together."""
-        if self.held > self.limit:
-            self.clear()
+        if self.held > self.limit // 2:
+            self.old = dict(self)
+            super().clear()
+            self.held = 0
 
     def clear(self) -> None:
         super().clear()
-        self.held = 0
+        self.held, self.old = 0, {}
+
+    def missing(self, words: Iterable[str]) -> list[str]:
+        """Those of some words, once each, that neither generation holds."""
+        absent = [w for w in set(words) if w not in self]
+        if self.old:
+            back = {w: self.old[w] for w in absent if w in self.old}
+            self.update(back)
+            self.held += self.ENTRY * len(back) + 5 * sum(map(len, back))
+            absent = [w for w in absent if w not in back]
+        return absent
 
     def entered(self, keys: list[str]) -> None:
         """Say which keys were added. Long ones are forgotten: few texts share them, and they would take the room of many."""

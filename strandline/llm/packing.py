@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +32,6 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def plain_letters(word: str) -> bool:
-    """Latin-1 letters only: in lower case, normalising leaves them and all are one pre-token."""
-    return word.isalpha() and (word.isascii() or max(word) <= "\xff")
-
-
 class WordTokenizer:
     """Ids of whole texts by the tokenizer library, one call for each new word.
 
@@ -59,26 +54,26 @@ class WordTokenizer:
         self.closes[[k for t, k in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.cache = BoundedCache(limit=96 << 20)
 
-    def encode(self, texts: list[str | None], closing: int, block_chars: int = 1_000_000) -> Iterator[bytes]:
+    def encode(self, texts: pa.Array | list[str | None], closing: int, block_bytes: int = 1 << 20) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the closing id."""
-        block, held = [], 0
-        for text in texts:
-            block.append((text or "").replace("\n", " ").split(" "))
-            held += len(text or "")
-            if held >= block_chars:
-                yield from self._encode_block(block, closing)
-                block, held = [], 0
-        yield from self._encode_block(block, closing)
-
-    def learn(self, words: list[str], joined: int = 2048) -> None:
-        """Encode new words. Those of plain letters are looked up in lower case and without a last stop or comma."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        for a, b in slices([texts], block_bytes):
+            yield from self._encode_block(texts.slice(a, b - a), closing)
+
+    def learn(self, words: list[str], joined: int = 2048) -> list[str]:
+        """Encode new words. Those of Latin-1 letters are looked up in lower case and without a last stop or comma.
+
+        Normalising leaves such letters as they are, and all of them are one pre-token.
+        Returns the forms that were entered beside the words themselves.
+        """
         cache, parts, simple, other = self.cache, [], {}, {}
         for w in words:
             tail = w[-1:]
-            base = w[:-1] if tail in (".", ",") else w
-            if plain_letters(base):
+            base = w[:-1] if tail == "." or tail == "," else w
+            if base.isalpha() and (base.isascii() or max(base) <= "\xff"):
                 base = base.lower()
-                parts.append((w, base, tail if len(base) < len(w) else ""))
+                if base != w:
+                    parts.append((w, base, tail if len(base) < len(w) else ""))
                 if base not in cache:
                     simple[base] = None
             else:
@@ -100,6 +95,8 @@ class WordTokenizer:
                 cache[w] = self.ids_of(self.library, w).tobytes()
         for w, base, tail in parts:
             cache[w] = cache[base] + cache[tail] if tail else cache[base]
+        own = set(words)
+        return [w for w in simple if w not in own]
 
     @staticmethod
     def ids_of(library, text: str) -> np.ndarray:
@@ -112,15 +109,28 @@ class WordTokenizer:
             self.cache[w] = raw[last:end]
             last = end + 4 * skip
 
-    def _encode_block(self, texts: list[list[str]], closing: int) -> Iterator[bytes]:
+    def _encode_block(self, texts: pa.Array, closing: int) -> Iterator[bytes]:
+        """Arrow cuts the texts and numbers their words; each different word is looked up once, and ids are gathered by number."""
         cache = self.cache
         cache.make_room()
-        new = [w for w in set(chain.from_iterable(texts)) if w not in cache]
-        self.learn(new)
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = cache.missing(words)
+        forms = self.learn(new)
+        raw = list(map(cache.__getitem__, words))
+        cache.entered(new + forms)
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        known, first = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
+        each = size[number]
+        ends = np.cumsum(each)
+        ids = known[np.repeat(first[number] - ends + each, each) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        # Where each text's words, and so its ids, end.
+        last = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))
+        at = np.append(0, ends)[last].tolist()
         end = closing.to_bytes(4, "little")
-        out = [b"".join(map(cache.__getitem__, words)) + end for words in texts]
-        cache.entered(new)
-        yield from out
+        for a, b in zip(at, at[1:], strict=False):
+            yield ids[a:b].tobytes() + end
 
 
 def tokenizer(path: str | None) -> WordTokenizer:
@@ -148,9 +158,8 @@ def token_pieces(df: DataFrame, capacity: int = 4096, closing: int = 2, text_col
         kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())] * keep_ids
         for batch in batches:
             for a, b in slices([batch.column(1)]):
-                ids, texts = (batch.column(k).slice(a, b - a).to_pylist() for k in (0, 1))
                 rows: list[tuple] = []
-                for doc, data in zip(ids, tok.encode(texts, closing), strict=True):
+                for doc, data in zip(batch.column(0).slice(a, b - a).to_pylist(), tok.encode(batch.column(1).slice(a, b - a), closing), strict=True):
                     row += 1
                     for at in range(0, len(data), span):
                         piece = data[at : at + span]

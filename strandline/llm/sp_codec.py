@@ -263,7 +263,7 @@ class PieceCodec:
         split = [None if words is None or "" in words else words for words in split]
         cache = self.cache
         cache.make_room()
-        new = [w for w in set(chain.from_iterable(filter(None, split))) if w not in cache]
+        new = cache.missing(chain.from_iterable(filter(None, split)))
         self.learn(new)
         for text, words in zip(texts, split, strict=True):
             if words is None:

@@ -160,7 +160,7 @@ class ByteBpeCounter:
         cache.make_room()
         self.cut = pretokens(all(map(is_western, texts))).findall
         cut = [self.chunks(t) for t in texts]
-        new = [c for c in set(chain.from_iterable(chunks for _, chunks in cut)) if c not in cache]
+        new = cache.missing(chain.from_iterable(chunks for _, chunks in cut))
         self.learn(new)
         counts = [add + sum(map(cache.__getitem__, chunks)) for add, chunks in cut]
         cache.entered(new)

@@ -346,7 +346,7 @@ class ToxicScorer:
         """Of all chunks of all texts, and how many chunks each text has."""
         cache = self.cache
         cache.make_room()
-        new = [c for c in set(chain.from_iterable(texts)) if c not in cache]
+        new = cache.missing(chain.from_iterable(texts))
         for k in range(0, len(new), 20_000):
             self.learn(new[k : k + 20_000])
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
