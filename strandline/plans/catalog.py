@@ -38,6 +38,12 @@ s AS (
 )
 """
 PAIRS = "p AS (SELECT a.item_id AS pair_id, a.text AS first, b.text AS second FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
+RELATED = """
+p AS (
+  SELECT item_id AS pair_id, text AS first, translate(substring(text, 1, 2 * t) || substring(text, t + 1, t) || substring(text, 2 * t + 1), 'q,', 'k;') AS second
+  FROM (SELECT *, CAST(floor(length(text) / 3) AS BIGINT) AS t FROM benchmark)
+)
+"""
 RANKED = f"""
 {PAIRS}, sides AS (
   SELECT pair_id, 1 AS side, first AS seq FROM p UNION ALL SELECT pair_id, 2, second FROM p
@@ -79,8 +85,25 @@ hits AS (
   QUALIFY e.w = min(e.w) OVER (PARTITION BY e.pair_id)
 )
 """
-INTERVALS = f"""
-{HITS}, placed AS (
+#: Windows of all widths over common prefixes, a rank wider in each round.
+ALL_HITS = f"""
+{RANKED}, {FIRST_LENGTHS}, sb AS MATERIALIZED (
+  SELECT pair_id, side, pos, r, lcp, sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY r) AS firsts FROM sa
+), grow AS (
+  SELECT pair_id, r, 2 AS w, lcp AS cur FROM sb WHERE lcp > 0
+  UNION ALL
+  SELECT g.pair_id, g.r, g.w + 1, least(g.cur, s.lcp)
+  FROM grow g JOIN sb s ON s.pair_id = g.pair_id AND s.r = g.r + g.w - 1 JOIN fl ON fl.pair_id = g.pair_id WHERE s.lcp > 0 AND g.w < 2 * least(n_first, 50)
+), every AS (
+  SELECT g.*, greatest(least(coalesce(b.lcp, 0), cur), least(e.lcp, cur)) AS low, e.firsts - coalesce(b.firsts, 0) AS m
+  FROM grow g JOIN sb e ON e.pair_id = g.pair_id AND e.r = g.r + g.w - 1 LEFT JOIN sb b ON b.pair_id = g.pair_id AND b.r = g.r - 1
+), hits AS (
+  SELECT h.pair_id, CAST(m AS INT) AS m, CAST(w - m AS INT) AS n, h.r AS clas, CAST(s.side AS INT) AS side, CAST(s.pos AS BIGINT) AS pos, low + 1 AS min_len, cur AS max_len
+  FROM (SELECT *, unnest(range(r, r + w)) AS j FROM every WHERE cur > low AND least(m, w - m) >= 1 AND greatest(m, w - m) <= (w + 1) // 2) h
+  JOIN sb s ON s.pair_id = h.pair_id AND s.r = h.j
+)
+"""
+COLLAPSED = """placed AS (
   SELECT h.*, n_first, CASE WHEN side = 1 THEN pos ELSE pos + n_first + 1 END AS p FROM hits h JOIN fl USING (pair_id)
 ), ends AS (
   SELECT pair_id, n_first, m, n, p + min_len AS en, max(p) AS p, arg_max(clas, p) AS clas, arg_max(max_len, p) AS max_len FROM placed GROUP BY pair_id, n_first, m, n, p + min_len
@@ -92,6 +115,13 @@ INTERVALS = f"""
   FROM kept GROUP BY pair_id, m, n, clas
 )
 """
+INTERVALS = f"""
+{HITS}, {COLLAPSED}"""
+
+
+def of_related(sql: str) -> str:
+    """The same over each passage and its changed copy."""
+    return sql.replace(PAIRS, RELATED)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -216,13 +246,18 @@ def kmer_dotplot_pairs(spark, sf_dir):
     return kmers.dotplot_pairs(every, items, 24).withColumnsRenamed({"first_id": "doc_id", "second_id": "item_id"})
 
 
-@query("minimizers", f"""
-WITH k AS ({KMERS.format(id="item_id", table="benchmark", k=11)}), w AS (
+def _minimizer_sql(words: str, name: str, w: int) -> str:
+    """``words`` ends with k (seq_id, pos, kmer)."""
+    return f"""
+WITH {words}, w AS (
   SELECT seq_id, min({{'kmer': kmer, 'pos': pos}}) OVER f AS m, count(*) OVER f AS held, count(*) OVER (PARTITION BY seq_id) AS n, pos
-  FROM k WINDOW f AS (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
-), q AS (SELECT DISTINCT seq_id, m.pos AS pos, m.kmer AS kmer FROM w WHERE held = 8 OR (n < 8 AND held = n))
-SELECT seq_id AS item_id, CAST(pos AS BIGINT) AS pos, kmer FROM (SELECT *, lag(kmer) OVER (PARTITION BY seq_id ORDER BY pos) AS before FROM q) WHERE kmer IS DISTINCT FROM before
-""")
+  FROM k WINDOW f AS (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)
+), q AS (SELECT DISTINCT seq_id, m.pos AS pos, m.kmer AS kmer FROM w WHERE held = {w} OR (n < {w} AND held = n))
+SELECT seq_id AS {name}, CAST(pos AS BIGINT) AS pos, kmer FROM (SELECT *, lag(kmer) OVER (PARTITION BY seq_id ORDER BY pos) AS before FROM q) WHERE kmer IS DISTINCT FROM before
+"""
+
+
+@query("minimizers", _minimizer_sql(f"k AS ({KMERS.format(id='item_id', table='benchmark', k=11)})", "item_id", 8))
 def minimizers(spark, sf_dir):
     return kmers.minimizers(tables.passages(spark, sf_dir), 11, 8, strands=False).withColumnRenamed("seq_id", "item_id")
 
@@ -252,7 +287,13 @@ def kmer_hash_steps(spark, sf_dir):
     return rows.groupBy(F.col("seq_id").alias("item_id")).agg(F.count("*").alias("n"), total(after).alias("after_sum"), total(before).alias("before_sum"))
 
 
-@query("minimizers_dna")
+STRANDS = f"""
+d AS (SELECT doc_id, {DNA} AS text FROM documents), one AS ({KMERS.format(id="doc_id", table="d", k=13)}),
+k AS (SELECT seq_id, pos, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS kmer FROM one)
+"""
+
+
+@query("minimizers_dna", _minimizer_sql(STRANDS, "doc_id", 10))
 def minimizers_dna(spark, sf_dir):
     return kmers.minimizers(tables.document_dna(spark, sf_dir), 13, 10).withColumnRenamed("seq_id", "doc_id")
 
@@ -344,9 +385,13 @@ def chain_anchors(spark, sf_dir):
     return align.chains(tables.passage_pairs(spark, sf_dir))
 
 
-@query("shortest_matches")
+@query("shortest_matches", f"""
+WITH RECURSIVE {of_related(ALL_HITS)}, {COLLAPSED}
+SELECT pair_id, CAST(m AS BIGINT) AS first_freq, CAST(n AS BIGINT) AS second_freq, CAST(len AS BIGINT) AS len, array_to_string(first_starts, ',') AS first_starts, array_to_string(second_starts, ',') AS second_starts FROM iv
+""")
 def shortest_matches(spark, sf_dir):
-    return align.shortest_matches(tables.related_pairs(spark, sf_dir), all_widths=True)
+    found = align.shortest_matches(tables.related_pairs(spark, sf_dir), all_widths=True)
+    return found.withColumns({c: bases.join_fields(F.col(c)) for c in ("first_starts", "second_starts")})
 
 
 @query("align_cigar")
@@ -389,7 +434,12 @@ def chain_bridges(spark, sf_dir):
     return align.bridges(tables.related_pairs(spark, sf_dir), all_widths=True)
 
 
-@query("rare_prefix_summary")
+@query("rare_prefix_summary", f"""
+WITH {of_related(HITS)}, o AS (
+  SELECT pair_id, m, n, min_len, row_number() OVER (PARTITION BY pair_id, m, n ORDER BY side, pos) AS place, count(*) OVER (PARTITION BY pair_id, m, n) AS total FROM hits
+)
+SELECT pair_id, CAST(m AS BIGINT) AS m, CAST(n AS BIGINT) AS n, CAST(avg(min_len) AS DOUBLE) AS mean, count(*) FILTER (min_len > 10000) AS n_long FROM o WHERE place <= total // 2 GROUP BY pair_id, m, n
+""")
 def rare_prefix_summary(spark, sf_dir):
     return kmers.rare_prefix_summary(align.rare_prefixes(tables.related_pairs(spark, sf_dir)), ["pair_id", "m", "n"])
 
@@ -399,14 +449,6 @@ def kmer_lcs(spark, sf_dir):
     return align.align_kmers(tables.related_pairs(spark, sf_dir), k=7)
 
 
-RELATED = """
-p AS (
-  SELECT item_id AS pair_id, text AS first, translate(substring(text, 1, 2 * t) || substring(text, t + 1, t) || substring(text, 2 * t + 1), 'q,', 'k;') AS second
-  FROM (SELECT *, CAST(floor(length(text) / 3) AS BIGINT) AS t FROM benchmark)
-)
-"""
-
-
 @query("kmer_lcs_length", f"""
 WITH RECURSIVE {RELATED}, f AS ({KMERS.format(id="pair_id", table="(SELECT pair_id, first AS text FROM p)", k=7)}), g AS ({KMERS.format(id="pair_id", table="(SELECT pair_id, second AS text FROM p)", k=7)}),
 one AS (SELECT seq_id, kmer, min(pos) AS x FROM f GROUP BY ALL HAVING count(*) = 1), two AS (SELECT seq_id, kmer, min(pos) AS y FROM g GROUP BY ALL HAVING count(*) = 1),
@@ -662,7 +704,12 @@ def segment_relations(spark, sf_dir):
     return both.select("*", analytics.gap_between("a_left", "a_right", "b_left", "b_right").alias("gap"), left.alias("flipped_left"), right.alias("flipped_right")).drop("size")
 
 
-@query("plot_segments")
+@query("plot_segments", f"""
+WITH {of_related(INTERVALS)}, ex AS (SELECT pair_id, len, m, n, unnest(first_starts) AS x0, second_starts FROM iv WHERE len >= 1), ey AS (SELECT pair_id, len, m, n, x0, unnest(second_starts) AS y0 FROM ex),
+b AS (SELECT *, CASE WHEN len > 80 THEN 80 WHEN len > 50 THEN 50 WHEN len > 20 THEN 20 ELSE 1 END AS bucket FROM ey)
+SELECT pair_id, '(' || m || ', ' || n || '), length > ' || bucket AS legend, CAST(m AS BIGINT) AS first_freq, CAST(n AS BIGINT) AS second_freq, CAST(bucket AS INT) AS bucket,
+  CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, CAST(x0 + len AS BIGINT) AS x1, CAST(y0 + len AS BIGINT) AS y1 FROM b
+""")
 def plot_segments(spark, sf_dir):
     return traces.match_segments(align.shortest_matches(tables.related_pairs(spark, sf_dir)))
 
