@@ -380,7 +380,28 @@ def chain_score(spark, sf_dir):
     return align.chains(tables.passage_pairs(spark, sf_dir)).groupBy("pair_id").agg(F.max("score").alias("score"))
 
 
-@query("chain_anchors")
+#: The best chain itself: of equal predecessors the last anchor, of equal ends the first.
+BEST_CHAIN = f"""
+WITH RECURSIVE {INTERVALS}, ex AS (SELECT pair_id, len, m, n, unnest(first_starts) AS x, second_starts FROM iv), ey AS (SELECT pair_id, len, m, n, x, unnest(second_starts) AS y FROM ex),
+a AS MATERIALIZED (SELECT *, CAST(len AS DOUBLE) / (m * n) AS weight, row_number() OVER (PARTITION BY pair_id ORDER BY x, y, len, m, n) AS k FROM ey),
+c AS (
+  SELECT pair_id, k, x + len AS x_end, y + len AS y_end, weight AS score FROM a
+  UNION ALL
+  SELECT a.pair_id, a.k, a.x + a.len, a.y + a.len, max(c.score) + a.weight FROM c JOIN a ON c.pair_id = a.pair_id AND c.x_end <= a.x AND c.y_end <= a.y GROUP BY a.pair_id, a.k, a.x, a.y, a.len, a.weight
+), s AS MATERIALIZED (SELECT pair_id, k, x_end, y_end, max(score) AS score FROM c GROUP BY pair_id, k, x_end, y_end),
+back AS MATERIALIZED (
+  SELECT a.pair_id, a.k, max({{'score': s.score, 'k': s.k}}).k AS before FROM a JOIN s ON s.pair_id = a.pair_id AND s.x_end <= a.x AND s.y_end <= a.y GROUP BY a.pair_id, a.k
+), walk AS (
+  SELECT pair_id, max({{'score': score, 'k': -k}}).k * -1 AS k, 0 AS step FROM s GROUP BY pair_id
+  UNION ALL
+  SELECT w.pair_id, b.before, step + 1 FROM walk w JOIN back b ON b.pair_id = w.pair_id AND b.k = w.k
+)
+SELECT w.pair_id, row_number() OVER (PARTITION BY w.pair_id ORDER BY step DESC) - 1 AS ord, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(len AS BIGINT) AS len, CAST(m AS BIGINT) AS m, CAST(n AS BIGINT) AS n, score
+FROM walk w JOIN a ON a.pair_id = w.pair_id AND a.k = w.k JOIN s ON s.pair_id = w.pair_id AND s.k = w.k
+"""
+
+
+@query("chain_anchors", BEST_CHAIN)
 def chain_anchors(spark, sf_dir):
     return align.chains(tables.passage_pairs(spark, sf_dir))
 
