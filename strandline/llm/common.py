@@ -142,9 +142,11 @@ def add_struct(df: DataFrame, inputs: list[str], out: str, ddl: str, factory: Ca
 
     ``factory(*args)`` is called once per task and returns a function from
     lists of Python values (one per input column, for a slice of a batch) to a
-    ``pyarrow.StructArray`` with the fields of ``ddl``. All other columns of ``df``
-    pass through untouched, whatever their names are.
+    ``pyarrow.StructArray`` with the fields of ``ddl``. All columns of ``df`` pass
+    through untouched, whatever their names are; ``out`` must be none of them.
     """
+    if out.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {out!r} already; give another name for the result")
 
     def run(batches: Iterator) -> Iterator[pa.Array]:
         f = factory(*args)
