@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import project
 from . import cigar
+from .scan import running
 
 
 def conserved_regions(rows: DataFrame, longest_indel: int = 1000, least: int = 1000, include_tail: bool = False) -> DataFrame:
@@ -15,10 +16,11 @@ def conserved_regions(rows: DataFrame, longest_indel: int = 1000, least: int = 1
     A stretch counts if both its spans exceed ``least``. What follows the last long
     indel is left out unless ``include_tail`` asks for it.
     """
-    order = Window.partitionBy("aln_id").orderBy("ord")
-    t = cigar.trace(rows).withColumn("big", F.col("op").isin("I", "D") & (F.col("len") > longest_indel))
+    big = F.col("op").isin("I", "D") & (F.col("len") > longest_indel)
+    dx, dy = (cigar.advance(F.col("op"), F.col("len"), s) for s in (1, 2))
+    t = running(rows.select("aln_id", "ord", "len", "op"), ["aln_id"], "ord", sums={"x1": dx, "y1": dy, "upto": big.cast("int")})
     # The big indel closes the island that lies before it.
-    t = t.withColumn("island", F.sum(F.col("big").cast("int")).over(order) - F.col("big").cast("int"))
+    t = t.select("aln_id", "x1", "y1", (F.col("x1") - dx).alias("x0"), (F.col("y1") - dy).alias("y0"), big.alias("big"), (F.col("upto") - big.cast("int")).alias("island"))
     regions = t.groupBy("aln_id", "island").agg(
         F.min(F.when(~F.col("big"), F.col("x0"))).alias("first_start"), F.min(F.when(~F.col("big"), F.col("y0"))).alias("second_start"),
         F.max(F.when(~F.col("big"), F.col("x1"))).alias("first_end"), F.max(F.when(~F.col("big"), F.col("y1"))).alias("second_end"),
@@ -32,20 +34,22 @@ def orthologues(points: DataFrame, rows: DataFrame, side: int = 1) -> DataFrame:
     """aln_id, name, pos and ``projected``: positions on one side carried to the other.
 
     Points and step ends are ordered together, so each point finds its step by one
-    window: the first whose end lies beyond it. Points past the end of the
+    scan: the first whose end lies beyond it. Points past the end of the
     alignment get the end of the other side. ``side`` is where the points are.
+    Each place is looked up once, however many points it has.
     """
     s0, s1, d0, d1 = ("x0", "x1", "y0", "y1") if side == 1 else ("y0", "y1", "x0", "x1")
     # Steps that don't advance on the points' side hold no point.
     steps = cigar.trace(rows).select("aln_id", *[F.col(c).alias(n) for c, n in ((s0, "s0"), (s1, "s1"), (d0, "d0"), (d1, "d1"))])
     ends = steps.groupBy("aln_id").agg(F.max("d1").alias("last_d"))
-    events = steps.filter("s1 > s0").select("aln_id", F.col("s1").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("name"), F.struct("s0", "s1", "d0", "d1").alias("step"))
-    asked = points.select("aln_id", F.col("pos").cast("long").alias("at"), F.lit(2).alias("kind"), F.col("name").cast("string").alias("name"), F.lit(None).cast(events.schema["step"].dataType).alias("step"))
-    ahead = Window.partitionBy("aln_id").orderBy("at", "kind").rowsBetween(1, Window.unboundedFollowing)
-    found = events.unionByName(asked).withColumn("next", F.first("step", ignorenulls=True).over(ahead)).filter("kind = 2")
-    out = found.join(ends, "aln_id")
+    events = steps.filter("s1 > s0").select("aln_id", F.col("s1").alias("at"), F.lit(1).alias("kind"), F.struct("s0", "s1", "d0", "d1").alias("step"))
+    asked = points.select("aln_id", F.col("pos").cast("long").alias("at")).distinct()
+    asked = asked.select("aln_id", "at", F.lit(2).alias("kind"), F.lit(None).cast(events.schema["step"].dataType).alias("step"))
+    found = running(events.unionByName(asked), ["aln_id"], "at", after={"next": F.col("step")}, ties=("kind",)).filter("kind = 2")
     put = project(F.col("at"), F.col("next.s0"), F.col("next.s1"), F.col("next.d0"), F.col("next.d1"))
-    return out.select("aln_id", "name", F.col("at").alias("pos"), F.when(F.col("next").isNull(), F.col("last_d").cast("double")).otherwise(put).alias("projected"))
+    found = found.join(ends, "aln_id").select("aln_id", "at", F.when(F.col("next").isNull(), F.col("last_d").cast("double")).otherwise(put).alias("projected"))
+    named = points.select("aln_id", F.col("name").cast("string").alias("name"), F.col("pos").cast("long").alias("at"))
+    return named.join(found, ["aln_id", "at"]).select("aln_id", "name", F.col("at").alias("pos"), "projected")
 
 
 def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -102,8 +106,7 @@ def uncovered(segments: DataFrame, sizes: DataFrame) -> DataFrame:
     real = segments.filter("left < right")
     events = real.select("id", F.col("left").alias("at"), F.lit(1).alias("d")).unionByName(real.select("id", F.col("right").alias("at"), F.lit(-1).alias("d")))
     edges = events.groupBy("id", "at").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy("id").orderBy("at")
-    open_now = edges.select("id", "at", F.sum("d").over(order).alias("depth"), F.lead("at").over(order).alias("until"))
+    open_now = running(edges, ["id"], "at", sums={"depth": F.col("d")}, after={"until": F.col("at")})
     covered = open_now.filter("depth > 0").groupBy("id").agg(F.sum(F.col("until") - F.col("at")).alias("covered"))
     cells = F.col("size") + 1
     out = sizes.select("id", "size").join(covered, "id", "left")
@@ -123,15 +126,16 @@ def blocks_of_steps(rows: DataFrame, most_gap: int) -> DataFrame:
     For printed alignments in which D consumes the second sequence. Leading gaps
     are dropped; a tolerated last gap belongs to the last block.
     """
-    order = Window.partitionBy("aln_id").orderBy("ord")
-    t = cigar.trace(rows, "second").withColumn("eq", F.col("op") == "=")
-    t = t.withColumn("part", F.sum(F.when(F.col("eq").eqNullSafe(F.lag("eq").over(order)), 0).otherwise(1)).over(order))
+    dx, dy = (cigar.advance(F.col("op"), F.col("len"), s, "second") for s in (1, 2))
+    eq = F.col("op") == "="
+    t = running(rows.select("aln_id", "ord", "len", "op"), ["aln_id"], "ord", sums={"x1": dx, "y1": dy}, runs={"part": eq})
+    t = t.select("aln_id", "part", eq.alias("eq"), "x1", "y1", (F.col("x1") - dx).alias("x0"), (F.col("y1") - dy).alias("y0"))
     parts = t.groupBy("aln_id", "part").agg(F.first("eq").alias("eq"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
-    by_part = Window.partitionBy("aln_id").orderBy("part")
     wide = ~F.col("eq") & (F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > most_gap)
     # The first part is dropped if it is a gap, whatever its size.
     parts = parts.withColumn("wide", wide).filter(F.col("eq") | (F.col("part") > 1))
-    parts = parts.withColumn("block", F.sum(F.col("wide").cast("int")).over(by_part) - F.col("wide").cast("int"))
+    parts = running(parts, ["aln_id"], "part", sums={"upto": F.col("wide").cast("int")})
+    parts = parts.withColumn("block", F.col("upto") - F.col("wide").cast("int"))
     inside = parts.filter(~F.col("wide"))
     return inside.groupBy("aln_id", "block").agg(F.min("x0").alias("st1"), F.max("x1").alias("en1"), F.min("y0").alias("st2"), F.max("y1").alias("en2")).drop("block")
 
@@ -142,21 +146,19 @@ def blocks_of_kmers(matches: DataFrame, most_gap: int, k: int) -> DataFrame:
     Match runs are joined over gaps whose span, first to last k-mer start, is at
     most ``most_gap`` on both sides; ends then move on by ``k``.
     """
-    order = Window.partitionBy("aln_id").orderBy("ord")
-    t = matches.withColumn("eq", F.col("left").isNotNull() & F.col("right").isNotNull())
-    t = t.withColumn("part", F.sum(F.when(F.col("eq").eqNullSafe(F.lag("eq").over(order)), 0).otherwise(1)).over(order))
+    eq = F.col("left").isNotNull() & F.col("right").isNotNull()
+    t = running(matches, ["aln_id"], "ord", runs={"part": eq}).withColumn("eq", eq)
     parts = t.groupBy("aln_id", "part").agg(F.first("eq").alias("eq"), *[f(c).alias(f"{c}_{n}") for c in ("left", "right") for f, n in ((F.min, "a"), (F.max, "b"))])
-    by_part = Window.partitionBy("aln_id").orderBy("part")
     span = F.greatest(F.coalesce(F.col("left_b") - F.col("left_a"), F.lit(0)), F.coalesce(F.col("right_b") - F.col("right_a"), F.lit(0)))
-    parts = parts.withColumn("wide", ~F.col("eq") & (span > most_gap)).withColumn("block", F.sum(F.col("wide").cast("int")).over(by_part))
+    parts = parts.withColumn("wide", ~F.col("eq") & (span > most_gap))
+    parts = running(parts, ["aln_id"], "part", sums={"block": F.col("wide").cast("int")})
     out = parts.filter("eq").groupBy("aln_id", "block").agg(F.min("left_a").alias("st1"), (F.max("left_b") + k).alias("en1"), F.min("right_a").alias("st2"), (F.max("right_b") + k).alias("en2"))
     return out.drop("block")
 
 
 def match_parts(matches: DataFrame) -> DataFrame:
     """aln_id, part, is_match, st1, en1, st2, en2: alternating runs of matches and gaps, no gap first."""
-    order = Window.partitionBy("aln_id").orderBy("ord")
-    t = matches.withColumn("is_match", F.col("left").isNotNull() & F.col("right").isNotNull())
-    t = t.withColumn("part", F.sum(F.when(F.col("is_match").eqNullSafe(F.lag("is_match").over(order)), 0).otherwise(1)).over(order))
+    both = F.col("left").isNotNull() & F.col("right").isNotNull()
+    t = running(matches, ["aln_id"], "ord", runs={"part": both}).withColumn("is_match", both)
     parts = t.groupBy("aln_id", "part").agg(F.first("is_match").alias("is_match"), F.min("left").alias("st1"), F.max("left").alias("en1"), F.min("right").alias("st2"), F.max("right").alias("en2"))
     return parts.filter(F.col("is_match") | (F.col("part") > 1))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running
+
 STEP = r"(\d+)([=MXID])"
 
 
@@ -30,9 +32,7 @@ def render(rows: DataFrame) -> DataFrame:
 
 def merge(rows: DataFrame) -> DataFrame:
     """Neighbours of one op joined, empty ones dropped, ords numbered anew."""
-    order = Window.partitionBy("aln_id").orderBy("ord")
-    changed = rows.filter(F.col("len") > 0).withColumn("new", F.when(F.col("op").eqNullSafe(F.lag("op").over(order)), 0).otherwise(1))
-    islands = changed.withColumn("island", F.sum("new").over(order))
+    islands = running(rows.filter(F.col("len") > 0), ["aln_id"], "ord", runs={"island": F.col("op")})
     return islands.groupBy("aln_id", "island").agg(F.sum("len").alias("len"), F.first("op").alias("op")).select("aln_id", (F.col("island") - 1).cast("int").alias("ord"), "len", "op")
 
 
@@ -45,8 +45,11 @@ def splice(rows: DataFrame, inner: DataFrame) -> DataFrame:
     """Steps at (aln_id, ord) replaced by the steps of ``inner`` (aln_id, ord, inner_ord, len, op), neighbours unmerged."""
     stay = rows.join(inner.select("aln_id", "ord").distinct(), ["aln_id", "ord"], "left_anti").withColumn("inner_ord", F.lit(0))
     every = stay.unionByName(inner.select("aln_id", "ord", "len", "op", "inner_ord"))
-    order = Window.partitionBy("aln_id").orderBy("ord", "inner_ord")
-    return every.select("aln_id", (F.row_number().over(order) - 1).alias("ord"), "len", "op")
+    # Places within the steps that come for one, and steps before that one: neither gathers an alignment.
+    held = running(every.groupBy("aln_id", "ord").agg(F.count("*").alias("held")), ["aln_id"], "ord", sums={"upto": F.col("held")})
+    within = running(every, ["aln_id", "ord"], "inner_ord", sums={"place": F.lit(1)})
+    out = within.join(held, ["aln_id", "ord"])
+    return out.select("aln_id", (F.col("upto") - F.col("held") + F.col("place") - 1).cast("int").alias("ord"), "len", "op")
 
 
 def advance(op: Column, length: Column, side: int, convention: str = "first") -> Column:
@@ -59,10 +62,9 @@ def advance(op: Column, length: Column, side: int, convention: str = "first") ->
 
 def trace(rows: DataFrame, convention: str = "first") -> DataFrame:
     """aln_id, ord, len, op, x0, y0, x1, y1: where each step begins and ends."""
-    order = Window.partitionBy("aln_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     dx, dy = (advance(F.col("op"), F.col("len"), s, convention) for s in (1, 2))
-    ends = rows.select("aln_id", "ord", "len", "op", F.sum(dx).over(order).alias("x1"), F.sum(dy).over(order).alias("y1"), dx.alias("dx"), dy.alias("dy"))
-    return ends.select("aln_id", "ord", "len", "op", (F.col("x1") - F.col("dx")).alias("x0"), (F.col("y1") - F.col("dy")).alias("y0"), "x1", "y1")
+    ends = running(rows.select("aln_id", "ord", "len", "op"), ["aln_id"], "ord", sums={"x1": dx, "y1": dy})
+    return ends.select("aln_id", "ord", "len", "op", (F.col("x1") - dx).alias("x0"), (F.col("y1") - dy).alias("y0"), "x1", "y1")
 
 
 def vertices(rows: DataFrame) -> DataFrame:
@@ -139,8 +141,8 @@ def unit_multiplicity(rows: DataFrame, unit: int, most_off: float = 0.05) -> Dat
 
 def square_blocks(rows: DataFrame) -> DataFrame:
     """len and n: how often an insertion and a deletion of one length are neighbours."""
-    order = Window.partitionBy("aln_id").orderBy("ord")
-    after = rows.select("*", F.lead("op").over(order).alias("op2"), F.lead("len").over(order).alias("len2"))
+    after = running(rows.select("aln_id", "ord", "len", "op"), ["aln_id"], "ord", after={"next": F.struct("op", "len")})
+    after = after.select("*", F.col("next.op").alias("op2"), F.col("next.len").alias("len2"))
     hit = F.col("op").isin("I", "D") & F.col("op2").isin("I", "D") & (F.col("op") != F.col("op2")) & (F.col("len") == F.col("len2"))
     return after.filter(hit).groupBy("aln_id", "len").agg(F.count("*").alias("n"))
 

@@ -584,6 +584,19 @@ def cigar_trace(spark, sf_dir):
     return cigar.trace(tables.order_steps(spark, sf_dir))
 
 
+#: All order lines as one alignment: orders one after another, 64 places for the lines of each.
+LONG_STEPS = STEPS + """, l AS (
+  SELECT aln_id * 64 + ord AS ord, len, op, sum(dx) OVER w AS x1, sum(dy) OVER w AS y1, sum(dx) OVER w - dx AS x0, sum(dy) OVER w - dy AS y0
+  FROM (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy FROM t) WINDOW w AS (ORDER BY aln_id, ord)
+)
+"""
+
+
+@query("cigar_trace_long", f"WITH {LONG_STEPS} SELECT CAST(1 AS BIGINT) AS aln_id, CAST(ord AS BIGINT) AS ord, len, op, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1 FROM l")
+def cigar_trace_long(spark, sf_dir):
+    return cigar.trace(tables.one_long_alignment(spark, sf_dir))
+
+
 @query("cigar_vertices", f"WITH {STEPS} SELECT aln_id, 0 AS ord, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y FROM s GROUP BY aln_id UNION ALL SELECT aln_id, CAST(ord + 1 AS INT), CAST(x1 AS BIGINT), CAST(y1 AS BIGINT) FROM t")
 def cigar_vertices(spark, sf_dir):
     return cigar.vertices(tables.order_steps(spark, sf_dir))

@@ -54,6 +54,12 @@ def order_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("aln_id"), (F.row_number().over(order) - 1).alias("ord"), F.col("l_quantity").cast("long").alias("len"), op.alias("op"))
 
 
+def one_long_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """aln_id (1), ord, len, op: the steps of all orders as one alignment; an order's lines take at most 64 places."""
+    steps = order_steps(spark, sf_dir)
+    return steps.select(F.lit(1).cast("long").alias("aln_id"), (F.col("aln_id") * 64 + F.col("ord")).alias("ord"), "len", "op")
+
+
 def part_segments(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
     """id (supplier), name (order), left, right: a stretch of parts for each line with that return flag."""
     rows = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag)
