@@ -8,7 +8,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import align, analytics, cigar, simulate, traces
+from .operators import align, analytics, cigar, simulate, suffix, traces
 from .sources import files, sinks
 
 LOG = logging.getLogger("strandline")
@@ -19,7 +19,7 @@ def _align(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.many:
         _name_pairs(pairs, a.output_dir)
     found = align.align(pairs, a.max_count, a.force_highfreq_search)
-    sinks.matches(align.shortest_matches(pairs, a.max_count, a.force_highfreq_search), f"{a.output_dir}/shortest_matches", ids=a.many)
+    sinks.matches(suffix.shortest_matches(pairs, a.max_count, a.force_highfreq_search), f"{a.output_dir}/shortest_matches", ids=a.many)
     for column in ("cigar_primary", "cigar_recursive", "cigar"):
         sinks.cigars(found, f"{a.output_dir}/{column}", column, ids=a.many)
     if a.debug:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,21 +46,6 @@ def _dealt(pairs: DataFrame, spread: bool = True) -> DataFrame:
     return narrow.repartition(partitions, "pair_id")
 
 
-def map_columns(pairs: DataFrame, schema: str, columns_of: Callable[[str, str], list[np.ndarray]]) -> DataFrame:
-    """Like rows of a function on pairs, but as arrays: a batch for each pair."""
-    names = ["pair_id", *[f.strip().split(" ")[0] for f in _fields(schema)]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                pair, a, b = (batch.column(c)[k].as_py() for c in range(3))
-                found = [pa.array(c) for c in columns_of(a or "", b or "")]
-                if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array([pair] * len(found[0]), pa.int64()), *found], names=names)
-
-    return _dealt(pairs).mapInArrow(run, "pair_id long, " + schema)
-
-
 def _fields(schema: str) -> list[str]:
     out, depth = [""], 0
     for c in schema:
@@ -89,13 +73,6 @@ def align(pairs: DataFrame, max_count: int = 50, all_widths: bool = False) -> Da
     return _map_pairs(pairs, "cigar_primary string, cigar_recursive string, cigar string, valid boolean", [TEXT, TEXT, TEXT, pa.bool_()], rows)
 
 
-def shortest_matches(pairs: DataFrame, max_count: int = 50, all_widths: bool = False) -> DataFrame:
-    """pair_id, first_freq, second_freq, len, first_starts, second_starts of the rare matches of whole pairs."""
-    starts = pa.list_(LONG)
-    rows = lambda a, b: [(m, n, size, sorted(x), sorted(y)) for m, n, size, x, y in kernels.match_intervals(a, b, max_count, all_widths)]
-    return _map_pairs(pairs, "first_freq long, second_freq long, len long, first_starts array<long>, second_starts array<long>", [LONG, LONG, LONG, starts, starts], rows)
-
-
 def rare_prefixes(pairs: DataFrame, max_count: int = 50, all_widths: bool = False, unset: int = 2147483647) -> DataFrame:
     """pair_id, m, n, pos, len: the least rare prefix at every place of both sequences, ``unset`` where there is none.
 

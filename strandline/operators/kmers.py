@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases
+from .scan import running
 
 #: Letters of a stretch that k-mers are read from: a k-mer's cost doesn't grow with its place.
 STRETCH = 256
@@ -115,7 +116,6 @@ def moving_average(rows: DataFrame, keys: list[str], order: list[str], value: st
 def rare_prefix_summary(rows: DataFrame, keys: list[str], unset: int = 2147483647, long: int = 10_000) -> DataFrame:
     """Of each group of ``keys``: mean and number of long ones among the first half of the set lengths (pos, len)."""
     known = rows.filter(F.col("len") < unset)
-    group = Window.partitionBy(*keys)
-    placed = known.withColumn("place", F.row_number().over(group.orderBy("pos"))).withColumn("all", F.count("*").over(group))
-    half = placed.filter(F.col("place") <= F.floor(F.col("all") / 2))
+    placed = running(known, keys, "pos", sums={"place": F.lit(1)})
+    half = placed.join(known.groupBy(*keys).agg(F.count("*").alias("all")), keys).filter(F.col("place") <= F.floor(F.col("all") / 2))
     return half.groupBy(*keys).agg(F.avg("len").alias("mean"), F.count_if(F.col("len") > long).alias("n_long"))

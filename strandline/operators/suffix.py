@@ -1,41 +1,30 @@
 """Suffix ranks, common prefixes and rare matches of sequence pairs as rows.
 
-Ranks come from the suffix kernel, pair by pair, in memory that is linear in the
-pair; no suffix is ever a string of its own. What follows from ranks is relational:
-a match is a window of them. Ends of sequences sort first, the first side's before
-the second's, so no sentinel letters are needed and texts may hold any character.
+Ranks and common prefixes come from ``ranks``. A match is a set of neighbouring ranks
+whose suffixes begin with more common letters than either neighbour shares with them: an
+interval of the common prefixes. All widths are found in one pass over blocks of ranks.
+Ends of sequences sort first, the first side's before the second's, so no sentinel letters
+are needed and texts may hold any character.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels
-from .align import map_columns
+from .ranks import WORD, ranked_suffixes
 
 HIT = "pair_id long, w int, m int, n int, clas long, side int, pos long, min_len long, max_len long"
 HIT_NAMES = [f.split(" ")[0] for f in HIT.split(", ")]
-HIT_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+#: Ranks of a block, at least.
+BLOCK = 4096
 
 
-def suffixes(pairs: DataFrame) -> DataFrame:
+def suffixes(pairs: DataFrame, word: int = WORD) -> DataFrame:
     """pair_id, side (1, 2), pos, r (rank of the suffix there, from 0 in the pair) and lcp with the next rank (0 at the end)."""
-
-    def columns(a: str, b: str) -> list[np.ndarray]:
-        codes = kernels.codes_of(a, b, 0)
-        order = kernels.suffix_order(codes)
-        # The ends sort first and have nothing in common with others.
-        lcp = np.append(kernels.common_prefixes(codes, order), 0)[2:]
-        order = order[2:]
-        side = np.where(order < len(a), 1, 2).astype(np.int32)
-        return [side, np.where(side == 1, order, order - len(a) - 1), np.arange(len(order)), lcp]
-
-    return map_columns(pairs, "side int, pos long, r long, lcp long", columns)
+    return ranked_suffixes(pairs, word)
 
 
 def inverse(ranked: DataFrame) -> DataFrame:
@@ -43,80 +32,81 @@ def inverse(ranked: DataFrame) -> DataFrame:
     return ranked.select("pair_id", "side", "pos", "r")
 
 
-def ranks_by_doubling(letters: DataFrame, rounds: int = 32, table=lambda df: df) -> DataFrame:
-    """pair_id, pos, r from rows (pair_id, pos, code): prefix doubling, a join and a ranking a round.
+def prefix_intervals(lcp: list[int], looks_back: bool) -> list[tuple[int, int, int, int]]:
+    """(first, last, shared, floor) of maximal sets of neighbours that share more letters than their surroundings.
 
-    For sequences whose suffixes are too long to be sorted as strings. ``table``
-    cuts the lineage of a round (a written table or a checkpoint).
+    ``lcp[k]`` is what ranks k and k + 1 share. A stack holds the smaller values to the left, so
+    each interval is closed by the first smaller value behind it. With ``looks_back`` rank 0 is only there
+    for what it shares with rank 1; intervals that reach before that aren't known whole and are left out.
     """
-    by_code = Window.partitionBy("pair_id").orderBy("code")
-    now = table(letters.select("pair_id", "pos", F.dense_rank().over(by_code).cast("long").alias("r")))
-    for k in range(rounds):
-        ahead = now.select("pair_id", (F.col("pos") - (1 << k)).alias("pos"), F.col("r").alias("r2"))
-        both = now.join(ahead, ["pair_id", "pos"], "left").withColumn("r2", F.coalesce("r2", F.lit(0)))
-        order = Window.partitionBy("pair_id").orderBy("r", "r2")
-        now = table(both.select("pair_id", "pos", F.dense_rank().over(order).cast("long").alias("r")))
-        open_pairs = now.groupBy("pair_id").agg(F.max("r").alias("top"), F.count("*").alias("n")).filter("top < n")
-        if not open_pairs.limit(1).count():
-            break
-    return now.select("pair_id", "pos", (F.col("r") - 1).alias("r"))
-
-
-def matches_of_width(ranked: DataFrame, w: int) -> DataFrame:
-    """pair_id, w, m, n, clas, side, pos, min_len, max_len of every hit of width ``w``."""
-    order = Window.partitionBy("pair_id").orderBy("r")
-    inner = order.rowsBetween(0, w - 2)
-    rows = ranked.select(
-        "pair_id", "r",
-        F.min("lcp").over(inner).alias("cur"),
-        F.coalesce(F.lag("lcp").over(order), F.lit(0)).alias("before"),
-        F.coalesce(F.lead("lcp", w - 1).over(order), F.lit(0)).alias("behind"),
-        F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).over(order.rowsBetween(0, w - 1)).alias("m"),
-        F.count("*").over(order.rowsBetween(0, w - 1)).alias("held"),
-        F.collect_list(F.struct("side", "pos")).over(order.rowsBetween(0, w - 1)).alias("where"),
-    ).filter(F.col("held") == w)
-    rows = rows.withColumn("n", F.lit(w) - F.col("m")).withColumn("floor", F.greatest(F.least("before", "cur"), F.least("behind", "cur")))
-    hit = (F.col("cur") > F.col("floor")) & (F.least("m", "n") >= 1) & (F.greatest("m", "n") <= (w + 1) // 2)
-    out = rows.filter(hit).select("pair_id", F.lit(w).alias("w"), "m", "n", F.col("r").alias("clas"), F.explode("where").alias("p"), "floor", "cur")
-    return out.select("pair_id", "w", F.col("m").cast("int").alias("m"), F.col("n").cast("int").alias("n"), "clas", "p.side", "p.pos", (F.col("floor") + 1).alias("min_len"), F.col("cur").alias("max_len"))
-
-
-def rare_matches(ranked: DataFrame, first_lengths: DataFrame, max_count: int = 50, widest: int | None = None, all_widths: bool = False) -> DataFrame:
-    """Hits of the least width that has any, for each pair (of every width with ``all_widths``).
-
-    Widths run from 2 to twice the lesser of the first sequence's length and
-    ``max_count``, and to ``widest``. ``first_lengths`` has pair_id and n_first.
+    out = []
+    stack: list[tuple[int | None, int]] = [(None, -1)]
+    if looks_back:
+        stack.append((None, lcp[0]))
+    for k in range(int(looks_back), len(lcp)):
+        here, left = lcp[k], k
+        while stack[-1][1] > here:
+            left, shared = stack.pop()
+            if left is not None and shared > 0:
+                out.append((left, k, shared, max(here, stack[-1][1], 0)))
+        if stack[-1][1] < here:
+            stack.append((left, here))
+    return out
+
+
+def rare_matches(ranked: DataFrame, first_lengths: DataFrame, max_count: int = 50, all_widths: bool = False, block: int | None = None) -> DataFrame:
+    """Hits of the least width that has any, for each pair (of every width with ``all_widths``): ``HIT``.
+
+    Widths run from 2 to twice the lesser of the first sequence's length and ``max_count``.
+    ``first_lengths`` has pair_id and n_first (null is 0). Ranks are dealt out in blocks; a block also gets as many
+    ranks behind it as the widest match takes, and one before, so each interval is whole in the block that
+    it begins in, however long the pair is.
     """
-    top = min(2 * max_count, widest or 2 * max_count)
-    found = reduce(DataFrame.unionByName, [matches_of_width(ranked, w) for w in range(2, top + 1)])
-    found = found.join(first_lengths, "pair_id").filter(F.col("w") <= 2 * F.least(F.col("n_first"), F.lit(max_count))).drop("n_first")
+    reach = 2 * max_count
+    size = block or max(BLOCK, 2 * reach)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        begin = key[1].as_py() * size
+        table = table.sort_by("r")
+        r, side, pos = (table.column(c).to_numpy() for c in ("r", "side", "pos"))
+        widest = min(reach, 2 * table.column("n_first")[0].as_py())
+        firsts = np.concatenate([[0], np.cumsum(side == 1)])
+        found = []
+        for a, b, shared, floor in prefix_intervals(table.column("lcp").to_pylist(), bool(r[0] < begin)):
+            w = b - a + 1
+            m = int(firsts[b + 1] - firsts[a])
+            if begin <= r[a] < begin + size and w <= widest and min(m, w - m) >= 1 and max(m, w - m) <= (w + 1) // 2:
+                found.append((a, w, m, shared, floor))
+        width = np.array([f[1] for f in found], np.int64)
+        each = lambda k: np.repeat(np.array([f[k] for f in found], np.int64), width)
+        at = each(0) + np.concatenate([np.arange(w) for w in width] or [np.zeros(0, np.int64)])
+        m, w = each(2), np.repeat(width, width)
+        columns = [np.full(len(at), key[0].as_py(), np.int64), w.astype(np.int32), m.astype(np.int32), (w - m).astype(np.int32), r[each(0)], side[at].astype(np.int32), pos[at], each(4) + 1, each(3)]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], names=HIT_NAMES)
+
+    rows = ranked.select(F.col("pair_id").cast("long"), F.col("side").cast("int"), F.col("pos").cast("long"), F.col("r").cast("long"), F.col("lcp").cast("long"))
+    rows = rows.join(first_lengths.select("pair_id", F.coalesce(F.col("n_first"), F.lit(0)).cast("long").alias("n_first")), "pair_id")
+    at = lambda r: (r - F.pmod(r, F.lit(size))) / size
+    blocks = F.sequence(F.greatest(at(F.col("r") - reach + 1), F.lit(0)).cast("long"), at(F.col("r") + 1).cast("long"))
+    found = rows.withColumn("block", F.explode(blocks)).groupBy("pair_id", "block").applyInArrow(run, HIT)
     if all_widths:
         return found
     least = found.groupBy("pair_id").agg(F.min("w").alias("w"))
-    return found.join(least, ["pair_id", "w"])
+    return found.join(least, ["pair_id", "w"]).select(*HIT_NAMES)
 
 
-def least_width_matches(ranked: DataFrame, max_count: int = 50) -> DataFrame:
-    """What ``rare_matches`` gives without ``widest``: each pair's ranks are dealt out once, not once for each width."""
+def shortest_matches(pairs: DataFrame, max_count: int = 50, all_widths: bool = False) -> DataFrame:
+    """pair_id, first_freq, second_freq, len, first_starts, second_starts of the rare matches of whole pairs."""
+    sizes = pairs.select("pair_id", F.coalesce(F.length("first"), F.lit(0)).alias("n_first"))
+    found = anchor_intervals(rare_matches(suffixes(pairs), sizes, max_count, all_widths), sizes)
+    return found.select("pair_id", F.col("m").cast("long").alias("first_freq"), F.col("n").cast("long").alias("second_freq"), "len", "first_starts", "second_starts")
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("r")
-        side, pos = table.column("side").to_numpy(), table.column("pos").to_numpy()
-        lcp = table.column("lcp").to_numpy()[:-1]
-        n_first = int((side == 1).sum())
-        order = np.where(side == 1, pos, pos + n_first + 1)
-        found = kernels.least_width_hits(order, lcp, n_first, max_count) if n_first else []
-        rows: list[list] = [[] for _ in range(8)]
-        for (m, n), p, clas, low, high in found:
-            second = p > n_first
-            size = len(p)
-            for column, values in zip(rows, ([m + n] * size, [m] * size, [n] * size, clas, second + 1, p - second * (n_first + 1), low, high), strict=True):
-                column.extend(values)
-        pair = table.column("pair_id")[0].as_py()
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip([[pair] * len(rows[0]), *rows], HIT_KINDS, strict=True)], names=HIT_NAMES)
-
-    narrow = ranked.select(F.col("pair_id").cast("long"), F.col("side").cast("int"), F.col("pos").cast("long"), F.col("r").cast("long"), F.col("lcp").cast("long"))
-    return narrow.groupBy("pair_id").applyInArrow(run, HIT)
+
+def rare_prefixes(found: DataFrame, first_lengths: DataFrame) -> DataFrame:
+    """pair_id, m, n, pos, len: the least rare prefix at each place that has one; places run over the first sequence, its end, and the second."""
+    at = found.join(first_lengths, "pair_id")
+    place = F.when(F.col("side") == 1, F.col("pos")).otherwise(F.col("pos") + F.col("n_first") + 1)
+    return at.select("pair_id", F.col("m").cast("long").alias("m"), F.col("n").cast("long").alias("n"), place.alias("pos"), F.col("min_len").alias("len"))
 
 
 def anchor_intervals(found: DataFrame, first_lengths: DataFrame) -> DataFrame:

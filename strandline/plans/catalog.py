@@ -60,33 +60,8 @@ RANKED = f"""
 FIRST_LENGTHS = "fl AS (SELECT pair_id, length(first) AS n_first FROM p)"
 
 
-def _width_sql(w: int) -> str:
-    return f"""
-SELECT pair_id, {w} AS w, m, {w} - m AS n, r AS clas, unnest(list_zip(sides, poss)) AS q, low + 1 AS min_len, cur AS max_len FROM (
-  SELECT *, greatest(least(before, cur), least(behind, cur)) AS low FROM (
-    SELECT pair_id, r,
-      min(lcp) OVER (PARTITION BY pair_id ORDER BY r ROWS BETWEEN CURRENT ROW AND {w - 2} FOLLOWING) AS cur,
-      coalesce(lag(lcp) OVER (PARTITION BY pair_id ORDER BY r), 0) AS before,
-      coalesce(lead(lcp, {w - 1}) OVER (PARTITION BY pair_id ORDER BY r), 0) AS behind,
-      sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) OVER f AS m, count(*) OVER f AS held, list(side) OVER f AS sides, list(pos) OVER f AS poss
-    FROM sa WINDOW f AS (PARTITION BY pair_id ORDER BY r ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)
-  ) WHERE held = {w}
-) WHERE cur > low AND least(m, {w} - m) >= 1 AND greatest(m, {w} - m) <= {(w + 1) // 2}
-"""
-
-
-#: The SQL stops at this width, the queries don't: rows agree where all pairs have a match of it, as in the given tables.
-WIDEST = 4
-HITS = f"""
-{RANKED}, {FIRST_LENGTHS}, every AS ({" UNION ALL ".join(_width_sql(w) for w in range(2, WIDEST + 1))}),
-hits AS (
-  SELECT e.pair_id, e.w, CAST(m AS INT) AS m, CAST(n AS INT) AS n, clas, CAST(q[1] AS INT) AS side, CAST(q[2] AS BIGINT) AS pos, min_len, max_len
-  FROM every e JOIN fl USING (pair_id) WHERE e.w <= 2 * least(n_first, 50)
-  QUALIFY e.w = min(e.w) OVER (PARTITION BY e.pair_id)
-)
-"""
 #: Windows of all widths over common prefixes, a rank wider in each round.
-ALL_HITS = f"""
+EVERY_HIT = f"""
 {RANKED}, {FIRST_LENGTHS}, sb AS MATERIALIZED (
   SELECT pair_id, side, pos, r, lcp, sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY r) AS firsts FROM sa
 ), grow AS (
@@ -97,12 +72,15 @@ ALL_HITS = f"""
 ), every AS (
   SELECT g.*, greatest(least(coalesce(b.lcp, 0), cur), least(e.lcp, cur)) AS low, e.firsts - coalesce(b.firsts, 0) AS m
   FROM grow g JOIN sb e ON e.pair_id = g.pair_id AND e.r = g.r + g.w - 1 LEFT JOIN sb b ON b.pair_id = g.pair_id AND b.r = g.r - 1
-), hits AS (
-  SELECT h.pair_id, CAST(m AS INT) AS m, CAST(w - m AS INT) AS n, h.r AS clas, CAST(s.side AS INT) AS side, CAST(s.pos AS BIGINT) AS pos, low + 1 AS min_len, cur AS max_len
+), every_hit AS (
+  SELECT h.pair_id, CAST(w AS INT) AS w, CAST(m AS INT) AS m, CAST(w - m AS INT) AS n, h.r AS clas, CAST(s.side AS INT) AS side, CAST(s.pos AS BIGINT) AS pos, low + 1 AS min_len, cur AS max_len
   FROM (SELECT *, unnest(range(r, r + w)) AS j FROM every WHERE cur > low AND least(m, w - m) >= 1 AND greatest(m, w - m) <= (w + 1) // 2) h
   JOIN sb s ON s.pair_id = h.pair_id AND s.r = h.j
 )
 """
+ALL_HITS = f"{EVERY_HIT}, hits AS (SELECT * FROM every_hit)"
+#: Those of the least width that a pair has.
+HITS = f"{EVERY_HIT}, hits AS (SELECT * FROM every_hit QUALIFY w = min(w) OVER (PARTITION BY pair_id))"
 COLLAPSED = """placed AS (
   SELECT h.*, n_first, CASE WHEN side = 1 THEN pos ELSE pos + n_first + 1 END AS p FROM hits h JOIN fl USING (pair_id)
 ), ends AS (
@@ -315,8 +293,8 @@ def running_mean(spark, sf_dir):
 # -- suffixes and matches ---------------------------------------------------------
 
 
-def _ranked(spark, sf_dir):
-    pairs = tables.passage_pairs(spark, sf_dir)
+def _ranked(spark, sf_dir, table=tables.passage_pairs):
+    pairs = table(spark, sf_dir)
     return suffix.suffixes(pairs), pairs.select("pair_id", F.length("first").alias("n_first"))
 
 
@@ -330,29 +308,30 @@ def lcp_adjacent(spark, sf_dir):
     return _ranked(spark, sf_dir)[0].select("pair_id", "r", "lcp")
 
 
-@query("mutual_unique_matches", f"WITH {RANKED}, h AS ({_width_sql(2)}) SELECT pair_id, CAST(clas AS BIGINT) AS clas, CAST(q[1] AS INT) AS side, CAST(q[2] AS BIGINT) AS pos, CAST(min_len AS BIGINT) AS min_len, CAST(max_len AS BIGINT) AS max_len FROM h")
+@query("mutual_unique_matches", f"WITH RECURSIVE {EVERY_HIT} SELECT pair_id, CAST(clas AS BIGINT) AS clas, side, pos, CAST(min_len AS BIGINT) AS min_len, CAST(max_len AS BIGINT) AS max_len FROM every_hit WHERE w = 2")
 def mutual_unique_matches(spark, sf_dir):
-    return suffix.matches_of_width(_ranked(spark, sf_dir)[0], 2).select("pair_id", "clas", "side", "pos", "min_len", "max_len")
+    # Counts of one: width 2 alone.
+    return suffix.rare_matches(*_ranked(spark, sf_dir), max_count=1, all_widths=True).select("pair_id", "clas", "side", "pos", "min_len", "max_len")
 
 
-@query("rare_match_classes", f"WITH {HITS} SELECT pair_id, CAST(w AS INT) AS w, m, n, CAST(clas AS BIGINT) AS clas, side, pos, CAST(min_len AS BIGINT) AS min_len, CAST(max_len AS BIGINT) AS max_len FROM hits")
+@query("rare_match_classes", f"WITH RECURSIVE {HITS} SELECT pair_id, CAST(w AS INT) AS w, m, n, CAST(clas AS BIGINT) AS clas, side, pos, CAST(min_len AS BIGINT) AS min_len, CAST(max_len AS BIGINT) AS max_len FROM hits")
 def rare_match_classes(spark, sf_dir):
-    return suffix.least_width_matches(_ranked(spark, sf_dir)[0]).select("pair_id", "w", "m", "n", "clas", "side", "pos", "min_len", "max_len")
+    return suffix.rare_matches(*_ranked(spark, sf_dir)).select("pair_id", "w", "m", "n", "clas", "side", "pos", "min_len", "max_len")
 
 
 def _intervals(spark, sf_dir):
     ranked, sizes = _ranked(spark, sf_dir)
-    return suffix.anchor_intervals(suffix.least_width_matches(ranked), sizes)
+    return suffix.anchor_intervals(suffix.rare_matches(ranked, sizes), sizes)
 
 
-@query("anchor_intervals", f"WITH {INTERVALS} SELECT pair_id, m, n, CAST(clas AS BIGINT) AS clas, CAST(len AS BIGINT) AS len, array_to_string(first_starts, ',') AS first_starts, array_to_string(second_starts, ',') AS second_starts FROM iv")
+@query("anchor_intervals", f"WITH RECURSIVE {INTERVALS} SELECT pair_id, m, n, CAST(clas AS BIGINT) AS clas, CAST(len AS BIGINT) AS len, array_to_string(first_starts, ',') AS first_starts, array_to_string(second_starts, ',') AS second_starts FROM iv")
 def anchor_intervals(spark, sf_dir):
     found = _intervals(spark, sf_dir)
     return found.select("pair_id", "m", "n", "clas", "len", bases.join_fields(F.col("first_starts")).alias("first_starts"), bases.join_fields(F.col("second_starts")).alias("second_starts"))
 
 
 @query("anchor_scores", f"""
-WITH {INTERVALS}, ex AS (SELECT pair_id, len, m, n, unnest(first_starts) AS x, second_starts FROM iv), ey AS (SELECT pair_id, len, m, n, x, unnest(second_starts) AS y FROM ex)
+WITH RECURSIVE {INTERVALS}, ex AS (SELECT pair_id, len, m, n, unnest(first_starts) AS x, second_starts FROM iv), ey AS (SELECT pair_id, len, m, n, x, unnest(second_starts) AS y FROM ex)
 SELECT pair_id, CAST(len AS BIGINT) AS len, m, n, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(len AS DOUBLE) / (m * n) AS score FROM ey
 """)
 def anchor_scores(spark, sf_dir):
@@ -411,7 +390,7 @@ WITH RECURSIVE {of_related(ALL_HITS)}, {COLLAPSED}
 SELECT pair_id, CAST(m AS BIGINT) AS first_freq, CAST(n AS BIGINT) AS second_freq, CAST(len AS BIGINT) AS len, array_to_string(first_starts, ',') AS first_starts, array_to_string(second_starts, ',') AS second_starts FROM iv
 """)
 def shortest_matches(spark, sf_dir):
-    found = align.shortest_matches(tables.related_pairs(spark, sf_dir), all_widths=True)
+    found = suffix.shortest_matches(tables.related_pairs(spark, sf_dir), all_widths=True)
     return found.withColumns({c: bases.join_fields(F.col(c)) for c in ("first_starts", "second_starts")})
 
 
@@ -456,13 +435,14 @@ def chain_bridges(spark, sf_dir):
 
 
 @query("rare_prefix_summary", f"""
-WITH {of_related(HITS)}, o AS (
+WITH RECURSIVE {of_related(HITS)}, o AS (
   SELECT pair_id, m, n, min_len, row_number() OVER (PARTITION BY pair_id, m, n ORDER BY side, pos) AS place, count(*) OVER (PARTITION BY pair_id, m, n) AS total FROM hits
 )
 SELECT pair_id, CAST(m AS BIGINT) AS m, CAST(n AS BIGINT) AS n, CAST(avg(min_len) AS DOUBLE) AS mean, count(*) FILTER (min_len > 10000) AS n_long FROM o WHERE place <= total // 2 GROUP BY pair_id, m, n
 """)
 def rare_prefix_summary(spark, sf_dir):
-    return kmers.rare_prefix_summary(align.rare_prefixes(tables.related_pairs(spark, sf_dir)), ["pair_id", "m", "n"])
+    ranked, sizes = _ranked(spark, sf_dir, tables.related_pairs)
+    return kmers.rare_prefix_summary(suffix.rare_prefixes(suffix.rare_matches(ranked, sizes), sizes), ["pair_id", "m", "n"])
 
 
 @query("kmer_lcs")
@@ -739,13 +719,13 @@ def segment_relations(spark, sf_dir):
 
 
 @query("plot_segments", f"""
-WITH {of_related(INTERVALS)}, ex AS (SELECT pair_id, len, m, n, unnest(first_starts) AS x0, second_starts FROM iv WHERE len >= 1), ey AS (SELECT pair_id, len, m, n, x0, unnest(second_starts) AS y0 FROM ex),
+WITH RECURSIVE {of_related(INTERVALS)}, ex AS (SELECT pair_id, len, m, n, unnest(first_starts) AS x0, second_starts FROM iv WHERE len >= 1), ey AS (SELECT pair_id, len, m, n, x0, unnest(second_starts) AS y0 FROM ex),
 b AS (SELECT *, CASE WHEN len > 80 THEN 80 WHEN len > 50 THEN 50 WHEN len > 20 THEN 20 ELSE 1 END AS bucket FROM ey)
 SELECT pair_id, '(' || m || ', ' || n || '), length > ' || bucket AS legend, CAST(m AS BIGINT) AS first_freq, CAST(n AS BIGINT) AS second_freq, CAST(bucket AS INT) AS bucket,
   CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, CAST(x0 + len AS BIGINT) AS x1, CAST(y0 + len AS BIGINT) AS y1 FROM b
 """)
 def plot_segments(spark, sf_dir):
-    return traces.match_segments(align.shortest_matches(tables.related_pairs(spark, sf_dir)))
+    return traces.match_segments(suffix.shortest_matches(tables.related_pairs(spark, sf_dir)))
 
 
 @query("plot_genes")
