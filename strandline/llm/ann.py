@@ -16,9 +16,11 @@ of more than k + 1 equal vectors none but the k + 1 least ids can be among the k
 nearest, as ties go to smaller ids, so only those are entered.
 
 Entries are dealt into buckets of bounded bytes, cell by cell, large cells over
-several buckets. A bucket is scored whole by the queries that walk over any of
-its cells; one that many queries visit is copied for blocks of them. Vectors are
-shuffled once, into their buckets, and a query's goes to each bucket it visits.
+several buckets. Cells are dealt in an order that keeps near cells together
+(``cell_order``), so a walk stays in few buckets. A query takes to each bucket
+the cells there that it has walked over, and only entries of those are scored. A
+bucket that many queries visit is copied for blocks of them. Vectors are shuffled
+once, into their buckets, and a query's goes to each bucket it visits.
 
 Vectors that are null, zero, or hold null or non-finite components take no part,
 nor do vectors of another length than most, nor rows without an id. An id that
@@ -42,7 +44,7 @@ from .common import cut, few_files
 #: Vectors that codebooks are fitted on: so many for each centroid, and at least and at most so many.
 PER_CENTROID, SAMPLE, MOST_SAMPLE = 32, 8192, 32_768
 #: Centroids of a half, at most, and entries of a cell that K aims at.
-MOST_CENTROIDS, CELL = 1024, 64
+MOST_CENTROIDS, CELL = 1024, 12
 #: Queries that the walk is calibrated on.
 CALIBRATION = 100
 #: Bytes of a bucket's vectors, and queries that one copy of it serves.
@@ -143,11 +145,28 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
 
 
-def deal_cells(counts: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray]:
-    """First bucket of each cell, and how many buckets it spreads over."""
+def cell_order(books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """All cells, near ones close together: ranks of both halves' centroids along their widest direction, bits interleaved."""
+    ranks = []
+    for book in books:
+        apart = book - book.mean(axis=0)
+        widest = np.linalg.svd(apart, full_matrices=False)[2][0]
+        rank = np.empty(len(book), np.int64)
+        rank[np.argsort(apart @ widest, kind="stable")] = np.arange(len(book))
+        ranks.append(rank)
+    a, b = (r.ravel() for r in np.meshgrid(*ranks, indexing="ij"))
+    place = np.zeros(len(a), np.int64)
+    for bit in range(max(1, len(books[0]).bit_length())):
+        place |= (a >> bit & 1) << (2 * bit + 1) | (b >> bit & 1) << (2 * bit)
+    return np.argsort(place, kind="stable")
+
+
+def deal_cells(counts: np.ndarray, bucket: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First bucket of each cell, and how many buckets it spreads over, dealt in ``order``."""
     first, spread = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
     at, held = 0, 0
-    for c, n in enumerate(counts.tolist()):
+    for c in range(len(counts)) if order is None else order.tolist():
+        n = int(counts[c])
         if held and held + n > bucket:
             at, held = at + 1, 0
         first[c], spread[c] = at, max(1, -(-n // bucket))
@@ -158,6 +177,29 @@ def deal_cells(counts: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray]
     return first, spread
 
 
+def rows_of_cells(sorted_cells: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Places of the entries of ``cells`` among entries sorted by cell."""
+    a, b = np.searchsorted(sorted_cells, cells), np.searchsorted(sorted_cells, cells, side="right")
+    size = b - a
+    return np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+
+
+def best_of_cells(x: np.ndarray, ids: np.ndarray, lengths: np.ndarray, at: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and exact scores of the ``k`` + 1 nearest to ``q`` among the entries ``at``."""
+    length_q = np.sqrt((q**2).sum())
+    rough = x[at] @ q / lengths[at] / length_q
+    n = min(2 * k + 6, len(at))
+    best = np.argpartition(-rough, n - 1)[:n]
+    # All that tie with the last one that counts, multiples of one vector say, however many.
+    top = np.sort(rough[best])[::-1]
+    last = top[min(k, n - 1)] - 1e-12
+    cand = at[np.flatnonzero(rough >= last) if top[-1] >= last else best]
+    # Scores of the few that count are summed one by one, alike for all.
+    exact = np.einsum("ij,j->i", x[cand], q) / (lengths[cand] * length_q)
+    found = np.lexsort((ids[cand], -exact))[: k + 1]
+    return ids[cand[found]], exact[found]
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
@@ -230,7 +272,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     good = good.filter(F.size("v") == common.n)
     placed, model = build(good, common.n, k, recall)
-    first, spread = deal_cells(model.counts, max(64, bucket_bytes // (8 * common.n)))
+    first, spread = deal_cells(model.counts, max(64, bucket_bytes // (8 * common.n)), cell_order(model.books))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,18 +281,20 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
             distances = model.distances(unit(_matrix(batch.column("v")))) if vectors else ()
             for q, v, a, b in zip(batch.column("query").to_pylist(), vectors, *distances, strict=True):
                 cells = np.array(model.visited(a, b, model.walk), np.int64)
-                wide = cells[spread[cells] > 1].tolist()
-                buckets = {*first[cells].tolist(), *(int(first[c]) + s for c in wide for s in range(int(spread[c])))}
-                rows += [(q, v, bucket) for bucket in sorted(buckets)]
-            columns = zip(*rows, strict=True) if rows else ((), (), ())
-            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query", "v", "bucket"])
+                there: dict[int, list[int]] = {}
+                for c in cells.tolist():
+                    for bucket in range(int(first[c]), int(first[c] + spread[c])):
+                        there.setdefault(bucket, []).append(c)
+                rows += [(q, v, bucket, held) for bucket, held in sorted(there.items())]
+            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query", "v", "bucket", "visited"])
 
     # Equal vectors ask once, for the least of their ids.
     asked = good.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v")
     files = few_files(spark, placed.count())
     asking = cut(asked.groupBy("v").agg(F.min("query_id").alias("query")), "asking", files=files)
-    visits = cut(asking.mapInArrow(walk, "query long, v array<double>, bucket long"), "visits")
+    visits = cut(asking.mapInArrow(walk, "query long, v array<double>, bucket long, visited array<long>"), "visits")
     # As many copies of a bucket as its visitors need. As a written table its size is known to the joins.
     copies = cut(visits.groupBy("bucket").agg(F.ceil(F.count("*") / SERVED).alias("copies")), "copies", files=files)
     visiting = visits.join(copies, "bucket").withColumn("copy", F.pmod(F.xxhash64(F.lit(37), "query"), F.col("copies"))).drop("copies")
@@ -262,30 +306,19 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
     dealt = F.arrow_udf(bucket_of, returnType="long")
     bucketed = placed.withColumn("bucket", dealt("cell", F.pmod(F.xxhash64(F.lit(41), "id", "v"), F.lit(1 << 40))))
-    stored = bucketed.join(copies, "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), "id", "v")
+    stored = bucketed.join(copies, "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), "id", "v", "cell")
 
     def rerank(key: tuple[pa.Scalar, ...], queries: pa.Table, bucket: pa.Table) -> pa.Table:
         out: list[pa.Table] = []
         if queries.num_rows and bucket.num_rows:
-            x, ids = _matrix(bucket.column("v")), bucket.column("id").to_numpy()
+            bucket = bucket.sort_by("cell")
+            x, ids, cell = _matrix(bucket.column("v")), bucket.column("id").to_numpy(), bucket.column("cell").to_numpy()
             lengths = np.sqrt((x**2).sum(1))
-            n = min(2 * k + 6, len(x))
-            entry, all_q = queries.column("query").to_pylist(), _matrix(queries.column("v"))
-            for at in range(0, len(all_q), 256):
-                q = all_q[at : at + 256]
-                length_q = np.sqrt((q**2).sum(1))
-                rough = (q @ x.T) / lengths / length_q[:, None]
-                best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-                for r in range(len(q)):
-                    # All that tie with the last one that counts, multiples of one vector say, however many.
-                    cand, top = best[r], np.sort(rough[r, best[r]])[::-1]
-                    last = top[min(k, n - 1)] - 1e-12
-                    if top[-1] >= last:
-                        cand = np.flatnonzero(rough[r] >= last)
-                    # Scores of the few that count are summed one by one, alike for all.
-                    exact = np.einsum("ij,j->i", x[cand], q[r]) / (lengths[cand] * length_q[r])
-                    found = np.lexsort((ids[cand], -exact))[: k + 1]
-                    out.append(pa.table({"query": [entry[at + r]] * len(found), "vec_id": ids[cand[found]], "score": exact[found]}))
+            for q, number, visited in zip(_matrix(queries.column("v")), queries.column("query").to_pylist(), queries.column("visited").to_pylist(), strict=True):
+                at = rows_of_cells(cell, np.array(visited, np.int64))
+                if len(at):
+                    found, score = best_of_cells(x, ids, lengths, at, q, k)
+                    out.append(pa.table({"query": [number] * len(found), "vec_id": found, "score": score}))
         kind = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         return pa.concat_tables([t.cast(kind) for t in out]) if out else kind.empty_table()
 

@@ -181,14 +181,38 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def scan_only(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is one row of one Parquet file, and no file's row comes twice.
+
+    That is so if there is one scan, of paths that don't overlap, under nothing but
+    projections and filters that give the same rows whenever they run. Joins, unions,
+    explodes and samples may repeat a row of a file.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    relation = plan.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    found = relation.location().rootPaths()
+    paths = sorted(found.apply(k).toString().rstrip("/") + "/" for k in range(found.size()))
+    return not any(b.startswith(a) for a, b in zip(paths, paths[1:], strict=False))
+
+
 def table_rows_of(df: DataFrame) -> tuple[DataFrame, Column, Column]:
-    """``df`` with columns for the file of each row and its place there.
+    """``df`` with columns for the file of each row and its place there, which name no other row.
 
     A table that Spark reads from Parquet files, filtered or not, has them; anything
     else is written to the shared folder and read back.
     """
-    for found in (lambda: df, lambda: cut(df, "rows")):
+    for found in (lambda: df if scan_only(df) else None, lambda: cut(df, "rows")):
         table = found()
+        if table is None:
+            continue
         try:
             hidden = table.metadataColumn("_metadata")
             file, place = hidden["file_path"], hidden["row_index"]

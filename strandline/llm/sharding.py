@@ -85,20 +85,25 @@ def candidates(low: int, high: int, n: int, ids: tuple[int, int]) -> list[int]:
     return list(range(a, b + 1, max(1, (b - a + 1) // n)))[: n + 1] if b >= a else []
 
 
-def splitters(keys: DataFrame, total: int, ids: tuple[int, int], parts: int, tolerance: float, probes: int = 2048, rounds: int = 60) -> list[int]:
-    """``parts`` - 1 boundaries with about the same bytes between any two of them."""
+def splitters(keys: DataFrame, total: int, ids: tuple[int, int], parts: int, tolerance: list[float], probes: int = 2048, rounds: int = 60) -> list[int]:
+    """``parts`` - 1 boundaries with about the same bytes between any two of them; ``tolerance`` says how many bytes each may miss by.
+
+    A range gets at least two probes for each boundary that is sought in it, so the number of
+    rounds doesn't grow with the number of parts.
+    """
     goals = [total * k // parts for k in range(1, parts)]
     known = {0: 0, END: total}
     order = [0, END]
     for _ in range(rounds):
         ranges: dict[tuple[int, int], int] = {}
         below = [known[b] for b in order]
-        for g in goals:
+        for g, most in zip(goals, tolerance, strict=True):
             at = min(bisect_right(below, g), len(order) - 1)
             low, high = order[at - 1], order[at]
-            if min(g - known[low], known[high] - g) > tolerance and high - low > 1:
+            if min(g - known[low], known[high] - g) > most and high - low > 1:
                 ranges[low, high] = ranges.get((low, high), 0) + 1
-        new = {b for (low, high), n in ranges.items() for b in candidates(low, high, max(4, probes * n // max(1, sum(ranges.values()))), ids)} - known.keys()
+        sought = max(1, sum(ranges.values()))
+        new = {b for (low, high), n in ranges.items() for b in candidates(low, high, max(4, 2 * n + 2, probes * n // sought), ids)} - known.keys()
         if not new:
             break
         known |= count_below(keys, sorted(new))
@@ -125,7 +130,11 @@ def shard(df: DataFrame, shards: int = 16, text_col: str = "text", id_col: str =
     keys = cut(keyed.select(F.col(h).alias("h"), F.col(i).alias("i"), F.col(names["size"]).alias("size")), "keys")
     n, total, least, most = keys.agg(F.count("*"), F.sum("size"), F.min("i"), F.max("i")).first()
     fine = max(4, (n or 0) // (shards * ROWS_OF_A_CUT))
-    cuts = splitters(keys, total, (least + LOW, most + LOW + 1), shards * fine, tolerance * total / shards) if n else [END - 1] * (shards * fine - 1)
+    # Shards end where ``tolerance`` lets them; pieces within a shard may miss by a quarter of one, however many there are.
+    allowed = tolerance * (total or 0) / shards
+    inner = min(allowed, (total or 0) / (shards * fine) / 4)
+    misses = [inner if k % fine else allowed for k in range(1, shards * fine)]
+    cuts = splitters(keys, total, (least + LOW, most + LOW + 1), shards * fine, misses) if n else [END - 1] * (shards * fine - 1)
     cuts = [min(c, END - 1) for c in cuts]
 
     def assign(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

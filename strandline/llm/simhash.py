@@ -341,7 +341,8 @@ def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     No text is shuffled: rows are known by file and place in it, what goes is a table
     of such places, and each task of the last scan looks up those of its own files. A
-    ``df`` that isn't read from files right away is written to the shared folder first.
+    ``df`` that is more than one scan of Parquet files with projections and filters (a
+    join, a union, an explode, a sample) is written to the shared folder first.
     """
     df, file, place = table_rows_of(df)
     fps = cut(fingerprints(df, text_col, id_col, file.alias("file"), place.alias("place")), "simhash")

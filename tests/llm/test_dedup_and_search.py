@@ -1,5 +1,6 @@
 """SimHash groups, components, nearest neighbours and shards against brute force."""
 
+import bisect
 import random
 import re
 import zlib
@@ -10,8 +11,10 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandline.llm import ann, components, sharding, simhash
+from strandline.llm.common import scan_only
 
 from .common import documents, odd_documents, words
 
@@ -295,3 +298,81 @@ def test_slots(rows, at):
     boundaries = sorted(key(*b) for b in at)
     found = sharding.slots(boundaries, np.array([h for h, _ in rows], np.int64), np.array([i for _, i in rows], np.int64))
     assert found.tolist() == [sum(b <= key(*r) for b in boundaries) for r in rows]
+
+
+def test_kept_rows_of_derived_tables(spark, tmp_path):
+    """Rows that are no longer single rows of files: exploded, joined, sampled with repeats, united."""
+    texts = {10: "one two three four five six seven", 20: "a text that is like no other one here", 30: "one two three four five six seven"}
+    path = str(tmp_path / "docs.parquet")
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    exploded = docs.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).select((F.col("doc_id") + F.col("n")).alias("doc_id"), "text")
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(exploded).collect()) == [10, 20]
+    apart = exploded.withColumn("text", F.when(F.col("doc_id") == 21, F.lit("yet another text of its own words")).otherwise(F.col("text")))
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(apart).collect()) == [10, 20, 21]
+    twice = spark.createDataFrame([(10,), (10,), (20,), (30,), (30,)], "doc_id long")
+    for derived in (docs.join(twice, "doc_id"), docs.unionByName(docs), spark.read.parquet(path, path), docs.sample(True, 5.0, 3).unionByName(docs)):
+        assert sorted(r.doc_id for r in simhash.keep_one_of_each(derived).collect()) == [10, 20]
+    assert scan_only(docs.filter("doc_id > 10").select("doc_id")) and not scan_only(docs.filter(F.rand() > 0.5)) and not scan_only(spark.read.parquet(path, path))
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs.filter("doc_id > 10")).collect()) == [20, 30]
+
+
+def test_only_visited_cells_are_scored(spark):
+    rng = np.random.default_rng(5)
+    x = ann.unit(rng.normal(size=(4000, 8)) + 4 * rng.normal(size=(40, 8))[rng.integers(0, 40, 4000)])
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    placed, model = ann.build(ann.usable(df, "vec_id", "embedding"), 8, 5, 0.97)
+    rows = placed.collect()
+    cell_of = {r.id: r.cell for r in rows}
+    a, b = model.distances(x[::50])
+    scored = 0
+    found = {}
+    for r in ann.search(df, bucket_bytes=256 * 8 * 8).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    hits = 0
+    for n, q in enumerate(range(0, 4000, 50)):
+        cells = model.visited(a[n], b[n], model.walk)
+        passed = int(model.counts[cells].sum())
+        # The walk, and what its last cell holds beyond it.
+        assert passed < model.walk + model.counts[cells[-1]]
+        assert {cell_of[v] for v in found[q]} <= set(cells)
+        scored += passed
+        cosine = x @ x[q]
+        cosine[q] = -2
+        hits += len(set(np.argsort(-cosine)[:5].tolist()) & set(found[q]))
+    assert hits / (80 * 5) >= 0.9 and scored / 80 < 0.35 * len(x), (hits / 400, scored / 80)
+
+
+def test_near_cells_share_buckets():
+    rng = np.random.default_rng(6)
+    books = (rng.normal(size=(16, 4)), rng.normal(size=(16, 4)))
+    order = ann.cell_order(books)
+    assert sorted(order.tolist()) == list(range(256))
+    first, spread = ann.deal_cells(np.full(256, 3), 24, order)
+    assert max(first) == 31 and (spread == 1).all()
+    cells = np.array([2, 5, 5, 7, 7, 7])
+    assert ann.rows_of_cells(cells, np.array([7, 2, 6])).tolist() == [3, 4, 5, 0]
+
+
+@pytest.mark.parametrize("fine", [40, 1500, 6000])
+def test_pieces_keep_their_size(fine):
+    """The cut finder on counts of its own: however many pieces a shard has, none is over twice what it should be."""
+    rng = np.random.default_rng(fine)
+    hashes = np.sort(rng.integers(-(2**63), 2**63 - 1, 600_000))
+    places = [(int(h) + sharding.LOW) << 64 for h in hashes]
+    total = len(places)
+
+    def count(keys, boundaries):
+        return {b: bisect.bisect_left(places, b) for b in boundaries}
+
+    parts = 16 * fine
+    misses = [min(0.002 * total / 16, total / parts / 4) if k % fine else 0.002 * total / 16 for k in range(1, parts)]
+    old, sharding.count_below = sharding.count_below, count
+    try:
+        cuts = sharding.splitters(None, total, (0, 10), parts, misses)
+    finally:
+        sharding.count_below = old
+    sizes = np.diff([0, *(bisect.bisect_left(places, c) for c in cuts), total])
+    assert sizes.sum() == total and sizes.max() <= 2 * total / parts + 1
+    shards = sizes.reshape(16, fine).sum(axis=1)
+    assert abs(shards - total / 16).max() <= 2 * 0.002 * total / 16 + 1
