@@ -89,17 +89,6 @@ def rare_prefixes(pairs: DataFrame, max_count: int = 50, all_widths: bool = Fals
     return _map_pairs(pairs, "m long, n long, pos long, len long", [LONG] * 4, rows)
 
 
-def chains(pairs: DataFrame, max_count: int = 50, all_widths: bool = False) -> DataFrame:
-    """pair_id, ord, x, y, len, m, n, score (of the chain so far): the best chain of each pair."""
-
-    def rows(a: str, b: str) -> list[tuple]:
-        anchors = kernels.anchors_of(kernels.match_intervals(a, b, max_count, all_widths))
-        chain, scores = kernels.best_chain(anchors)
-        return [(o, *anchors[k], scores[k]) for o, k in enumerate(chain)]
-
-    return _map_pairs(pairs, "ord long, x long, y long, len long, m long, n long, score double", [LONG] * 6 + [pa.float64()], rows)
-
-
 def path_counts(pairs: DataFrame, max_count: int = 50, all_widths: bool = False) -> DataFrame:
     """pair_id, start_1, start_2, len, n_opt_paths_fwd, n_opt_paths_rev, n_count, m_count for every anchor.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from ..operators import align, analytics, cigar, kmers, simulate, suffix, traces
+from ..operators import align, analytics, chains, cigar, kmers, simulate, suffix, traces
 from . import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -356,7 +356,7 @@ SELECT pair_id, max(score) AS score FROM c GROUP BY pair_id
 
 @query("chain_score", CHAINS)
 def chain_score(spark, sf_dir):
-    return align.chains(tables.passage_pairs(spark, sf_dir)).groupBy("pair_id").agg(F.max("score").alias("score"))
+    return chains.best_scores(suffix.anchors(_intervals(spark, sf_dir)))
 
 
 #: The best chain itself: of equal predecessors the last anchor, of equal ends the first.
@@ -382,7 +382,7 @@ FROM walk w JOIN a ON a.pair_id = w.pair_id AND a.k = w.k JOIN s ON s.pair_id =
 
 @query("chain_anchors", BEST_CHAIN)
 def chain_anchors(spark, sf_dir):
-    return align.chains(tables.passage_pairs(spark, sf_dir))
+    return chains.best_chains(suffix.anchors(_intervals(spark, sf_dir)))
 
 
 @query("shortest_matches", f"""

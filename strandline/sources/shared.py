@@ -28,11 +28,11 @@ class Tables:
         self.folder = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
         self.made = 0
 
-    def settled(self, df: DataFrame) -> DataFrame:
-        """``df``, written and read back."""
+    def settled(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """``df``, written (in folders of the values of ``by``) and read back."""
         self.made += 1
         path = f"{self.folder}/{self.made}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
