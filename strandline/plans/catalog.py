@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from ..operators import align, analytics, chains, cigar, kmers, simulate, suffix, traces
+from ..operators import align, analytics, chains, cigar, kmers, simulate, suffix, ties, traces
 from . import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,6 +324,12 @@ def _intervals(spark, sf_dir):
     return suffix.anchor_intervals(suffix.rare_matches(ranked, sizes), sizes)
 
 
+def _related_anchors(spark, sf_dir):
+    """Anchors of all widths of each passage and its changed copy."""
+    ranked, sizes = _ranked(spark, sf_dir, tables.related_pairs)
+    return suffix.anchors(suffix.anchor_intervals(suffix.rare_matches(ranked, sizes, all_widths=True), sizes))
+
+
 @query("anchor_intervals", f"WITH RECURSIVE {INTERVALS} SELECT pair_id, m, n, CAST(clas AS BIGINT) AS clas, CAST(len AS BIGINT) AS len, array_to_string(first_starts, ',') AS first_starts, array_to_string(second_starts, ',') AS second_starts FROM iv")
 def anchor_intervals(spark, sf_dir):
     found = _intervals(spark, sf_dir)
@@ -424,9 +430,42 @@ def align_gapped(spark, sf_dir):
     return cigar.gapped(align.align(pairs).select("pair_id", "cigar").join(pairs, "pair_id").withColumnRenamed("pair_id", "aln_id"))
 
 
-@query("optimal_path_counts")
+#: Best scores as in BEST_CHAIN; then all steps that keep to them, the anchors on best chains, and ways by the number of steps.
+PATH_COUNTS = f"""
+WITH RECURSIVE {of_related(ALL_HITS)}, {COLLAPSED},
+ex AS (SELECT pair_id, len, m, n, unnest(first_starts) AS x, second_starts FROM iv), ey AS (SELECT pair_id, len, m, n, x, unnest(second_starts) AS y FROM ex),
+a AS MATERIALIZED (SELECT *, CAST(len AS DOUBLE) / (m * n) AS weight, row_number() OVER (PARTITION BY pair_id ORDER BY x, y, len, m, n) AS k FROM ey),
+c AS (
+  SELECT pair_id, k, x + len AS x_end, y + len AS y_end, weight AS score FROM a
+  UNION ALL
+  SELECT a.pair_id, a.k, a.x + a.len, a.y + a.len, max(c.score) + a.weight FROM c JOIN a ON c.pair_id = a.pair_id AND c.x_end <= a.x AND c.y_end <= a.y GROUP BY a.pair_id, a.k, a.x, a.y, a.len, a.weight
+), s AS MATERIALIZED (SELECT pair_id, k, x_end, y_end, max(score) AS score FROM c GROUP BY pair_id, k, x_end, y_end),
+e AS MATERIALIZED (
+  SELECT a.pair_id, p.k AS before, a.k FROM a JOIN s q ON q.pair_id = a.pair_id AND q.k = a.k JOIN s p ON p.pair_id = a.pair_id AND p.x_end <= a.x AND p.y_end <= a.y WHERE p.score + a.weight = q.score
+), tips AS MATERIALIZED (SELECT pair_id, k FROM s QUALIFY score = max(score) OVER (PARTITION BY pair_id)),
+inside AS (
+  SELECT pair_id, k FROM tips
+  UNION
+  SELECT e.pair_id, e.before FROM inside i JOIN e ON e.pair_id = i.pair_id AND e.k = i.k
+), f AS MATERIALIZED (SELECT e.* FROM e JOIN inside i ON i.pair_id = e.pair_id AND i.k = e.k),
+fwd AS (
+  SELECT pair_id, k, CAST(1 AS HUGEINT) AS ways FROM inside i WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.pair_id = i.pair_id AND f.k = i.k)
+  UNION ALL
+  SELECT f.pair_id, f.k, CAST(sum(t.ways) AS HUGEINT) FROM fwd t JOIN f ON f.pair_id = t.pair_id AND f.before = t.k GROUP BY f.pair_id, f.k
+), rev AS (
+  SELECT pair_id, k, CAST(1 AS HUGEINT) AS ways FROM tips
+  UNION ALL
+  SELECT f.pair_id, f.before, CAST(sum(t.ways) AS HUGEINT) FROM rev t JOIN f ON f.pair_id = t.pair_id AND f.k = t.k GROUP BY f.pair_id, f.before
+), ft AS (SELECT pair_id, k, sum(ways) AS ways FROM fwd GROUP BY pair_id, k), rt AS (SELECT pair_id, k, sum(ways) AS ways FROM rev GROUP BY pair_id, k)
+SELECT a.pair_id, CAST(x AS BIGINT) AS start_1, CAST(y AS BIGINT) AS start_2, CAST(len AS BIGINT) AS len, CAST(CAST(coalesce(ft.ways, 0) AS HUGEINT) AS VARCHAR) AS n_opt_paths_fwd,
+  CAST(CAST(coalesce(rt.ways, 0) AS HUGEINT) AS VARCHAR) AS n_opt_paths_rev, CAST(m AS BIGINT) AS n_count, CAST(n AS BIGINT) AS m_count
+FROM a LEFT JOIN ft ON ft.pair_id = a.pair_id AND ft.k = a.k LEFT JOIN rt ON rt.pair_id = a.pair_id AND rt.k = a.k
+"""
+
+
+@query("optimal_path_counts", PATH_COUNTS)
 def optimal_path_counts(spark, sf_dir):
-    return align.path_counts(tables.related_pairs(spark, sf_dir), all_widths=True)
+    return ties.path_counts(_related_anchors(spark, sf_dir))
 
 
 @query("chain_bridges")
