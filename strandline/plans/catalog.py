@@ -6,6 +6,7 @@ brute force.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bases
 from ..operators import align, analytics, chains, cigar, kmers, simulate, suffix, ties, traces
+from ..sources import files, formats, sinks
+from ..sources.shared import shared_dir
 from . import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +176,34 @@ def seq_chunks(spark, sf_dir):
     return kmers.chunks(tables.documents(spark, sf_dir), 500, 50).select(F.col("seq_id").alias("doc_id"), "start", "chunk_id", F.md5("chunk").alias("chunk"))
 
 
+def _as_fasta(spark, sf_dir):
+    """The documents' bases as FASTA files in the shared folder."""
+    path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    sinks.fasta(tables.document_dna(spark, sf_dir), path, width=70)
+    return path
+
+
+@query("fasta_round_trip", f"SELECT doc_id, CAST(length({DNA}) AS BIGINT) AS n, md5({DNA}) AS letters FROM documents")
+def fasta_round_trip(spark, sf_dir):
+    """Written as FASTA, read back by ranges of bytes."""
+    rows = formats.register(spark).read.format("fasta").option("split", 1 << 18).load(_as_fasta(spark, sf_dir))
+    return rows.select(F.col("seq_id").cast("long").alias("doc_id"), F.length("seq").cast("long").alias("n"), F.md5("seq").alias("letters"))
+
+
+@query("fasta_pieces", f"""
+SELECT doc_id, CAST(count(*) FILTER (c = 'G' OR c = 'C') AS BIGINT) AS strong, CAST(count(*) FILTER (c <> '') AS BIGINT) AS n, CAST(sum(CASE WHEN c = 'G' THEN i ELSE 0 END) AS BIGINT) AS g_places
+FROM (SELECT doc_id, unnest(string_split({DNA}, '')) AS c, unnest(range(0, greatest(length({DNA}), 1))) AS i FROM documents) GROUP BY doc_id
+""")
+def fasta_pieces(spark, sf_dir):
+    """Read in pieces of some hundred letters: G and C, letters, and the sum of the places of all G."""
+    rows = files.fasta_pieces(spark, _as_fasta(spark, sf_dir), piece=280, split=1 << 18)
+    letters = F.split("seq", "")
+    places = F.aggregate(F.zip_with(letters, F.sequence(F.lit(0), F.size(letters) - 1), lambda c, i: F.when(c == "G", F.col("start") + i).otherwise(F.lit(0))), F.lit(0).cast("long"), lambda a, b: a + b)
+    strong = F.length(F.regexp_replace("seq", "[^GC]", ""))
+    found = rows.groupBy(F.col("seq_id").cast("long").alias("doc_id"))
+    return found.agg(F.sum(strong).cast("long").alias("strong"), F.sum(F.length("seq")).cast("long").alias("n"), F.sum(places).alias("g_places"))
+
+
 # -- k-mers -----------------------------------------------------------------------
 
 DOC_KMERS, ITEM_KMERS = KMERS.format(id="doc_id", table="documents", k=24), KMERS.format(id="item_id", table="benchmark", k=24)

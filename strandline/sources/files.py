@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import compress_runs, split_fields
+from ..operators.scan import running
+from .formats import SPLIT, register
+from .shared import Tables
 
 Paths = str | list[str]
 
@@ -94,7 +97,32 @@ def sequences(spark: SparkSession, paths: Paths, **options) -> DataFrame:
         part = read(spark, p, options.get("collapse_runs", False), options.get("strict", False))
         part = part.select("seq_id", "seq", "file", F.struct(F.lit(k).alias("k"), "file", "block", "at").alias("rank"))
         rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("seq_id").agg(F.max_by(F.struct("seq", "file"), "rank").alias("s")).select("seq_id", "s.seq", "s.file")
+    # What goes is found by ids and places alone, and is written first: its size is known to the join, and
+    # while few ids repeat no sequence is shuffled.
+    ids = rows.select("seq_id", "rank")
+    best = ids.groupBy("seq_id").agg(F.max("rank").alias("best"), F.count("*").alias("n")).filter("n > 1").select("seq_id", "best")
+    gone = Tables(spark).settled(ids.join(best, "seq_id").filter(F.col("rank") < F.col("best")).select("rank"))
+    return rows.join(gone, "rank", "left_anti").select("seq_id", "seq", "file")
+
+
+def fasta_pieces(spark: SparkSession, paths: Paths, piece: int = 1 << 20, split: int = SPLIT) -> DataFrame:
+    """seq_id, start, seq, file, at: sequences of FASTA files in pieces of about ``piece`` letters, with where each begins.
+
+    A record of any length is read by all tasks that its bytes are dealt to. Which record a piece
+    belongs to, and how many letters come before it, follows from ordered scans of the pieces; ``at`` is
+    the byte at which the record begins.
+    """
+    reader = register(spark).read.format("fasta").option("pieces", piece).option("split", split)
+    rows = reader.load("\n".join(_paths(paths)))
+    state = F.when(F.col("begins").isNotNull(), F.struct(F.col("at").alias("record"), F.col("begins").alias("id"), F.col("ended").alias("over")))
+    closed = F.when(F.col("ended"), F.struct(F.lit(None).cast("long").alias("record"), F.lit(None).cast("string").alias("id"), F.lit(True).alias("over")))
+    block = piece << 14
+    found = running(rows, ["file"], "at", before={"held": F.coalesce(state, closed)}, block=block)
+    opens = F.col("begins").isNotNull()
+    of = F.when(opens, F.struct(F.col("at").alias("record"), F.col("begins").alias("id"))).otherwise(F.when(~F.col("held.over"), F.struct(F.col("held.record").alias("record"), F.col("held.id").alias("id"))))
+    mine = found.select(of.alias("of"), "at", "seq", "file").filter(F.col("of.record").isNotNull())
+    placed = running(mine.select("file", F.col("of.record").alias("record"), F.col("of.id").alias("seq_id"), "at", "seq"), ["file", "record"], "at", sums={"upto": F.length("seq").cast("long")}, block=block)
+    return placed.select("seq_id", (F.col("upto") - F.length("seq")).alias("start"), "seq", "file", F.col("record").alias("at"))
 
 
 def cigars(spark: SparkSession, paths: Paths) -> DataFrame:
