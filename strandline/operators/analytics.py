@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import project
+from ..sources.shared import Tables
 from . import cigar
 from .scan import running
 
@@ -41,8 +42,10 @@ def orthologues(points: DataFrame, rows: DataFrame, side: int = 1) -> DataFrame:
     s0, s1, d0, d1 = ("x0", "x1", "y0", "y1") if side == 1 else ("y0", "y1", "x0", "x1")
     # Steps that don't advance on the points' side hold no point.
     steps = cigar.trace(rows).select("aln_id", *[F.col(c).alias(n) for c, n in ((s0, "s0"), (s1, "s1"), (d0, "d0"), (d1, "d1"))])
-    ends = steps.groupBy("aln_id").agg(F.max("d1").alias("last_d"))
+    ends = cigar.lengths(rows).select("aln_id", F.col("query" if side == 1 else "target").alias("last_d"))
     events = steps.filter("s1 > s0").select("aln_id", F.col("s1").alias("at"), F.lit(1).alias("kind"), F.struct("s0", "s1", "d0", "d1").alias("step"))
+    # The scan looks at its rows twice.
+    events = Tables(rows.sparkSession).settled(events)
     asked = points.select("aln_id", F.col("pos").cast("long").alias("at")).distinct()
     asked = asked.select("aln_id", "at", F.lit(2).alias("kind"), F.lit(None).cast(events.schema["step"].dataType).alias("step"))
     found = running(events.unionByName(asked), ["aln_id"], "at", after={"next": F.col("step")}, ties=("kind",)).filter("kind = 2")
@@ -133,7 +136,7 @@ def blocks_of_steps(rows: DataFrame, most_gap: int) -> DataFrame:
     parts = t.groupBy("aln_id", "part").agg(F.first("eq").alias("eq"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
     wide = ~F.col("eq") & (F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > most_gap)
     # The first part is dropped if it is a gap, whatever its size.
-    parts = parts.withColumn("wide", wide).filter(F.col("eq") | (F.col("part") > 1))
+    parts = Tables(rows.sparkSession).settled(parts.withColumn("wide", wide).filter(F.col("eq") | (F.col("part") > 1)))
     parts = running(parts, ["aln_id"], "part", sums={"upto": F.col("wide").cast("int")})
     parts = parts.withColumn("block", F.col("upto") - F.col("wide").cast("int"))
     inside = parts.filter(~F.col("wide"))

@@ -119,7 +119,8 @@ def numbered(anchors: DataFrame, stripe: int = STRIPE) -> DataFrame:
 
 def scores(anchors: DataFrame, tables: Tables, stripe: int = STRIPE) -> tuple[DataFrame, list[DataFrame]]:
     """``numbered`` anchors, and for each stripe pair_id, k, score and back (the number of the best predecessor, 0 if there is none)."""
-    placed = tables.settled(numbered(anchors, stripe), by="stripe")
+    # Numbering looks at the anchors twice.
+    placed = tables.settled(numbered(tables.settled(anchors.select("pair_id", *ANCHOR)), stripe), by="stripe")
     most = placed.agg(F.max("stripe")).first()[0]
     handed = anchors.sparkSession.createDataFrame([], STEP)
     out = []

@@ -25,7 +25,7 @@ from ..functions.bases import common_prefix
 from ..sources.shared import Tables
 
 #: Letters that the first order looks at.
-WORD = 32
+WORD = 64
 PLACE = ["pair_id", "side", "pos"]
 
 
@@ -110,7 +110,7 @@ def suffix_index(pairs: DataFrame, word: int = WORD) -> SuffixIndex:
         levels.append((width, tied))
         ahead = done.unionByName(tied).select("pair_id", "side", (F.col("pos") - width).alias("pos"), F.col("rank").alias("rank2"))
         # Past the last letter of a sequence comes its end, before all letters.
-        both = tied.join(ahead, PLACE, "left").withColumn("rank2", F.coalesce("rank2", (F.col("side") - 3).cast("long")))
+        both = tables.settled(tied.join(ahead, PLACE, "left").withColumn("rank2", F.coalesce("rank2", (F.col("side") - 3).cast("long"))))
         by = ["rank", "rank2"]
         keys = counted_before(both.groupBy(*by).agg(F.count("*").alias("n")), by, tables)
         # Ranks of a group go on from the group's own.
@@ -155,10 +155,12 @@ def common_prefixes(index: SuffixIndex, places: DataFrame) -> DataFrame:
 
 
 def ranked_suffixes(pairs: DataFrame, word: int = WORD) -> DataFrame:
-    """pair_id, side, pos, r, and lcp with the suffix of the next rank (0 at the pair's end)."""
+    """pair_id, side, pos, r, and lcp with the suffix of the next rank (0 at the pair's end), as a written table."""
     index = suffix_index(pairs, word)
     ranks = index.tables.settled(ranks_in_pairs(index))
     after = ranks.select("pair_id", (F.col("r") - 1).alias("r"), F.col("side").alias("side_b"), F.col("pos").alias("pos_b"))
     here = ranks.select("pair_id", "r", F.col("side").alias("side_a"), F.col("pos").alias("pos_a"))
     lcp = common_prefixes(index, here.join(after, ["pair_id", "r"])).select("pair_id", F.col("side_a").alias("side"), F.col("pos_a").alias("pos"), "lcp")
-    return ranks.join(lcp, PLACE, "left").select(*PLACE, "r", F.coalesce("lcp", F.lit(0)).cast("long").alias("lcp"))
+    out = Tables(pairs.sparkSession).settled(ranks.join(lcp, PLACE, "left").select(*PLACE, "r", F.coalesce("lcp", F.lit(0)).cast("long").alias("lcp")))
+    index.tables.drop()
+    return out

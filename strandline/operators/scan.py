@@ -26,6 +26,7 @@ def running(
     runs: Mapping[str, Column] = {},
     before: Mapping[str, Column] = {},
     after: Mapping[str, Column] = {},
+    peaks: Mapping[str, Column] = {},
     ties: tuple[str, ...] = (),
     block: int | None = None,
 ) -> DataFrame:
@@ -34,20 +35,21 @@ def running(
     * ``sums``: the sum up to and with the row (nulls count as 0).
     * ``runs``: the number, from 1, of the run of equal values that the row is in (nulls are equal).
     * ``before``, ``after``: the last value that isn't null before the row, the first one behind it.
+    * ``peaks``: the largest value before the row, null if there is none.
 
     ``order`` is an integer column without nulls; rows that are equal in it are ordered by
     ``ties`` and lie in one block. Values are bound to the columns of ``rows``, so names may
     be those of other results. Empty tables give empty ones.
     """
     block = block or BLOCK
-    names = [*sums, *runs, *before, *after]
+    names = [*sums, *runs, *before, *after, *peaks]
     clash = {n.lower() for n in names} & {c.lower() for c in rows.columns}
     if clash:
         raise ValueError(f"the table has columns {sorted(clash)} already")
     bound = {f"_sum_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()}
     # In a struct a null is a value like others.
     bound |= {f"_run_{n}": F.struct(c.alias("v")) for n, c in runs.items()}
-    bound |= {f"_was_{n}": c for n, c in before.items()} | {f"_next_{n}": c for n, c in after.items()}
+    bound |= {f"_was_{n}": c for n, c in before.items()} | {f"_next_{n}": c for n, c in after.items()} | {f"_peak_{n}": c for n, c in peaks.items()}
     # Keys as a struct, in which nulls are equal; their hash comes first, as sorting by a number is cheap.
     of = ["_hash", "_key", "_block"]
     key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
@@ -64,6 +66,7 @@ def running(
         totals += [F.sum(f"_new_{n}").alias(f"_new_{n}"), F.min_by(f"_run_{n}", place).alias(f"_head_{n}"), F.max_by(f"_run_{n}", place).alias(f"_tail_{n}")]
     totals += [F.max_by(f"_was_{n}", F.when(F.col(f"_was_{n}").isNotNull(), place)).alias(f"_was_{n}") for n in before]
     totals += [F.min_by(f"_next_{n}", F.when(F.col(f"_next_{n}").isNotNull(), place)).alias(f"_next_{n}") for n in after]
+    totals += [F.max(f"_peak_{n}").alias(f"_peak_{n}") for n in peaks]
     with_new = placed.select("*", *[c.alias(f"_new_{n}") for n, c in changed.items()]) if runs else placed
     blocks = with_new.groupBy(*of).agg(*totals)
 
@@ -76,6 +79,7 @@ def running(
     carried += [(F.sum(F.col(f"_new_{n}") + F.col(f"_fresh_{n}")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col(f"_new_{n}")).alias(f"_run_in_{n}") for n in runs]
     carried += [F.last(f"_was_{n}", ignorenulls=True).over(entered).alias(f"_was_in_{n}") for n in before]
     carried += [F.first(f"_next_{n}", ignorenulls=True).over(behind).alias(f"_next_in_{n}") for n in after]
+    carried += [F.max(f"_peak_{n}").over(entered).alias(f"_peak_in_{n}") for n in peaks]
     carried = blocks.select(*of, *carried)
 
     inside = with_new.select(
@@ -84,6 +88,7 @@ def running(
         *[F.sum(f"_new_{n}").over(so_far).alias(f"_new_{n}") for n in runs],
         *[F.last(f"_was_{n}", ignorenulls=True).over(earlier).alias(f"_was_{n}") for n in before],
         *[F.first(f"_next_{n}", ignorenulls=True).over(later).alias(f"_next_{n}") for n in after],
+        *[F.max(f"_peak_{n}").over(earlier).alias(f"_peak_{n}") for n in peaks],
     )
     return inside.join(carried, of).select(
         *rows.columns,
@@ -91,4 +96,5 @@ def running(
         *[(F.col(f"_new_{n}") + F.col(f"_run_in_{n}")).alias(n) for n in runs],
         *[F.coalesce(f"_was_{n}", f"_was_in_{n}").alias(n) for n in before],
         *[F.coalesce(f"_next_{n}", f"_next_in_{n}").alias(n) for n in after],
+        *[F.greatest(f"_peak_{n}", f"_peak_in_{n}").alias(n) for n in peaks],
     )

@@ -6,14 +6,13 @@ copies on any cluster and in any order of tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import exp
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import cigar, kernels
+from . import cigar
+from .scan import running
 
 #: Mean of the published copy-number events. Fixed value.
 MEAN_RUN = 1.6594594594594594
@@ -66,36 +65,50 @@ def copy_number(seqs: DataFrame, events: int, seed: int = 0, mean_run: float = M
 
     ``seqs`` has seq_id, seq and ``starts``, the sorted starts of its units (the
     first is taken as 0). Run lengths are 1 + Poisson(mean_run - 1); the last unit
-    is never part of a run. Sequences with under three units stay as they are.
+    is never part of a run, and an event whose run has no place changes nothing.
+    The events make a list of unit numbers; units are rows from there on, and what the
+    alignment does at each follows from the largest unit before it.
     """
-
-    def change(seq: str, starts: list[int], rng: np.random.Generator) -> tuple[str, str]:
-        bounds = [0, *starts[1:], len(seq)]
-        units = list(range(len(bounds) - 1))
-        for n in (1 + rng.poisson(mean_run - 1, events)).tolist():
-            if len(units) - n - 1 <= 0:
-                continue
-            at = int(rng.integers(0, len(units) - n - 1))
-            units = units[: at + n] + units[at:] if rng.random() < duplicate else units[:at] + units[at + n :]
-        steps: list[tuple[int, str]] = []
-        out, top = [], -1
-        for u in units:
-            text = seq[bounds[u] : bounds[u + 1]]
-            out.append(text)
-            if u <= top:
-                kernels.append(steps, len(text), "I")
-                continue
-            kernels.append(steps, bounds[u] - bounds[top + 1], "D")
-            kernels.append(steps, len(text), "M")
-            top = u
-        kernels.append(steps, len(seq) - bounds[top + 1], "D")
-        return "".join(out), kernels.render(steps)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, starts, salts = (c.to_pylist() for c in batch.columns)
-            found = [change(t or "", s or [0], np.random.default_rng([seed, h & 0xFFFFFFFF])) for t, s, h in zip(texts, starts, salts, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([m for m, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], names=["seq_id", "mutated", "cigar"])
-
-    narrow = seqs.select(F.col("seq_id").cast("string").alias("seq_id"), "seq", F.col("starts").cast("array<long>").alias("starts"), F.xxhash64("seq_id").alias("salt"))
-    return narrow.mapInArrow(run, "seq_id string, mutated string, cigar string")
+    size = F.length("seq")
+    later = F.slice(F.coalesce("starts", F.array().cast("array<long>")), F.lit(2), F.greatest(F.coalesce(F.size("starts"), F.lit(0)), F.lit(0)))
+    named = seqs.select(F.col("seq_id").cast("string").alias("seq_id"), F.coalesce("seq", F.lit("")).alias("seq"), F.col("starts").cast("array<long>").alias("starts"))
+    cuts = named.withColumn("cuts", F.concat(F.array(F.lit(0).cast("long")), later, F.array(size.cast("long"))))
+
+    draw = lambda event, salt: _uniform(F.lit(seed), F.col("seq_id"), event, F.lit(salt))
+    shares = F.array(*map(F.lit, _poisson_shares(mean_run - 1)))
+    run_of = lambda event: F.size(F.filter(shares, lambda c: c <= draw(event, 1))) + 1
+    plan = F.transform(F.sequence(F.lit(1), F.lit(events)), lambda e: F.struct(run_of(e).alias("run"), draw(e, 2).alias("where"), (draw(e, 3) < duplicate).alias("twice"))) if events else F.array().cast("array<struct<run:int,where:double,twice:boolean>>")
+
+    def change(now: Column, event: Column) -> Column:
+        room = F.size(now) - event["run"]
+        at = F.floor(event["where"] * room).cast("int")
+        head, tail = at + F.when(event["twice"], event["run"]).otherwise(0), at + 1 + F.when(event["twice"], 0).otherwise(event["run"])
+        return F.when(room < 1, now).otherwise(F.concat(F.slice(now, F.lit(1), head), F.slice(now, tail, F.size(now))))
+
+    listed = cuts.select("seq_id", F.posexplode(F.aggregate(plan, F.sequence(F.lit(0), F.size("cuts") - 2), change)).alias("place", "unit"))
+    begin, end = F.col("cuts")[F.col("unit")], F.col("cuts")[F.col("unit") + 1]
+    units = cuts.withColumn("unit", F.explode(F.sequence(F.lit(0), F.size("cuts") - 2)))
+    units = units.select("seq_id", "unit", begin.alias("begin"), end.alias("end"), F.substring(F.col("seq"), (begin + 1).cast("int"), (end - begin).cast("int")).alias("text"))
+    taken = running(listed, ["seq_id"], "place", peaks={"top": F.col("unit")}).join(units, ["seq_id", "unit"])
+    taken = taken.join(units.select("seq_id", F.col("unit").alias("top"), F.col("end").alias("reached")), ["seq_id", "top"], "left")
+    reached = F.coalesce("reached", F.lit(0))
+    new, length = F.col("top").isNull() | (F.col("unit") > F.col("top")), F.col("end") - F.col("begin")
+    step = lambda n, op: F.struct(n.alias("len"), F.lit(op).alias("op"))
+    steps = taken.select("seq_id", "place", F.posexplode(F.when(new, F.array(step(F.col("begin") - reached, "D"), step(length, "M"))).otherwise(F.array(step(length, "I")))).alias("k", "s"))
+    last = taken.groupBy("seq_id").agg(F.max("end").alias("end"), F.max("place").alias("place")).join(named.select("seq_id", size.cast("long").alias("size")), "seq_id")
+    rows = steps.select("seq_id", (F.col("place") * 2 + F.col("k")).alias("ord"), F.col("s.len").alias("len"), F.col("s.op").alias("op"))
+    rows = rows.unionByName(last.select("seq_id", (F.col("place") * 2 + 2).alias("ord"), (F.col("size") - F.col("end")).alias("len"), F.lit("D").alias("op")))
+    texts = taken.groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda t: t["text"]), "").alias("mutated"))
+    cigars = cigar.render(cigar.merge(rows.withColumnRenamed("seq_id", "aln_id"))).withColumnRenamed("aln_id", "seq_id")
+    return texts.join(cigars, "seq_id", "left").select("seq_id", "mutated", F.coalesce("cigar", F.lit("")).alias("cigar"))
+
+
+def _poisson_shares(mean: float) -> list[float]:
+    """The share of draws of 0, of 0 and 1, and so on, until all but none are in."""
+    share = term = exp(-mean)
+    out = [share]
+    while 1 - share > 1e-15 and len(out) < 1000:
+        term *= mean / len(out)
+        share += term
+        out.append(share)
+    return out

@@ -164,7 +164,8 @@ def path_counts(anchors: DataFrame, stripe: int = STRIPE) -> DataFrame:
     """
     spark = anchors.sparkSession
     tables = Tables(spark)
-    placed = tables.settled(numbered(anchors, stripe), by="stripe")
+    # Numbering looks at the anchors twice.
+    placed = tables.settled(numbered(tables.settled(anchors.select("pair_id", *ANCHOR)), stripe), by="stripe")
     most = placed.agg(F.max("stripe")).first()[0]
     none = spark.createDataFrame([], STEP)
     handed, by_stripe = none, []

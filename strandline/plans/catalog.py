@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from ..operators import align, analytics, chains, cigar, kmers, simulate, suffix, ties, traces
+from ..operators import align, analytics, chains, cigar, kmers, ranks, simulate, suffix, ties, traces
 from ..sources import files, formats, sinks
 from ..sources.shared import shared_dir
 from . import tables
@@ -331,7 +331,7 @@ def _ranked(spark, sf_dir, table=tables.passage_pairs):
 
 @query("suffix_rank", f"WITH {RANKED} SELECT pair_id, CAST(side AS INT) AS side, CAST(pos AS BIGINT) AS pos, CAST(r AS BIGINT) AS r FROM sa")
 def suffix_rank(spark, sf_dir):
-    return suffix.inverse(_ranked(spark, sf_dir)[0])
+    return ranks.ranks_in_pairs(ranks.suffix_index(tables.passage_pairs(spark, sf_dir)))
 
 
 @query("lcp_adjacent", f"WITH {RANKED} SELECT pair_id, CAST(r AS BIGINT) AS r, CAST(lcp AS BIGINT) AS lcp FROM sa")

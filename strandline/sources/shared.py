@@ -20,6 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this driver has made and not yet deleted.
+_folders: dict[str, SparkSession] = {}
+
+
 class Tables:
     """Intermediate tables of one job. ``drop`` deletes them when what reads them is no longer wanted."""
 
@@ -27,6 +31,7 @@ class Tables:
         self.spark = spark
         self.folder = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
         self.made = 0
+        _folders[self.folder] = spark
 
     def settled(self, df: DataFrame, by: str | None = None) -> DataFrame:
         """``df``, written (in folders of the values of ``by``) and read back."""
@@ -36,6 +41,16 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _folders.pop(folder, None)
+
+
+def release() -> None:
+    """Delete all intermediate tables that this driver has made: for when results that read them are written."""
+    for folder, spark in list(_folders.items()):
+        _delete(spark, folder)

@@ -233,9 +233,17 @@ def test_simulated_alignments_are_true(spark):
     for made in (simulate.mutate(seqs, 1, 0.05, 0.02, 0.02), simulate.delete_once(seqs, 1, 0.05, 100)):
         both = made.join(seqs, "seq_id").select(F.col("seq_id").alias("aln_id"), F.col("seq").alias("first"), F.col("mutated").alias("second"), "cigar")
         assert both.count() == 4 and all(r.valid for r in cigar.check(both).collect())
-    copies = simulate.copy_number(seqs.withColumn("starts", F.sequence(F.lit(0), F.lit(280), F.lit(20))), 5, 2)
-    for r in copies.join(seqs.select(F.col("seq_id").cast("string").alias("seq_id"), "seq"), "seq_id").collect():
-        assert kernels.is_valid([(int(n), op) for n, op in re.findall(r"(\d+)(.)", r.cigar)], r.seq, r.mutated)
+    units = F.sequence(F.lit(0), F.lit(280), F.lit(20))
+    more = seqs.unionByName(spark.createDataFrame([(90, ""), (91, "ACGT"), (92, None)], seqs.schema)).withColumn("starts", F.when(F.col("seq_id") < 90, units))
+    for events, duplicate in ((5, 0.5), (40, 0.5), (30, 1.0), (30, 0.0), (0, 0.5)):
+        copies = simulate.copy_number(more, events, 2, duplicate=duplicate)
+        rows = copies.join(more.select(F.col("seq_id").cast("string").alias("seq_id"), F.coalesce("seq", F.lit("")).alias("seq")), "seq_id").collect()
+        assert len(rows) == 7
+        for r in rows:
+            assert kernels.is_valid([(int(n), op) for n, op in re.findall(r"(\d+)(.)", r.cigar)], r.seq, r.mutated)
+            assert r.mutated.endswith(r.seq[280:]) and ("D" not in r.cigar or duplicate < 1) and ("I" not in r.cigar or duplicate > 0)
+            assert (r.mutated == r.seq) if events == 0 or len(r.seq) < 300 else (len(r.mutated) != len(r.seq) or 0 < duplicate < 1)
+    assert [tuple(r) for r in simulate.copy_number(more, 5, 2).orderBy("seq_id").collect()] == [tuple(r) for r in simulate.copy_number(more, 5, 2).orderBy("seq_id").collect()]
 
 
 def test_empty_and_null_pairs(spark):

@@ -14,14 +14,15 @@ def plain(rows, index):
     out = {}
     for key, group in groupby(sorted(rows, key=lambda r: (repr(r[0]), r[1], r[2])), key=lambda r: r[0]):
         group = list(group)
-        total, run, last = 0, 0, object()
+        total, run, last, top = 0, 0, object(), None
         for k, (_, at, tie, v) in enumerate(group):
             total += v or 0
             run += v != last
             last = v
             before = next((r[3] for r in reversed(group[:k]) if r[3] is not None), None)
             after = next((r[3] for r in group[k + 1 :] if r[3] is not None), None)
-            out[key, at, tie] = (total, run, before, after)
+            out[key, at, tie] = (total, run, before, after, top)
+            top = v if top is None else top if v is None else max(top, v)
     return out
 
 
@@ -36,9 +37,9 @@ def test_running_against_loops(spark, block):
             rows.append((key, at, tie, rng.choice([None, 1, 1, 2, 5])))
     df = spark.createDataFrame(rows, "key int, at int, tie int, v long")
     v = F.col("v")
-    got = scan.running(df, ["key"], "at", sums={"total": v}, runs={"run": v}, before={"was": v}, after={"next": v}, ties=("tie",), block=block)
-    assert got.columns == ["key", "at", "tie", "v", "total", "run", "was", "next"]
-    assert {(r.key, r.at, r.tie): (r.total, r.run, r.was, r.next) for r in got.collect()} == plain(rows, 3)
+    got = scan.running(df, ["key"], "at", sums={"total": v}, runs={"run": v}, before={"was": v}, after={"next": v}, peaks={"top": v}, ties=("tie",), block=block)
+    assert got.columns == ["key", "at", "tie", "v", "total", "run", "was", "next", "top"]
+    assert {(r.key, r.at, r.tie): (r.total, r.run, r.was, r.next, r.top) for r in got.collect()} == plain(rows, 3)
     assert scan.running(df.limit(0), ["key"], "at", sums={"total": v}).count() == 0
     with pytest.raises(ValueError, match="tie"):
         scan.running(df.withColumnRenamed("tie", "TIE"), ["key"], "at", sums={"tie": v})
