@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from ..operators import align, analytics, chains, cigar, kmers, ranks, simulate, suffix, ties, traces
+from ..operators import align, analytics, bridges, chains, cigar, kmers, ranks, simulate, suffix, ties, traces
 from ..sources import files, formats, sinks
 from ..sources.shared import shared_dir
 from . import tables
@@ -461,8 +461,8 @@ def align_gapped(spark, sf_dir):
     return cigar.gapped(align.align(pairs).select("pair_id", "cigar").join(pairs, "pair_id").withColumnRenamed("pair_id", "aln_id"))
 
 
-#: Best scores as in BEST_CHAIN; then all steps that keep to them, the anchors on best chains, and ways by the number of steps.
-PATH_COUNTS = f"""
+#: Best scores as in BEST_CHAIN; then all steps that keep to them, and the anchors on best chains.
+BEST_GRAPH = f"""
 WITH RECURSIVE {of_related(ALL_HITS)}, {COLLAPSED},
 ex AS (SELECT pair_id, len, m, n, unnest(first_starts) AS x, second_starts FROM iv), ey AS (SELECT pair_id, len, m, n, x, unnest(second_starts) AS y FROM ex),
 a AS MATERIALIZED (SELECT *, CAST(len AS DOUBLE) / (m * n) AS weight, row_number() OVER (PARTITION BY pair_id ORDER BY x, y, len, m, n) AS k FROM ey),
@@ -478,8 +478,10 @@ inside AS (
   SELECT pair_id, k FROM tips
   UNION
   SELECT e.pair_id, e.before FROM inside i JOIN e ON e.pair_id = i.pair_id AND e.k = i.k
-), f AS MATERIALIZED (SELECT e.* FROM e JOIN inside i ON i.pair_id = e.pair_id AND i.k = e.k),
-fwd AS (
+), f AS MATERIALIZED (SELECT e.* FROM e JOIN inside i ON i.pair_id = e.pair_id AND i.k = e.k)
+"""
+#: Ways by the number of steps.
+PATH_COUNTS = f"""{BEST_GRAPH}, fwd AS (
   SELECT pair_id, k, CAST(1 AS HUGEINT) AS ways FROM inside i WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.pair_id = i.pair_id AND f.k = i.k)
   UNION ALL
   SELECT f.pair_id, f.k, CAST(sum(t.ways) AS HUGEINT) FROM fwd t JOIN f ON f.pair_id = t.pair_id AND f.before = t.k GROUP BY f.pair_id, f.k
@@ -499,9 +501,27 @@ def optimal_path_counts(spark, sf_dir):
     return ties.path_counts(_related_anchors(spark, sf_dir))
 
 
-@query("chain_bridges")
+#: Each step of the graph is taken out in turn: a bridge if its right end is no longer reached from the source (0), either way along steps.
+BRIDGES = f"""{BEST_GRAPH}, g AS MATERIALIZED (
+  SELECT pair_id, before AS u, k AS v FROM f
+  UNION ALL
+  SELECT pair_id, 0, k FROM inside i WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.pair_id = i.pair_id AND f.k = i.k)
+), steps AS MATERIALIZED (
+  SELECT pair_id, u, v, u AS here, v AS there FROM g UNION ALL SELECT pair_id, u, v, v, u FROM g
+), reached AS (
+  SELECT pair_id, u, v, CAST(0 AS BIGINT) AS here FROM g
+  UNION
+  SELECT r.pair_id, r.u, r.v, s.there FROM reached r JOIN steps s ON s.pair_id = r.pair_id AND s.here = r.here WHERE s.u <> r.u OR s.v <> r.v
+)
+SELECT g.pair_id, CAST(coalesce(l.x + l.len, 0) AS BIGINT) AS start_1, CAST(coalesce(l.y + l.len, 0) AS BIGINT) AS start_2, CAST(q.x AS BIGINT) AS end_1, CAST(q.y AS BIGINT) AS end_2
+FROM g JOIN a q ON q.pair_id = g.pair_id AND q.k = g.v LEFT JOIN a l ON l.pair_id = g.pair_id AND l.k = g.u
+WHERE NOT EXISTS (SELECT 1 FROM reached r WHERE r.pair_id = g.pair_id AND r.u = g.u AND r.v = g.v AND r.here = g.v)
+"""
+
+
+@query("chain_bridges", BRIDGES)
 def chain_bridges(spark, sf_dir):
-    return align.bridges(tables.related_pairs(spark, sf_dir), all_widths=True)
+    return bridges.bridges(_related_anchors(spark, sf_dir))
 
 
 @query("rare_prefix_summary", f"""
