@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import bridges as graph
+from . import kernels, ranks, refine, suffix, ties
 
 
 def _map_pairs(pairs: DataFrame, schema: str, kinds: list[pa.DataType], rows_of: Callable[[str, str], list[tuple]], spread: bool = True) -> DataFrame:
@@ -60,8 +61,27 @@ def _fields(schema: str) -> list[str]:
 LONG, TEXT = pa.int64(), pa.string()
 
 
-def align(pairs: DataFrame, max_count: int = 50, all_widths: bool = False) -> DataFrame:
-    """pair_id, cigar_primary (first chain), cigar_recursive (all blocks refined), cigar (mismatches told apart), valid."""
+def align(pairs: DataFrame, max_count: int = 50, all_widths: bool = False, leaf: int = refine.LEAF) -> DataFrame:
+    """pair_id, cigar_primary (first chain), cigar_recursive (all blocks refined), cigar (mismatches told apart), valid.
+
+    Pairs of more than ``leaf`` letters are aligned as rows by ``refine``, the others one to a task; the strings are the same.
+    ``pair_id`` is distinct among the longer ones.
+    """
+    size = F.coalesce(F.length("first"), F.lit(0)) + F.coalesce(F.length("second"), F.lit(0))
+    longer = pairs.filter(size > leaf)
+    if longer.isEmpty():
+        return _align_whole(pairs, max_count, all_widths)
+    return _align_whole(pairs.filter(size <= leaf), max_count, all_widths).unionByName(_align_rows(longer, max_count, all_widths, leaf))
+
+
+def _align_rows(pairs: DataFrame, max_count: int, all_widths: bool, leaf: int) -> DataFrame:
+    steps = refine.align_steps(pairs, max_count, all_widths, leaf)
+    found = refine.render(steps).join(refine.check(pairs, steps), ["pair_id", "form"])
+    of = lambda form: F.max(F.when(F.col("form") == form, F.col("cigar")))
+    return found.groupBy("pair_id").agg(of(refine.PRIMARY).alias("cigar_primary"), of(refine.RECURSIVE).alias("cigar_recursive"), of(refine.MISMATCHES).alias("cigar"), F.min("valid").alias("valid"))
+
+
+def _align_whole(pairs: DataFrame, max_count: int, all_widths: bool) -> DataFrame:
 
     def rows(a: str, b: str) -> list[tuple]:
         steps = kernels.primary(a, b, max_count, all_widths)
@@ -89,28 +109,20 @@ def rare_prefixes(pairs: DataFrame, max_count: int = 50, all_widths: bool = Fals
     return _map_pairs(pairs, "m long, n long, pos long, len long", [LONG] * 4, rows)
 
 
-def path_counts(pairs: DataFrame, max_count: int = 50, all_widths: bool = False) -> DataFrame:
-    """pair_id, start_1, start_2, len, n_opt_paths_fwd, n_opt_paths_rev, n_count, m_count for every anchor.
-
-    Counts are exact decimals of any length, as text would be: no overflow.
-    """
+def _anchors(pairs: DataFrame, max_count: int, all_widths: bool) -> DataFrame:
+    sizes = pairs.select("pair_id", F.coalesce(F.length("first"), F.lit(0)).alias("n_first"))
+    hits = suffix.rare_matches(ranks.ranked_suffixes(pairs), sizes, max_count, all_widths)
+    return suffix.anchors(suffix.anchor_intervals(hits, sizes))
 
-    def rows(a: str, b: str) -> list[tuple]:
-        anchors = kernels.anchors_of(kernels.match_intervals(a, b, max_count, all_widths))
-        to, onward = kernels.path_counts(*kernels.tied_chains(anchors))
-        return [(x, y, size, str(to[k]), str(onward[k]), m, n) for k, (x, y, size, m, n) in enumerate(anchors)]
 
-    return _map_pairs(pairs, "start_1 long, start_2 long, len long, n_opt_paths_fwd string, n_opt_paths_rev string, n_count long, m_count long", [LONG, LONG, LONG, TEXT, TEXT, LONG, LONG], rows)
+def path_counts(pairs: DataFrame, max_count: int = 50, all_widths: bool = False) -> DataFrame:
+    """``ties.path_counts`` of whole pairs: best chains that lead to each anchor and on from it."""
+    return ties.path_counts(_anchors(pairs, max_count, all_widths))
 
 
 def bridges(pairs: DataFrame, max_count: int = 50, all_widths: bool = False) -> DataFrame:
     """pair_id, start_1, start_2, end_1, end_2: steps that every undirected tour of the best chains needs."""
-
-    def rows(a: str, b: str) -> list[tuple]:
-        anchors = kernels.anchors_of(kernels.match_intervals(a, b, max_count, all_widths))
-        return kernels.bridge_coordinates(anchors, kernels.chain_bridges(*kernels.tied_chains(anchors)))
-
-    return _map_pairs(pairs, "start_1 long, start_2 long, end_1 long, end_2 long", [LONG] * 4, rows)
+    return graph.bridges(_anchors(pairs, max_count, all_widths))
 
 
 def align_kmers(pairs: DataFrame, k: int = 10, most: int = 1) -> DataFrame:
