@@ -1,8 +1,8 @@
 """Pair tables in, alignment tables out: the kernels mapped over rows in Arrow batches.
 
 A pair table has pair_id (long), first and second (strings). Pairs are
-independent: a table of them is aligned in one map without a shuffle. One pair is
-one task's work, so memory follows the longest pair. Null sequences are empty.
+independent: a table of moderate ones is aligned in one map, a pair to a task. Pairs longer than
+``refine.LEAF`` letters are aligned, counted and bridged as rows. Null sequences are empty.
 """
 
 from __future__ import annotations
@@ -65,13 +65,9 @@ def align(pairs: DataFrame, max_count: int = 50, all_widths: bool = False, leaf:
     """pair_id, cigar_primary (first chain), cigar_recursive (all blocks refined), cigar (mismatches told apart), valid.
 
     Pairs of more than ``leaf`` letters are aligned as rows by ``refine``, the others one to a task; the strings are the same.
-    ``pair_id`` is distinct among the longer ones.
+    ``pair_id`` is distinct among the longer ones. Streams have all pairs one to a task: their batches go by rows in ``foreachBatch``.
     """
-    size = F.coalesce(F.length("first"), F.lit(0)) + F.coalesce(F.length("second"), F.lit(0))
-    longer = pairs.filter(size > leaf)
-    if longer.isEmpty():
-        return _align_whole(pairs, max_count, all_widths)
-    return _align_whole(pairs.filter(size <= leaf), max_count, all_widths).unionByName(_align_rows(longer, max_count, all_widths, leaf))
+    return _by_length(pairs, leaf, lambda some: _align_whole(some, max_count, all_widths), lambda some: _align_rows(some, max_count, all_widths, leaf))
 
 
 def _align_rows(pairs: DataFrame, max_count: int, all_widths: bool, leaf: int) -> DataFrame:
@@ -82,7 +78,6 @@ def _align_rows(pairs: DataFrame, max_count: int, all_widths: bool, leaf: int) -
 
 
 def _align_whole(pairs: DataFrame, max_count: int, all_widths: bool) -> DataFrame:
-
     def rows(a: str, b: str) -> list[tuple]:
         steps = kernels.primary(a, b, max_count, all_widths)
         deep = kernels.refine(steps, a, b, max_count, all_widths)
@@ -115,14 +110,39 @@ def _anchors(pairs: DataFrame, max_count: int, all_widths: bool) -> DataFrame:
     return suffix.anchors(suffix.anchor_intervals(hits, sizes))
 
 
-def path_counts(pairs: DataFrame, max_count: int = 50, all_widths: bool = False) -> DataFrame:
-    """``ties.path_counts`` of whole pairs: best chains that lead to each anchor and on from it."""
-    return ties.path_counts(_anchors(pairs, max_count, all_widths))
+def _by_length(pairs: DataFrame, leaf: int, whole: Callable[[DataFrame], DataFrame], by_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``whole`` of pairs of at most ``leaf`` letters, ``by_rows`` of longer ones, for which no task has room."""
+    if pairs.isStreaming:
+        return whole(pairs)
+    size = F.coalesce(F.length("first"), F.lit(0)) + F.coalesce(F.length("second"), F.lit(0))
+    longer = pairs.filter(size > leaf)
+    if longer.isEmpty():
+        return whole(pairs)
+    return whole(pairs.filter(size <= leaf)).unionByName(by_rows(longer))
+
 
+def path_counts(pairs: DataFrame, max_count: int = 50, all_widths: bool = False, leaf: int = refine.LEAF) -> DataFrame:
+    """``ties.path_counts`` of whole pairs: best chains that lead to each anchor and on from it, as decimals of any length."""
 
-def bridges(pairs: DataFrame, max_count: int = 50, all_widths: bool = False) -> DataFrame:
+    def rows(a: str, b: str) -> list[tuple]:
+        anchors = kernels.anchors_of(kernels.match_intervals(a, b, max_count, all_widths))
+        to, onward = kernels.path_counts(*kernels.tied_chains(anchors))
+        return [(x, y, size, str(to[k]), str(onward[k]), m, n) for k, (x, y, size, m, n) in enumerate(anchors)]
+
+    schema = "start_1 long, start_2 long, len long, n_opt_paths_fwd string, n_opt_paths_rev string, n_count long, m_count long"
+    whole = lambda some: _map_pairs(some, schema, [LONG, LONG, LONG, TEXT, TEXT, LONG, LONG], rows)
+    return _by_length(pairs, leaf, whole, lambda some: ties.path_counts(_anchors(some, max_count, all_widths)))
+
+
+def bridges(pairs: DataFrame, max_count: int = 50, all_widths: bool = False, leaf: int = refine.LEAF) -> DataFrame:
     """pair_id, start_1, start_2, end_1, end_2: steps that every undirected tour of the best chains needs."""
-    return graph.bridges(_anchors(pairs, max_count, all_widths))
+
+    def rows(a: str, b: str) -> list[tuple]:
+        anchors = kernels.anchors_of(kernels.match_intervals(a, b, max_count, all_widths))
+        return kernels.bridge_coordinates(anchors, kernels.chain_bridges(*kernels.tied_chains(anchors)))
+
+    whole = lambda some: _map_pairs(some, "start_1 long, start_2 long, end_1 long, end_2 long", [LONG] * 4, rows)
+    return _by_length(pairs, leaf, whole, lambda some: graph.bridges(_anchors(some, max_count, all_widths)))
 
 
 def align_kmers(pairs: DataFrame, k: int = 10, most: int = 1) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from ..operators import align, analytics, bridges, chains, cigar, kmers, ranks, simulate, suffix, ties, traces
+from ..operators import align, analytics, bridges, chains, cigar, kmers, ranks, refine, simulate, suffix, ties, traces
 from ..sources import files, formats, sinks
 from ..sources.shared import shared_dir
 from . import tables
@@ -446,6 +446,12 @@ def align_recursive(spark, sf_dir):
     return align.align(tables.passage_pairs(spark, sf_dir)).select("pair_id", "cigar_recursive", "valid")
 
 
+@query("align_steps")
+def align_steps(spark, sf_dir):
+    """All steps of all refined alignments, every block by rows: no kernel takes any of them."""
+    return refine.align_steps(tables.related_pairs(spark, sf_dir), leaf=0).filter(F.col("form") == refine.RECURSIVE).drop("form")
+
+
 @query("align_validity", f"WITH {PAIRS} SELECT pair_id AS aln_id, CAST(length(first) AS BIGINT) AS target, CAST(length(second) AS BIGINT) AS query, true AS valid FROM p")
 def align_validity(spark, sf_dir):
     """Every alignment uses up both sequences, by its own steps, and passes the relational check of letters."""

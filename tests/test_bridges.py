@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from strandline.operators import bridges, kernels
+from strandline.operators import align, bridges, kernels
 
 from .test_chains import made, table
 
@@ -71,6 +71,17 @@ def test_a_million_ties(spark):
     assert got_of(spark, {3: close}, 3000)[3] == [(40_501, 40_501, 41_500, 41_500)]
 
 
+def test_long_pairs_go_by_rows(spark):
+    """Pairs over the limit give the same counts and bridges as those under it."""
+    rng = random.Random(9)
+    core = "".join(rng.choices("ACGT", k=300))
+    rows = [(1, core, core[:200] + "GATTACA" + core[120:]), (2, core[:40], core[10:60]), (3, None, "AC")]
+    pairs = spark.createDataFrame(rows, "pair_id long, first string, second string")
+    for operator in (align.path_counts, align.bridges):
+        whole, by_rows = (sorted(map(tuple, operator(pairs, leaf=leaf).collect())) for leaf in (10**6, 200))
+        assert whole == by_rows and whole
+
+
 def test_no_anchors(spark):
     none = table(spark, {1: [(0, 0, 1, 1, 1)]}).filter("len > 1")
     assert bridges.bridges(none).count() == 0
