@@ -65,7 +65,7 @@ def align(pairs: DataFrame, max_count: int = 50, all_widths: bool = False, leaf:
     """pair_id, cigar_primary (first chain), cigar_recursive (all blocks refined), cigar (mismatches told apart), valid.
 
     Pairs of more than ``leaf`` letters are aligned as rows by ``refine``, the others one to a task; the strings are the same.
-    ``pair_id`` is distinct among the longer ones. Streams have all pairs one to a task: their batches go by rows in ``foreachBatch``.
+    ``pair_id`` must be distinct and not null among the longer ones (rows meet by it). Streams have all pairs one to a task: their batches go by rows in ``foreachBatch``.
     """
     return _by_length(pairs, leaf, lambda some: _align_whole(some, max_count, all_widths), lambda some: _align_rows(some, max_count, all_widths, leaf))
 

@@ -184,7 +184,7 @@ def _one_level(blocks: DataFrame, tables: Tables, max_count: int, all_widths: bo
 def align_steps(pairs: DataFrame, max_count: int = 50, all_widths: bool = False, leaf: int = LEAF) -> DataFrame:
     """pair_id, form (``PRIMARY``, ``RECURSIVE``, ``MISMATCHES``), x, y, len, op: every step of each pair's alignments, in order of x + y.
 
-    pair_ids are distinct; null sequences are empty. Pairs of two empty sequences have no steps.
+    pair_ids are distinct and not null; null sequences are empty. Pairs of two empty sequences have no steps.
     """
     tables = Tables(pairs.sparkSession)
     zero = F.lit(0).cast("long")
