@@ -132,6 +132,20 @@ def scores(anchors: DataFrame, tables: Tables, stripe: int = STRIPE) -> tuple[Da
     return placed, out
 
 
+def followed(by_stripe: list[DataFrame], pointers: DataFrame, tables: Tables) -> DataFrame:
+    """Members (pair_id, k, score, back, ...) of the chains that begin at ``pointers`` (pair_id, k) and go by ``back``, to 0, through stripes (pair_id, k, score, back) that follow one another in k."""
+    members = pointers.sparkSession.createDataFrame([], STEP)
+    pointers = tables.settled(pointers)
+    for scored in reversed(by_stripe):
+        made = tables.settled(scored.groupBy("pair_id").cogroup(pointers.groupBy("pair_id")).applyInArrow(_walked, STEP), by="kind")
+        members = members.unionByName(made.filter(F.col("kind") == SCORED))
+        moved = made.filter(F.col("kind") == HANDED_ON).select("pair_id", "k")
+        # Pairs with no part of their chain in this stripe go on as they are.
+        met = made.select("pair_id").distinct()
+        pointers = tables.settled(moved.unionByName(pointers.join(met, "pair_id", "left_anti")))
+    return members
+
+
 def best_chains(anchors: DataFrame, stripe: int = STRIPE) -> DataFrame:
     """pair_id, ord, x, y, len, m, n, score (of the chain so far): the best chain of each pair."""
     tables = Tables(anchors.sparkSession)
@@ -142,14 +156,7 @@ def best_chains(anchors: DataFrame, stripe: int = STRIPE) -> DataFrame:
         for more in by_stripe[1:]:
             every = every.unionByName(more)
         first = every.groupBy("pair_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "k")).alias("end"))
-        pointers = tables.settled(first.select("pair_id", F.col("end.k").alias("k")))
-        for scored in reversed(by_stripe):
-            made = tables.settled(scored.groupBy("pair_id").cogroup(pointers.groupBy("pair_id")).applyInArrow(_walked, STEP), by="kind")
-            members = members.unionByName(made.filter(F.col("kind") == SCORED))
-            moved = made.filter(F.col("kind") == HANDED_ON).select("pair_id", "k")
-            # Pairs with no part of their chain in this stripe go on as they are.
-            met = made.select("pair_id").distinct()
-            pointers = tables.settled(moved.unionByName(pointers.join(met, "pair_id", "left_anti")))
+        members = followed(by_stripe, first.select("pair_id", F.col("end.k").alias("k")), tables)
     found = members.select("pair_id", "k", "score").join(placed, ["pair_id", "k"])
     found = running(found, ["pair_id"], "k", sums={"place": F.lit(1).cast("long")})
     return found.select("pair_id", (F.col("place") - 1).alias("ord"), *[F.col(c).cast("long").alias(c) for c in ANCHOR], "score")
