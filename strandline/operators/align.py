@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bridges as graph
-from . import kernels, ranks, refine, suffix, ties
+from . import kernels, lcs, ranks, refine, suffix, ties
 
 
 def _map_pairs(pairs: DataFrame, schema: str, kinds: list[pa.DataType], rows_of: Callable[[str, str], list[tuple]], spread: bool = True) -> DataFrame:
@@ -146,7 +146,9 @@ def bridges(pairs: DataFrame, max_count: int = 50, all_widths: bool = False, lea
 
 
 def align_kmers(pairs: DataFrame, k: int = 10, most: int = 1) -> DataFrame:
-    """pair_id, ord, left, right: shared rare k-mers in a longest common subsequence, gaps as nulls."""
+    """pair_id, ord, left, right: ``lcs.align_kmers``; in streams, whose batches can't be written in between, a pair is one task's."""
+    if not pairs.isStreaming:
+        return lcs.align_kmers(pairs, k, most)
     rows = lambda a, b: [(o, x, y) for o, (x, y) in enumerate(kernels.align_kmers(a, b, k, most))]
     return _map_pairs(pairs, "ord long, left long, right long", [LONG] * 3, rows)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from ..operators import align, analytics, bridges, chains, cigar, kmers, ranks, refine, simulate, suffix, ties, traces
+from ..operators import align, analytics, bridges, chains, cigar, kmers, lcs, ranks, refine, simulate, suffix, ties, traces
 from ..sources import files, formats, sinks
 from ..sources.shared import shared_dir
 from . import tables
@@ -541,9 +541,39 @@ def rare_prefix_summary(spark, sf_dir):
     return kmers.rare_prefix_summary(suffix.rare_prefixes(suffix.rare_matches(ranked, sizes), sizes), ["pair_id", "m", "n"])
 
 
-@query("kmer_lcs")
+#: Shared words that occur once on either side: the second side's number of each (from 1) in the order of the first, positions of both, and levels
+#: from the least ends of increasing runs of each length, as words are added one by one.
+ONCE = f"""{RELATED}, f AS ({KMERS.format(id="pair_id", table="(SELECT pair_id, first AS text FROM p)", k=7)}), g AS ({KMERS.format(id="pair_id", table="(SELECT pair_id, second AS text FROM p)", k=7)}),
+one AS (SELECT seq_id, kmer, min(pos) AS x FROM f GROUP BY ALL HAVING count(*) = 1), two AS (SELECT seq_id, kmer, min(pos) AS y FROM g GROUP BY ALL HAVING count(*) = 1),
+both_sides AS (SELECT seq_id AS pair_id, x, y, row_number() OVER (PARTITION BY seq_id ORDER BY y) AS j FROM one JOIN two USING (seq_id, kmer)),
+o AS MATERIALIZED (SELECT pair_id, list(x ORDER BY x) AS xs, list(y ORDER BY y) AS ys, list(j ORDER BY x) AS js FROM both_sides GROUP BY pair_id),
+r AS (
+  SELECT pair_id, 1 AS k, CAST([] AS BIGINT[]) AS ends, CAST([] AS BIGINT[]) AS lv FROM o
+  UNION ALL
+  SELECT r.pair_id, k + 1, list_concat(list_filter(ends, lambda e: e < js[k]), [CAST(js[k] AS BIGINT)], list_slice(list_filter(ends, lambda e: e > js[k]), 2, len(ends) + 1)),
+    list_append(lv, len(list_filter(ends, lambda e: e < js[k])) + 1)
+  FROM r JOIN o ON r.pair_id = o.pair_id WHERE k <= len(js)
+), graded AS MATERIALIZED (SELECT o.*, r.lv, len(r.ends) AS top FROM r JOIN o ON r.pair_id = o.pair_id WHERE k = len(js) + 1)"""
+#: Back from both ends, a word at a time: a match, else a word of the first list if no level is lost by it, else one of the second.
+LCS = f"""{ONCE}, t AS (
+  SELECT pair_id, len(js) AS i, len(js) AS j, top AS here, 0 AS step, CAST(NULL AS VARCHAR) AS move FROM graded
+  UNION ALL
+  SELECT pair_id, i - CAST(move <> 'right' AS BIGINT), j - CAST(move <> 'left' AS BIGINT), here - CAST(move = 'both' AS BIGINT), step + 1, move FROM (
+    SELECT t.pair_id, i, j, here, step, CASE WHEN i > 0 AND j > 0 AND js[i] = j THEN 'both'
+      WHEN i > 0 AND (j = 0 OR here = 0 OR len(list_filter(range(1, i), lambda q: lv[q] = here AND js[q] <= j)) > 0) THEN 'left' ELSE 'right' END AS move
+    FROM t JOIN graded ON t.pair_id = graded.pair_id WHERE i > 0 OR j > 0
+  )
+), k AS (
+  SELECT t.pair_id, max(step) OVER (PARTITION BY t.pair_id) - step AS ord, CASE WHEN move <> 'right' THEN xs[i + 1] END AS left_pos, CASE WHEN move <> 'left' THEN ys[j + 1] END AS right_pos, move
+  FROM t JOIN graded ON t.pair_id = graded.pair_id WHERE move IS NOT NULL
+), e AS (SELECT *, move = 'both' AS eq, lag(move = 'both') OVER (PARTITION BY pair_id ORDER BY ord) AS was FROM k),
+runs AS (SELECT *, 1 + sum(CAST(was IS NOT NULL AND was <> eq AS INT)) OVER (PARTITION BY pair_id ORDER BY ord) AS part FROM e),
+parts AS (SELECT pair_id, part, bool_and(eq) AS eq, min(left_pos) AS st1, max(left_pos) AS en1, min(right_pos) AS st2, max(right_pos) AS en2 FROM runs GROUP BY pair_id, part)"""
+
+
+@query("kmer_lcs", f"WITH RECURSIVE {LCS} SELECT pair_id, CAST(ord AS BIGINT) AS ord, CAST(left_pos AS BIGINT) AS \"left\", CAST(right_pos AS BIGINT) AS \"right\" FROM k")
 def kmer_lcs(spark, sf_dir):
-    return align.align_kmers(tables.related_pairs(spark, sf_dir), k=7)
+    return lcs.align_kmers(tables.related_pairs(spark, sf_dir), k=7)
 
 
 @query("kmer_lcs_length", f"""
@@ -561,19 +591,22 @@ SELECT r.pair_id, CAST(len(ys) AS BIGINT) AS shared, CAST(len(ends) AS BIGINT) A
 """)
 def kmer_lcs_length(spark, sf_dir):
     """Words that occur once on either side, and how many of them align."""
-    found = align.align_kmers(tables.related_pairs(spark, sf_dir), k=7)
+    found = lcs.align_kmers(tables.related_pairs(spark, sf_dir), k=7)
     return found.groupBy("pair_id").agg(F.count("left").alias("shared"), F.count_if(F.col("left").isNotNull() & F.col("right").isNotNull()).alias("matched"))
 
 
-@query("kmer_align_parts")
+@query("kmer_align_parts", f"WITH RECURSIVE {LCS} SELECT pair_id AS aln_id, CAST(part AS BIGINT) AS part, eq AS is_match, CAST(st1 AS BIGINT) AS st1, CAST(en1 AS BIGINT) AS en1, CAST(st2 AS BIGINT) AS st2, CAST(en2 AS BIGINT) AS en2 FROM parts WHERE eq OR part > 1")
 def kmer_align_parts(spark, sf_dir):
-    found = align.align_kmers(tables.related_pairs(spark, sf_dir), k=7).withColumnRenamed("pair_id", "aln_id")
+    found = lcs.align_kmers(tables.related_pairs(spark, sf_dir), k=7).withColumnRenamed("pair_id", "aln_id")
     return analytics.match_parts(found)
 
 
-@query("kmer_align_blocks")
+@query("kmer_align_blocks", f"""
+WITH RECURSIVE {LCS}, w AS (SELECT *, sum(CAST(NOT eq AND greatest(coalesce(en1 - st1, 0), coalesce(en2 - st2, 0)) > 20 AS INT)) OVER (PARTITION BY pair_id ORDER BY part) AS block FROM parts)
+SELECT pair_id AS aln_id, CAST(min(st1) AS BIGINT) AS st1, CAST(max(en1) + 7 AS BIGINT) AS en1, CAST(min(st2) AS BIGINT) AS st2, CAST(max(en2) + 7 AS BIGINT) AS en2 FROM w WHERE eq GROUP BY pair_id, block
+""")
 def kmer_align_blocks(spark, sf_dir):
-    found = align.align_kmers(tables.related_pairs(spark, sf_dir), k=7).withColumnRenamed("pair_id", "aln_id")
+    found = lcs.align_kmers(tables.related_pairs(spark, sf_dir), k=7).withColumnRenamed("pair_id", "aln_id")
     return analytics.blocks_of_kmers(found, 20, 7)
 
 
