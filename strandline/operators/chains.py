@@ -136,13 +136,14 @@ def followed(by_stripe: list[DataFrame], pointers: DataFrame, tables: Tables) ->
     """Members (pair_id, k, score, back, ...) of the chains that begin at ``pointers`` (pair_id, k) and go by ``back``, to 0, through stripes (pair_id, k, score, back) that follow one another in k."""
     members = pointers.sparkSession.createDataFrame([], STEP)
     pointers = tables.settled(pointers)
-    for scored in reversed(by_stripe):
-        made = tables.settled(scored.groupBy("pair_id").cogroup(pointers.groupBy("pair_id")).applyInArrow(_walked, STEP), by="kind")
+    for s in range(len(by_stripe) - 1, -1, -1):
+        made = tables.settled(by_stripe[s].groupBy("pair_id").cogroup(pointers.groupBy("pair_id")).applyInArrow(_walked, STEP), by="kind")
         members = members.unionByName(made.filter(F.col("kind") == SCORED))
-        moved = made.filter(F.col("kind") == HANDED_ON).select("pair_id", "k")
-        # Pairs with no part of their chain in this stripe go on as they are.
-        met = made.select("pair_id").distinct()
-        pointers = tables.settled(moved.unionByName(pointers.join(met, "pair_id", "left_anti")))
+        if s:
+            moved = made.filter(F.col("kind") == HANDED_ON).select("pair_id", "k")
+            # Pairs with no part of their chain in this stripe go on as they are.
+            met = made.select("pair_id").distinct()
+            pointers = tables.settled(moved.unionByName(pointers.join(met, "pair_id", "left_anti")))
     return members
 
 

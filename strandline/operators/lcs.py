@@ -95,8 +95,8 @@ def _cell(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)], names=NAMES)
 
 
-def levels(points: DataFrame, tables: Tables, cell: int = CELL) -> DataFrame:
-    """pair_id, i, j, level of points (pair_id, i, j), each of which comes once."""
+def levels(points: DataFrame, tables: Tables, cell: int = CELL) -> tuple[DataFrame, int]:
+    """pair_id, i, j, level of points (pair_id, i, j), each of which comes once; and how many ranges the longest first list has."""
     range_of = lambda c: ((F.col(c) - F.pmod(F.col(c), F.lit(cell))) / cell).cast("long")
     placed = points.select(F.col("pair_id").cast("long").alias("pair_id"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), range_of("i").alias("a"), range_of("j").alias("b"))
     # A row for each cell: as many as a range has words, over ``cell``.
@@ -105,9 +105,9 @@ def levels(points: DataFrame, tables: Tables, cell: int = CELL) -> DataFrame:
     cells = cells.select("*", F.lead("a").over(along_a).alias("up"), F.lead("b").over(along_b).alias("right"), F.max("a").over(all_of).alias("top_a"), F.max("b").over(all_of).alias("top_b"))
     placed = placed.join(cells, ["pair_id", "a", "b"]).withColumns({"kind": F.lit(POINT), "level": F.lit(None).cast("long"), "wave": F.col("a") + F.col("b")})
     placed = tables.settled(placed.select(*NAMES), by="wave")
-    last = placed.agg(F.max("wave")).first()[0]
+    last, ranges = placed.agg(F.max("wave"), F.max("a")).first()
     if last is None:
-        return points.sparkSession.createDataFrame([], "pair_id long, i long, j long, level long")
+        return points.sparkSession.createDataFrame([], "pair_id long, i long, j long, level long"), 0
     path = f"{tables.folder}/cells-{tables.made}"
     spark = points.sparkSession
     for wave in range(last + 1):
@@ -116,7 +116,7 @@ def levels(points: DataFrame, tables: Tables, cell: int = CELL) -> DataFrame:
             rows = rows.unionByName(spark.read.schema(ROW).parquet(path).filter((F.col("wave") == wave) & (F.col("kind") != POINT)))
         made = rows.groupBy("pair_id", "a", "b").applyInArrow(_cell, ROW)
         made.write.mode("append").partitionBy("wave", "kind").parquet(path)
-    return spark.read.schema(ROW).parquet(path).filter(F.col("kind") == POINT).select("pair_id", "i", "j", "level")
+    return spark.read.schema(ROW).parquet(path).filter(F.col("kind") == POINT).select("pair_id", "i", "j", "level"), ranges + 1
 
 
 def _number(i: str, j: str):
@@ -127,19 +127,16 @@ def _number(i: str, j: str):
 def subsequence(points: DataFrame, sizes: DataFrame, cell: int = CELL, unique: bool = False) -> DataFrame:
     """pair_id, i, j, level: of each pair the common subsequence that is found going back from both ends.
 
-    ``sizes``: pair_id, n, m, the words of both lists (under 2^31). Going back, a match is taken if the last two words are
+    ``sizes``: pair_id, n, m, the words of both lists (under 2^31). ``points`` are read several times. Going back, a match is taken if the last two words are
     equal, else a word of the first list is left out if that costs no level, else one of the second. So a
     point's predecessor is one level lower and lies just before it on the second side, with the largest i, or, where there
     is none, has the least i of all that lie before it, with the largest j. ``unique``: words occur once.
     """
     tables = Tables(points.sparkSession)
-    found = tables.settled(levels(points, tables, cell))
-    # A point behind both lists, whose predecessor is the end of the subsequence.
-    ends = found.groupBy("pair_id").agg((F.max("level") + 1).alias("level")).join(sizes, "pair_id").select("pair_id", F.col("n").cast("long").alias("i"), F.col("m").cast("long").alias("j"), "level")
-    all_points = found.unionByName(ends)
-    asked = all_points.select("pair_id", "i", "j", (F.col("level") - 1).alias("at_level"), F.lit(0).alias("given"))
+    found, ranges = levels(points, tables, cell)
+    asked = found.select("pair_id", "i", "j", (F.col("level") - 1).alias("at_level"), F.lit(0).alias("given"))
     given = found.select("pair_id", "i", "j", F.col("level").alias("at_level"), F.lit(1).alias("given"))
-    both = tables.settled(asked.unionByName(given))
+    both = asked.unionByName(given)
     # Points that ask come before those of the same place.
     value = F.when(F.col("given") == 1, F.struct((-F.col("i")).alias("minus_i"), F.col("j").alias("j")))
     back = running(both, ["pair_id", "at_level"], "j", peaks={"back": value}, ties=("given", "i"))
@@ -149,62 +146,85 @@ def subsequence(points: DataFrame, sizes: DataFrame, cell: int = CELL, unique: b
         near = running(column, ["pair_id", "at_level", "column"], "i", before={"near_i": F.when(F.col("given") == 1, F.col("i"))}, ties=("given",))
         near = near.filter("given = 0").select("pair_id", "i", "j", "near_i")
         back = back.join(near, ["pair_id", "i", "j"]).withColumn("back_j", F.when(F.col("near_i").isNotNull(), F.col("j") - 1).otherwise(F.col("back_j"))).withColumn("back_i", F.coalesce("near_i", "back_i"))
-    linked = back.select("pair_id", "i", "j", "level", _number("i", "j").alias("k"), F.coalesce(_number("back_i", "back_j"), F.lit(0).cast("long")).alias("back"))
-    linked = linked.join(ends.select("pair_id", F.col("level").alias("top")), "pair_id")
-    linked = tables.settled(linked.withColumn("range", ((F.col("i") - F.pmod(F.col("i"), F.lit(cell))) / cell).cast("long")), by="range")
-    pointers = linked.filter("level = top").select("pair_id", F.col("back").alias("k"))
-    last = linked.agg(F.max("range")).first()[0]
-    step = lambda r: linked.filter((F.col("range") == r) & (F.col("level") < F.col("top"))).select("pair_id", "k", F.col("level").cast("double").alias("score"), "back")
-    members = chains.followed([step(r) for r in range(-1 if last is None else last + 1)], pointers, tables)
+    linked = back.select("pair_id", _number("i", "j").alias("k"), F.col("level").cast("double").alias("score"), F.coalesce(_number("back_i", "back_j"), F.lit(0).cast("long")).alias("back"), ((F.col("i") - F.pmod(F.col("i"), F.lit(cell))) / cell).cast("long").alias("range"))
+    linked = tables.settled(linked, by="range")
+    # The end is the predecessor of what would follow both lists.
+    last_word = F.when(F.col("j") == F.col("m") - 1, F.col("i")).otherwise(F.lit(-1))
+    end = F.max(F.struct("level", last_word.alias("near_i"), (-F.col("i")).alias("minus_i"), F.col("j").alias("j")))
+    ends = found.join(sizes.select("pair_id", "m"), "pair_id").groupBy("pair_id").agg(end.alias("end"))
+    pointers = ends.select("pair_id", (-F.col("end.minus_i")).alias("i"), F.col("end.j").alias("j")).select("pair_id", _number("i", "j").alias("k"))
+    members = chains.followed([linked.filter(F.col("range") == r) for r in range(ranges)], pointers, tables)
     low = F.col("k").bitwiseAND(F.lit((1 << 32) - 1))
     return members.select("pair_id", (F.shiftright("k", 32) - 1).alias("i"), low.alias("j"), F.col("score").cast("long").alias("level"))
 
 
-def aligned(first: DataFrame, second: DataFrame, cell: int = CELL, unique: bool = False) -> DataFrame:
+def aligned(left: DataFrame, right: DataFrame, points: DataFrame, cell: int = CELL, unique: bool = False) -> DataFrame:
     """pair_id, ord, left, right: the places of both lists' words in order, those of the subsequence side by side, others with a null.
 
-    ``first``, ``second``: pair_id, word, pos; a place holds one word, and each word is in both lists of its pair.
-    Between two matches the words of the second list come before those of the first.
+    ``left``: pair_id, i, pos and ``right``: pair_id, j, pos, the words' numbers from 0 and places; ``points``: pair_id, i, j of equal words.
+    All are read several times. Between two matches the words of the second list come before those of the first.
     """
-    tables = Tables(first.sparkSession)
-
-    def numbered(words: DataFrame, name: str) -> DataFrame:
-        counted = running(words.select("pair_id", "word", "pos"), ["pair_id"], "pos", sums={"place": F.lit(1).cast("long")})
-        return tables.settled(counted.select("pair_id", "word", "pos", (F.col("place") - 1).alias(name)))
-
-    left, right = numbered(first, "i"), numbered(second, "j")
-    size = lambda words, c, n: words.groupBy("pair_id").agg((F.max(c) + 1).alias(n))
-    sizes = tables.settled(size(left, "i", "n").join(size(right, "j", "m"), "pair_id"))
-    points = tables.settled(left.join(right, ["pair_id", "word"]).select("pair_id", "i", "j"))
-    chain = tables.settled(subsequence(points, sizes, cell, unique).select("pair_id", "i", "j", "level"))
+    sizes = left.groupBy("pair_id").agg((F.max("i") + 1).alias("n")).join(right.groupBy("pair_id").agg((F.max("j") + 1).alias("m")), "pair_id")
+    chain = subsequence(points, sizes, cell, unique)
     on_left = left.join(chain, ["pair_id", "i"], "left").select("pair_id", "i", "pos", "j", "level")
     on_right = right.join(chain, ["pair_id", "j"], "left").select("pair_id", "j", "pos", "i", "level")
     # How far the other list is before a word: for the first list's up to the next match, for the second's behind the last one.
-    lefts = running(tables.settled(on_left), ["pair_id"], "i", before={"upto": F.col("level")}, after={"next_j": F.col("j")}).join(sizes, "pair_id")
-    rights = running(tables.settled(on_right), ["pair_id"], "j", before={"upto": F.col("level"), "last_i": F.col("i")})
+    lefts = running(on_left, ["pair_id"], "i", before={"upto": F.col("level")}, after={"next_j": F.col("j")}).join(sizes, "pair_id")
+    rights = running(on_right, ["pair_id"], "j", before={"upto": F.col("level"), "last_i": F.col("i")})
     none = F.lit(None).cast("long")
     upto = F.coalesce("upto", F.lit(0))
-    gaps = lefts.filter("level is null").select("pair_id", (F.col("i") + F.coalesce("next_j", "m") - upto).alias("ord"), F.col("pos").cast("long").alias("left"), none.alias("right"))
-    gaps = gaps.unionByName(rights.filter("level is null").select("pair_id", (F.coalesce(F.col("last_i") + 1, F.lit(0)) + F.col("j") - upto).alias("ord"), none.alias("left"), F.col("pos").cast("long").alias("right")))
-    matches = on_left.filter("level is not null").select("pair_id", "i", "j", "level", F.col("pos").cast("long").alias("left")).join(on_right.filter("level is not null").select("pair_id", "j", F.col("pos").cast("long").alias("right")), ["pair_id", "j"])
+    gaps = lefts.filter("level is null").select("pair_id", (F.col("i") + F.coalesce("next_j", "m") - upto).alias("ord"), F.col("pos").alias("left"), none.alias("right"))
+    gaps = gaps.unionByName(rights.filter("level is null").select("pair_id", (F.coalesce(F.col("last_i") + 1, F.lit(0)) + F.col("j") - upto).alias("ord"), none.alias("left"), F.col("pos").alias("right")))
+    matches = chain.join(left.withColumnRenamed("pos", "left"), ["pair_id", "i"]).join(right.withColumnRenamed("pos", "right"), ["pair_id", "j"])
     return gaps.unionByName(matches.select("pair_id", (F.col("i") + F.col("j") - F.col("level") + 1).alias("ord"), "left", "right"))
 
 
+def _numbered(words: DataFrame, place: str, name: str) -> DataFrame:
+    """``words`` plus their numbers from 0 by ``place``."""
+    counted = running(words, ["pair_id"], place, sums={"_upto": F.lit(1).cast("long")})
+    return counted.withColumn(name, F.col("_upto") - 1).drop("_upto")
+
+
+def _places(pairs: DataFrame, side: str, k: int) -> DataFrame:
+    found = kmers.kmers(pairs.select(F.col("pair_id").cast("long").alias("pair_id"), F.col(side).cast("string").alias("seq")), k, "pair_id", "seq")
+    return found.select(F.col("seq_id").alias("pair_id"), F.col("kmer").alias("word"), F.col("pos").cast("long").alias("pos"))
+
+
+def _shared(first: DataFrame, second: DataFrame, most: int) -> DataFrame:
+    """pair_id, word, x, y: words that occur ``most`` times at most on either side, and where first."""
+
+    def rare(found: DataFrame, name: str) -> DataFrame:
+        return found.groupBy("pair_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias(name)).filter(F.col("n") <= most).drop("n")
+
+    return rare(first, "x").join(rare(second, "y"), ["pair_id", "word"])
+
+
+def _unique_points(both: DataFrame, tables: Tables) -> DataFrame:
+    return tables.settled(_numbered(_numbered(both.drop("word"), "x", "i"), "y", "j"))
+
+
+def lengths(pairs: DataFrame, k: int = 10, cell: int = CELL) -> DataFrame:
+    """pair_id, shared, matched: k-mers that occur once on both sides, and how many of them a longest common subsequence has."""
+    tables = Tables(pairs.sparkSession)
+    both = tables.settled(_shared(_places(pairs, "first", k), _places(pairs, "second", k), 1))
+    found, _ = levels(_unique_points(both, tables), tables, cell)
+    return found.groupBy("pair_id").agg(F.count("*").alias("shared"), F.max("level").alias("matched"))
+
+
 def align_kmers(pairs: DataFrame, k: int = 10, most: int = 1, cell: int = CELL) -> DataFrame:
     """pair_id, ord, left, right: shared k-mers that occur ``most`` times at most on either side, in a longest common subsequence, gaps as nulls.
 
     pair_ids are distinct; null sequences are empty; pairs that share no such k-mer give no rows.
     """
     tables = Tables(pairs.sparkSession)
-
-    def rare(side: str) -> DataFrame:
-        found = kmers.kmers(pairs.select(F.col("pair_id").cast("long").alias("pair_id"), F.col(side).cast("string").alias("seq")), k, "pair_id", "seq")
-        found = found.select(F.col("seq_id").alias("pair_id"), F.col("kmer").alias("word"), F.col("pos").cast("long").alias("pos"))
-        counted = found.groupBy("pair_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).filter(F.col("n") <= most)
-        if most > 1:
-            counted = found.join(counted.select("pair_id", "word"), ["pair_id", "word"], "left_semi")
-        return tables.settled(counted.select("pair_id", "word", "pos"))
-
-    first, second = rare("first"), rare("second")
-    within = lambda one, other: tables.settled(one.join(other.select("pair_id", "word").distinct(), ["pair_id", "word"], "left_semi"))
-    return aligned(within(first, second), within(second, first), cell, unique=most == 1)
+    first, second = _places(pairs, "first", k), _places(pairs, "second", k)
+    both = tables.settled(_shared(first, second, most))
+    if most == 1:
+        points = _unique_points(both, tables)
+        left, right = points.select("pair_id", "i", F.col("x").alias("pos")), points.select("pair_id", "j", F.col("y").alias("pos"))
+    else:
+        shared = both.select("pair_id", "word")
+        every = lambda found, name: tables.settled(_numbered(tables.settled(found.join(shared, ["pair_id", "word"], "left_semi")), "pos", name))
+        left, right = every(first, "i"), every(second, "j")
+        points = tables.settled(left.drop("pos").join(right.drop("pos"), ["pair_id", "word"]).select("pair_id", "i", "j"))
+    return aligned(left.select("pair_id", "i", "pos"), right.select("pair_id", "j", "pos"), points.select("pair_id", "i", "j"), cell, unique=most == 1)

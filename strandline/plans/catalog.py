@@ -591,8 +591,7 @@ SELECT r.pair_id, CAST(len(ys) AS BIGINT) AS shared, CAST(len(ends) AS BIGINT) A
 """)
 def kmer_lcs_length(spark, sf_dir):
     """Words that occur once on either side, and how many of them align."""
-    found = lcs.align_kmers(tables.related_pairs(spark, sf_dir), k=7)
-    return found.groupBy("pair_id").agg(F.count("left").alias("shared"), F.count_if(F.col("left").isNotNull() & F.col("right").isNotNull()).alias("matched"))
+    return lcs.lengths(tables.related_pairs(spark, sf_dir), k=7)
 
 
 @query("kmer_align_parts", f"WITH RECURSIVE {LCS} SELECT pair_id AS aln_id, CAST(part AS BIGINT) AS part, eq AS is_match, CAST(st1 AS BIGINT) AS st1, CAST(en1 AS BIGINT) AS en1, CAST(st2 AS BIGINT) AS st2, CAST(en2 AS BIGINT) AS en2 FROM parts WHERE eq OR part > 1")
