@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import bases
+from ..sources.shared import Tables
+from . import words
 from .scan import running
 
 #: Letters of a stretch that k-mers are read from: a k-mer's cost doesn't grow with its place.
 STRETCH = 256
+#: Letters of a sequence up to which its k-mers are counted in one task.
+WHOLE = 1 << 19
+#: Bounds of the bits of a sieve: 8 MB are held at most.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
 
 def chunks(seqs: DataFrame, size: int, overlap: int, id_col: str = "seq_id", seq_col: str = "seq") -> DataFrame:
@@ -60,6 +71,79 @@ def shared_rare(a: DataFrame, b: DataFrame, most: int = 1) -> DataFrame:
     return left.join(right, "kmer").select("first_id", "second_id", "kmer")
 
 
+def _by_blocks(seqs: DataFrame, id_col: str, seq_col: str, schema: str, cut: Callable, of_block: Callable) -> DataFrame:
+    """seq_id and the columns of ``schema``: what ``of_block`` gives for each block that ``cut`` makes of a batch, as rows of the batch and columns."""
+    named = seqs.select(F.col(id_col).alias("seq_id"), F.col(seq_col).cast("string").alias("seq"))
+    out = StructType([named.schema["seq_id"], *StructType.fromDDL(schema)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in cut(x.as_py() for x in batch.column(1)):
+                rows, *columns = of_block(block)
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *map(pa.array, columns)], names=out.names)
+
+    return named.mapInArrow(run, out)
+
+
+def rare_numbers(seqs: DataFrame, k: int, most: int = 1, id_col: str = "seq_id", seq_col: str = "seq", whole: int = WHOLE) -> DataFrame:
+    """seq_id, n_rare: how many k-mers occur ``most`` times at most in their sequence; sequences without any have no row.
+
+    A sequence of at most ``whole`` letters is counted where it is read, and no k-mer is a row. Longer
+    ones, and ids of several rows, are counted by ``rare``.
+    """
+    named = seqs.select(F.col(id_col).alias("seq_id"), F.col(seq_col).cast("string").alias("seq"))
+    sizes = named.groupBy("seq_id").agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("longest"))
+    apart = Tables(seqs.sparkSession).settled(sizes.filter((F.col("n") > 1) | (F.col("longest") > whole)).select(F.col("seq_id").alias("apart")))
+    is_apart = F.col("seq_id").eqNullSafe(F.col("apart"))
+
+    def of_block(block: words.Block) -> tuple:
+        n = words.rare_numbers(block, k, most)
+        some = np.flatnonzero(n)
+        return block.rows[some], n[some].astype(np.int64)
+
+    here = _by_blocks(named.join(apart, is_apart, "left_anti"), "seq_id", "seq", "n_rare long", lambda texts: words.blocks(texts, 0, most=whole), of_block)
+    rest = rare(kmers(named.join(apart, is_apart, "left_semi"), k), most).groupBy("seq_id").agg(F.count("*").alias("n_rare"))
+    return here.unionByName(rest)
+
+
+def sieve(wanted: DataFrame, k: int) -> words.Sieve:
+    """A bitmap for the k-mers of ``wanted`` (kmer), made by its tasks: 16 bits for each up to four million of them, and never more than ``MOST_BITS``."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * wanted.count()).bit_length()))
+    empty = words.Sieve(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in words.blocks((x.as_py() for x in batch.column(0)), 0):
+                at, _ = block.places(k)
+                p = np.unique(np.concatenate(empty.places(words.hashes(block.codes, k)[at])))
+                place, first = np.unique(p >> 6, return_index=True)
+                word = np.bitwise_or.reduceat(np.uint64(1) << (p & 63).astype(np.uint64), first) if len(p) else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(word.view(np.int64))], names=["place", "word"])
+
+    found = wanted.select("kmer").mapInArrow(run, "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found.column("place").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
+    return words.Sieve(bits, out)
+
+
+def likely(seqs: DataFrame, k: int, wanted: DataFrame, id_col: str = "seq_id", seq_col: str = "seq") -> DataFrame:
+    """seq_id, pos, kmer of ``kmers``, without most of those that aren't in ``wanted`` (kmer): those in it are all there.
+
+    Texts are read against a bitmap of bounded size, and only what passes becomes a row. The join
+    with ``wanted`` is still the caller's; the more k-mers it has, the less is left out.
+    """
+    held = sieve(wanted, k)
+
+    def of_block(block: words.Block) -> tuple:
+        at, piece = block.places(k)
+        some = held.may_hold(words.hashes(block.codes, k)[at])
+        at, piece = at[some], piece[some]
+        return block.rows[piece], block.starts[piece] + at - block.at[piece], block.words(at, k)
+
+    return _by_blocks(seqs, id_col, seq_col, "pos long, kmer string", lambda texts: words.blocks(texts, k - 1), of_block)
+
+
 def positions_of(found: DataFrame, wanted: DataFrame) -> DataFrame:
     """The occurrences whose k-mer is in ``wanted`` (kmer)."""
     return found.join(wanted.select("kmer").distinct(), "kmer", "left_semi").select("seq_id", "pos", "kmer")

@@ -217,7 +217,7 @@ def kmer_counts(spark, sf_dir):
 
 @query("kmer_rare", f"WITH d AS ({DOC_KMERS}), r AS ({RARE.format('d')}) SELECT seq_id AS doc_id, count(*) AS n_rare FROM r GROUP BY seq_id")
 def kmer_rare(spark, sf_dir):
-    return kmers.rare(kmers.kmers(tables.documents(spark, sf_dir), 24)).groupBy(F.col("seq_id").alias("doc_id")).agg(F.count("*").alias("n_rare"))
+    return kmers.rare_numbers(tables.documents(spark, sf_dir), 24).withColumnRenamed("seq_id", "doc_id")
 
 
 @query("kmer_rare_shared", f"""
