@@ -225,7 +225,8 @@ WITH d AS ({DOC_KMERS}), b AS ({ITEM_KMERS}), rd AS ({RARE.format("d")}), rb AS
 SELECT rd.seq_id AS doc_id, rb.seq_id AS item_id, count(*) AS n_shared FROM rd JOIN rb USING (kmer) GROUP BY ALL
 """)
 def kmer_rare_shared(spark, sf_dir):
-    shared = kmers.shared_rare(kmers.kmers(tables.documents(spark, sf_dir), 24), kmers.kmers(tables.passages(spark, sf_dir), 24))
+    items = kmers.kmers(tables.passages(spark, sf_dir), 24)
+    shared = kmers.shared_rare(kmers.likely(tables.documents(spark, sf_dir), 24, kmers.rare(items)), items)
     return shared.groupBy(F.col("first_id").alias("doc_id"), F.col("second_id").alias("item_id")).agg(F.count("*").alias("n_shared"))
 
 
