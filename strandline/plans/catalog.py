@@ -231,18 +231,18 @@ def kmer_rare_shared(spark, sf_dir):
 
 
 def _shared_positions(spark, sf_dir):
-    items = kmers.kmers(tables.passages(spark, sf_dir), 24)
-    return kmers.positions_of(kmers.kmers(tables.documents(spark, sf_dir), 24), kmers.rare(items)), items
+    wanted = kmers.rare(kmers.kmers(tables.passages(spark, sf_dir), 24))
+    return kmers.positions_of(kmers.likely(tables.documents(spark, sf_dir), 24, wanted), wanted)
 
 
 @query("kmer_positions", f"WITH d AS ({DOC_KMERS}), b AS ({ITEM_KMERS}), rb AS ({RARE.format('b')}) SELECT seq_id AS doc_id, CAST(pos AS BIGINT) AS pos, kmer FROM d WHERE kmer IN (SELECT kmer FROM rb)")
 def kmer_positions(spark, sf_dir):
-    return _shared_positions(spark, sf_dir)[0].withColumnRenamed("seq_id", "doc_id")
+    return _shared_positions(spark, sf_dir).withColumnRenamed("seq_id", "doc_id")
 
 
 @query("kmer_coords", f"WITH d AS ({DOC_KMERS}), b AS ({ITEM_KMERS}), rb AS ({RARE.format('b')}) SELECT seq_id AS doc_id, kmer, array_to_string(list_sort(list(pos)), ',') AS positions FROM d WHERE kmer IN (SELECT kmer FROM rb) GROUP BY seq_id, kmer")
 def kmer_coords(spark, sf_dir):
-    lists = kmers.coordinate_lists(_shared_positions(spark, sf_dir)[0])
+    lists = kmers.coordinate_lists(_shared_positions(spark, sf_dir))
     return lists.select(F.col("seq_id").alias("doc_id"), "kmer", bases.join_fields(F.col("positions")).alias("positions"))
 
 
@@ -251,9 +251,8 @@ WITH d AS ({DOC_KMERS}), b AS ({ITEM_KMERS})
 SELECT d.seq_id AS doc_id, b.seq_id AS item_id, CAST(d.pos AS BIGINT) AS x, CAST(b.pos AS BIGINT) AS y, CAST(d.pos + 24 AS BIGINT) AS x_end, CAST(b.pos + 24 AS BIGINT) AS y_end FROM d JOIN b USING (kmer)
 """)
 def kmer_dotplot_pairs(spark, sf_dir):
-    found, items = _shared_positions(spark, sf_dir)
-    every = kmers.positions_of(kmers.kmers(tables.documents(spark, sf_dir), 24), items)
-    return kmers.dotplot_pairs(every, items, 24).withColumnsRenamed({"first_id": "doc_id", "second_id": "item_id"})
+    items = kmers.kmers(tables.passages(spark, sf_dir), 24)
+    return kmers.dotplot_pairs(kmers.likely(tables.documents(spark, sf_dir), 24, items), items, 24).withColumnsRenamed({"first_id": "doc_id", "second_id": "item_id"})
 
 
 def _minimizer_sql(words: str, name: str, w: int) -> str:
