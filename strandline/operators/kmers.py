@@ -165,22 +165,19 @@ def dotplot_pairs(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 def minimizers(seqs: DataFrame, k: int, w: int, id_col: str = "seq_id", seq_col: str = "seq", strands: bool = True) -> DataFrame:
     """seq_id, pos, kmer: the least k-mer of each window of ``w``, leftmost of equals, repeats dropped.
 
-    Windows lie in overlapping stretches, so one long sequence is many tasks. A
-    sequence with fewer than ``w`` k-mers has one window.
+    Sequences are read block by block where they are: neither k-mers nor windows are
+    rows. A sequence with fewer than ``w`` k-mers has one window.
     """
     if w < 2:
         raise ValueError("a window holds two k-mers or more")
-    pieces = chunks(seqs.filter(F.length(seq_col) >= k), 8 * STRETCH, k + w - 2, id_col, seq_col)
-    found = kmers(pieces.select(F.struct("seq_id", "start").alias("s"), "chunk"), k, "s", "chunk")
+
+    def of_block(block: words.Block) -> tuple:
+        piece, at = words.minimizers(block, k, w, strands)
+        return block.rows[piece], block.starts[piece] + at - block.at[piece], block.words(at, k)
+
+    cut = lambda texts: words.blocks(texts, k + w - 2, gap=w, early=1)
     word = bases.canonical(F.col("kmer")) if strands else F.col("kmer")
-    inside = found.select(F.col("seq_id.seq_id").alias("id"), F.col("seq_id.start").alias("start"), "pos", word.alias("word"))
-    window = Window.partitionBy("id", "start").orderBy("pos").rowsBetween(0, w - 1)
-    whole = Window.partitionBy("id", "start")
-    least = inside.select("id", "start", F.min(F.struct("word", "pos")).over(window).alias("m"), F.count("*").over(window).alias("n"), F.count("*").over(whole).alias("all"))
-    full = least.filter((F.col("n") == w) | ((F.col("all") < w) & (F.col("n") == F.col("all"))))
-    picked = full.select("id", (F.col("start") + F.col("m.pos")).alias("pos"), F.col("m.word").alias("kmer")).distinct()
-    before = F.lag("kmer").over(Window.partitionBy("id").orderBy("pos"))
-    return picked.withColumn("before", before).filter(~F.col("kmer").eqNullSafe(F.col("before"))).select(F.col("id").alias("seq_id"), "pos", "kmer")
+    return _by_blocks(seqs, id_col, seq_col, "pos long, kmer string", cut, of_block).select("seq_id", "pos", word.alias("kmer"))
 
 
 def sliding_min(rows: DataFrame, keys: list[str], order: list[str], value: str, w: int) -> DataFrame:
