@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from . import cigar
 from .scan import running
 
+#: Letters of a stretch that changes are looked for in.
+STRETCH = 1 << 12
 #: Mean of the published copy-number events. Fixed value.
 MEAN_RUN = 1.6594594594594594
 
@@ -23,19 +25,63 @@ def _uniform(*parts) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def _changed(stretches: DataFrame, seed: int, mismatch: float, deletion: float, insertion: float) -> DataFrame:
+    """id, key, size, offset, ``text`` and ``events`` (pos, len, op) of stretches (id, key, size, name, first, offset, part).
+
+    Choices hang on ``name`` and the letter's place, ``first`` + i. Only letters that change are ever more than a number.
+    """
+    u = lambda i, salt=0: _uniform(F.lit(seed + salt), F.col("name"), F.col("first") + i)
+    pick = lambda letters, i, salt: F.substring(letters, (F.floor(u(i, salt) * F.length(letters)) + 1).cast("int"), F.lit(1))
+    base = lambda i: F.substring("part", i + 1, F.lit(1))
+    op = lambda i: F.when(u(i) < mismatch, "X").when(u(i) < mismatch + deletion, "D").otherwise("I")
+
+    def new(c: Column) -> Column:
+        others = F.replace(F.lit("ACGT"), F.upper(base(c["i"])), F.lit(""))
+        return F.when(c["op"] == "X", pick(others, c["i"], 1)).when(c["op"] == "D", "").otherwise(F.concat(pick(F.lit("ACGT"), c["i"], 2), base(c["i"])))
+
+    places = F.filter(F.sequence(F.lit(0), F.length("part") - 1), lambda i: u(i) < mismatch + deletion + insertion)
+    rows = stretches.select("*", F.transform(places, lambda i: F.struct(i.alias("i"), op(i).alias("op"))).alias("changes"))
+    reached = lambda j: F.coalesce(F.get("changes", j - 1)["i"] + 1, F.lit(0))
+    parts = F.transform("changes", lambda c, j: F.concat(F.substring("part", reached(j) + 1, c["i"] - reached(j)), new(c)))
+    text = F.concat(F.array_join(parts, ""), F.substring("part", reached(F.size("changes")) + 1, F.length("part")))
+    events = F.transform("changes", lambda c: F.struct((F.col("offset") + F.col("first") + c["i"]).cast("long").alias("pos"), F.lit(1).cast("long").alias("len"), c["op"].alias("op")))
+    return rows.select("id", "key", "size", "offset", text.alias("text"), events.alias("events"))
+
+
+def _stretches(rows: DataFrame) -> DataFrame:
+    """Rows (id, size, name, side, offset, seq) as stretches that ``_changed`` takes; ``key`` puts them in order."""
+    cut = rows.filter(F.length("seq") > 0).withColumn("first", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(STRETCH))))
+    return cut.select("id", F.struct("side", "first").alias("key"), "size", "name", "first", "offset", F.substring("seq", F.col("first") + 1, F.lit(STRETCH)).alias("part"))
+
+
+def _joined(changed: DataFrame, more: Column | None = None) -> DataFrame:
+    """seq_id, mutated and cigar of what ``_changed`` gives; ``more`` is an event of each id, an aggregate."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("key", "text"))), lambda s: s["text"])
+    events = F.flatten(F.collect_list("events"))
+    events = events if more is None else F.concat(events, F.filter(F.array(more), lambda e: e["len"] > 0))
+    whole = changed.groupBy("id").agg(F.array_join(texts, "").alias("mutated"), F.array_sort(events).alias("ev"), F.max("size").cast("long").alias("size"))
+    # Where runs begin: mismatches and deletions go on right behind one of their kind, insertions never.
+    follows = lambda i: (F.get("ev", i)["op"] != "I") & (F.get("ev", i)["op"] == F.get("ev", i - 1)["op"]) & (F.get("ev", i)["pos"] == F.get("ev", i - 1)["pos"] + F.get("ev", i - 1)["len"])
+    numbers = F.when(F.size("ev") > 0, F.sequence(F.lit(0), F.size("ev") - 1)).otherwise(F.array().cast("array<int>"))
+    whole = whole.withColumn("runs", F.filter(numbers, lambda i: (i == 0) | ~follows(i)))
+    # A deletion's or mismatch's letters are used up, what an insertion stands before isn't.
+    end = lambda i: F.get("ev", i)["pos"] + F.when(F.get("ev", i)["op"] == "I", 0).otherwise(F.get("ev", i)["len"])
+    reached = lambda i: F.coalesce(end(i - 1), F.lit(0).cast("long"))
+    matched = lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("M"))).otherwise("")
+
+    def run(i: Column, j: Column) -> Column:
+        e, last = F.get("ev", i), F.coalesce(F.get("runs", j + 1), F.size("ev")) - 1
+        n = F.when(e["op"] == "I", e["len"]).otherwise(end(last) - e["pos"])
+        return F.concat(matched(e["pos"] - reached(i)), n.cast("string"), e["op"])
+
+    cigars = F.concat(F.array_join(F.transform("runs", run), ""), matched(F.col("size") - reached(F.size("ev"))))
+    return whole.select(F.col("id").alias("seq_id"), "mutated", cigars.alias("cigar"))
+
+
 def mutate(seqs: DataFrame, seed: int = 0, mismatch: float = 0.001, deletion: float = 0.0001, insertion: float = 0.0001) -> DataFrame:
     """seq_id, mutated and cigar: point changes letter by letter. An insertion puts a base before the letter."""
-    at = seqs.filter(F.length("seq") > 0).select("seq_id", F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("pos", "base"))
-    u = _uniform(F.lit(seed), "seq_id", "pos")
-    kind = F.when(u < mismatch, "X").when(u < mismatch + deletion, "D").when(u < mismatch + deletion + insertion, "I").otherwise("M")
-    pick = lambda letters, salt: F.substring(letters, (F.floor(_uniform(F.lit(seed + salt), "seq_id", "pos") * F.length(letters)) + 1).cast("int"), F.lit(1))
-    rows = at.withColumn("kind", kind).withColumn("others", F.replace(F.lit("ACGT"), F.upper("base"), F.lit("")))
-    new = F.when(F.col("kind") == "X", pick(F.col("others"), 1)).when(F.col("kind") == "D", "").when(F.col("kind") == "I", F.concat(pick(F.lit("ACGT"), 2), F.col("base"))).otherwise(F.col("base"))
-    rows = rows.select("seq_id", "pos", new.alias("new"), F.when(F.col("kind") == "I", F.array(F.lit("I"), F.lit("M"))).otherwise(F.array("kind")).alias("ops"))
-    letters = rows.select(F.col("seq_id").alias("aln_id"), F.col("pos"), F.posexplode("ops").alias("k", "op"))
-    runs = cigar.render(cigar.encode_runs(letters.select("aln_id", (F.col("pos") * 2 + F.col("k")).alias("ord"), "op")))
-    texts = rows.groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda s: s["new"]), "").alias("mutated"))
-    return texts.join(runs.withColumnRenamed("aln_id", "seq_id"), "seq_id")
+    rows = seqs.select(F.col("seq_id").alias("id"), F.length("seq").alias("size"), F.col("seq_id").alias("name"), F.lit(0).alias("side"), F.lit(0).alias("offset"), "seq")
+    return _joined(_changed(_stretches(rows), seed, mismatch, deletion, insertion))
 
 
 def delete_once(seqs: DataFrame, seed: int = 0, rate: float = 0.02, length: int = 1000) -> DataFrame:
@@ -45,19 +91,14 @@ def delete_once(seqs: DataFrame, seed: int = 0, rate: float = 0.02, length: int
     """
     fits = seqs.filter(F.length("seq") > length)
     start = F.floor(_uniform(F.lit(seed), "seq_id") * (F.length("seq") - length)).cast("int")
-    cut = fits.withColumn("start", start)
-    halves = cut.select(F.concat_ws("/", F.col("seq_id").cast("string"), F.lit("a")).alias("seq_id"), F.substring("seq", F.lit(1), F.col("start")).alias("seq")).unionByName(
-        cut.select(F.concat_ws("/", F.col("seq_id").cast("string"), F.lit("b")).alias("seq_id"), F.substring(F.col("seq"), F.col("start") + length + 1, F.length("seq")).alias("seq"))
-    )
-    changed = mutate(halves, seed + 7, rate / 2, rate / 4, rate / 4)
-    key = F.concat_ws("/", F.col("seq_id").cast("string"), F.lit("a")), F.concat_ws("/", F.col("seq_id").cast("string"), F.lit("b"))
-    a = changed.select(F.col("seq_id").alias("ka"), F.col("mutated").alias("ma"), F.col("cigar").alias("ca"))
-    b = changed.select(F.col("seq_id").alias("kb"), F.col("mutated").alias("mb"), F.col("cigar").alias("cb"))
-    out = cut.join(a, key[0] == a.ka, "left").join(b, key[1] == b.kb, "left")
-    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    whole = out.select("seq_id", F.concat(empty("ma"), empty("mb")).alias("mutated"), F.concat(empty("ca"), F.lit(f"{length}D"), empty("cb")).alias("cigar"))
-    merged = cigar.render(cigar.merge(cigar.parse(whole, "seq_id"))).withColumnRenamed("aln_id", "seq_id")
-    return whole.drop("cigar").join(merged, "seq_id")
+    name = lambda side: F.concat_ws("/", F.col("seq_id").cast("string"), F.lit(side))
+    half = lambda side, tag, offset, text: F.struct(F.lit(side).alias("side"), name(tag).alias("name"), offset.alias("offset"), text.alias("seq"))
+    both = F.array(half(0, "a", F.lit(0), F.substring("seq", F.lit(1), F.col("start"))), half(1, "b", F.col("start") + length, F.substring(F.col("seq"), F.col("start") + length + 1, F.length("seq"))))
+    cut = fits.withColumn("start", start).select(F.col("seq_id").alias("id"), F.length("seq").alias("size"), F.inline(both))
+    changed = _changed(_stretches(cut), seed + 7, rate / 2, rate / 4, rate / 4)
+    # The second half is never empty, and the deletion lies right before it.
+    gap = F.struct((F.max("offset") - length).cast("long").alias("pos"), F.lit(length).cast("long").alias("len"), F.lit("D").alias("op"))
+    return _joined(changed, gap)
 
 
 def copy_number(seqs: DataFrame, events: int, seed: int = 0, mean_run: float = MEAN_RUN, duplicate: float = 0.5) -> DataFrame:

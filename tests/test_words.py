@@ -8,6 +8,8 @@ import pytest
 from strandline.functions import bases
 from strandline.operators import kmers, words
 
+from .shuffled import shuffled_mb
+
 COMPLEMENT = str.maketrans(bases.FROM_BASES, bases.TO_BASES)
 
 
@@ -16,20 +18,6 @@ def texts(letters, n, longest, seed=1):
     return ["".join(rng.choices(letters, k=rng.randint(0, longest))) for _ in range(n)]
 
 
-def shuffled_mb(spark, df):
-    """MB that writing ``df`` shuffles."""
-    sc = spark.sparkContext._jsc.sc()
-
-    def now():
-        sc.listenerBus().waitUntilEmpty(30_000)
-        found = sc.statusStore().executorList(False)
-        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size())) / 1e6
-
-    before = now()
-    df.write.format("noop").mode("overwrite").save()
-    return now() - before
-
-
 def rare_by_hand(rows, k, most):
     found = {}
     for name, text in rows:
