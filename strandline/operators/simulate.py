@@ -11,9 +11,6 @@ from math import exp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import cigar
-from .scan import running
-
 #: Letters of a stretch that changes are looked for in.
 STRETCH = 1 << 12
 #: Mean of the published copy-number events. Fixed value.
@@ -107,8 +104,9 @@ def copy_number(seqs: DataFrame, events: int, seed: int = 0, mean_run: float = M
     ``seqs`` has seq_id, seq and ``starts``, the sorted starts of its units (the
     first is taken as 0). Run lengths are 1 + Poisson(mean_run - 1); the last unit
     is never part of a run, and an event whose run has no place changes nothing.
-    The events make a list of unit numbers; units are rows from there on, and what the
-    alignment does at each follows from the largest unit before it.
+    The events make a list of units, held as ranges of numbers: each event adds two at
+    most, however many units there are. What the alignment does at a range follows from the
+    largest unit before it.
     """
     size = F.length("seq")
     later = F.slice(F.coalesce("starts", F.array().cast("array<long>")), F.lit(2), F.greatest(F.coalesce(F.size("starts"), F.lit(0)), F.lit(0)))
@@ -121,27 +119,46 @@ def copy_number(seqs: DataFrame, events: int, seed: int = 0, mean_run: float = M
     plan = F.transform(F.sequence(F.lit(1), F.lit(events)), lambda e: F.struct(run_of(e).alias("run"), draw(e, 2).alias("where"), (draw(e, 3) < duplicate).alias("twice"))) if events else F.array().cast("array<struct<run:int,where:double,twice:boolean>>")
 
     def change(now: Column, event: Column) -> Column:
-        room = F.size(now) - event["run"]
+        """Ranges of units (from, to, and the place of the first in the list) after an event."""
+        room = F.element_at(now, -1)["at"] + F.element_at(now, -1)["to"] - F.element_at(now, -1)["from"] - event["run"]
         at = F.floor(event["where"] * room).cast("int")
-        head, tail = at + F.when(event["twice"], event["run"]).otherwise(0), at + 1 + F.when(event["twice"], 0).otherwise(event["run"])
-        return F.when(room < 1, now).otherwise(F.concat(F.slice(now, F.lit(1), head), F.slice(now, tail, F.size(now))))
-
-    listed = cuts.select("seq_id", F.posexplode(F.aggregate(plan, F.sequence(F.lit(0), F.size("cuts") - 2), change)).alias("place", "unit"))
-    begin, end = F.col("cuts")[F.col("unit")], F.col("cuts")[F.col("unit") + 1]
-    units = cuts.withColumn("unit", F.explode(F.sequence(F.lit(0), F.size("cuts") - 2)))
-    units = units.select("seq_id", "unit", begin.alias("begin"), end.alias("end"), F.substring(F.col("seq"), (begin + 1).cast("int"), (end - begin).cast("int")).alias("text"))
-    taken = running(listed, ["seq_id"], "place", peaks={"top": F.col("unit")}).join(units, ["seq_id", "unit"])
-    taken = taken.join(units.select("seq_id", F.col("unit").alias("top"), F.col("end").alias("reached")), ["seq_id", "top"], "left")
-    reached = F.coalesce("reached", F.lit(0))
-    new, length = F.col("top").isNull() | (F.col("unit") > F.col("top")), F.col("end") - F.col("begin")
-    step = lambda n, op: F.struct(n.alias("len"), F.lit(op).alias("op"))
-    steps = taken.select("seq_id", "place", F.posexplode(F.when(new, F.array(step(F.col("begin") - reached, "D"), step(length, "M"))).otherwise(F.array(step(length, "I")))).alias("k", "s"))
-    last = taken.groupBy("seq_id").agg(F.max("end").alias("end"), F.max("place").alias("place")).join(named.select("seq_id", size.cast("long").alias("size")), "seq_id")
-    rows = steps.select("seq_id", (F.col("place") * 2 + F.col("k")).alias("ord"), F.col("s.len").alias("len"), F.col("s.op").alias("op"))
-    rows = rows.unionByName(last.select("seq_id", (F.col("place") * 2 + 2).alias("ord"), (F.col("size") - F.col("end")).alias("len"), F.lit("D").alias("op")))
-    texts = taken.groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda t: t["text"]), "").alias("mutated"))
-    cigars = cigar.render(cigar.merge(rows.withColumnRenamed("seq_id", "aln_id"))).withColumnRenamed("aln_id", "seq_id")
-    return texts.join(cigars, "seq_id", "left").select("seq_id", "mutated", F.coalesce("cigar", F.lit("")).alias("cigar"))
+        head, tail = at + F.when(event["twice"], event["run"]).otherwise(0), at + F.when(event["twice"], 0).otherwise(event["run"])
+        front = F.transform(F.filter(now, lambda r: r["at"] < head), lambda r: _range(r["from"], F.least(r["to"], r["from"] + head - r["at"]), r["at"]))
+        passed = lambda r: F.greatest(tail - r["at"], F.lit(0))
+        back = F.transform(F.filter(now, lambda r: r["at"] + r["to"] - r["from"] > tail), lambda r: _range(r["from"] + passed(r), r["to"], r["at"] + passed(r) - tail + head))
+        return F.when(room < 1, now).otherwise(F.concat(front, back))
+
+    whole = F.array(_range(F.lit(0), F.size("cuts") - 1, F.lit(0)))
+    listed = cuts.select("*", F.aggregate(plan, whole, change).alias("ranges"))
+    begin = lambda unit: F.get("cuts", unit)
+    text = F.array_join(F.transform("ranges", lambda r: F.substring(F.col("seq"), (begin(r["from"]) + 1).cast("int"), (begin(r["to"]) - begin(r["from"])).cast("int"))), "")
+    step = lambda n, op: F.struct(n.cast("long").alias("len"), F.lit(op).alias("op"))
+
+    def follow(done: Column, r: Column) -> Column:
+        """``top`` units are reached: what lies below is inserted again, what is passed over was deleted."""
+        top = done["top"]
+        new = F.greatest(r["from"], top)
+        some = F.array(step(begin(F.least(r["to"], top)) - begin(r["from"]), "I"), step(begin(new) - begin(top), "D"), step(begin(r["to"]) - begin(new), "M"))
+        some = F.filter(some, lambda s: (s["len"] > 0) & ((r["to"] > top) | (s["op"] == "I")))
+        return F.struct(F.greatest(top, r["to"]).alias("top"), F.concat(done["steps"], some).alias("steps"))
+
+    none = F.struct(F.lit(0).alias("top"), F.array().cast("array<struct<len:bigint,op:string>>").alias("steps"))
+    last = lambda done: F.concat(done["steps"], F.filter(F.array(step(size - begin(done["top"]), "D")), lambda s: s["len"] > 0))
+    steps = listed.select("seq_id", text.alias("mutated"), F.aggregate("ranges", none, follow, last).alias("steps"))
+    # Neighbours of one op are one step.
+    numbers = F.when(F.size("steps") > 0, F.sequence(F.lit(0), F.size("steps") - 1)).otherwise(F.array().cast("array<int>"))
+    steps = steps.withColumn("runs", F.filter(numbers, lambda i: (i == 0) | (F.get("steps", i)["op"] != F.get("steps", i - 1)["op"])))
+
+    def run(i: Column, j: Column) -> Column:
+        many = F.coalesce(F.get("runs", j + 1), F.size("steps")) - i
+        total = F.aggregate(F.slice("steps", i + 1, many), F.lit(0).cast("long"), lambda n, s: n + s["len"])
+        return F.concat(total.cast("string"), F.get("steps", i)["op"])
+
+    return steps.select("seq_id", "mutated", F.array_join(F.transform("runs", run), "").alias("cigar"))
+
+
+def _range(begin: Column, end: Column, at: Column) -> Column:
+    return F.struct(begin.alias("from"), end.alias("to"), at.alias("at"))
 
 
 def _poisson_shares(mean: float) -> list[float]:
