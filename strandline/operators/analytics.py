@@ -40,18 +40,21 @@ def orthologues(points: DataFrame, rows: DataFrame, side: int = 1) -> DataFrame:
     Each place is looked up once, however many points it has.
     """
     s0, s1, d0, d1 = ("x0", "x1", "y0", "y1") if side == 1 else ("y0", "y1", "x0", "x1")
-    # Steps that don't advance on the points' side hold no point.
-    steps = cigar.trace(rows).select("aln_id", *[F.col(c).alias(n) for c, n in ((s0, "s0"), (s1, "s1"), (d0, "d0"), (d1, "d1"))])
-    ends = cigar.lengths(rows).select("aln_id", F.col("query" if side == 1 else "target").alias("last_d"))
-    events = steps.filter("s1 > s0").select("aln_id", F.col("s1").alias("at"), F.lit(1).alias("kind"), F.struct("s0", "s1", "d0", "d1").alias("step"))
-    # The scan looks at its rows twice.
-    events = Tables(rows.sparkSession).settled(events)
-    asked = points.select("aln_id", F.col("pos").cast("long").alias("at")).distinct()
-    asked = asked.select("aln_id", "at", F.lit(2).alias("kind"), F.lit(None).cast(events.schema["step"].dataType).alias("step"))
-    found = running(events.unionByName(asked), ["aln_id"], "at", after={"next": F.col("step")}, ties=("kind",)).filter("kind = 2")
+    # Steps and points are looked at several times, so each is written once.
+    tables = Tables(rows.sparkSession)
+    rows = tables.settled(rows.select("aln_id", "ord", "len", "op"))
+    named = tables.settled(points.select("aln_id", F.col("name").cast("string").alias("name"), F.col("pos").cast("long").alias("at")))
+    # Steps that don't advance on the points' side hold no point, but may reach on along the other.
+    inside = F.when(F.col(s1) > F.col(s0), F.struct(*[F.col(c).alias(n) for c, n in ((s0, "s0"), (s1, "s1"), (d0, "d0"), (d1, "d1"))]))
+    events = cigar.trace(rows, tables=tables).select("aln_id", F.col(s1).alias("at"), F.lit(1).alias("kind"), F.col(d1).alias("d"), inside.alias("step"))
+    asked = named.select("aln_id", "at").distinct()
+    asked = asked.select("aln_id", "at", F.lit(2).alias("kind"), F.lit(None).cast("long").alias("d"), F.lit(None).cast(events.schema["step"].dataType).alias("step"))
+    every = tables.settled(events.unionByName(asked))
+    found = running(every, ["aln_id"], "at", after={"next": F.col("step")}, peaks={"last_d": F.col("d")}, ties=("kind",), tables=tables).filter("kind = 2")
     put = project(F.col("at"), F.col("next.s0"), F.col("next.s1"), F.col("next.d0"), F.col("next.d1"))
-    found = found.join(ends, "aln_id").select("aln_id", "at", F.when(F.col("next").isNull(), F.col("last_d").cast("double")).otherwise(put).alias("projected"))
-    named = points.select("aln_id", F.col("name").cast("string").alias("name"), F.col("pos").cast("long").alias("at"))
+    # Points of alignments without steps have neither a step nor an end.
+    found = found.filter(F.col("next").isNotNull() | F.col("last_d").isNotNull())
+    found = found.select("aln_id", "at", F.when(F.col("next").isNull(), F.col("last_d").cast("double")).otherwise(put).alias("projected"))
     return named.join(found, ["aln_id", "at"]).select("aln_id", "name", F.col("at").alias("pos"), "projected")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Tables
 from .scan import running
 
 STEP = r"(\d+)([=MXID])"
@@ -60,10 +61,10 @@ def advance(op: Column, length: Column, side: int, convention: str = "first") ->
     return F.when(op == skipped, F.lit(0).cast("long")).otherwise(length)
 
 
-def trace(rows: DataFrame, convention: str = "first") -> DataFrame:
-    """aln_id, ord, len, op, x0, y0, x1, y1: where each step begins and ends."""
+def trace(rows: DataFrame, convention: str = "first", tables: Tables | None = None) -> DataFrame:
+    """aln_id, ord, len, op, x0, y0, x1, y1: where each step begins and ends. ``tables`` is as in ``running``."""
     dx, dy = (advance(F.col("op"), F.col("len"), s, convention) for s in (1, 2))
-    ends = running(rows.select("aln_id", "ord", "len", "op"), ["aln_id"], "ord", sums={"x1": dx, "y1": dy})
+    ends = running(rows.select("aln_id", "ord", "len", "op"), ["aln_id"], "ord", sums={"x1": dx, "y1": dy}, tables=tables)
     return ends.select("aln_id", "ord", "len", "op", (F.col("x1") - dx).alias("x0"), (F.col("y1") - dy).alias("y0"), "x1", "y1")
 
 

@@ -88,3 +88,25 @@ def test_one_long_alignment_spreads_over_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(shares) == n and len(shares) >= 4 and max(shares) < 0.6 * n
     assert last.x1 == sum(k % 5 for k in range(n) if k % 4 != 2) and last.y1 == sum(k % 5 for k in range(n) if k % 4 != 3)
+
+
+def test_only_keys_of_several_blocks_are_totalled(spark):
+    """With tables, all columns are as without; long, short and null keys, and keys that begin behind the first block."""
+    from strandline.sources.shared import Tables
+
+    rng = random.Random(4)
+    rows = [(key, at, rng.choice([None, 1, 2, 5])) for key, places in (("a", range(40)), ("b", range(3)), (None, range(0, 30, 7)), ("c", range(25, 28)), ("d", range(-12, 4))) for at in places]
+    df = spark.createDataFrame(rows, "key string, at long, v long")
+    how = dict(sums={"s": F.col("v")}, runs={"r": F.col("v")}, before={"b": F.col("v")}, after={"n": F.col("v")}, peaks={"p": F.col("v")}, block=10)
+    got = [sorted(map(tuple, scan.running(df, ["key"], "at", **how, **more).collect(), ), key=str) for more in ({}, {"tables": Tables(spark)})]
+    assert got[0] == got[1]
+
+
+def test_orthologues_past_the_end_and_without_steps(spark):
+    """Steps behind the last one that advances count for the end; an alignment without steps has no points."""
+    from strandline.operators import analytics
+
+    rows = spark.createDataFrame([(1, 0, 10, "M"), (1, 1, 4, "I"), (2, 0, 3, "I"), (3, 0, 5, "D")], "aln_id long, ord int, len long, op string")
+    points = spark.createDataFrame([(1, "a", 3), (1, "b", 10), (1, "c", 99), (2, "d", 0), (3, "e", 2), (4, "f", 1)], "aln_id long, name string, pos long")
+    assert sorted(map(tuple, analytics.orthologues(points, rows).collect())) == [(1, "a", 3, 3.0), (1, "b", 10, 14.0), (1, "c", 99, 14.0), (2, "d", 0, 3.0), (3, "e", 2, 0.0)]
+    assert sorted(map(tuple, analytics.orthologues(points, rows, 2).collect())) == [(1, "a", 3, 3.0), (1, "b", 10, 10.0), (1, "c", 99, 10.0), (2, "d", 0, 0.0), (3, "e", 2, 5.0)]
