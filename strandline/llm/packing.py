@@ -54,7 +54,7 @@ class WordTokenizer:
         self.closes[[k for t, k in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.cache = BoundedCache(limit=96 << 20)
 
-    def encode(self, texts: pa.Array | list[str | None], closing: int, block_bytes: int = 1 << 20) -> Iterator[bytes]:
+    def encode(self, texts: pa.Array | list[str | None], closing: int, block_bytes: int = 4 << 20) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the closing id."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         for a, b in slices([texts], block_bytes):
