@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, few_files, path_of, slices, table_rows_of
+from .common import cut, drop_cut, few_files, slices, table_rows_of
 from .components import connected_components, local_components
 
 DISTANCE = 3
@@ -309,26 +309,36 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return fps.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-class _Gone:
-    """In a worker: which rows of a file go. ``path`` has their places, in a folder for each share of the files."""
+#: Bytes of bitmaps and file names that may be sent to every task: about 200 million rows have as many in files of a million rows, or fewer in small files.
+SENT = 32 << 20
 
-    def __init__(self, path: str):
-        self.path, self.file, self.rows = path, None, np.zeros(0, np.int64)
 
-    def open(self, file: str, share: int) -> None:
-        from pyarrow import dataset, fs
+def marked_rows(rows: DataFrame, files: int) -> DataFrame:
+    """``file``, ``block``, ``bits``: the places in files that ``rows`` (file, place) have, as bitmaps.
+
+    A block is 32,768 places (the bucket of Spark's bitmap functions, which count from 1) and its
+    bitmap ends with the last bit that is set, so all have an eighth of a byte for a row of the files.
+    """
+    nth = F.col("place") + 1
+    at = rows.select("file", F.bitmap_bucket_number(nth).alias("block"), F.bitmap_bit_position(nth).alias("bit"))
+    # Dealt by key before they are set: a bitmap for each task and block would take more room than the places.
+    maps = at.repartition(files, "file", "block").groupBy("file", "block").agg(F.bitmap_construct_agg("bit").alias("bits"), F.max("bit").alias("last"))
+    return maps.select("file", "block", F.substring("bits", F.lit(1), (F.col("last") / 8).cast("int") + 1).alias("bits"))
+
+
+def is_marked(bits: Column, place: Column) -> Column:
+    """Whether the bitmap of its block has the bit of a place; null behind the bitmap's end."""
+    bit = F.bitmap_bit_position(place + 1).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, bit % 8) == 1
 
-        store, root = fs.FileSystem.from_uri(f"{self.path}/share={share}")
-        self.file, self.rows = file, np.zeros(0, np.int64)
-        if store.get_file_info(root).type == fs.FileType.Directory:
-            found = dataset.dataset(root, filesystem=store, format="parquet").to_table(columns=["place"], filter=dataset.field("file") == file)
-            self.rows = np.unique(found.column("place").to_numpy())
 
-    def stays(self, file: str, share: int, places: np.ndarray) -> np.ndarray:
-        if file != self.file:
-            self.open(file, share)
-        at = np.searchsorted(self.rows, places)
-        return np.append(self.rows, -1)[at] != places
+def without_marked(df: DataFrame, file: Column, place: Column, marks: DataFrame, sent: int = SENT) -> DataFrame:
+    """The rows of ``df`` that ``marks`` hasn't. It goes to every task if it has ``sent`` bytes at most; else Spark chooses the join."""
+    held = marks.agg(F.sum(F.length("bits") + F.length("file"))).first()[0] or 0
+    marks = F.broadcast(marks) if held <= sent else marks
+    same = (file == marks["file"]) & (F.bitmap_bucket_number(place + 1) == marks["block"])
+    return df.join(marks, same & is_marked(marks["bits"], place), "left_anti")
 
 
 def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
@@ -339,10 +349,12 @@ def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     unlike texts are rows of their own groups. Rows without a doc_id can't stand for a
     group and are all kept. A null text is an empty one.
 
-    No text is shuffled: rows are known by file and place in it, what goes is a table
-    of such places, and each task of the last scan looks up those of its own files. A
-    ``df`` that is more than one scan of Parquet files with projections and filters (a
-    join, a union, an explode, a sample) is written to the shared folder first.
+    No text is shuffled: rows are known by file and place in it, and what goes is a table of
+    bitmaps of places that is sent to the tasks of the last scan (if it has over ``SENT``
+    bytes, Spark may deal the rows out by file and block instead). Spark alone reads it, so
+    the shared folder may be in any store that Spark knows. A ``df`` that is more than
+    one scan of Parquet files with projections and filters (a join, a union, an explode,
+    a sample) is written to the shared folder first.
     """
     df, file, place = table_rows_of(df)
     fps = cut(fingerprints(df, text_col, id_col, file.alias("file"), place.alias("place")), "simhash")
@@ -353,23 +365,8 @@ def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     members = cut(fps.filter("doc_id is not null").join(groups.join(alone, "root", "left_semi").select("fp", "root"), "fp"), "members", files=files)
     rank = F.struct("doc_id", "fp", "file", "place")
     stay = members.groupBy("root").agg(F.min(rank).alias("best")).select("best.file", "best.place")
-    shares = max(1, min(4096, len(df.inputFiles()) // 8))
-    share = F.pmod(F.xxhash64("file"), F.lit(shares)).cast("int")
-    gone = members.join(stay, ["file", "place"], "left_anti").select("file", "place", share.alias("share"))
-    gone = cut(gone.repartition(files, "share", "file").sortWithinPartitions("share", "file", "place"), "gone", by="share", files=files)
+    gone = members.join(stay, ["file", "place"], "left_anti").select("file", "place")
+    marks = cut(marked_rows(gone, files), "gone", files=files)
     for done in (members, groups, fps):
         drop_cut(done)
-    where = path_of(gone)
-
-    def stays(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        of = _Gone(where)
-        for files, shares_, places in batches:
-            runs, places = files.dictionary_encode(), places.to_numpy()
-            code = runs.indices.to_numpy()
-            names, own = runs.dictionary.to_pylist(), shares_.to_numpy()
-            starts = np.flatnonzero(np.diff(code, prepend=-1))
-            keep = [of.stays(names[code[a]], int(own[a]), places[a:b]) for a, b in zip(starts, [*starts[1:], len(code)], strict=True)]
-            yield pa.array(np.concatenate([np.zeros(0, bool), *keep]))
-
-    keep = F.arrow_udf(stays, returnType="boolean")
-    return df.filter(keep(file, F.pmod(F.xxhash64(file), F.lit(shares)).cast("int"), place))
+    return without_marked(df, file, place, marks)

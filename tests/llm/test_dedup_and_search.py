@@ -13,8 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandline.llm import ann, components, sharding, simhash
-from strandline.llm.common import scan_only
+from strandline.llm import ann, common, components, sharding, simhash
+from strandline.llm.common import scan_only, table_rows_of
 
 from .common import documents, odd_documents, words
 
@@ -317,6 +317,41 @@ def test_kept_rows_of_derived_tables(spark, tmp_path):
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs.filter("doc_id > 10")).collect()) == [20, 30]
 
 
+def test_kept_rows_with_a_shared_folder_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    (tmp_path / "shared").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.folders.link./shared", f"file://{tmp_path}/shared")
+    monkeypatch.setattr(common, "shared_dir", lambda _: "viewfs://folders/shared")
+    texts = {10: "one two three four five six seven", 20: "a text that is like no other one here", 30: "one two three four five six seven"}
+    df = spark.createDataFrame([(d, t, d, d, d) for d, t in texts.items()], "doc_id long, text string, file long, block long, bits long")
+    df.write.parquet(f"{tmp_path}/docs")
+    for docs in (spark.read.parquet(f"{tmp_path}/docs"), df):
+        kept = simhash.keep_one_of_each(docs)
+        assert kept.columns == df.columns and sorted(r.bits for r in kept.collect()) == [10, 20]
+
+
+@pytest.mark.parametrize("sent", [1 << 20, -1])
+def test_marked_rows(spark, tmp_path, sent):
+    """Places at the edges of bytes and blocks, and files of which nothing goes."""
+    n = 70_000
+    for k in range(3):
+        spark.range(n * k, n * k + n).coalesce(1).write.parquet(f"{tmp_path}/docs/k={k}")
+    df, file, place = table_rows_of(spark.read.parquet(f"{tmp_path}/docs").drop("k"))
+    picked = {0, 7, 8, 9, 32_767, 32_768, 32_769, 65_535, 65_536, n - 1, n, n + 40_000, *random.Random(3).sample(range(2 * n), 500)}
+    rows = df.select("id", file.alias("file"), place.alias("place")).filter(F.col("id").isin(*picked)).drop("id")
+    marks = simhash.marked_rows(rows, 4).cache()
+    assert marks.agg(F.sum(F.length("bits"))).first()[0] <= 2 * n / 8 + 6
+    assert simhash.without_marked(df, file, place, marks.limit(0), sent).count() == 3 * n
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = simhash.without_marked(df, file, place, marks, sent)
+        assert ("BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString()) == (sent > 0)
+        assert kept.columns == ["id"] and sorted(r.id for r in kept.collect()) == sorted({*range(3 * n)} - picked)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        marks.unpersist()
+
+
 def test_only_visited_cells_are_scored(spark):
     rng = np.random.default_rng(5)
     x = ann.unit(rng.normal(size=(4000, 8)) + 4 * rng.normal(size=(40, 8))[rng.integers(0, 40, 4000)])
