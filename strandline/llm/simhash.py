@@ -309,7 +309,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return fps.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Bytes of bitmaps and file names that may be sent to every task: about 200 million rows have as many in files of a million rows, or fewer in small files.
+#: Bytes of bitmaps and file names that may be sent to every task: some 250 million rows have as many in large files, fewer rows in small ones.
 SENT = 32 << 20
 
 
