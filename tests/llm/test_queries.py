@@ -1,5 +1,9 @@
 """The registered queries and the pipeline, over whole small tables."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +92,26 @@ def test_samples_are_bounded(spark):
 def test_free_names(spark):
     df = spark.createDataFrame([(1, 2)], "q int, Q_ int")
     assert free_name(df, "Q") == "Q__" and len(odd_documents()) > 15
+
+
+STAGES_ALONE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+builder = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+spark = builder.config("spark.executorEnv.PYTHONPATH", sys.argv[4]).getOrCreate()
+import corpus_pipeline
+docs = spark.read.parquet(f"{sys.argv[2]}/documents.parquet")
+for name, stage in corpus_pipeline.STAGES:
+    stage(spark, docs, sys.argv[2]).write.parquet(f"{sys.argv[3]}/{name}")
+    docs = spark.read.parquet(f"{sys.argv[3]}/{name}")
+print("rows:", docs.count())
+"""
+
+
+def test_stages_where_workers_have_another_path(spark, tmp_path):
+    """The driver alone knows where the repository is; executors were started with a path of their own."""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    run = subprocess.run([sys.executable, "-c", STAGES_ALONE, entry.HERE, DATA, str(tmp_path), str(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert run.returncode == 0, run.stderr[-3000:]
+    assert f"rows: {corpus_pipeline.run(spark, DATA).count()}" in run.stdout
